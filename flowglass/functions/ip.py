@@ -4,13 +4,20 @@ from pyspark.sql import functions as F
 
 from .text import col
 
-# Special-purpose IPv4 blocks as (network, prefix length).
-PRIVATE_V4 = [("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
-              ("192.0.0.170", 31), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24),
-              ("203.0.113.0", 24), ("240.0.0.0", 4), ("255.255.255.255", 32)]
-PRIVATE_V4_EXCEPT = [("192.0.0.9", 32), ("192.0.0.10", 32)]
-# Special-purpose IPv6 blocks as (leading hex digits of the address, compared bits / 4).
-PRIVATE_V6_HEX = ["fc", "fd", "fe8", "fe9", "fea", "feb", "20010db8", "0100000000000000", "00000000000000000000ffff"]
+# Special-purpose blocks, written as patterns over canonical address text
+# (dotted IPv4; lower-case compressed IPv6), with the block each alternative stands for.
+MULTICAST = ["^2(2[4-9]|3[0-9])[.]",  # 224.0.0.0/4
+             "^ff[0-9a-f]{2}:"]  # ff00::/8
+LOOPBACK = ["^127[.]", "^::1$"]
+LINK_LOCAL = ["^169[.]254[.]", "^fe[89ab][0-9a-f]:"]
+UNSPECIFIED = ["^0[.]0[.]0[.]0$", "^::$"]
+RESERVED = ["^2(4[0-9]|5[0-5])[.]",  # 240.0.0.0/4
+            "^(::|[0-9a-f]{1,3}:|[14-9a-e][0-9a-f]{3}:|f[0-9ab][0-9a-f]{2}:|fe[0-7][0-9a-f]:)"]
+PRIVATE = ["^(0|10|127)[.]", "^169[.]254[.]", "^172[.](1[6-9]|2[0-9]|3[01])[.]",
+           "^192[.]0[.]0[.](?!9$|10$)", "^192[.]0[.]2[.]", "^192[.]168[.]", "^198[.]1[89][.]", "^198[.]51[.]100[.]",
+           "^203[.]0[.]113[.]", "^2(4[0-9]|5[0-5])[.]",
+           "^::1?$", "^::ffff:", "^64:ff9b:1:", "^100::", "^2001:(?!1::[12]$|3:|4:112:|2[0-9a-f]:|3[0-9a-f]:)(:|1?[0-9a-f]{1,2}:)",
+           "^2001:db8:", "^2002:", "^f[cd][0-9a-f]{2}:", "^fe[89ab][0-9a-f]:"]
 
 
 def v4_number(ip) -> Column:
@@ -42,20 +49,12 @@ def v4_range(network: str, bits: int):
     return lo, lo + (1 << (32 - bits)) - 1
 
 
-def _in(n: Column, blocks) -> Column:
-    test = F.lit(False)
-    for net, bits in blocks:
-        lo, hi = v4_range(net, bits)
-        test = test | n.between(lo, hi)
-    return F.coalesce(test, F.lit(False))
-
-
-def _v6(ip, test) -> Column:
-    return F.coalesce(test(v6_hex(ip)), F.lit(False))
+def _matches(ip, *lists) -> Column:
+    return col(ip).rlike("|".join(p for l in lists for p in l))
 
 
 def is_multicast(ip) -> Column:
-    return _in(v4_number(ip), [("224.0.0.0", 4)]) | _v6(ip, lambda h: h.startswith("ff"))
+    return _matches(ip, MULTICAST)
 
 
 def is_broadcast(ip) -> Column:
@@ -63,34 +62,31 @@ def is_broadcast(ip) -> Column:
 
 
 def is_loopback(ip) -> Column:
-    return _in(v4_number(ip), [("127.0.0.0", 8)]) | _v6(ip, lambda h: h == "0" * 31 + "1")
+    return _matches(ip, LOOPBACK)
 
 
 def is_link_local(ip) -> Column:
-    return _in(v4_number(ip), [("169.254.0.0", 16)]) | _v6(ip, lambda h: h.rlike("^fe[89ab]"))
+    return _matches(ip, LINK_LOCAL)
 
 
 def is_unspecified(ip) -> Column:
-    return (col(ip) == "0.0.0.0") | _v6(ip, lambda h: h == "0" * 32)
+    return _matches(ip, UNSPECIFIED)
 
 
 def is_reserved(ip) -> Column:
-    """IPv4 240/4; IPv6 outside the allocated unicast, local and multicast blocks."""
-    v6 = lambda h: h.rlike("^(0|1|[4-9a-e]|f[0-9ab]|fe[0-7])")
-    return _in(v4_number(ip), [("240.0.0.0", 4)]) | _v6(ip, v6)
+    return _matches(ip, RESERVED)
 
 
 def is_private(ip) -> Column:
-    v6 = lambda h: h.rlike("^(" + "|".join(PRIVATE_V6_HEX) + ")") | (h == "0" * 31 + "1") | (h == "0" * 32)
-    n = v4_number(ip)
-    return (_in(n, PRIVATE_V4) & ~_in(n, PRIVATE_V4_EXCEPT)) | _v6(ip, v6)
+    return _matches(ip, PRIVATE)
 
 
 def is_martian(ip) -> Column:
     """Addresses that never originate traffic on a monitored link."""
-    return is_loopback(ip) | is_multicast(ip) | is_unspecified(ip) | is_link_local(ip) | is_reserved(ip)
+    return _matches(ip, LOOPBACK, MULTICAST, UNSPECIFIED, LINK_LOCAL, RESERVED)
 
 
 def same_local_network(a, b) -> Column:
-    same24 = F.shiftright(v4_number(a), 8) == F.shiftright(v4_number(b), 8)
-    return (is_private(a) & is_private(b)) | F.coalesce(same24, F.lit(False))
+    a, b = col(a), col(b)
+    same24 = ~a.contains(":") & ~b.contains(":") & (F.substring_index(a, ".", 3) == F.substring_index(b, ".", 3))
+    return (is_private(a) & is_private(b)) | same24

@@ -39,10 +39,10 @@ def domain_label(name) -> Column:
 
 
 def canonical_log_name(name) -> Column:
-    """Lower-cased ASCII name with valid label and total lengths, null otherwise."""
+    """Lower-cased ASCII name with valid label and wire lengths ('.' for the root), null otherwise."""
     text = F.lower(F.regexp_replace(col(name), "[.]$", ""))
-    ok = (F.length(text) > 0) & (F.length(text) <= 255) & text.rlike("^[\\x00-\\x7F]+$") & text.rlike("^[^.]{1,63}([.][^.]{1,63})*$")
-    return F.when(ok, text)
+    ok = (F.length(text) <= 253) & text.rlike("^[\\x00-\\x7F]+$") & text.rlike("^[^.]{1,63}([.][^.]{1,63})*$")
+    return F.when(col(name).isin("", "."), F.lit(".")).when(ok, text)
 
 
 def char_counts(text) -> Column:

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ip import is_broadcast, is_multicast, v4_number
+from ..functions.ip import is_broadcast, is_multicast
 from ..functions.numbers import gaps_seconds
 from .throttle import throttle
 
@@ -13,7 +13,7 @@ COALESCE_US, RESET_US, KEEP, WINDOW = 2_000_000, 7_200_000_000, 24, 10
 
 def eligible(rows: DataFrame) -> DataFrame:
     """TCP/UDP to a unicast destination; IPv4 addresses ending in .255 count as broadcast."""
-    dotted = F.coalesce(v4_number("dst_ip") % 256 == 255, F.lit(False))
+    dotted = F.col("dst_ip").endswith(".255")
     return rows.filter(F.col("protocol").isin(6, 17) & ~is_multicast("dst_ip") & ~is_broadcast("dst_ip") & ~dotted)
 
 

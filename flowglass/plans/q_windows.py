@@ -87,20 +87,20 @@ def source_retained_bytes(spark, sf):
 
 @query("peer_regularity", over(TRAFFIC, HIST_SQL + """, p as (select *, (ts_us - lag(ts_us) over (partition by seq order by ts_us, bseq)) / 1e6 gap
   from h where dst_ip = adst and dst_port = aport)
-select seq, cast(count(*) as int) history_count, round(coalesce(avg(gap), 0), 6) iat_mean,
-  round(case when count(gap) < 2 then 0 else stddev_pop(gap) / greatest(avg(gap), 1e-9) end, 6) iat_cv,
-  round(case when count(*) < 2 then 0 else stddev_pop(bytes / packets) / greatest(avg(bytes / packets), 1e-9) end, 6) size_cv,
+select seq, cast(count(*) as int) history_count, round(coalesce(avg(gap), 0), 9) iat_mean,
+  round(case when count(gap) < 2 then 0 else stddev_pop(gap) / greatest(avg(gap), 1e-9) end, 9) iat_cv,
+  round(case when count(*) < 2 then 0 else stddev_pop(bytes / packets) / greatest(avg(bytes / packets), 1e-9) end, 9) size_cv,
   cast(max(case when tls_fingerprint = md5('771,49195-49199,0-23-65281,29-23-24,0') then 1 else 0 end) as int) fingerprint_risk
 from p group by seq"""))
 def peer_regularity(spark, sf):
-    return rounded(history.source_history(V.traffic(spark, sf), chunk_rows=512).select("seq", "history_count", "iat_mean", "iat_cv", "size_cv", "fingerprint_risk"))
+    return rounded(history.source_history(V.traffic(spark, sf), chunk_rows=512).select("seq", "history_count", "iat_mean", "iat_cv", "size_cv", "fingerprint_risk"), 9)
 
 
 @query("dns_base_activity", over(TRAFFIC, """, q as (select seq, ts_us, src_ip, lower(dns_name) nm, string_split(lower(dns_name), '.') l from traffic
   where dns_name is not null and dst_port = 53 and protocol in (6, 17)),
-f as (select *, array_to_string(l[-2:], '.') base, array_to_string(l[:len(l) - 2], '') enc, coalesce(list_max(list_transform(l[:len(l) - 2], x -> length(x))), 0) mx from q),
+f as (select *, array_to_string(l[-2:], '.') base, array_to_string(l[:len(l) - 2], '') enc, coalesce(list_max(list_transform(l[:len(l) - 2], lambda x: length(x))), 0) mx from q),
 n as (select *, length(enc) tot, case when length(enc) = 0 then 0.0 else list_sum(list_transform(list_distinct(string_split(enc, '')),
-  c -> -((length(enc) - length(replace(enc, c, ''))) / length(enc)) * log2((length(enc) - length(replace(enc, c, ''))) / length(enc)))) end ent from f),
+  lambda c: -((length(enc) - length(replace(enc, c, ''))) / length(enc)) * log2((length(enc) - length(replace(enc, c, ''))) / length(enc)))) end ent from f),
 m as (select a.seq, a.mx, a.tot, a.ent, len(a.l) nl, b.nm, b.mx >= 24 and b.tot >= 32 and b.ent >= 3.5 ok,
   row_number() over (partition by a.seq order by b.ts_us desc, b.seq desc) r
   from n a join n b on a.src_ip = b.src_ip and a.base = b.base and b.ts_us >= a.ts_us - 10000000 and (b.ts_us, b.seq) <= (a.ts_us, a.seq))
@@ -145,17 +145,17 @@ k as (select *, case when row_number() over u > 1 then (ts_us - pt) / 1e6 end ga
 
 @query("tls_sessions", over(TRAFFIC, TLS_SQL + """
 select seq, ja3 tls_ja3, ja3s tls_ja3s, cast(sum(packets) over (partition by client, server, sid order by ts_us, seq rows unbounded preceding) as bigint) tls_session_packets,
-  round((ts_us - st) / 1e6, 6) tls_session_duration_s, round(avg(size) over v, 6) tls_session_mean_bytes,
-  round(case when count(*) over v < 2 then 0 else stddev_pop(size) over v / greatest(avg(size) over v, 1e-9) end, 6) tls_session_size_cv,
-  round(avg(case when size < 200 then 1.0 else 0.0 end) over v, 6) tls_session_small_fraction,
-  round(coalesce(avg(gap) over z, 0), 6) tls_session_iat_mean_s,
-  round(case when count(gap) over z < 2 then 0 else stddev_pop(gap) over z / greatest(avg(gap) over z, 1e-9) end, 6) tls_session_iat_cv
+  round((ts_us - st) / 1e6, 9) tls_session_duration_s, round(avg(size) over v, 9) tls_session_mean_bytes,
+  round(case when count(*) over v < 2 then 0 else stddev_pop(size) over v / greatest(avg(size) over v, 1e-9) end, 9) tls_session_size_cv,
+  round(avg(case when size < 200 then 1.0 else 0.0 end) over v, 9) tls_session_small_fraction,
+  round(coalesce(avg(gap) over z, 0), 9) tls_session_iat_mean_s,
+  round(case when count(gap) over z < 2 then 0 else stddev_pop(gap) over z / greatest(avg(gap) over z, 1e-9) end, 9) tls_session_iat_cv
 from k window v as (partition by client, server, sid order by ts_us, seq rows between 63 preceding and current row),
   z as (partition by client, server, sid order by ts_us, seq rows between 62 preceding and current row)"""))
 def tls_sessions(spark, sf):
     out = sessions.tls_sessions(_tls_rows(spark, sf))
     return rounded(out.select("seq", "tls_ja3", "tls_ja3s", "tls_session_packets", "tls_session_duration_s", "tls_session_mean_bytes", "tls_session_size_cv",
-                              "tls_session_small_fraction", "tls_session_iat_mean_s", "tls_session_iat_cv"))
+                              "tls_session_small_fraction", "tls_session_iat_mean_s", "tls_session_iat_cv"), 9)
 
 
 @query("fingerprint_rarity", over(TRAFFIC, TLS_SQL + """, o as (select fp, client, min(ts_us) t from x where fp is not null group by 1, 2),
@@ -192,21 +192,21 @@ v as (select seq, first_value(ts_us) over w f, sum(amt) over w tot from u window
 l as (select e.seq, e.ts_us now, a.cport, max((a.ts_us, a.seq)) mx from r e join a on a.client = e.client and a.server = e.server
   and a.ts_us >= e.ts_us - 120000000 and (a.ts_us, a.seq) <= (e.ts_us, e.seq) group by 1, 2, 3),
 o as (select l.seq, (l.now - v.f) / 1e6 age, v.tot / greatest((l.now - v.f) / 1e6, 1.0) rate, a.amt from l join a on a.seq = l.mx[2] and a.act = 1 join v on v.seq = a.seq),
-z as (select r.seq, cast(count(o.seq) filter ({slow}) as bigint) slow, count(o.seq) op, coalesce(avg(age), 0) age, coalesce(avg(rate), 0) rate, coalesce(avg(amt), 0) amt
+z as (select r.seq, cast(count(o.seq) filter ({slow}) as bigint) slow, count(o.seq) op, coalesce(avg(age), 0) age, coalesce(avg(rate), 0) rate, coalesce(avg(o.amt), 0) amt
   from r left join o using (seq) group by r.seq)
 select seq, {tail} from z""")
 
 
 @query("slow_senders", _conn_sql("from_client and bytes >= 61", "fin_rst", "bytes", "age >= 5 and rate <= 100",
-       "slow slow_http_connections, op slow_http_open_connections, round(age, 6) slow_http_mean_age_s, round(rate, 6) slow_http_mean_client_rate_bps"))
+       "slow slow_http_connections, op slow_http_open_connections, round(age, 9) slow_http_mean_age_s, round(rate, 9) slow_http_mean_client_rate_bps"))
 def slow_senders(spark, sf):
-    return rounded(connections.slow_senders(V.web(spark, sf), min_age_s=5))
+    return rounded(connections.slow_senders(V.web(spark, sf), min_age_s=5), 9)
 
 
 @query("slow_readers", _conn_sql("from_client and tcp_window <= 256 and not fin_rst", "fin_rst or (from_client and tcp_window > 256)", "tcp_window", "age >= 5",
-       "slow slow_read_connections, op slow_read_open_connections, round(age, 6) slow_read_mean_age_s, round(amt, 6) slow_read_mean_window"))
+       "slow slow_read_connections, op slow_read_open_connections, round(age, 9) slow_read_mean_age_s, round(amt, 9) slow_read_mean_window"))
 def slow_readers(spark, sf):
-    return rounded(connections.slow_readers(V.web(spark, sf), min_age_s=5))
+    return rounded(connections.slow_readers(V.web(spark, sf), min_age_s=5), 9)
 
 
 @query("repeat_suppression", over(TRAFFIC, HIST_SQL + """, hits as (select seq, any_value(src_ip) src_ip, any_value(now) ts_us from h group by seq
