@@ -17,7 +17,7 @@ def number_text(c) -> Column:
     """A double as Python prints it after rounding to four places (1.0, 0.25, 12.3457)."""
     r = F.round(col(c), 4)
     text = F.regexp_replace(F.format_string("%.4f", r), "0+$", "")
-    return F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+    return F.when(r.isNotNull(), F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text))
 
 
 def narrative(fields: list) -> Column:

@@ -1,17 +1,19 @@
 """Open-connection tracking per client/service pair: slow senders and tiny-window readers.
 
-Connection state (first touch, bytes so far) is computed per connection with the
-block-wise primitives.  Reading all open connections at every event of the pair is
-a fold; it runs over short time slices of a pair, each primed with the connections
-still alive at the start of the slice, so a busy pair is split over many tasks."""
+At every event of a pair all its open connections are read, which is a fold.  It
+runs over short time slices of a pair; each slice starts from the connections left
+open by the slice before, so a busy pair is split over many tasks.  What a slice
+leaves open comes from one aggregation per (connection, slice) and a small window
+that chains the slices."""
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from .ordered import running_sums, sessionize
+from .ordered import FIRST, ORDER
 from .throttle import group_starts
 
 IDLE_US = 120_000_000
@@ -28,31 +30,42 @@ def orient(rows: DataFrame) -> DataFrame:
                            "cport": pick("src_port", "dst_port"), "from_client": fwd, "fin_rst": F.coalesce("tcp_fin_rst", F.lit(False))})
 
 
-def _tracked(rows: DataFrame, touch, close, amount):
-    """Rows with `act` (1 touch, -1 close, 0 none) and, on touches, `first` and `total` of the connection."""
-    r = rows.select("seq", "ts_us", *PAIR, "cport", F.when(close, -1).when(touch, 1).otherwise(0).alias("act"), amount.cast("long").alias("amount"))
-    acts = r.filter("act <> 0")
-    conn = [*PAIR, "cport"]
-    closes = {"_epoch": (F.col("act") == -1).cast("int")}
-    touches = running_sums(acts, conn, closes).filter("act = 1")
-    spans = sessionize(touches, [*conn, "_epoch"], IDLE_US, keep_equal=True)
-    spans = running_sums(spans, [*conn, "_epoch", "session_seq"], {"total": F.col("amount")})
-    return r, spans.select("seq", "ts_us", *conn, F.col("session_start").alias("first"), "total")
-
+def left_open(acts: DataFrame) -> DataFrame:
+    """Per (connection, slice): first touch, last touch and total of the connection still open at the end of the slice.
 
-def open_connections(rows: DataFrame, touch, close, amount, max_rate=None, min_age_s=30, slice_us=IDLE_US) -> DataFrame:
+    `acts` holds touches (1) and closes (-1).  Inside a slice a touch after a close or
+    after a long silence opens a connection; the leading touches may continue one
+    from the slice before."""
+    conn = [*PAIR, "cport"]
+    w = W.partitionBy(*conn, "slice").orderBy(*ORDER)
+    prev, gap = F.lag("act").over(w), F.col("ts_us") - F.lag("ts_us").over(w)
+    a = acts.withColumn("opens", (F.col("act") == 1) & F.coalesce((prev == -1) | (gap > IDLE_US), F.lit(False)))
+    a = a.withColumn("run", F.sum(F.when(F.col("act") == 1, F.col("amount")).otherwise(0)).over(w.rowsBetween(FIRST, 0)))
+    order = F.struct(*ORDER)
+    s = a.groupBy(*conn, "slice").agg(
+        F.max_by(F.struct("act", "ts_us", "amount", "run"), order).alias("end"),
+        F.max_by(F.struct("ts_us", (F.col("run") - F.col("amount")).alias("before")), F.when(F.col("opens"), order)).alias("own"),
+        F.min_by(F.struct("act", "ts_us"), order).alias("lead"))
+    wc = W.partitionBy(*conn).orderBy("slice")
+    joined = (F.lag("end.act").over(wc) == 1) & (F.col("lead.act") == 1) & (F.col("lead.ts_us") - F.lag("end.ts_us").over(wc) <= IDLE_US)
+    s = s.withColumn("fresh", F.col("own").isNotNull() | ~F.coalesce(joined, F.lit(False)))
+    s = s.withColumn("part", F.sum(F.col("fresh").cast("int")).over(wc.rowsBetween(FIRST, 0)))
+    wp = W.partitionBy(*conn, "part").orderBy("slice").rowsBetween(FIRST, 0)
+    s = s.withColumns({"first": F.first(F.coalesce("own.ts_us", "lead.ts_us")).over(wp),
+                       "total": F.sum(F.col("end.run") - F.coalesce("own.before", F.lit(0))).over(wp)})
+    return s.filter("end.act = 1").select(*conn, "slice", "first", F.col("end.ts_us").alias("last"), F.col("end.amount").alias("amount"), "total")
+
+
+def open_connections(rows: DataFrame, touch, close, amount, max_rate=None, min_age_s=30) -> DataFrame:
     """At every event of a pair: open connections, slow ones, mean age, mean rate, mean last amount."""
-    r, state = _tracked(rows, touch, close, amount)
-    sl = lambda ts: F.floor(ts / slice_us).cast("long")
-    full = r.join(state.select("seq", "first", "total"), "seq", "left")
-    body = full.withColumns({"slice": sl(F.col("ts_us")), "lead": F.lit(1)})
-    acts = full.filter("act <> 0").withColumn("slice", F.explode(F.sequence(sl(F.col("ts_us")) + 1, sl(F.col("ts_us") + IDLE_US))))
-    last = F.max_by(F.struct("act", "ts_us", "first", "total", "amount"), F.struct("ts_us", "seq"))
-    primed = (acts.groupBy(*PAIR, "cport", "slice").agg(last.alias("s")).filter("s.act = 1")
-              .select(F.lit(-1).cast("long").alias("seq"), "s.ts_us", *PAIR, "cport", "s.act", "s.amount", "s.first", "s.total", "slice", F.lit(0).alias("lead")))
+    r = rows.select("seq", "ts_us", *PAIR, "cport", F.when(close, -1).when(touch, 1).otherwise(0).alias("act"), amount.cast("long").alias("amount"),
+                    F.floor(F.col("ts_us") / IDLE_US).cast("long").alias("slice"))
+    body = r.withColumns({"first": F.lit(None).cast("long"), "total": F.lit(None).cast("long"), "lead": F.lit(1)})
+    # A connection last touched in an earlier slice than the previous one has expired: slices are as long as the idle limit.
+    primed = left_open(r.filter("act <> 0")).select(F.lit(-1).cast("long").alias("seq"), F.col("last").alias("ts_us"), *PAIR, "cport", F.lit(1).alias("act"), "amount",
+                                                    (F.col("slice") + 1).alias("slice"), "first", "total", F.lit(0).alias("lead"))
     cols = ["seq", "ts_us", *PAIR, "cport", "act", "amount", "first", "total", "slice", "lead"]
-    needed = body.select(*PAIR, "slice").distinct()
-    stream = body.select(*cols).unionByName(primed.join(needed, [*PAIR, "slice"], "left_semi").select(*cols))
+    stream = body.select(*cols).unionByName(primed.select(*cols))
     stream = stream.repartition(*PAIR, "slice").sortWithinPartitions(*PAIR, "slice", "lead", "ts_us", "seq")
     group = [*PAIR, "slice"]
 
@@ -69,14 +82,16 @@ def open_connections(rows: DataFrame, touch, close, amount, max_rate=None, min_a
                     pdf["amount"].tolist(), pdf["first"].tolist(), pdf["total"].tolist(), pdf["lead"].tolist()):
                 if new:
                     live = {}
-                if act == 1:
-                    live[port] = (first, now, total, amount)
-                elif act == -1:
-                    live.pop(port, None)
                 if not lead:
+                    live[port] = (first, now, total, amount)
                     continue
                 for p in [p for p, row in live.items() if now - row[1] > IDLE_US]:
                     del live[p]
+                if act == 1:
+                    was = live.pop(port, None)
+                    live[port] = (was[0] if was else now, now, (was[2] if was else 0) + amount, amount)
+                elif act == -1:
+                    live.pop(port, None)
                 n = len(live)
                 ages = [(now - row[0]) / 1e6 for row in live.values()]
                 rates = [row[2] / max(a, 1.0) for row, a in zip(live.values(), ages)]

@@ -26,18 +26,23 @@ def causal(*keys):
     return W.partitionBy(*keys).orderBy(*ORDER).rowsBetween(FIRST, 0)
 
 
-def running_sums(rows: DataFrame, keys, sums: dict, base=None, block_us=BLOCK_US) -> DataFrame:
-    """Adds, per key, inclusive running sums in arrival order."""
+def running_sums(rows: DataFrame, keys, sums: dict, base=None, block_us=BLOCK_US, lasts=()) -> DataFrame:
+    """Adds, per key in arrival order, inclusive running sums and `last_<c>`, the latest non-null value of each of `lasts`."""
     base = rows if base is None else base
     keys = list(keys)
     inner = causal(*keys, "_blk")
-    local = rows.withColumn("_blk", block(block_us)).select("*", *[F.sum(e).over(inner).alias(n) for n, e in sums.items()])
+    local = rows.withColumn("_blk", block(block_us)).select(
+        "*", *[F.sum(e).over(inner).alias(n) for n, e in sums.items()], *[F.last(c, ignorenulls=True).over(inner).alias("_l_" + c) for c in lasts])
+    order = F.struct(*ORDER)
     totals = (base.withColumn("_blk", block(block_us)).groupBy(*keys, "_blk")
-              .agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
+              .agg(*[F.sum(e).alias(n) for n, e in sums.items()],
+                   *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias("_m_" + c) for c in lasts]))
     before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(FIRST, -1)
-    carry = totals.select(*keys, "_blk", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias("_c_" + n) for n in sums])
+    carry = totals.select(*keys, "_blk", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias("_c_" + n) for n in sums],
+                          *[F.last("_m_" + c, ignorenulls=True).over(before).alias("_c_" + c) for c in lasts])
     out = local.join(carry, [*keys, "_blk"])
-    return out.select(*rows.columns, *[(F.col(n) + F.col("_c_" + n)).alias(n) for n in sums])
+    return out.select(*rows.columns, *[(F.col(n) + F.col("_c_" + n)).alias(n) for n in sums],
+                      *[F.coalesce("_l_" + c, "_c_" + c).alias("last_" + c) for c in lasts])
 
 
 def bucket_sums(rows: DataFrame, keys, sums: dict, horizons: dict, base=None, sub_us=None) -> DataFrame:
@@ -66,14 +71,14 @@ def bucket_sums(rows: DataFrame, keys, sums: dict, horizons: dict, base=None, su
     return joined.select(*rows.columns, *[(F.col("_p_" + o) + F.col("_in_" + n)).alias(o) for o, (n, _) in horizons.items()])
 
 
-def with_history(rows: DataFrame, keys, depth: int, base=None, chunk_rows=65_536, block_us=1_000_000, sums=None) -> DataFrame:
+def with_history(rows: DataFrame, keys, depth: int, base=None, chunk_rows=65_536, block_us=BLOCK_US, sums=None, lasts=()) -> DataFrame:
     """Copies rows so that each (keys, `_chunk`) group holds the `depth` rows before it.
 
     Chunks are cut by arrival position, so their size never depends on how hot a
     key is.  Context copies carry `_context = true` and are dropped by
-    `drop_history` once the bounded row window has been read.  `sums` adds running
-    sums of the key in the same pass."""
-    ordinal = running_sums(rows, keys, {"_ord": F.lit(1), **(sums or {})}, base=base, block_us=block_us)
+    `drop_history` once the bounded row window has been read.  `sums` and `lasts` are
+    passed on to `running_sums`, which numbers the rows in the same pass."""
+    ordinal = running_sums(rows, keys, {"_ord": F.lit(1), **(sums or {})}, base=base, block_us=block_us, lasts=lasts)
     pos = F.col("_ord") - 1
     own = F.floor(pos / chunk_rows).cast("long")
     later = F.when(pos % chunk_rows >= chunk_rows - depth, F.array(own, own + 1)).otherwise(F.array(own))
@@ -124,21 +129,6 @@ def sessionize(rows: DataFrame, keys, gap_us: int, keep_equal: bool, base=None,
     return out.select(*rows.columns, F.col("_s.ts_us").alias("session_start"), F.col("_s.seq").alias("session_seq"))
 
 
-def last_known(rows: DataFrame, keys, cols, base=None, block_us=BLOCK_US) -> DataFrame:
-    """Adds `last_<c>`: the latest non-null value of each column up to the current row."""
-    base = rows if base is None else base
-    keys = list(keys)
-    order = F.struct(*ORDER)
-    summary = (base.withColumn("_blk", block(block_us)).groupBy(*keys, "_blk")
-               .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias("_m_" + c) for c in cols]))
-    wb = W.partitionBy(*keys).orderBy("_blk").rowsBetween(FIRST, -1)
-    carry = summary.select(*keys, "_blk", *[F.last("_m_" + c, ignorenulls=True).over(wb).alias("_c_" + c) for c in cols])
-    inner = causal(*keys, "_blk")
-    out = rows.withColumn("_blk", block(block_us)).select("*", *[F.last(c, ignorenulls=True).over(inner).alias("_l_" + c) for c in cols])
-    return out.join(carry, [*keys, "_blk"]).select(
-        *rows.columns, *[F.coalesce("_l_" + c, "_c_" + c).alias("last_" + c) for c in cols])
-
-
 def running_max(rows: DataFrame, value: str, out: str, order="seq", block_rows=65_536) -> DataFrame:
     """Adds the maximum of `value` over all rows up to this one in `order`, without a global sort.
 

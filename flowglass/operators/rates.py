@@ -82,7 +82,7 @@ def global_rates(rows: DataFrame, base=None, cap=4096, sub_us=None) -> DataFrame
 def target_rates(rows: DataFrame, base=None, cap=256) -> DataFrame:
     """Per-destination window of the row's protocol; TCP and UDP readings with neutral values elsewhere.
 
-    Needs `window_packets` from `global_rates` for the destination's share."""
+    `udp_target_packets` over `window_packets` of `global_rates` is the destination's share (`concentration`)."""
     base = rows if base is None else base
     keys = ["dst_ip", "protocol"]
     acct = syn_accounting()
@@ -114,12 +114,17 @@ def target_rates(rows: DataFrame, base=None, cap=256) -> DataFrame:
         on(udp, entropy, 0.0).alias("udp_target_source_entropy"),
         on(udp, count, 0).alias("udp_target_source_count"),
         on(udp, count > cap, False).alias("udp_target_entropy_partial"),
-        on(udp, p / F.col("window_packets"), 0.0).alias("udp_destination_concentration"),
+        on(udp, F.col("_tp"), 0).alias("udp_target_packets"),
         on(udp, mean, 0.0).alias("udp_packet_size_mean"),
         on(udp, F.when(mean > 0, spread / mean).otherwise(0.0), 0.0).alias("udp_packet_size_cv"),
         on(udp, F.when(F.col("_tsm") > 0, "summary_mean_proxy").otherwise("packet_exact"), "not_udp").alias("udp_packet_size_basis"))
 
 
+def concentration():
+    """Share of the link's packets in the window that go to the row's UDP destination; 0 for other protocols."""
+    return F.col("udp_target_packets") / F.col("window_packets")
+
+
 def forward_bytes(rows: DataFrame, base=None) -> DataFrame:
     """Bytes sent by the source in seconds [s-60, s] and their rate over [s-10, s]."""
     out = bucket_sums(rows, ["src_ip"], {"b": F.col("bytes")}, {"_b60": ("b", 60), "_b10": ("b", SECONDS)}, base=base)

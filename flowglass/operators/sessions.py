@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import array_cv, array_mean, gaps_seconds
-from .ordered import drop_history, last_known, recent, running_sums, sessionize, with_history
+from .ordered import drop_history, recent, running_sums, sessionize, with_history
 
 IDLE_US = 60_000_000
 FIVE_TUPLE = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
@@ -53,10 +53,9 @@ def tls_sessions(rows: DataFrame, depth=64) -> DataFrame:
     s = sessionize(enc, SESSION_KEY, IDLE_US, keep_equal=True)
     key = [*SESSION_KEY, "session_start", "session_seq"]
     marks = ["ja3", "ja3s", "ja4", "quic"]
-    h = with_history(s, key, depth - 1, sums={"_packets": F.col("packets")})
+    h = with_history(s, key, depth - 1, sums={"_packets": F.col("packets")}, lasts=marks)
     item = F.struct("ts_us", (F.col("bytes") / F.col("packets")).alias("size"))
     h = drop_history(h.withColumn("_h", F.collect_list(item).over(recent(key, depth - 1))))
-    h = last_known(h, key, marks, base=s)
     h = h.withColumn("_g", gaps_seconds(F.col("_h.ts_us")))
     return h.select(
         "seq", "ts_us", *SESSION_KEY, F.coalesce("ja4", "ja3", "quic").alias("event_fp"),

@@ -45,13 +45,14 @@ def exit_steps(times, start, gap):
     return entry[keep], out[keep]
 
 
-def _chunk_entries(hot: DataFrame, keys, gap_us, chunk_us):
-    """Expiry in force at the start of every chunk of the hot keys."""
+def _chunk_entries(hot: DataFrame, keys, chunk_gaps):
+    """Expiry in force at the start of every chunk of the hot keys; a chunk lasts `chunk_gaps` gaps."""
     key_fields = [hot.schema[k] for k in keys]
 
     def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["ts_us"].to_numpy(np.int64))
-        entry, out = exit_steps(t, int(pdf["_chunk"].iloc[0]) * chunk_us, gap_us)
+        gap = int(pdf["_gap"].iloc[0])
+        entry, out = exit_steps(t, int(pdf["_chunk"].iloc[0]) * gap * chunk_gaps, gap)
         head = pdf.iloc[[0]][[*keys, "_chunk"]].copy()
         head["entry"], head["out"] = [entry.tolist()], [out.tolist()]
         return head
@@ -69,27 +70,29 @@ def _chunk_entries(hot: DataFrame, keys, gap_us, chunk_us):
         return res
 
     chunk_field, longs = T.StructField("_chunk", T.LongType()), T.ArrayType(T.LongType())
-    maps = (hot.select(*keys, "_chunk", "ts_us").distinct().groupBy(*keys, "_chunk")
+    maps = (hot.select(*keys, "_chunk", "_gap", "ts_us").distinct().groupBy(*keys, "_chunk")
             .applyInPandas(reduce_chunk, T.StructType([*key_fields, chunk_field, T.StructField("entry", longs), T.StructField("out", longs)])))
     return maps.groupBy(*keys).applyInPandas(walk_maps, T.StructType([*key_fields, chunk_field, T.StructField("_expiry", T.LongType())]))
 
 
-def throttle(rows: DataFrame, keys, gap_us: int, hot_rows: int = HOT_ROWS, chunk_us=None, base=None) -> DataFrame:
+def throttle(rows: DataFrame, keys, gap_us, hot_rows: int = HOT_ROWS, chunk_gaps: int = 20, base=None) -> DataFrame:
     """Adds `kept` (row passes) and `anchor_us` (time of the row that currently holds the key).
 
-    `rows` needs `keys`, `ts_us`, `seq`.  A key re-opens exactly at kept time + `gap_us`.
+    `rows` needs `keys`, `ts_us`, `seq`.  A key re-opens exactly at kept time + gap;
+    `gap_us` is a number or the name of a column that is constant per key.
     `base` is a cheap input with the same keys for the hot-key census."""
     keys = list(keys)
-    chunk_us = max(chunk_us or 20 * gap_us, gap_us)
     names = rows.columns
+    gap = F.col(gap_us) if isinstance(gap_us, str) else F.lit(gap_us)
     census = (rows if base is None else base).groupBy(*keys).count()
     hot = census.filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    tagged = rows.join(hot, keys, "left").withColumn(
-        "_chunk", F.when(F.col("_hot"), F.floor(F.col("ts_us") / chunk_us)).otherwise(0).cast("long"))
-    slim = rows.select(*keys, "ts_us").join(hot, keys).withColumn("_chunk", F.floor(F.col("ts_us") / chunk_us).cast("long"))
-    entries = _chunk_entries(slim, keys, gap_us, chunk_us)
+    chunk = F.floor(F.col("ts_us") / (F.col("_gap") * chunk_gaps)).cast("long")
+    gapped = rows.withColumn("_gap", gap.cast("long"))
+    tagged = gapped.join(hot, keys, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk).otherwise(F.lit(0)).cast("long"))
+    slim = gapped.select(*keys, "_gap", "ts_us").join(hot, keys).withColumn("_chunk", chunk)
+    entries = _chunk_entries(slim, keys, chunk_gaps)
     ready = (tagged.join(entries, [*keys, "_chunk"], "left")
-             .select(*names, "_chunk", F.coalesce("_expiry", F.lit(NEVER)).alias("_expiry"))
+             .select(*names, "_gap", "_chunk", F.coalesce("_expiry", F.lit(NEVER)).alias("_expiry"))
              .repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "ts_us", "seq"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,14 +103,14 @@ def throttle(rows: DataFrame, keys, gap_us: int, hot_rows: int = HOT_ROWS, chunk
             fresh = group_starts(pdf, [*keys, "_chunk"], previous)
             previous = tuple(pdf[k].iloc[-1] for k in [*keys, "_chunk"])
             kept, anchor = [], []
-            for new, t, entry in zip(fresh.tolist(), pdf["ts_us"].tolist(), pdf["_expiry"].tolist()):
+            for new, t, entry, gap in zip(fresh.tolist(), pdf["ts_us"].tolist(), pdf["_expiry"].tolist(), pdf["_gap"].tolist()):
                 if new:
                     expiry = entry
                 hit = t >= expiry
                 if hit:
-                    expiry = t + gap_us
+                    expiry = t + gap
                 kept.append(hit)
-                anchor.append(expiry - gap_us)
+                anchor.append(expiry - gap)
             out = pdf[names].copy()
             out["kept"], out["anchor_us"] = kept, anchor
             yield out

@@ -72,20 +72,20 @@ def name_features(rows: DataFrame) -> DataFrame:
 def all_features(events: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """Every causal feature of every event, one wide row per `seq`.
 
-    Families that only concern part of the traffic are computed on that part and
-    joined on `seq`; the others add their columns in place."""
-    r = history.source_history(events, base=events)
-    r = rates.forward_bytes(r, base=events)
-    r = rates.global_rates(r, base=events)
-    r = rates.target_rates(r, base=events)
-    r = history.byte_ratio(name_features(r))
-    tls = sessions.tls_features(events).drop("ts_us", *sessions.SESSION_KEY)
-    slow_c2 = beacons.slow_contacts(events).select("seq", "slow_beacon_events", "slow_beacon_mean_s", "slow_beacon_cv")
+    Each family reads the few columns it needs, is shuffled by its own key and comes
+    back as a narrow table; all of them meet on `seq`, one shuffle per family."""
+    old = set(events.columns)
+    added = lambda df: df.select("seq", *[c for c in df.columns if c not in old])
     web = connections.orient(events)
-    send = connections.slow_senders(web, min_age_s=th.slow_min_age_s)
-    read = connections.slow_readers(web, min_age_s=th.slow_min_age_s)
-    for part in (tls, slow_c2, send, read):
+    parts = [
+        added(history.source_history(events)), added(rates.forward_bytes(events)), added(rates.global_rates(events)), added(rates.target_rates(events)),
+        sessions.tls_features(events).drop("ts_us", *sessions.SESSION_KEY),
+        beacons.slow_contacts(events).select("seq", "slow_beacon_events", "slow_beacon_mean_s", "slow_beacon_cv"),
+        connections.slow_senders(web, min_age_s=th.slow_min_age_s), connections.slow_readers(web, min_age_s=th.slow_min_age_s)]
+    r = history.byte_ratio(name_features(events)).drop("tls_ja4")  # the session's value takes its place
+    for part in parts:
         r = r.join(part, "seq", "left")
+    r = r.withColumn("udp_destination_concentration", rates.concentration())
     zero = {c: 0 for c in ("tls_session_packets", "tls_fingerprint_clients", "tls_client_population", "slow_beacon_events", "slow_http_connections",
                            "slow_http_open_connections", "slow_read_connections", "slow_read_open_connections", "tls_session_duration_s",
                            "tls_session_mean_bytes", "tls_session_size_cv", "tls_session_small_fraction", "tls_session_iat_mean_s", "tls_session_iat_cv",
@@ -335,40 +335,50 @@ def flood_sources(kept: DataFrame, events: DataFrame) -> DataFrame:
 def alerts(events: DataFrame, th: Thresholds = Thresholds(), model: dict | None = None, features: DataFrame | None = None) -> DataFrame:
     """Suppressed alerts with evidence, narrative and flow identity."""
     h = cut(hits(features if features is not None else all_features(events, th), th, model).withColumn("reverse_available", F.col("reverse_observed").cast("int")))
-    slim = ["suppress_key", "ts_us", "seq", "threat_class"]
-    fast = throttle(h.filter("not slow_only").select(*slim), ["suppress_key"], th.suppress_ms * 1000)
-    slow = throttle(h.filter("slow_only").select(*slim), ["suppress_key"], th.suppress_slow_ms * 1000)
-    kept = h.join(fast.unionByName(slow).filter("kept").select("seq", "threat_class"), ["seq", "threat_class"], "left_semi")
+    gap = F.when(F.col("slow_only"), th.suppress_slow_ms * 1000).otherwise(th.suppress_ms * 1000).cast("long")
+    passed = throttle(h.select("suppress_key", "ts_us", "seq", "threat_class", gap.alias("gap_us")), ["suppress_key"], "gap_us").filter("kept")
+    kept = h.join(passed.select("seq", "threat_class"), ["seq", "threat_class"], "left_semi")
     kept = flood_sources(kept, events)
-    ids = sessions.flow_identity(events.select("seq", "ts_us", *sessions.FIVE_TUPLE)).select("seq", F.col("flow_id").alias("own_flow_id"))
+    alerting = events.select("seq", "ts_us", *sessions.FIVE_TUPLE).join(kept.select(*sessions.FIVE_TUPLE).distinct(), sessions.FIVE_TUPLE, "left_semi")
+    ids = sessions.flow_identity(alerting).select("seq", F.col("flow_id").alias("own_flow_id"))
     kept = kept.join(ids, "seq")
     types = dict(kept.dtypes)
     cases = evidence_cases(kept, th)
     kind = F.when(F.col("detector") == "RULE", "heuristic strength").otherwise("synthetic-trained model posterior")
+    # Every evidence value is materialised once (typed and as text); the cases below only pick among them.
+    fields, full = {}, []
+    for i, (cond, pairs) in enumerate(cases):
+        name = [("observed_dns_name", F.col("dns_name"))] if pairs[0][0] == "domain_entropy" else []
+        pairs = [*pairs, ("confidence_kind", kind), *name, ("window_partial", F.col("window_partial"))]
+        tags = []
+        for n, c in pairs:
+            tag = next((t for t, (m, d) in fields.items() if m == n and str(d) == str(c)), f"_e{len(fields)}")
+            fields.setdefault(tag, (n, c))
+            tags.append((n, tag))
+        full.append((cond.alias(f"_case{i}"), tags))
+    kept = kept.select("*", *[c.alias(tag) for tag, (_, c) in fields.items()], *[c for c, _ in full])
+    kinds = dict(kept.dtypes)
+    kept = kept.select("*", *[_shown(n, F.col(tag), kinds[tag]).alias(tag + "_t") for tag, (n, _) in fields.items()])
     words, struct = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for cond, fields in reversed(cases):
-        name = [("observed_dns_name", F.col("dns_name"))] if fields[0][0] == "domain_entropy" else []
-        fields = [*fields, ("confidence_kind", kind), *name, ("window_partial", F.col("window_partial"))]
-        line = F.concat_ws("; ", *[_shown(n, c, kept) for n, c in fields])
-        words = F.when(cond, line).otherwise(words)
-        struct = F.when(cond, F.to_json(F.struct(*[c.alias(n) for n, c in fields]), {"ignoreNullFields": "false"})).otherwise(struct)
+    for i, (_, tags) in reversed(list(enumerate(full))):
+        words = F.when(F.col(f"_case{i}"), F.concat_ws("; ", *[tag + "_t" for _, tag in tags])).otherwise(words)
+        struct = F.when(F.col(f"_case{i}"), F.to_json(F.struct(*[F.col(tag).alias(n) for n, tag in tags]), {"ignoreNullFields": "false"})).otherwise(struct)
     given = F.coalesce(F.col("flow_id"), F.col("own_flow_id")) if "flow_id" in types else F.col("own_flow_id")
     return kept.select(
         "seq", "ts_us", given.alias("flow_id"), "threat_class", A.confidence3("score").alias("confidence"), A.severity("threat_class").alias("severity"),
         F.concat(words, closing_words(th)).alias("narrative"), "src_ip", "dst_ip", "protocol", "src_port", "dst_port", "detector", struct.alias("evidence"))
 
 
-def _shown(name: str, c: Column, df: DataFrame) -> Column:
-    kind = df.select(c.alias(name)).dtypes[0][1]
+def _shown(name: str, c: Column, kind: str) -> Column:
     if kind == "double":
         v = A.number_text(c)
     elif kind == "boolean":
         v = F.when(c, "True").otherwise("False")
     else:
         v = c.cast("string")
-    if name.startswith("source_reserved") or name == "tls_indicator_note":
-        return F.when(c.isNotNull(), F.concat(F.lit(name + "="), v))
-    return F.concat(F.lit(name + "="), F.coalesce(v, F.lit("None")))
+    line = F.concat(F.lit(name + "="), v)
+    optional = name.startswith("source_reserved") or name == "tls_indicator_note"
+    return line if optional else F.coalesce(line, F.lit(name + "=None"))
 
 
 def spoof_diagnostic(f: DataFrame, rate=1000.0, sources=16, entropy=3.5, singleton=0.75, concentration=0.8) -> DataFrame:

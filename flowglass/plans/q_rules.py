@@ -18,13 +18,13 @@ TH = D.Thresholds(flood_rate=20.0, flood_share=0.3, recon_fanout=5, recon_floor=
 
 def _targets(spark, sf):
     t = V.traffic(spark, sf)
-    return rates.target_rates(rates.global_rates(t, base=t), base=t)
+    return rates.target_rates(rates.global_rates(t, base=t), base=t).withColumn("udp_destination_concentration", rates.concentration())
 
 
 @query("syn_flood_hits", over(TRAFFIC, TARGET_SQL + """ select g.seq, dst_ip, case when uk = 0 and sc / p >= 0.3 then 'syn' else 'syn_ack' end subtype
   from g join traffic using (seq) where protocol = 6 and p / 10.0 >= 20 and uk = 0 and (sc / p >= 0.3 or ac / p >= 0.3)"""))
 def syn_flood_hits(spark, sf):
-    t = V.traffic(spark, sf).filter("protocol = 6").withColumn("window_packets", F.lit(1))
+    t = V.traffic(spark, sf).filter("protocol = 6")
     b = D.blocks(TH)
     f = rates.target_rates(t).filter(b["syn_only"] | b["syn_ack"])
     return f.select("seq", "dst_ip", F.when(b["syn_only"], "syn").otherwise("syn_ack").alias("subtype"))
@@ -33,7 +33,7 @@ def syn_flood_hits(spark, sf):
 @query("udp_flood_hits", over(TRAFFIC, TARGET_SQL + """ select g.seq, dst_ip, n >= 4 and y / p >= 512 amplification_like from g join traffic using (seq)
   where protocol = 17 and p / 10.0 >= 20"""))
 def udp_flood_hits(spark, sf):
-    t = V.traffic(spark, sf).filter("protocol = 17").withColumn("window_packets", F.lit(1))
+    t = V.traffic(spark, sf).filter("protocol = 17")
     f = rates.target_rates(t).filter(D.blocks(TH)["udp_flood"])
     amp = (F.col("udp_target_source_count") >= TH.amplifier_sources) & (F.col("udp_packet_size_mean") >= TH.amplifier_mean_bytes)
     return f.select("seq", "dst_ip", amp.alias("amplification_like"))

@@ -37,7 +37,7 @@ select g.seq, round(p / 10.0, 6) syn_target_packet_rate, round(case when uk = 0
   case when uk > 0 then 'unavailable' when sm > 0 then 'declared_summary_counts' else 'packet_exact' end syn_target_fraction_basis,
   round(h, 6) syn_target_source_entropy, n syn_target_source_count from g join traffic using (seq) where protocol = 6"""))
 def syn_target_window(spark, sf):
-    t = V.traffic(spark, sf).filter("protocol = 6").withColumn("window_packets", F.lit(1))
+    t = V.traffic(spark, sf).filter("protocol = 6")
     out = rates.target_rates(t)
     return rounded(out.select("seq", "syn_target_packet_rate", "syn_target_fraction", "syn_target_ack_fraction", "syn_target_fraction_basis",
                               "syn_target_source_entropy", "syn_target_source_count"))
@@ -52,7 +52,7 @@ select g.seq, round(p / 10.0, 6) udp_target_packet_rate, round(y / 10.0, 6) udp_
 from g join traffic using (seq) join w using (seq) where protocol = 17"""))
 def udp_target_window(spark, sf):
     t = V.traffic(spark, sf)
-    out = rates.target_rates(rates.global_rates(t, base=t), base=t).filter("protocol = 17")
+    out = rates.target_rates(rates.global_rates(t, base=t), base=t).filter("protocol = 17").withColumn("udp_destination_concentration", rates.concentration())
     return rounded(out.select("seq", "udp_target_packet_rate", "udp_target_byte_rate", "udp_target_source_entropy", "udp_target_source_count",
                               "udp_destination_concentration", "udp_packet_size_mean", "udp_packet_size_cv", "udp_packet_size_basis"))
 

@@ -10,6 +10,7 @@ def build_session(app="flowglass", master=None, shuffle_partitions=None, extra=N
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         b = b.master(master)
