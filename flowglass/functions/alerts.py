@@ -16,8 +16,10 @@ def severity(threat) -> Column:
 def number_text(c) -> Column:
     """A double as Python prints it after rounding to four places (1.0, 0.25, 12.3457)."""
     r = F.round(col(c), 4)
+    plain = (r == 0) | F.abs(r).between(0.001, 9_999_999)
     text = F.regexp_replace(F.format_string("%.4f", r), "0+$", "")
-    return F.when(r.isNotNull(), F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text))
+    padded = F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+    return F.when(plain, r.cast("string")).when(r.isNotNull(), padded)
 
 
 def narrative(fields: list) -> Column:

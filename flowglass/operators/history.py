@@ -25,12 +25,13 @@ def source_history(rows: DataFrame, base=None, depth=DEPTH, window_ms=60_000, re
     keep = rows.columns
     ask = is_dns_question()
     shape = tunnel_name("dns_name")
-    prep = rows.withColumns({
-        "_ask": ask, "_base": F.when(ask, shape["dns_base"]), "_name": F.when(ask, clean_name("dns_name")),
-        **{"_" + k: F.when(ask, shape[k]) for k in ("dns_label_count", "dns_encoded_max_label_length", "dns_encoded_total_length", "dns_encoded_entropy")}})
-    prep = prep.withColumn("_enc", F.col("_ask") & (F.col("_dns_encoded_max_label_length") >= 24)
-                           & (F.col("_dns_encoded_total_length") >= 32) & (F.col("_dns_encoded_entropy") >= 3.5))
-    h = with_history(prep, ["src_ip"], depth - 1, base=base, chunk_rows=chunk_rows)
+    h = with_history(rows, ["src_ip"], depth - 1, base=base, chunk_rows=chunk_rows)
+    # Name work follows the first shuffle so that it is spread over tasks, and runs on questions only.
+    h = h.withColumn("_ask", ask).withColumns({
+        "_base": F.when(F.col("_ask"), shape["dns_base"]), "_name": F.when(F.col("_ask"), clean_name("dns_name")),
+        **{"_" + k: F.when(F.col("_ask"), shape[k]) for k in ("dns_label_count", "dns_encoded_max_label_length", "dns_encoded_total_length", "dns_encoded_entropy")}})
+    h = h.withColumn("_enc", F.col("_ask") & (F.col("_dns_encoded_max_label_length") >= 24)
+                     & (F.col("_dns_encoded_total_length") >= 32) & (F.col("_dns_encoded_entropy") >= 3.5))
     item = F.struct("ts_us", "dst_ip", "dst_port", "bytes", (F.col("bytes") / F.col("packets")).alias("size"), probe_syn().cast("int").alias("probe"),
                     F.coalesce(F.col("tls_fingerprint") == LAB_FINGERPRINT, F.lit(False)).alias("lab"), F.col("_base").alias("base"), F.col("_name").alias("name"), F.col("_enc").alias("enc"))
     h = h.withColumn("_h", F.collect_list(item).over(recent(["src_ip"], depth - 1)))

@@ -82,10 +82,11 @@ def all_features(events: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
         sessions.tls_features(events).drop("ts_us", *sessions.SESSION_KEY),
         beacons.slow_contacts(events).select("seq", "slow_beacon_events", "slow_beacon_mean_s", "slow_beacon_cv"),
         connections.slow_senders(web, min_age_s=th.slow_min_age_s), connections.slow_readers(web, min_age_s=th.slow_min_age_s)]
-    r = history.byte_ratio(name_features(events)).drop("tls_ja4")  # the session's value takes its place
+    r = events.drop("tls_ja4")  # the session's value takes its place
     for part in parts:
         r = r.join(part, "seq", "left")
-    r = r.withColumn("udp_destination_concentration", rates.concentration())
+    # Lexical work comes after the joins, where rows are spread evenly whatever the input files look like.
+    r = history.byte_ratio(name_features(r)).withColumn("udp_destination_concentration", rates.concentration())
     zero = {c: 0 for c in ("tls_session_packets", "tls_fingerprint_clients", "tls_client_population", "slow_beacon_events", "slow_http_connections",
                            "slow_http_open_connections", "slow_read_connections", "slow_read_open_connections", "tls_session_duration_s",
                            "tls_session_mean_bytes", "tls_session_size_cv", "tls_session_small_fraction", "tls_session_iat_mean_s", "tls_session_iat_cv",
@@ -358,7 +359,9 @@ def alerts(events: DataFrame, th: Thresholds = Thresholds(), model: dict | None
         full.append((cond.alias(f"_case{i}"), tags))
     kept = kept.select("*", *[c.alias(tag) for tag, (_, c) in fields.items()], *[c for c, _ in full])
     kinds = dict(kept.dtypes)
-    kept = kept.select("*", *[_shown(n, F.col(tag), kinds[tag]).alias(tag + "_t") for tag, (n, _) in fields.items()])
+    wanted = {tag: [F.col(f"_case{i}") for i, (_, tags) in enumerate(full) if tag in dict((b, a) for a, b in tags)] for tag in fields}
+    used = lambda tag: F.coalesce(*[F.when(c, F.lit(True)) for c in wanted[tag]])
+    kept = kept.select("*", *[F.when(used(tag), _shown(n, F.col(tag), kinds[tag])).alias(tag + "_t") for tag, (n, _) in fields.items()])
     words, struct = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (_, tags) in reversed(list(enumerate(full))):
         words = F.when(F.col(f"_case{i}"), F.concat_ws("; ", *[tag + "_t" for _, tag in tags])).otherwise(words)

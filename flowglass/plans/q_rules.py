@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip, text
 from ..operators import beacons, connections, history, rates, sessions
+from ..session import cut
 from . import detect as D
 from . import views as V
 from .catalog import query, rounded
@@ -163,8 +164,14 @@ def spoof_diagnostic_hits(spark, sf):
     return D.spoof_diagnostic(f, rate=5.0, sources=4, entropy=1.5, singleton=0.75, concentration=0.01).select("seq")
 
 
+def typed_events(spark, sf):
+    """The typed event table, written once: the detection plan reads it about fifteen times, and
+    deriving it from the raw rows each time costs more than reading it back."""
+    return cut(V.traffic(spark, sf).repartition("seq"))
+
+
 def _alerts(spark, sf):
-    return D.alerts(V.traffic(spark, sf), TH)
+    return D.alerts(typed_events(spark, sf), TH)
 
 
 @query("detection_alerts")
