@@ -112,11 +112,11 @@ def contamination_removed(spark, sf):
     return d.filter("source <> 'src0'").join(dev, "h", "left").groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count("seen").alias("dropped"))
 
 
-@query("unseen_vectors", """with r as (select l_orderkey * 10 + l_linenumber id, l_linenumber ln, sha256(concat(cast(cast(l_quantity as int) as varchar), '|', cast(cast(l_discount * 100 as int) as varchar), '|', l_returnflag)) sig from lineitem)
+@query("unseen_vectors", """with r as (select l_orderkey * 10 + l_linenumber id, l_linenumber ln, sha256(concat(cast(cast(l_quantity as int) as varchar), '|', cast(cast(l_discount * 100 as int) as varchar), '|', cast(cast(floor(l_extendedprice / 500) as int) as varchar), '|', l_returnflag)) sig from lineitem)
   select min(id) id from r where ln > 2 and sig not in (select sig from r where ln <= 2) group by sig""")
 def unseen_vectors(spark, sf):
-    r = V.table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "l_linenumber as ln", "cast(l_quantity as int) as q", "cast(round(l_discount * 100) as int) as d", "l_returnflag as f")
-    return joins.unseen_vectors(r.filter("ln > 2"), r.filter("ln <= 2"), ["q", "d", "f"], "id")
+    r = V.table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "l_linenumber as ln", "cast(l_quantity as int) as q", "cast(round(l_discount * 100) as int) as d", "cast(floor(l_extendedprice / 500) as int) as p", "l_returnflag as f")
+    return joins.unseen_vectors(r.filter("ln > 2"), r.filter("ln <= 2"), ["q", "d", "p", "f"], "id")
 
 
 @query("aligned_pairs", """with a as (select l_orderkey k, l_linenumber p, max(l_quantity) q, max(l_returnflag) f from lineitem where l_orderkey % 2 = 0 group by 1, 2), b as (select l_orderkey - 1 k, l_linenumber p, max(l_quantity) q, max(l_returnflag) f from lineitem where l_orderkey % 2 = 1 group by 1, 2),
@@ -167,9 +167,10 @@ def split_overlaps(spark, sf):
     return joins.pair_overlap(_splits(spark, sf), "split", "t")
 
 
-@query("label_conflicts", """select distinct sha256(d.text) t from documents d join labels l using (doc_id) where quality = 1 intersect select sha256(d.text) from documents d join labels l using (doc_id) where quality = 0""")
+@query("label_conflicts", """with d as (select concat(lang, '-', cast(n_chars as varchar)) t, quality from documents join labels using (doc_id)) select t from d where quality = 1 intersect select t from d where quality = 0""")
 def label_conflicts(spark, sf):
-    d = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id").select(F.sha2("text", 256).alias("t"), "quality")
+    """Labels that occur with both classes."""
+    d = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id").select(F.concat_ws("-", "lang", "n_chars").alias("t"), "quality")
     return d.filter("quality = 1").select("t").intersect(d.filter("quality = 0").select("t"))
 
 
