@@ -153,3 +153,14 @@ def order_statistics(rows: DataFrame, group, value: str, picks: dict, slots=1024
     wide = fine.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in picks])
     out = ends.select(*keys, F.col("n").alias("count"), F.col("lo").alias("min"), F.col("hi").alias("max")).join(wide, keys)
     return out if group else out.drop("_all")
+
+
+def quantiles(rows: DataFrame, group, value: str, qs: dict) -> DataFrame:
+    """Exact interpolated quantiles (median included) from two neighbouring order statistics each."""
+    picks = {}
+    for name, q in qs.items():
+        picks["_lo_" + name] = lambda n, q=q: F.floor((n - 1) * q)
+        picks["_hi_" + name] = lambda n, q=q: F.ceil((n - 1) * q)
+    o = order_statistics(rows, group, value, picks)
+    frac = lambda q: (F.col("count") - 1) * q - F.floor((F.col("count") - 1) * q)
+    return o.select(*group, *[(F.col("_lo_" + n) + frac(q) * (F.col("_hi_" + n) - F.col("_lo_" + n))).alias(n) for n, q in qs.items()])

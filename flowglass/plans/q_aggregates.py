@@ -146,9 +146,11 @@ def lab_threat_summary(spark, sf):
   round(1000.0 * (select count(*) from ma where label is null or label = 'BENIGN') / (select count(*) from n where label is null or label = 'BENIGN'), 4) per_1000, (select count(*) from ep where label = 'BENIGN' and other > 0) episodes_with_alerts"""))
 def benign_false_alerts(spark, sf):
     m, _, per = _lab(spark, sf)
-    b = m.filter("label is null or label = 'BENIGN'").agg(F.count(F.lit(1)).alias("benign_events"), F.sum(F.size("threats")).cast("long").alias("benign_alerts"))
-    return b.select("*", F.round(1000.0 * F.col("benign_alerts") / F.col("benign_events"), 4).alias("per_1000")).join(
-        F.broadcast(per.filter("label = 'BENIGN'").agg(F.count_if(F.col("other_alerts") > 0).alias("episodes_with_alerts"))), F.lit(True))
+    none = F.lit(None).cast("long")
+    b = m.filter("label is null or label = 'BENIGN'").agg(F.count(F.lit(1)).alias("ev"), F.sum(F.size("threats")).cast("long").alias("al")).withColumn("ep", none)
+    e = per.filter("label = 'BENIGN'").agg(F.count_if(F.col("other_alerts") > 0).alias("ep")).select(none.alias("ev"), none.alias("al"), "ep")
+    one = b.unionByName(e).agg(F.max("ev").alias("benign_events"), F.max("al").alias("benign_alerts"), F.max("ep").alias("episodes_with_alerts"))
+    return one.withColumn("per_1000", F.round(1000.0 * F.col("benign_alerts") / F.col("benign_events"), 4))
 
 
 @query("scenario_rollup", over(EPISODES, LAB + """ select lower(label) scenario, count(*) episodes, count(*) filter (pos is not null) detected, count(*) filter (correct + other > 0) with_any_alert from ep group by 1"""))
@@ -220,9 +222,9 @@ def flow_throughput(spark, sf):
   select dst_ip, count(*) connections, round(median(life), 6) median_s, round(quantile_cont(life, 0.9), 6) p90_s, round(max(life), 6) max_s, count(*) filter (life >= 30) over_30s, count(*) filter (life >= 30 and b / greatest(life, 1) <= 1000) slow from c group by 1"""))
 def connection_lifetimes(spark, sf):
     c = V.traffic(spark, sf).filter("protocol = 6").groupBy("dst_ip", "src_ip", "dst_port").agg(((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("life"), F.sum("bytes").alias("b"))
-    g = c.groupBy("dst_ip").agg(F.count(F.lit(1)).alias("connections"), F.median("life").alias("median_s"), F.percentile("life", F.lit(0.9)).alias("p90_s"), F.max("life").alias("max_s"),
+    g = c.groupBy("dst_ip").agg(F.count(F.lit(1)).alias("connections"), F.max("life").alias("max_s"),
                                 F.count_if(F.col("life") >= 30).alias("over_30s"), F.count_if((F.col("life") >= 30) & (F.col("b") / F.greatest("life", F.lit(1)) <= 1000)).alias("slow"))
-    return rounded(g)
+    return rounded(g.join(joins.quantiles(c, ["dst_ip"], "life", {"median_s": 0.5, "p90_s": 0.9}), "dst_ip"))
 
 
 @query("order_diagnostics", over(TRAFFIC, """, d as (select seq, ts_us - case when seq % 7 = 0 then 3000000 else 0 end ts_us from traffic), w as (select *, lag(ts_us) over (order by seq) p, max(ts_us) over (order by seq rows between unbounded preceding and 1 preceding) m from d)
@@ -271,8 +273,10 @@ def outcomes_per_bin(spark, sf):
 
 @query("outcome_profiles", over(LABELS, " select outcome, count(*) n, round(avg(n), 6) mean_length, round(avg(e), 6) mean_entropy, round(median(score), 6) median_score, round(median(n), 6) median_length from o group by 1"))
 def outcome_profiles(spark, sf):
-    g = _labels(spark, sf).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("domain_label_length").alias("mean_length"), F.avg("domain_entropy").alias("mean_entropy"),
-                                                  F.median("score").alias("median_score"), F.median("domain_label_length").alias("median_length"))
+    l = _labels(spark, sf)
+    g = l.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("domain_label_length").alias("mean_length"), F.avg("domain_entropy").alias("mean_entropy"))
+    for c, name in (("score", "median_score"), ("domain_label_length", "median_length")):
+        g = g.join(joins.quantiles(l, ["outcome"], c, {name: 0.5}), "outcome")
     return rounded(g)
 
 
