@@ -177,3 +177,9 @@ def _alerts(spark, sf):
 @query("detection_alerts")
 def detection_alerts(spark, sf):
     return _alerts(spark, sf)
+
+
+@query("alert_summary")
+def alert_summary(spark, sf):
+    """Suppressed alerts per class and detector: the whole path from typed events to alerts."""
+    return _alerts(spark, sf).groupBy("threat_class", "detector").agg(F.count(F.lit(1)).alias("alerts"), F.count_distinct("src_ip").alias("sources"))

@@ -14,14 +14,21 @@ def micros(ts) -> F.Column:
 
 
 def events(spark, sf, compress=10_000) -> DataFrame:
-    e = table(spark, sf, "events")
+    return typed(table(spark, sf, "events"), compress)
+
+
+def typed(e: DataFrame, compress=10_000) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     ts = F.lit(EPOCH) + F.floor((micros("ts") - EPOCH) / compress).cast("long")
     return e.select(F.col("event_id").alias("seq"), ts.alias("ts_us"), "user_id", "event_type", "value", k.alias("k"))
 
 
 def traffic(spark, sf) -> DataFrame:
-    return events(spark, sf).selectExpr(
+    return traffic_of(events(spark, sf))
+
+
+def traffic_of(e: DataFrame) -> DataFrame:
+    return e.selectExpr(
         "seq", "ts_us", "cast(floor(ts_us / 1000000) as bigint) as sec",
         "concat('10.0.', cast(cast(floor(user_id / 256) as bigint) as string), '.', cast(user_id % 256 as string)) as src_ip",
         "concat('198.51.100.', cast(k % 32 as string)) as dst_ip",
