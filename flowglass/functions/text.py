@@ -107,11 +107,12 @@ def lexical_features(label) -> dict:
 
 
 def guard_features(label) -> dict:
-    """The inputs of the lexical rules for one label."""
+    """The inputs of the lexical rules for one label; an empty label is not examined."""
     c = col(label)
-    return {"domain_entropy": char_entropy(c), "domain_label_length": F.length(c),
-            "domain_digit_ratio": ratio_of(c, "[0-9]"), "bigram_surprise": bigram_surprise(c),
-            "domain_vowel_ratio": ratio_of(c, "[aeiou]"), "domain_consonant_run": longest_run(c, CONSONANT_RUNS)}
+    some = lambda x: F.when(F.length(c) > 0, x).otherwise(F.lit(0.0))
+    return {"domain_entropy": some(char_entropy(c)), "domain_label_length": F.length(c),
+            "domain_digit_ratio": some(ratio_of(c, "[0-9]")), "bigram_surprise": some(bigram_surprise(c)),
+            "domain_vowel_ratio": some(ratio_of(c, "[aeiou]")), "domain_consonant_run": some(longest_run(c, CONSONANT_RUNS))}
 
 
 def conservative_rule(f: dict) -> Column:

@@ -23,16 +23,19 @@ def syn_accounting() -> dict:
     }
 
 
-def source_mix(rows: DataFrame, keys, weight, horizon=SECONDS, base=None, prefix="", sub_us=None) -> DataFrame:
-    """Adds `<prefix>source_entropy` and `<prefix>source_count` over `[sec-horizon, sec]`.
+def source_mix(rows: DataFrame, keys, weight, sums=None, horizon=SECONDS, base=None, prefix="", sub_us=None) -> DataFrame:
+    """Adds `<prefix>source_entropy`, `<prefix>source_count` and `<prefix><name>` for each of `sums`, over `[sec-horizon, sec]`.
 
     Entropy is log2(N) - S/N with S = sum of c*log2(c) over sources.  S at the start
     of a second is a running sum of changes: a source's count changes only in the
     second after it was seen and `horizon` + 1 seconds later.  Inside the second the
-    rows add their own changes in arrival order."""
+    rows add their own changes in arrival order.  Everything about earlier seconds
+    comes from one table per (key, second, source), so the rows are shuffled twice:
+    by source within the second, then by second."""
     base = rows if base is None else base
-    keys, w = list(keys), weight
-    per_source = base.groupBy(*keys, "sec", "src_ip").agg(F.sum(w).alias("c"))
+    keys, w, sums = list(keys), weight, sums or {}
+    zero = F.lit(0).cast("long")
+    per_source = base.groupBy(*keys, "sec", "src_ip").agg(F.sum(w).alias("c"), *[F.sum(e).alias("_t_" + n) for n, e in sums.items()])
     at = W.partitionBy(*keys, "src_ip").orderBy("sec")
     standing = per_source.select(*keys, "sec", "src_ip", F.coalesce(F.sum("c").over(at.rangeBetween(-horizon, -1)), F.lit(0)).alias("_c0"))
 
@@ -41,39 +44,39 @@ def source_mix(rows: DataFrame, keys, weight, horizon=SECONDS, base=None, prefix
         F.struct((F.col("sec") + 1).alias("sec"), F.col("c").alias("d")),
         F.struct((F.col("sec") + horizon + 1).alias("sec"), (-F.col("c")).alias("d")))).alias("e"))
     edges = edges.groupBy(*keys, "src_ip", "e.sec").agg(F.sum("e.d").alias("d"))
-    after = F.sum("d").over(at.rowsBetween(FIRST, 0))
-    edges = edges.withColumn("_a", after).withColumn("_b", F.col("_a") - F.col("d"))
+    edges = edges.withColumn("_a", F.sum("d").over(at.rowsBetween(FIRST, 0))).withColumn("_b", F.col("_a") - F.col("d"))
+    names = ["_t_" + n for n in sums]
     change = edges.groupBy(*keys, "sec").agg(
         F.sum(xlog2x("_a") - xlog2x("_b")).alias("s"), F.sum("d").alias("n"),
         F.sum((F.col("_a") > 0).cast("long") - (F.col("_b") > 0).cast("long")).alias("k"))
-    zero = per_source.select(*keys, "sec", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(True).alias("own")).distinct()
-    over_time = W.partitionBy(*keys).orderBy("sec").rangeBetween(FIRST, 0)
-    start = (change.withColumn("own", F.lit(False)).unionByName(zero)
-             .select(*keys, "sec", "own", *[F.sum(x).over(over_time).alias("_%s0" % x) for x in "snk"])
+    change = change.select(*keys, "sec", F.lit(False).alias("own"), "s", "n", "k", *[zero.alias(n) for n in names])
+    own = per_source.groupBy(*keys, "sec").agg(*[F.sum(n).alias(n) for n in names] or [F.count(F.lit(1)).alias("_")])
+    own = own.select(*keys, "sec", F.lit(True).alias("own"), F.lit(0.0).alias("s"), zero.alias("n"), zero.alias("k"), *names)
+    over_time = W.partitionBy(*keys).orderBy("sec")
+    upto, window = over_time.rangeBetween(FIRST, 0), over_time.rangeBetween(-horizon, -1)
+    start = (change.unionByName(own)
+             .select(*keys, "sec", "own", *[F.sum(x).over(upto).alias("_%s0" % x) for x in "snk"], *[F.coalesce(F.sum(n).over(window), F.lit(0)).alias(n) for n in names])
              .filter("own").drop("own"))
 
     inside = W.partitionBy(*keys, "sec", "src_ip").orderBy("ts_us", "seq").rowsBetween(FIRST, -1)
-    r = (rows.withColumn("_w", w).join(standing, [*keys, "sec", "src_ip"])
+    r = (rows.withColumns({"_w": w, **{"_x_" + n: e for n, e in sums.items()}}).join(standing, [*keys, "sec", "src_ip"])
          .withColumn("_c", F.col("_c0") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-         .withColumn("_ds", xlog2x(F.col("_c") + F.col("_w")) - xlog2x("_c"))
-         .withColumn("_dk", (F.col("_c") == 0).cast("long")))
-    sums = {"_s": F.col("_ds"), "_n": F.col("_w"), "_k": F.col("_dk")}
+         .withColumns({"_ds": xlog2x(F.col("_c") + F.col("_w")) - xlog2x("_c"), "_dk": (F.col("_c") == 0).cast("long")}))
+    run = {"_s": F.col("_ds"), "_n": F.col("_w"), "_k": F.col("_dk"), **{"_i_" + n: F.col("_x_" + n) for n in sums}}
     if sub_us:
-        r = running_sums(r, [*keys, "sec"], sums, block_us=sub_us)
+        r = running_sums(r, [*keys, "sec"], run, block_us=sub_us)
     else:
-        r = r.select("*", *[F.sum(e).over(causal(*keys, "sec")).alias(n) for n, e in sums.items()])
+        r = r.select("*", *[F.sum(e).over(causal(*keys, "sec")).alias(n) for n, e in run.items()])
     r = r.join(start, [*keys, "sec"])
     n = (F.col("_n") + F.col("_n0")).cast("double")
     entropy = F.greatest(F.lit(0.0), F.log2(n) - (F.col("_s") + F.col("_s0")) / n)
-    return r.select(*rows.columns, entropy.alias(prefix + "source_entropy"), (F.col("_k") + F.col("_k0")).alias(prefix + "source_count"))
+    return r.select(*rows.columns, entropy.alias(prefix + "source_entropy"), (F.col("_k") + F.col("_k0")).alias(prefix + "source_count"),
+                    *[(F.col("_i_" + m) + F.col("_t_" + m)).alias(prefix + m) for m in sums])
 
 
 def global_rates(rows: DataFrame, base=None, cap=4096, sub_us=None) -> DataFrame:
     """Packet and byte rate and source entropy of the whole link."""
-    base = rows if base is None else base
-    sums = {"p": F.col("packets"), "b": F.col("bytes")}
-    out = bucket_sums(rows, [], sums, {"_gp": ("p", SECONDS), "_gb": ("b", SECONDS)}, base=base, sub_us=sub_us)
-    out = source_mix(out, [], F.lit(1).cast("long"), base=base, prefix="_g", sub_us=sub_us)
+    out = source_mix(rows, [], F.lit(1).cast("long"), {"p": F.col("packets"), "b": F.col("bytes")}, base=base, prefix="_g", sub_us=sub_us)
     return out.select(*rows.columns, (F.col("_gp") / SECONDS).alias("packet_rate"), (F.col("_gb") / SECONDS).alias("byte_rate"),
                       F.col("_gsource_entropy").alias("source_entropy"), F.col("_gsource_count").alias("source_count"),
                       (F.col("_gsource_count") > cap).alias("source_entropy_partial"), F.col("_gp").alias("window_packets"))
@@ -83,13 +86,11 @@ def target_rates(rows: DataFrame, base=None, cap=256) -> DataFrame:
     """Per-destination window of the row's protocol; TCP and UDP readings with neutral values elsewhere.
 
     `udp_target_packets` over `window_packets` of `global_rates` is the destination's share (`concentration`)."""
-    base = rows if base is None else base
     keys = ["dst_ip", "protocol"]
     acct = syn_accounting()
     sums = {"p": F.col("packets"), "b": F.col("bytes"), "syn": acct["syn_count"], "ack": acct["syn_ack_count"],
             "unk": acct["unknown_syn_count"], "sm": acct["summary_events"], "sq": acct["size_squared"]}
-    out = bucket_sums(rows, keys, sums, {"_t" + n: (n, SECONDS) for n in sums}, base=base)
-    out = source_mix(out, keys, F.col("packets"), base=base, prefix="_t")
+    out = source_mix(rows, keys, F.col("packets"), sums, base=base, prefix="_t")
     tcp, udp = F.col("protocol") == 6, F.col("protocol") == 17
     p = F.col("_tp").cast("double")
     mean = F.col("_tb") / p

@@ -67,10 +67,11 @@ def tls_sessions(rows: DataFrame, depth=64) -> DataFrame:
         F.when(F.size("_g") > 0, array_mean("_g")).otherwise(F.lit(0.0)).alias("tls_session_iat_mean_s"), array_cv("_g").alias("tls_session_iat_cv"))
 
 
-def fingerprint_rarity(sessions: DataFrame, offers: DataFrame, max_clients=64) -> DataFrame:
+def fingerprint_rarity(sessions: DataFrame, offers: DataFrame, clock: DataFrame, max_clients=64) -> DataFrame:
     """Adds distinct clients per session fingerprint so far (readings stop at `max_clients`) and the client population.
 
-    `offers` holds one row per event that carried a fingerprint: (event_fp, client, ts_us, seq).
+    `offers` holds one row per event that carried a fingerprint: (event_fp, client, ts_us, seq);
+    `clock` the times of all rows of `sessions`, read from a cheaper input.
     Only the first sighting of each (fingerprint, client) matters, and only the first
     `max_clients` of those per fingerprint."""
     first = offers.groupBy("event_fp", "client").agg(F.min(F.struct("ts_us", "seq")).alias("at"))
@@ -83,7 +84,7 @@ def fingerprint_rarity(sessions: DataFrame, offers: DataFrame, max_clients=64) -
     s = s.withColumn("tls_fingerprint_clients", F.coalesce(F.size(F.filter("_steps", lambda x: x <= now)), F.lit(0)))
     s = s.withColumn("tls_fingerprint_clients", F.greatest("tls_fingerprint_clients", F.lit(0))).drop("_fp", "_steps")
     new = offers.groupBy("client").agg(F.min(F.struct("ts_us", "seq")).alias("at")).select("at.seq", F.col("at.ts_us").alias("ts_us"), F.lit(1).alias("_new"))
-    base = new.select("ts_us", "_new").unionByName(sessions.select("ts_us", F.lit(0).alias("_new")))
+    base = new.select("ts_us", "_new").unionByName(clock.select("ts_us", F.lit(0).alias("_new")))
     s = s.join(new.drop("ts_us"), "seq", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
     return running_sums(s, [], {"tls_client_population": F.col("_new")}, base=base, block_us=1_000_000).drop("_new")
 
@@ -92,4 +93,4 @@ def tls_features(rows: DataFrame) -> DataFrame:
     """Session statistics with fingerprint rarity, keyed by `seq` (encrypted events only)."""
     enc = orient_session(rows.filter("encrypted"))
     offers = enc.withColumn("event_fp", event_fingerprint()).filter("event_fp is not null").select("event_fp", "client", "ts_us", "seq")
-    return fingerprint_rarity(tls_sessions(rows).drop("event_fp"), offers)
+    return fingerprint_rarity(tls_sessions(rows).drop("event_fp"), offers, rows.filter("encrypted").select("ts_us"))

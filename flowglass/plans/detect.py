@@ -335,11 +335,12 @@ def flood_sources(kept: DataFrame, events: DataFrame) -> DataFrame:
 
 def alerts(events: DataFrame, th: Thresholds = Thresholds(), model: dict | None = None, features: DataFrame | None = None) -> DataFrame:
     """Suppressed alerts with evidence, narrative and flow identity."""
-    h = cut(hits(features if features is not None else all_features(events, th), th, model).withColumn("reverse_available", F.col("reverse_observed").cast("int")))
+    h = hits(features if features is not None else all_features(events, th), th, model)
+    h = cut(h.select(*[c for c in h.columns if not c.startswith("_")], F.col("reverse_observed").cast("int").alias("reverse_available")))
     gap = F.when(F.col("slow_only"), th.suppress_slow_ms * 1000).otherwise(th.suppress_ms * 1000).cast("long")
     passed = throttle(h.select("suppress_key", "ts_us", "seq", "threat_class", gap.alias("gap_us")), ["suppress_key"], "gap_us").filter("kept")
     kept = h.join(passed.select("seq", "threat_class"), ["seq", "threat_class"], "left_semi")
-    kept = flood_sources(kept, events)
+    kept = cut(flood_sources(kept, events))  # few rows, read three times below
     alerting = events.select("seq", "ts_us", *sessions.FIVE_TUPLE).join(kept.select(*sessions.FIVE_TUPLE).distinct(), sessions.FIVE_TUPLE, "left_semi")
     ids = sessions.flow_identity(alerting).select("seq", F.col("flow_id").alias("own_flow_id"))
     kept = kept.join(ids, "seq")
@@ -347,13 +348,13 @@ def alerts(events: DataFrame, th: Thresholds = Thresholds(), model: dict | None
     cases = evidence_cases(kept, th)
     kind = F.when(F.col("detector") == "RULE", "heuristic strength").otherwise("synthetic-trained model posterior")
     # Every evidence value is materialised once (typed and as text); the cases below only pick among them.
-    fields, full = {}, []
+    fields, tag_of, full = {}, {}, []
     for i, (cond, pairs) in enumerate(cases):
         name = [("observed_dns_name", F.col("dns_name"))] if pairs[0][0] == "domain_entropy" else []
         pairs = [*pairs, ("confidence_kind", kind), *name, ("window_partial", F.col("window_partial"))]
         tags = []
         for n, c in pairs:
-            tag = next((t for t, (m, d) in fields.items() if m == n and str(d) == str(c)), f"_e{len(fields)}")
+            tag = tag_of.setdefault((n, str(c)), f"_e{len(fields)}")
             fields.setdefault(tag, (n, c))
             tags.append((n, tag))
         full.append((cond.alias(f"_case{i}"), tags))

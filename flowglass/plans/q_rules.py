@@ -171,7 +171,7 @@ def typed_events(spark, sf):
 
 
 def _alerts(spark, sf):
-    return D.alerts(typed_events(spark, sf), TH)
+    return D.alerts(typed_events(spark, sf), TH.with_(exfil_bytes=1_000_000))
 
 
 @query("detection_alerts")
