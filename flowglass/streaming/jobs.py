@@ -133,6 +133,6 @@ def run_available(stream: DataFrame, sink=None, path=None, mode="append") -> str
     return path
 
 
-def late_counts(events: DataFrame, key: str) -> DataFrame:
-    """Rows handed on and rows behind the watermark, observed per micro-batch as query metrics."""
+def arrival_metrics(events: DataFrame) -> DataFrame:
+    """Rows and newest event time per micro-batch, reported with the query progress; Spark adds the rows its watermark dropped."""
     return events.observe("arrivals", F.count(F.lit(1)).alias("rows"), F.max("ts_us").alias("max_ts_us"))
