@@ -99,35 +99,39 @@ class Words:
         self.hash = range_hash(prefix_hash(codes), self.start, self.end) if len(self.start) else np.zeros(0, U)
 
 
+#: The same words with their case kept.
+CASED = _table([0x20, *range(0x09, 0x0E)], False)
+
+
+def grams(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of `size` words, (row, hash); a row of fewer words, but not none, has its whole sequence as one."""
+    h, rows, out = w.hash, [], []
+    for m in range(min(size, int(w.count.max(initial=0))), 0, -1):
+        if m == size:
+            n = len(h) - m + 1
+            at = np.flatnonzero(w.doc[:n] == w.doc[m - 1 :])
+        else:
+            at = w.first[:-1][w.count == m]
+        acc = np.full(len(at), m, U)
+        for i in range(m):
+            acc = (acc + h[at + i]) * U(BASE) ^ (acc >> U(29))
+        rows.append(w.doc[at])
+        out.append(mix(acc))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    return np.concatenate(rows), np.concatenate(out)
+
+
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row: (row, hash) sorted by row, and the number per row.
-
-    A row of fewer words than `size`, but not none, has its whole sequence as one."""
-    n = len(w.count)
-    h = w.hash
-    ahead = len(h) - size + 1
-    parts = []
-    if ahead > 0:
-        acc = np.zeros(ahead, U)
-        for i in range(size):
-            acc = (acc + h[i : i + ahead]) * U(BASE) ^ (acc >> U(29))
-        ok = w.doc[:ahead] == w.doc[size - 1 :]
-        parts.append((w.doc[:ahead][ok], mix(acc[ok])))
-    for row in np.flatnonzero((w.count > 0) & (w.count < size)):
-        acc = np.zeros(1, U)
-        for x in h[w.first[row] : w.first[row + 1]]:
-            acc = (acc + x) * U(BASE2) ^ (acc >> U(31))
-        parts.append((np.array([row]), mix(acc + U(w.count[row]))))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(n, np.int64)
-    doc, sh = (np.concatenate(x) for x in zip(*parts))
+    """Distinct shingles of each row: (row, hash) sorted by row, and the number per row."""
+    doc, sh = grams(w, size)
     order = np.argsort(sh ^ mix(doc.astype(U) + U(1)))
     doc, sh = doc[order], sh[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (sh[1:] != sh[:-1])
     doc, sh = doc[new], sh[new]
     order = np.argsort(doc, kind="stable")
-    return doc[order], sh[order], np.bincount(doc, minlength=n)
+    return doc[order], sh[order], np.bincount(doc, minlength=len(w.count))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
