@@ -2,7 +2,7 @@
 
 `fit` trains on at most `ROWS` labelled documents (those of the smallest id hashes; near copies among them count once), so its
 work does not grow with the corpus.  Words enter as present or absent, chosen by the likelihood-ratio statistic between word
-and any category.  The probabilities of earlier categories that a later model is trained with are out of fold (`FOLDS` folds by
+and any category among words at least `MIN_LIFT` times as common in it.  The probabilities of earlier categories that a later model is trained with are out of fold (`FOLDS` folds by
 id hash); the final models are fitted on all rows of the sample.  `score` reads every document once, without a shuffle.
 
 Labels with a null doc_id or a null category are left out, repeated labels of a document count as 1 if any is.  Null and empty
@@ -25,6 +25,7 @@ ROWS = 20_000
 FOLDS = 5
 MAX_TERMS = 256
 MIN_SCORE = 20.0
+MIN_LIFT = 3.0
 RIDGE = 0.2
 THRESHOLD = 0.5
 #: Weak categories of the registered query, by their terms; documents labelled toxic are of a category if they hold one.
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows=ROWS, max_ter
         a, c, t = F.col(y).cast("double"), F.col("c").cast("double"), float(totals[y] or 0)
         cells = [(a, c * t / n), (c - a, c * (n - t) / n), (t - a, (n - c) * t / n), (n - t - c + a, (n - c) * (n - t) / n)]
         g = sum((F.when((o > 0) & (e > 0), 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
-        return F.when(a > c * t / n, g).otherwise(0.0)
+        return F.when(a > MIN_LIFT * c * t / n, g).otherwise(0.0)
 
     best = per.withColumn("score", F.greatest(*[statistic(y) for y in ys], F.lit(0.0))).filter(F.col("score") >= min_score)
     terms = np.sort(np.array([r["term"] for r in best.orderBy(F.desc("score"), "term").limit(max_terms).collect()], np.int64).view(np.uint64))
