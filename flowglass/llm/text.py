@@ -96,7 +96,8 @@ class Words:
         self.first = np.searchsorted(self.start, off).astype(np.int64)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.count)
-        self.hash = range_hash(prefix_hash(codes), self.start, self.end) if len(self.start) else np.zeros(0, U)
+        self.sums = prefix_hash(codes)
+        self.hash = range_hash(self.sums, self.start, self.end)
 
 
 #: The same words with their case kept.
@@ -122,16 +123,20 @@ def grams(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row: (row, hash) sorted by row, and the number per row."""
-    doc, sh = grams(w, size)
-    order = np.argsort(sh ^ mix(doc.astype(U) + U(1)))
-    doc, sh = doc[order], sh[order]
+def distinct(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (row, hash) pairs, sorted by row, and their number per row."""
+    order = np.argsort(h ^ mix(doc.astype(U) + U(1)))
+    doc, h = doc[order], h[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (sh[1:] != sh[:-1])
-    doc, sh = doc[new], sh[new]
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    doc, h = doc[new], h[new]
     order = np.argsort(doc, kind="stable")
-    return doc[order], sh[order], np.bincount(doc, minlength=len(w.count))
+    return doc[order], h[order], np.bincount(doc, minlength=rows)
+
+
+def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row: (row, hash) sorted by row, and the number per row."""
+    return distinct(*grams(w, size), len(w.count))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

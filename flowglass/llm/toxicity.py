@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain: categories in order, each a linear model over words and the earlier categories' probabilities.
 
 `fit` trains on at most `ROWS` labelled documents (those of the smallest id hashes; near copies among them count once), so its
-work does not grow with the corpus.  Words enter as present or absent, chosen by the likelihood-ratio statistic between word
+work does not grow with the corpus.  Words and their stems enter as present or absent, chosen by the likelihood-ratio statistic between word
 and any category among words at least `MIN_LIFT` times as common in it.  The probabilities of earlier categories that a later model is trained with are out of fold (`FOLDS` folds by
 id hash); the final models are fitted on all rows of the sample.  `score` reads every document once, without a shuffle.
 
@@ -26,8 +26,9 @@ FOLDS = 5
 MAX_TERMS = 256
 MIN_SCORE = 20.0
 MIN_LIFT = 3.0
+STEM = 6
 RIDGE = 0.2
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 #: Weak categories of the registered query, by their terms; documents labelled toxic are of a category if they hold one.
 CATEGORIES = {
     "insult": ["idiot", "moron", "stupid", "clown", "loser"],
@@ -58,15 +59,22 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def terms_of(w: text.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word and of the stems (the first `STEM` bytes) of longer ones."""
+    long = np.flatnonzero(w.end - w.start > STEM)
+    stems = text.range_hash(w.sums, w.start[long], w.start[long] + STEM)
+    return np.concatenate([w.doc, w.doc[long]]), np.concatenate([w.hash, text.mix(stems + text.U(STEM))])
+
+
 def _words(rows: DataFrame, more: list[str]) -> DataFrame:
-    """Distinct words of each document and `kin`, the smallest hash of its word triples (equal for near copies)."""
+    """Distinct words and stems of each document and `kin`, the smallest hash of its word triples (equal for near copies)."""
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)
 
     def run(batches):
         for b in batches:
             for i, buf, off in text.slices(b.column(0)):
                 w = text.Words(buf, off, text.ALNUM)
-                _, h, n = text.shingles(w, 1)
+                _, h, n = text.distinct(*terms_of(w), len(w.count))
                 doc, sh, m = text.shingles(w, 3)
                 kin = np.zeros(len(n), np.uint64)
                 if len(sh):
@@ -76,11 +84,6 @@ def _words(rows: DataFrame, more: list[str]) -> DataFrame:
     return rows.select("text", *more).mapInArrow(run, f"{kinds}, words array<long>, kin long")
 
 
-def _term(words: np.ndarray) -> np.ndarray:
-    """The hash under which `_words` lists a word."""
-    return text.mix((np.full(len(words), 1, text.U) + words) * text.U(text.BASE) ^ (np.full(len(words), 1, text.U) >> text.U(29)))
-
-
 def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows=ROWS, max_terms=MAX_TERMS, min_score=MIN_SCORE) -> Chain:
     """`labels`: doc_id and one 0/1 column per name, in the order of the chain."""
     known = labels.dropna(subset=["doc_id", *names]).groupBy("doc_id").agg(*[F.max(F.col(n).cast("int")).alias(f"_y{k}") for k, n in enumerate(names)])
@@ -135,10 +138,10 @@ def score(docs: DataFrame, chain: Chain, threshold=THRESHOLD) -> DataFrame:
                 w = text.Words(buf, off, text.ALNUM)
                 present = np.zeros((len(w.count), len(chain.terms)))
                 if len(chain.terms) and len(w.hash):
-                    h = _term(w.hash)
+                    doc, h = terms_of(w)
                     at = np.minimum(np.searchsorted(chain.terms, h), len(chain.terms) - 1)
                     ok = chain.terms[at] == h
-                    present[w.doc[ok], at[ok]] = 1
+                    present[doc[ok], at[ok]] = 1
                 p = chain.probabilities(present)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(p)), *(pa.array(p[:, k].copy()) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names)
 
@@ -152,7 +155,7 @@ def weak_labels(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows=
     known = labels.dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     words = written(_words(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "toxic"]), "weak")
-    has = lambda terms: F.arrays_overlap("words", F.array(*[F.lit(int(t)) for t in _term(word_hashes(terms)).view(np.int64)]))
+    has = lambda terms: F.arrays_overlap("words", F.array(*[F.lit(int(t)) for t in word_hashes(terms).view(np.int64)]))
     return words.select("doc_id", *[((F.col("toxic") == 1) & has(t)).cast("int").alias(c) for c, t in categories.items()], "toxic")
 
 

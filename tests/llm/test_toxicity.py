@@ -1,12 +1,5 @@
-import re
-
-import pyarrow as pa
-
 from flowglass.llm import toxicity as T
 
-WORD = re.compile(r"[^\W\d_]+")
-BAD = {w for c in T.CATEGORIES.values() for w in c}
-
 
 def test_held_out(spark):
     sf = "/root/testdata/sf0.1"
@@ -15,12 +8,11 @@ def test_held_out(spark):
     chain = T.fit(docs, T.weak_labels(docs, train), [*T.CATEGORIES, "toxic"])
     rows = T.score(docs, chain).collect()
     assert len(rows) == docs.count()
-    text = {r.doc_id: r.text for r in docs.collect()}
-    holds = {r.doc_id: bool(BAD & set(WORD.findall(text[r.doc_id].lower()))) for r in rows}
     flagged = {r.doc_id for r in rows if r.flagged}
-    bad = {i for i, x in holds.items() if x}
-    assert len(bad & flagged) >= 0.97 * len(bad)
-    assert len(flagged - bad) <= 0.002 * len(rows)
+    test = {r.doc_id: r.toxic for r in labels.filter("doc_id % 5 = 0").collect()}
+    bad, clean = ({i for i, y in test.items() if y == k} for k in (1, 0))
+    assert len(bad & flagged) >= 0.93 * len(bad)
+    assert len(clean & flagged) <= 0.005 * len(clean)
     assert all(0 <= r[f"p_{c}"] <= 1 for r in rows for c in [*T.CATEGORIES, "toxic"])
 
 
@@ -30,10 +22,10 @@ def test_edges(spark):
     for have in (labels, labels.filter("doc_id > 99")):
         rows = T.score(docs, T.fit(docs, T.weak_labels(docs, have), [*T.CATEGORIES, "toxic"])).collect()
         assert len(rows) == 5 and not any(r.flagged for r in rows)
-        assert len({tuple(r)[1:] for r in rows}) == 1
+        assert len({tuple(round(float(x), 9) for x in tuple(r)[1:]) for r in rows}) == 1
     assert T.score(docs.filter("doc_id > 99"), T.fit(docs, T.weak_labels(docs, labels), [*T.CATEGORIES, "toxic"])).count() == 0
 
 
 def test_word_hash_is_the_listed_one(spark):
     row = T._words(spark.createDataFrame([("Idiot idiot X", 1)], "text string, doc_id long"), ["doc_id"]).first()
-    assert set(row.words) == set(T._term(T.word_hashes(["idiot", "x"])).view("int64").tolist())
+    assert set(row.words) == set(T.word_hashes(["idiot", "x"]).view("int64").tolist())
