@@ -14,18 +14,18 @@ def time_slices(rows: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("part", F.least(F.lit(parts - 1), F.floor((F.col("ts_us") - lo) / F.lit(float(width))).cast("int")))
 
 
-def components(edges: DataFrame, max_rounds=50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list (a, b): every node with the smallest node of its component.
 
     Alternating large-star / small-star steps: each round links nodes to ever
     smaller neighbours and needs only groupings, so it converges in a logarithmic
-    number of rounds and never lists all pairs of a component.  Each round is
-    written to the checkpoint folder."""
+    number of rounds and never lists all pairs of a component.  It ends when a round
+    changes nothing.  Each round is written to the checkpoint folder."""
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct()
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     e = cut(e)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: connect strictly larger neighbours of each node to its smallest neighbour (itself included).
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
