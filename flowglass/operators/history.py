@@ -1,12 +1,16 @@
-"""Per-source retained history: the last 512 events of the last 60 seconds, read at every event."""
+"""Per-source history: what happened in the last 60 and 10 seconds, read at every event, whatever the number of events.
+
+Nothing is collected.  Every event enters its windows when it arrives and leaves them when it is too old: two change points, and a
+running sum over both, cut into blocks of a key's timeline, gives the window's content at each event.  Distinct values change when a value
+enters unseen and when its last sighting grows too old.  Sums that are subtracted again are whole numbers, so nothing is lost."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import array_cv, array_mean, gaps_seconds
 from ..functions.text import clean_name, tunnel_name
-from .ordered import drop_history, recent, with_history
+from .ordered import change_points, neighbours
 
-DEPTH = 512
+BLOCK_US = 1_000_000
+NAME_SHAPE = ["dns_label_count", "dns_encoded_max_label_length", "dns_encoded_total_length", "dns_encoded_entropy"]
 # Fixed value: md5 of the lab handshake '771,49195-49199,0-23-65281,29-23-24,0'.
 LAB_FINGERPRINT = "7e4d466a0b44cdff79321bd4c7115dc1"
 
@@ -20,52 +24,75 @@ def is_dns_question():
     return F.coalesce(F.length("dns_name") > 0, F.lit(False)) & (F.col("dst_port") == 53) & F.col("protocol").isin(6, 17)
 
 
-def source_history(rows: DataFrame, base=None, depth=DEPTH, window_ms=60_000, recent_ms=10_000, dns_recent=128, chunk_rows=65_536) -> DataFrame:
-    """Adds fan-out, SYN share, same-peer timing and sizes, byte total and same-base DNS activity."""
-    keep = rows.columns
-    ask = is_dns_question()
+def source_window(rows: DataFrame, wide: int, near: int) -> DataFrame:
+    """Per event: what its source did in the last `wide` and `near` microseconds."""
+    one = rows.select("seq", "ts_us", "src_ip", "dst_ip", "dst_port", F.col("bytes").cast("long").alias("bytes"), probe_syn().cast("int").alias("probe"))
+    one = neighbours(neighbours(one, ["src_ip", "dst_ip"], "_pd", "_nd", BLOCK_US), ["src_ip", "dst_port"], "_pp", "_np", BLOCK_US)
+    short, long = {"events": F.lit(1), "probes": F.col("probe")}, {"total": F.col("bytes")}
+    # `edge` counts events exactly as old as the window: with one, the window is full.
+    c = change_points(one, ["src_ip"], [
+        (None, {**short, **long}, None), (_at(near + 1), _minus(short), None), (_at(wide + 1), {**_minus(long), "edge": F.lit(-1)}, None), (_at(wide), {"edge": F.lit(1)}, None),
+        *_distinct("_pd", "_nd", near, "destinations"), *_distinct("_pp", "_np", near, "ports")], BLOCK_US)
+    return c.select("seq", F.col("destinations").cast("int").alias("destination_count"), F.col("ports").cast("int").alias("port_count"),
+                    (F.col("probes").cast("double") / F.col("events").cast("double")).alias("syn_fraction"), F.col("total").cast("long").alias("egress_bytes"), (F.col("edge") == 0).alias("window_partial"))
+
+
+def peer_window(rows: DataFrame, wide: int) -> DataFrame:
+    """Per event: timing and sizes of its source's events to the same destination and port.  A gap counts while its earlier end is in the window."""
+    peer = ["src_ip", "dst_ip", "dst_port"]
+    seen = rows.select("seq", "ts_us", *peer, F.coalesce(F.col("tls_fingerprint") == LAB_FINGERPRINT, F.lit(False)).cast("int").alias("lab"), F.round(F.col("bytes") / F.col("packets") * 1e6).cast("long").alias("size"))
+    square = lambda c: c.cast("decimal(19,0)") * c.cast("decimal(19,0)")
+    own = {"n": F.lit(1), "sizes": F.col("size"), "squares": square(F.col("size")), "labs": F.col("lab")}
+    gap = F.col("ts_us") - F.col("_prev")
+    apart, counts = {"gaps": gap, "gap_squares": square(gap)}, F.coalesce(gap <= wide, F.lit(False))
+    c = change_points(neighbours(seen, peer, "_prev", "_next", BLOCK_US), peer, [
+        (None, own, None), (_at(wide + 1), _minus(own), None), (None, apart, counts), (F.col("_prev") + wide + 1, _minus(apart), counts)], BLOCK_US)
+    spread = lambda n, s, ss: F.sqrt(F.greatest(F.lit(0.0), (n * ss - s * s).cast("double"))) / n / 1e6
+    n, gaps = F.col("n"), F.col("n") - 1
+    gap_mean = F.when(n > 1, F.col("gaps").cast("double") / gaps.cast("double") / 1e6).otherwise(F.lit(0.0))
+    size_mean = F.col("sizes").cast("double") / n.cast("double") / 1e6
+    return c.select("seq", gap_mean.alias("iat_mean"),
+                    F.when(gaps < 2, F.lit(0.0)).otherwise(spread(gaps, F.col("gaps"), F.col("gap_squares")) / F.greatest(gap_mean, F.lit(1e-9))).alias("iat_cv"),
+                    F.when(n < 2, F.lit(0.0)).otherwise(spread(n, F.col("sizes"), F.col("squares")) / F.greatest(size_mean, F.lit(1e-9))).alias("size_cv"),
+                    n.cast("int").alias("history_count"), (F.col("labs") > 0).cast("int").alias("fingerprint_risk"))
+
+
+def question_window(rows: DataFrame, near: int) -> DataFrame:
+    """Per DNS question: its source's questions for the same base name."""
     shape = tunnel_name("dns_name")
-    h = with_history(rows, ["src_ip"], depth - 1, base=base, chunk_rows=chunk_rows)
-    # Name work follows the first shuffle so that it is spread over tasks, and runs on questions only.
-    h = h.withColumn("_ask", ask).withColumns({
-        "_base": F.when(F.col("_ask"), shape["dns_base"]), "_name": F.when(F.col("_ask"), clean_name("dns_name")),
-        **{"_" + k: F.when(F.col("_ask"), shape[k]) for k in ("dns_label_count", "dns_encoded_max_label_length", "dns_encoded_total_length", "dns_encoded_entropy")}})
-    h = h.withColumn("_enc", F.col("_ask") & (F.col("_dns_encoded_max_label_length") >= 24)
-                     & (F.col("_dns_encoded_total_length") >= 32) & (F.col("_dns_encoded_entropy") >= 3.5))
-    item = F.struct("ts_us", "dst_ip", "dst_port", "bytes", (F.col("bytes") / F.col("packets")).alias("size"), probe_syn().cast("int").alias("probe"),
-                    F.coalesce(F.col("tls_fingerprint") == LAB_FINGERPRINT, F.lit(False)).alias("lab"), F.col("_base").alias("base"), F.col("_name").alias("name"), F.col("_enc").alias("enc"))
-    h = h.withColumn("_h", F.collect_list(item).over(recent(["src_ip"], depth - 1)))
-    h = drop_history(h)
-    now = F.col("ts_us")
-    h = h.withColumn("_h", F.filter("_h", lambda x: x["ts_us"] >= now - window_ms * 1000))
-    h = h.withColumn("_r", F.filter("_h", lambda x: x["ts_us"] >= now - recent_ms * 1000))
-    h = h.withColumn("_p", F.filter("_h", lambda x: (x["dst_ip"] == F.col("dst_ip")) & (x["dst_port"] == F.col("dst_port"))))
-    h = h.withColumn("_g", gaps_seconds(F.col("_p.ts_us")))
-    same = F.filter("_r", lambda x: x["base"] == F.col("_base"))
-    newest = F.when(F.size(same) > dns_recent, F.slice(same, -dns_recent, dns_recent)).otherwise(same)
-    h = h.withColumn("_q", F.when(F.col("_ask"), newest))
-    nq = F.size("_q")
-    asked = lambda c, zero=0: F.when(F.col("_ask"), c).otherwise(F.lit(zero))
-    return h.select(
-        *keep,
-        F.size(F.array_distinct("_r.dst_ip")).alias("destination_count"),
-        F.size(F.array_distinct("_r.dst_port")).alias("port_count"),
-        (F.aggregate("_r", F.lit(0), lambda a, x: a + x["probe"]) / F.size("_r")).alias("syn_fraction"),
-        F.when(F.size("_g") > 0, array_mean("_g")).otherwise(F.lit(0.0)).alias("iat_mean"),
-        array_cv("_g").alias("iat_cv"),
-        array_cv(F.col("_p.size")).alias("size_cv"),
-        F.aggregate("_h", F.lit(0).cast("long"), lambda a, x: a + x["bytes"]).alias("egress_bytes"),
-        F.size("_p").alias("history_count"),
-        F.exists("_p", lambda x: x["lab"]).cast("int").alias("fingerprint_risk"),
-        (now - F.get("_h", F.lit(0))["ts_us"] < window_ms * 1000).alias("window_partial"),
-        F.col("_ask").cast("int").alias("dns_query_visible"),
-        asked(F.col("_dns_label_count")).alias("dns_label_count"),
-        asked(F.col("_dns_encoded_max_label_length")).alias("dns_encoded_max_label_length"),
-        asked(F.col("_dns_encoded_total_length")).alias("dns_encoded_total_length"),
-        asked(F.col("_dns_encoded_entropy"), 0.0).alias("dns_encoded_entropy"),
-        asked(nq).alias("dns_base_queries_10s"),
-        asked(F.size(F.array_distinct("_q.name")) / nq, 0.0).alias("dns_base_unique_ratio_10s"),
-        asked(F.size(F.filter("_q", lambda x: x["enc"]))).alias("dns_base_encoded_queries_10s"))
+    asked = rows.filter(is_dns_question()).select("seq", "ts_us", "src_ip", clean_name("dns_name").alias("name"), F.coalesce(shape["dns_base"], F.lit("")).alias("base"), *[shape[k].alias(k) for k in NAME_SHAPE])
+    encoded = (F.col("dns_encoded_max_label_length") >= 24) & (F.col("dns_encoded_total_length") >= 32) & (F.col("dns_encoded_entropy") >= 3.5)
+    quiet = neighbours(asked.select("seq", "ts_us", "src_ip", "base", "name", encoded.cast("int").alias("enc")), ["src_ip", "base", "name"], "_pn", "_nn", BLOCK_US)
+    both = {"q": F.lit(1), "q_enc": F.col("enc")}
+    c = change_points(quiet, ["src_ip", "base"], [(None, both, None), (_at(near + 1), _minus(both), None), *_distinct("_pn", "_nn", near, "q_names")], BLOCK_US)
+    c = c.select("seq", F.col("q").cast("int").alias("dns_base_queries_10s"), (F.col("q_names").cast("double") / F.col("q").cast("double")).alias("dns_base_unique_ratio_10s"), F.col("q_enc").cast("int").alias("dns_base_encoded_queries_10s"))
+    return c.join(asked.select("seq", F.lit(1).alias("dns_query_visible"), *NAME_SHAPE), "seq")
+
+
+def _at(us: int):
+    return F.col("ts_us") + us
+
+
+def _minus(amounts: dict) -> dict:
+    return {k: -v for k, v in amounts.items()}
+
+
+def _distinct(prev: str, next_: str, near: int, name: str) -> list:
+    """A value counts from its first sighting in the recent window until its last has left it."""
+    return [(None, {name: F.lit(1)}, F.col(prev).isNull() | (F.col(prev) < F.col("ts_us") - near)), (_at(near + 1), {name: F.lit(-1)}, F.col(next_).isNull() | (F.col(next_) > F.col("ts_us") + near))]
+
+
+def source_history(rows: DataFrame, window_ms=60_000, recent_ms=10_000, families=("source", "peer", "question")) -> DataFrame:
+    """Adds fan-out, SYN share and byte total (`source`), same-peer timing and sizes (`peer`), same-base DNS activity (`question`)."""
+    wide, near = window_ms * 1000, recent_ms * 1000
+    h = rows
+    if "source" in families:
+        h = h.join(source_window(rows, wide, near), "seq")
+    if "peer" in families:
+        h = h.join(peer_window(rows, wide), "seq")
+    if "question" in families:
+        h = h.join(question_window(rows, near), "seq", "left").fillna({"dns_query_visible": 0, "dns_base_queries_10s": 0, "dns_base_unique_ratio_10s": 0.0, "dns_base_encoded_queries_10s": 0, **{c: 0 for c in NAME_SHAPE}})
+    return h
 
 
 def byte_ratio(rows: DataFrame) -> DataFrame:

@@ -129,6 +129,40 @@ def sessionize(rows: DataFrame, keys, gap_us: int, keep_equal: bool, base=None,
     return out.select(*rows.columns, F.col("_s.ts_us").alias("session_start"), F.col("_s.seq").alias("session_seq"))
 
 
+def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US) -> DataFrame:
+    """Adds the times of the row before and the row after of the same key, across blocks."""
+    keys = list(keys)
+    blocked = rows.withColumn("_blk", block(block_us))
+    w = W.partitionBy(*keys, "_blk").orderBy(*ORDER)
+    local = blocked.withColumns({prev: F.lag("ts_us").over(w), next_: F.lead("ts_us").over(w)})
+    ends = blocked.groupBy(*keys, "_blk").agg(F.min("ts_us").alias("_min"), F.max("ts_us").alias("_max"))
+    wb = W.partitionBy(*keys).orderBy("_blk")
+    ends = ends.select(*keys, "_blk", F.lag("_max").over(wb).alias("_before"), F.lead("_min").over(wb).alias("_after"))
+    out = local.join(ends, [*keys, "_blk"])
+    return out.select(*rows.columns, F.coalesce(prev, "_before").alias(prev), F.coalesce(next_, "_after").alias(next_))
+
+
+def change_points(rows: DataFrame, keys, parts, block_us=BLOCK_US) -> DataFrame:
+    """seq and the running total of every amount at each row, all changes up to it included.
+
+    `parts`: (time of the change, or None for the row's own arrival; name -> amount; condition or None).  Changes of a time come
+    before the arrivals of that time.  Amounts are summed as whole numbers, so what enters and leaves again leaves nothing behind."""
+    names = list(dict.fromkeys(n for _, amounts, _ in parts for n in amounts))
+    whole = lambda c: c.cast("decimal(38,0)")
+    arrival = {n: F.lit(0) for n in names}
+    points = []
+    for at, amounts, where in parts:
+        if at is None:
+            arrival.update({n: F.when(where, e).otherwise(0) if where is not None else e for n, e in amounts.items()})
+            continue
+        point = F.struct(at.alias("ts_us"), F.lit(-1).cast("long").alias("seq"), *[whole(amounts.get(n, F.lit(0))).alias(n) for n in names])
+        points.append(F.when(where, point) if where is not None else point)
+    own = F.struct(F.col("ts_us"), F.col("seq").cast("long").alias("seq"), *[whole(arrival[n]).alias(n) for n in names])
+    stacked = rows.select(*keys, F.explode(F.filter(F.array(own, *points), lambda x: x.isNotNull())).alias("_p")).select(*keys, "_p.*")
+    sums = running_sums(stacked, keys, {"_" + n: F.col(n) for n in names}, block_us=block_us)
+    return sums.filter("seq >= 0").select("seq", *[F.col("_" + n).alias(n) for n in names])
+
+
 def running_max(rows: DataFrame, value: str, out: str, order="seq", block_rows=65_536) -> DataFrame:
     """Adds the maximum of `value` over all rows up to this one in `order`, without a global sort.
 

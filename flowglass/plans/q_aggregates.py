@@ -119,7 +119,7 @@ LAB = HIST_SQL + """, hits as (select seq, any_value(src_ip) src_ip, any_value(n
 
 def _lab(spark, sf):
     t = V.traffic(spark, sf)
-    hits = history.source_history(t).filter("destination_count >= 5").select("seq")
+    hits = history.source_history(t, families=("source",)).filter("destination_count >= 5").select("seq")
     al = hits.withColumn("threat_class", F.lit("RECONNAISSANCE")).unionByName(hits.filter("seq % 4 = 0").withColumn("threat_class", F.lit("BOTNET_C2")))
     e = V.episodes(spark, sf)
     m = joins.match_episodes(t.select("seq", "ts_us", "src_ip", "dst_ip"), e, (F.col("src_ip") == F.col("host")) | (F.col("dst_ip") == F.col("host")))

@@ -171,7 +171,7 @@ GRID = HIST_SQL + """, f as (select seq, any_value(now) ts_us, greatest(count(di
 @query("threshold_grid", over(TRAFFIC, GRID + """ select fanout, share, tp, fp, round(tp / pos, 6) recall, row_number() over (order by case when fp <= 400 then 0 else 1 end, -tp, fp, fanout, share) "rank" from r"""))
 def threshold_grid(spark, sf):
     """All settings of two thresholds from one pass over the features, ranked by cap, recall, false alerts."""
-    f = history.source_history(V.traffic(spark, sf)).select(F.greatest("destination_count", "port_count").alias("fan"), F.col("syn_fraction").alias("s"), "syn")
+    f = history.source_history(V.traffic(spark, sf), families=("source",)).select(F.greatest("destination_count", "port_count").alias("fan"), F.col("syn_fraction").alias("s"), "syn")
     # Counted per (fan-out, share) cell first, so that the grid multiplies cells, not events.
     cells = f.groupBy("fan", "s").agg(F.count_if("syn").alias("p"), F.count_if(~F.col("syn")).alias("n"))
     grid = F.array(*[F.struct(F.lit(a).alias("fanout"), F.lit(b).alias("share")) for a in (3, 4, 5, 6) for b in (0.0, 0.25, 0.5)])

@@ -59,12 +59,12 @@ def slow_exhaustion_hits(spark, sf):
   sum(case when ts_us >= now - 10000000 and syn and (syn_packets is null or syn_packets <> 0) then 1 else 0 end) / sum(case when ts_us >= now - 10000000 then 1 else 0 end) s from h group by seq)
   select f.seq, cast(greatest(d, p) as int) fanout, round(s, 6) syn_fraction from f join traffic t using (seq) where greatest(d, p) >= 5 and transport = 'IP' and not (s < 0.1 and (protocol = 6 or s > 0))"""))
 def reconnaissance_hits(spark, sf):
-    f = history.source_history(V.traffic(spark, sf)).withColumn("fanout", D.blocks(TH)["fanout"])
+    f = history.source_history(V.traffic(spark, sf), families=("source",)).withColumn("fanout", D.blocks(TH)["fanout"])
     return rounded(f.filter(D.rule_conditions(TH)["RECONNAISSANCE"] & D.guard_conditions(TH)["RECONNAISSANCE"]).select("seq", "fanout", "syn_fraction"))
 
 
-BEACON_SQL = """, t as (select seq, ts_us, src_ip, concat('198.51.100.', cast(seq % 2 as varchar)) dst_ip, dst_port, protocol, bytes, packets, row_number() over (partition by src_ip order by ts_us, seq) rn from traffic),
-  h as (select a.seq, b.ts_us, b.seq bseq from t a join t b on b.src_ip = a.src_ip and b.rn > a.rn - 512 and b.ts_us >= a.ts_us - 60000000 and (b.ts_us, b.seq) <= (a.ts_us, a.seq) and b.dst_ip = a.dst_ip and b.dst_port = a.dst_port),
+BEACON_SQL = """, t as (select seq, ts_us, src_ip, concat('198.51.100.', cast(seq % 2 as varchar)) dst_ip, dst_port, protocol, bytes, packets from traffic),
+  h as (select a.seq, b.ts_us, b.seq bseq from t a join t b on b.src_ip = a.src_ip and b.ts_us >= a.ts_us - 60000000 and (b.ts_us, b.seq) <= (a.ts_us, a.seq) and b.dst_ip = a.dst_ip and b.dst_port = a.dst_port),
   p as (select *, (ts_us - lag(ts_us) over (partition by seq order by ts_us, bseq)) / 1e6 gap from h)"""
 
 
@@ -72,7 +72,7 @@ BEACON_SQL = """, t as (select seq, ts_us, src_ip, concat('198.51.100.', cast(se
   select g.seq, cast(n as int) history_count, round(v, 6) iat_cv from g join t using (seq) where n >= 3 and m >= 1 and v < 0.3 and not (dst_port = 53 and protocol = 17)"""))
 def fast_beacon_hits(spark, sf):
     t = V.traffic(spark, sf).withColumn("dst_ip", F.expr("concat('198.51.100.', cast(seq % 2 as string))"))
-    f = history.source_history(t).withColumn("slow_beacon", F.lit(False))
+    f = history.source_history(t, families=("peer",)).withColumn("slow_beacon", F.lit(False))
     return rounded(f.filter(D.blocks(TH)["fast_beacon"] & D.guard_conditions(TH)["BOTNET_C2"]).select("seq", "history_count", "iat_cv"))
 
 
@@ -99,9 +99,9 @@ QUESTIONS = """, q as (select seq, ts_us, user_id % 3 u, case when k % 3 = 0 the
 
 @query("tunnel_candidates", over(TRAFFIC, QUESTIONS + f""", f as (select *, string_split(nm, '.') l from q), n as (select *, array_to_string(l[:len(l) - 2], '') j, list_max(list_transform(l[:len(l) - 2], lambda x: length(x))) mx from f),
   z as (select *, length(j) tot, {ENT.replace('{c}', 'j')} ent from n),
-  m as (select a.seq, a.mx, a.tot, a.ent, len(a.l) nl, b.nm, b.mx >= 24 and b.tot >= 32 and b.ent >= 3.5 ok, row_number() over (partition by a.seq order by b.ts_us desc, b.seq desc) r from z a join z b
+  m as (select a.seq, a.mx, a.tot, a.ent, len(a.l) nl, b.nm, b.mx >= 24 and b.tot >= 32 and b.ent >= 3.5 ok from z a join z b
     on a.u = b.u and b.ts_us >= a.ts_us - 10000000 and (b.ts_us, b.seq) <= (a.ts_us, a.seq)),
-  g as (select seq, max(nl) nl, max(mx) mx, max(tot) tot, max(ent) ent, count(*) c, count(distinct nm) / count(*) u, count(*) filter (ok) k from m where r <= 128 group by seq)
+  g as (select seq, max(nl) nl, max(mx) mx, max(tot) tot, max(ent) ent, count(*) c, count(distinct nm) / count(*) u, count(*) filter (ok) k from m group by seq)
   select seq, case when mx >= 40 and ent >= 3.5 then 'repeated_long_encoded_label' else 'repeated_multi_label_encoding' end pattern from g
   where c >= 5 and u >= 0.8 and k >= 4 and ((mx >= 40 and ent >= 3.5) or (nl >= 4 and mx >= 24 and tot >= 48 and ent >= 3.7))"""))
 def tunnel_candidates(spark, sf):
@@ -110,7 +110,7 @@ def tunnel_candidates(spark, sf):
         then concat(substr(md5(cast(seq as string)), 1, 26), '.', substr(md5(cast(seq + 1 as string)), 1, 26), '.t.example')
         else concat(md5(cast(seq as string)), substr(md5(cast(k as string)), 1, 10), '.t.example') end as dns_name""")
     q = t.drop("src_ip", "dns_name").join(e, "seq")
-    f = history.source_history(q).withColumn("pattern", D.tunnel_pattern())
+    f = history.source_history(q, families=("question",)).withColumn("pattern", D.tunnel_pattern())
     return f.filter("pattern is not null").select("seq", "pattern")
 
 

@@ -65,9 +65,8 @@ def forward_bytes(spark, sf):
     return rounded(rates.forward_bytes(V.traffic(spark, sf)).select("seq", "source_forward_bytes_60s", "source_forward_byte_rate_10s"))
 
 
-HIST_SQL = f""", t as (select *, row_number() over (partition by src_ip order by ts_us, seq) rn from traffic),
-h as (select a.seq, a.ts_us now, a.dst_ip adst, a.dst_port aport, b.* exclude (seq), b.seq bseq from t a join t b on b.src_ip = a.src_ip
-  and b.rn > a.rn - 512 and b.ts_us >= a.ts_us - 60000000 and {PAST})"""
+HIST_SQL = f""", h as (select a.seq, a.ts_us now, a.dst_ip adst, a.dst_port aport, b.* exclude (seq), b.seq bseq from traffic a join traffic b on b.src_ip = a.src_ip
+  and b.ts_us >= a.ts_us - 60000000 and {PAST})"""
 
 
 @query("source_fanout", over(TRAFFIC, HIST_SQL + """
@@ -76,13 +75,13 @@ select seq, cast(count(distinct case when ts_us >= now - 10000000 then dst_ip en
   round(sum(case when ts_us >= now - 10000000 and syn and (syn_packets is null or syn_packets <> 0) then 1 else 0 end)
     / sum(case when ts_us >= now - 10000000 then 1 else 0 end), 6) syn_fraction from h group by seq"""))
 def source_fanout(spark, sf):
-    return rounded(history.source_history(V.traffic(spark, sf)).select("seq", "destination_count", "port_count", "syn_fraction"))
+    return rounded(history.source_history(V.traffic(spark, sf), families=("source",)).select("seq", "destination_count", "port_count", "syn_fraction"))
 
 
 @query("source_retained_bytes", over(TRAFFIC, HIST_SQL + """
 select seq, cast(sum(bytes) as bigint) egress_bytes, max(now) - min(ts_us) < 60000000 window_partial from h group by seq"""))
 def source_retained_bytes(spark, sf):
-    return history.source_history(V.traffic(spark, sf)).select("seq", "egress_bytes", "window_partial")
+    return history.source_history(V.traffic(spark, sf), families=("source",)).select("seq", "egress_bytes", "window_partial")
 
 
 @query("peer_regularity", over(TRAFFIC, HIST_SQL + """, p as (select *, (ts_us - lag(ts_us) over (partition by seq order by ts_us, bseq)) / 1e6 gap
@@ -93,7 +92,7 @@ select seq, cast(count(*) as int) history_count, round(coalesce(avg(gap), 0), 9)
   cast(max(case when tls_fingerprint = md5('771,49195-49199,0-23-65281,29-23-24,0') then 1 else 0 end) as int) fingerprint_risk
 from p group by seq"""))
 def peer_regularity(spark, sf):
-    return rounded(history.source_history(V.traffic(spark, sf), chunk_rows=512).select("seq", "history_count", "iat_mean", "iat_cv", "size_cv", "fingerprint_risk"), 9)
+    return rounded(history.source_history(V.traffic(spark, sf), families=("peer",)).select("seq", "history_count", "iat_mean", "iat_cv", "size_cv", "fingerprint_risk"), 9)
 
 
 @query("dns_base_activity", over(TRAFFIC, """, q as (select seq, ts_us, src_ip, lower(dns_name) nm, string_split(lower(dns_name), '.') l from traffic
@@ -101,14 +100,13 @@ def peer_regularity(spark, sf):
 f as (select *, array_to_string(l[-2:], '.') base, array_to_string(l[:len(l) - 2], '') enc, coalesce(list_max(list_transform(l[:len(l) - 2], lambda x: length(x))), 0) mx from q),
 n as (select *, length(enc) tot, case when length(enc) = 0 then 0.0 else list_sum(list_transform(list_distinct(string_split(enc, '')),
   lambda c: -((length(enc) - length(replace(enc, c, ''))) / length(enc)) * log2((length(enc) - length(replace(enc, c, ''))) / length(enc)))) end ent from f),
-m as (select a.seq, a.mx, a.tot, a.ent, len(a.l) nl, b.nm, b.mx >= 24 and b.tot >= 32 and b.ent >= 3.5 ok,
-  row_number() over (partition by a.seq order by b.ts_us desc, b.seq desc) r
+m as (select a.seq, a.mx, a.tot, a.ent, len(a.l) nl, b.nm, b.mx >= 24 and b.tot >= 32 and b.ent >= 3.5 ok
   from n a join n b on a.src_ip = b.src_ip and a.base = b.base and b.ts_us >= a.ts_us - 10000000 and (b.ts_us, b.seq) <= (a.ts_us, a.seq))
 select seq, cast(max(nl) as int) dns_label_count, cast(max(mx) as int) dns_encoded_max_label_length, cast(max(tot) as int) dns_encoded_total_length,
   round(max(ent), 6) dns_encoded_entropy, cast(count(*) as int) dns_base_queries_10s, round(count(distinct nm) / count(*), 6) dns_base_unique_ratio_10s,
-  cast(count(*) filter (ok) as int) dns_base_encoded_queries_10s from m where r <= 128 group by seq"""))
+  cast(count(*) filter (ok) as int) dns_base_encoded_queries_10s from m group by seq"""))
 def dns_base_activity(spark, sf):
-    out = history.source_history(V.traffic(spark, sf)).filter("dns_query_visible = 1")
+    out = history.source_history(V.traffic(spark, sf), families=("question",)).filter("dns_query_visible = 1")
     return rounded(out.select("seq", "dns_label_count", "dns_encoded_max_label_length", "dns_encoded_total_length", "dns_encoded_entropy",
                               "dns_base_queries_10s", "dns_base_unique_ratio_10s", "dns_base_encoded_queries_10s"))
 
@@ -215,7 +213,7 @@ r as (select src_ip, min(ts_us) t from hits group by 1 union all
   select x.src_ip, min(x.ts_us) from r join hits x on x.src_ip = r.src_ip and x.ts_us >= r.t + 30000000 group by 1)
 select src_ip, ts_us, min(seq) seq from hits join r on hits.src_ip = r.src_ip and hits.ts_us = r.t group by hits.src_ip, ts_us""", recursive=True).replace("select src_ip, ts_us, min(seq)", "select hits.src_ip, ts_us, min(seq)"))
 def repeat_suppression(spark, sf):
-    f = history.source_history(V.traffic(spark, sf)).filter("greatest(destination_count, port_count) >= 5")
+    f = history.source_history(V.traffic(spark, sf), families=("source",)).filter("greatest(destination_count, port_count) >= 5")
     return throttle(f.select("src_ip", "ts_us", "seq"), ["src_ip"], 30_000_000).filter("kept").select("src_ip", "ts_us", "seq")
 
 

@@ -24,29 +24,32 @@ def test_history_edges_are_inclusive(spark):
     assert got[3] == (300, 2) and got[4] == (300, 1)  # 60,000 ms and 10,000 ms back still count, one more does not
 
 
-def test_history_keeps_512_rows_but_byte_window_does_not(spark):
-    e = frame(spark, [event(i, i * 10, bytes=1) for i in range(600)])
-    h = by_seq(history.source_history(e, chunk_rows=600), "egress_bytes", "history_count")
-    assert h[511] == (512, 512) and h[599] == (512, 512)
-    assert by_seq(rates.forward_bytes(e), "source_forward_bytes_60s")[599] == 600
+def test_history_has_no_row_limit(spark):
+    e = frame(spark, [event(i, i * 2, bytes=1, dst_ip=f"198.51.{i % 40}.{i % 250}", dst_port=i % 3000) for i in range(5000)])
+    h = by_seq(history.source_history(e, families=("source",)), "egress_bytes", "destination_count", "port_count")
+    assert h[4999] == (5000, 1000, 3000) and h[700] == (701, 701, 701)
+    assert by_seq(rates.forward_bytes(e), "source_forward_bytes_60s")[4999] == 5000
 
 
-def test_history_is_the_same_for_any_chunk_size(spark):
+@pytest.mark.parametrize("block_us", [1_000_000, 60_000_000, 7_000])
+def test_history_against_rescan(spark, monkeypatch, block_us):
+    monkeypatch.setattr(history, "BLOCK_US", block_us)
     r = random.Random(3)
     t, rows = 0, []
-    for i in range(900):
-        t += r.choice([0, 1, 20, 300])
+    for i in range(700):
+        t += r.choice([0, 1, 20, 300, 10_000 if i % 90 == 0 else 5])
         rows.append(event(i, t, dst_ip=f"198.51.100.{r.randrange(5)}", dst_port=r.randrange(3) + 80, bytes=r.randrange(1, 500), syn=r.random() < .5))
-    e = frame(spark, rows)
-    cols = ["egress_bytes", "destination_count", "port_count", "history_count", "syn_fraction"]
-    small = by_seq(history.source_history(e, depth=64, chunk_rows=64), *cols)
-    large = by_seq(history.source_history(e, depth=64, chunk_rows=100_000), *cols)
-    assert small == large
+    cols = ["egress_bytes", "destination_count", "port_count", "history_count", "iat_mean", "iat_cv", "size_cv", "window_partial"]
+    got = by_seq(history.source_history(frame(spark, rows), families=("source", "peer")), *cols)
+    cv = lambda v: 0.0 if len(v) < 2 else math.sqrt(sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)) / max(1e-9, sum(v) / len(v))
     for i, row in enumerate(rows):
-        kept = [x for x in rows[max(0, i - 63):i + 1] if x[1] >= row[1] - 60_000_000]
+        kept = [x for x in rows[:i + 1] if x[1] >= row[1] - 60_000_000]
         ten = [x for x in kept if x[1] >= row[1] - 10_000_000]
-        assert small[i][0] == sum(x[9] for x in kept)
-        assert small[i][1] == len({x[4] for x in ten}) and small[i][2] == len({x[6] for x in ten})
+        peer = [x for x in kept if (x[4], x[6]) == (row[4], row[6])]
+        gaps = [(y[1] - x[1]) / 1e6 for x, y in zip(peer, peer[1:])]
+        assert got[i][:4] == (sum(x[9] for x in kept), len({x[4] for x in ten}), len({x[6] for x in ten}), len(peer))
+        assert got[i][4:7] == pytest.approx((sum(gaps) / len(gaps) if gaps else 0, cv(gaps), cv([x[9] for x in peer])), abs=1e-9)
+        assert got[i][7] == (row[1] - kept[0][1] < 60_000_000)
 
 
 def test_eleven_second_buckets(spark):
