@@ -5,7 +5,7 @@ a slot keeps the least value it is given.  Elements give out their slots in step
 after which no larger value could improve any of its slots: a set of some hundred elements needs a few steps.  The ranks of an
 element being a permutation, the variance is below that of independent minima.
 
-Bands.  `BANDS` keys of `ROWS` slots each.  A pair at the threshold of 0.8 is missed with probability (1 - 0.8**6)**40, about 5e-6,
+Bands.  `BANDS` keys of `ROWS` slots each.  A pair at the threshold of 0.8 is missed with probability (1 - 0.8**8)**64, about 8e-6,
 and a component only if all its connecting pairs are.  Equal sets are one from the start.
 
 Links without all pairs.  In a bucket every member is compared with the smallest one only.  What is then still in different
@@ -18,8 +18,6 @@ standard deviations, then confirmed on their full shingle sets.  Links, componen
 Texts of fewer words than a shingle have the whole sequence as one; texts without words have no shingles and are linked with
 nothing.  Rows without doc_id are linked with nothing and kept.  Rows of equal doc_id are judged each by its text; `dedup` keeps or drops
 exact repetitions together.  Empty tables give no rows.  `dedup` returns the columns of its input, whatever they are."""
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +30,11 @@ from . import text
 from .store import written
 
 WORDS = 5
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 64, 8
+SKETCH = 256
 SIMILAR = 80  # percent
 SLACK = 0.15
-DIRECT, DEPTH = 32, 3
+DIRECT, DEPTH = 8, 3
 LAZY = 6
 
 
@@ -80,7 +79,7 @@ def super_minhash(doc: np.ndarray, elements: np.ndarray, sets: int, m: int) -> n
 
 
 def _features(docs: DataFrame, words: int) -> DataFrame:
-    """Per row of `docs`: doc_id, _text, n, two sums that stand for the set, band keys and a sketch of one byte per slot."""
+    """Per row of `docs`: doc_id, _text, n, two sums that stand for the set, band keys and a sketch of one byte for each of `SKETCH` slots."""
     m = BANDS * ROWS
 
     def run(batches):
@@ -96,7 +95,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                 for r in range(ROWS):
                     keys = text.mix(keys * text.U(text.BASE) + sig[:, r::ROWS] + text.U(1))
                 keys = text.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64))
-                sketch = (text.mix(sig) >> text.U(56)).astype(np.uint8)
+                sketch = (text.mix(sig[:, :SKETCH]) >> text.U(56)).astype(np.uint8)
                 rows = len(n)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, rows), b.column(1).slice(i, rows), pa.array(n.astype(np.int64)), pa.array(text.signed(sums[0])), pa.array(text.signed(sums[1])),
@@ -111,13 +110,12 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
     j = one.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    m = BANDS * ROWS
 
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (2, 3))
             est = (x == y).mean(axis=1)
             ok = pa.array(est >= percent / 100 - SLACK)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(est).filter(ok)], ["a", "b", "est"])
@@ -146,18 +144,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, p
 
 
 class _Groups:
-    """Links found so far and the component of every linked set."""
+    """The component of every set that is linked; new links only join components."""
 
     def __init__(self, sets):
-        self.links, self.labels = [], sets.select("id", F.col("id").alias("comp")).limit(0)
+        self.labels = sets.select("id", F.col("id").alias("comp")).limit(0)
 
     def add(self, links: DataFrame) -> None:
         links = written(links, "links")
         if links.isEmpty():
             return
-        self.links.append(links)
-        every = reduce(DataFrame.unionByName, self.links)
-        self.labels = written(components(every).select(F.col("node").alias("id"), F.col("component").alias("comp")), "components")
+        joined = self.of(self.of(links, "a", "_ca"), "b", "_cb").select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
+        roots = written(components(joined), "roots")
+        fresh = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.labels, "id", "left_anti").select("id", F.col("id").alias("comp"))
+        moved = self.labels.unionByName(fresh).join(roots, F.col("comp") == F.col("node"), "left")
+        self.labels = written(moved.select("id", F.coalesce("component", "comp").alias("comp")), "components")
 
     def of(self, rows: DataFrame, column="id", name="comp") -> DataFrame:
         lab = self.labels.select(F.col("id").alias(column), F.col("comp").alias("_c"))
