@@ -1,23 +1,17 @@
-"""Open-connection tracking per client/service pair: slow senders and tiny-window readers.
+"""Open connections per client/service pair: slow senders and tiny-window readers, without visiting them event by event.
 
-At every event of a pair all its open connections are read, which is a fold.  It
-runs over short time slices of a pair; each slice starts from the connections left
-open by the slice before, so a busy pair is split over many tasks.  What a slice
-leaves open comes from one aggregation per (connection, slice) and a small window
-that chains the slices."""
-from collections.abc import Iterator
-
-import pandas as pd
+A touch opens a connection or keeps it open until its next touch, its close or two minutes of silence.  While nothing
+touches it, a connection contributes constants to the sums of its pair, and it turns slow at a time that is known in
+advance.  So each touch, close and expiry is a change point, and what is open at an event is a running sum over them."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .ordered import FIRST, ORDER
-from .throttle import group_starts
+from .ordered import change_points, neighbours, running_sums, sessionize
 
 IDLE_US = 120_000_000
+BLOCK_US = 10_000_000
 PAIR = ["client", "server", "service"]
+CONNECTION = [*PAIR, "cport"]
 
 
 def orient(rows: DataFrame) -> DataFrame:
@@ -30,79 +24,61 @@ def orient(rows: DataFrame) -> DataFrame:
                            "cport": pick("src_port", "dst_port"), "from_client": fwd, "fin_rst": F.coalesce("tcp_fin_rst", F.lit(False))})
 
 
-def left_open(acts: DataFrame) -> DataFrame:
-    """Per (connection, slice): first touch, last touch and total of the connection still open at the end of the slice.
-
-    `acts` holds touches (1) and closes (-1).  Inside a slice a touch after a close or
-    after a long silence opens a connection; the leading touches may continue one
-    from the slice before."""
-    conn = [*PAIR, "cport"]
-    w = W.partitionBy(*conn, "slice").orderBy(*ORDER)
-    prev, gap = F.lag("act").over(w), F.col("ts_us") - F.lag("ts_us").over(w)
-    a = acts.withColumn("opens", (F.col("act") == 1) & F.coalesce((prev == -1) | (gap > IDLE_US), F.lit(False)))
-    a = a.withColumn("run", F.sum(F.when(F.col("act") == 1, F.col("amount")).otherwise(0)).over(w.rowsBetween(FIRST, 0)))
-    order = F.struct(*ORDER)
-    s = a.groupBy(*conn, "slice").agg(
-        F.max_by(F.struct("act", "ts_us", "amount", "run"), order).alias("end"),
-        F.max_by(F.struct("ts_us", (F.col("run") - F.col("amount")).alias("before")), F.when(F.col("opens"), order)).alias("own"),
-        F.min_by(F.struct("act", "ts_us"), order).alias("lead"))
-    wc = W.partitionBy(*conn).orderBy("slice")
-    joined = (F.lag("end.act").over(wc) == 1) & (F.col("lead.act") == 1) & (F.col("lead.ts_us") - F.lag("end.ts_us").over(wc) <= IDLE_US)
-    s = s.withColumn("fresh", F.col("own").isNotNull() | ~F.coalesce(joined, F.lit(False)))
-    s = s.withColumn("part", F.sum(F.col("fresh").cast("int")).over(wc.rowsBetween(FIRST, 0)))
-    wp = W.partitionBy(*conn, "part").orderBy("slice").rowsBetween(FIRST, 0)
-    s = s.withColumns({"first": F.first(F.coalesce("own.ts_us", "lead.ts_us")).over(wp),
-                       "total": F.sum(F.col("end.run") - F.coalesce("own.before", F.lit(0))).over(wp)})
-    return s.filter("end.act = 1").select(*conn, "slice", "first", F.col("end.ts_us").alias("last"), F.col("end.amount").alias("amount"), "total")
+def touched(acts: DataFrame) -> DataFrame:
+    """Acts (1 touch, -1 close) with `first` and `total` of the connection a touch belongs to, null on closes."""
+    life = [*CONNECTION, "life"]
+    acts = running_sums(acts, CONNECTION, {"life": (F.col("act") == -1).cast("long")}, block_us=BLOCK_US)
+    touches = sessionize(acts.filter("act = 1"), life, IDLE_US, keep_equal=True, block_us=BLOCK_US)
+    touches = running_sums(touches, [*life, "session_start", "session_seq"], {"total": F.col("amount")}, block_us=BLOCK_US)
+    nothing = F.lit(None).cast("long")
+    return touches.withColumnRenamed("session_start", "first").drop("session_seq", "life").unionByName(
+        acts.filter("act = -1").drop("life").withColumns({"first": nothing, "total": nothing}))
 
 
 def open_connections(rows: DataFrame, touch, close, amount, max_rate=None, min_age_s=30) -> DataFrame:
-    """At every event of a pair: open connections, slow ones, mean age, mean rate, mean last amount."""
-    r = rows.select("seq", "ts_us", *PAIR, "cport", F.when(close, -1).when(touch, 1).otherwise(0).alias("act"), amount.cast("long").alias("amount"),
-                    F.floor(F.col("ts_us") / IDLE_US).cast("long").alias("slice"))
-    body = r.withColumns({"first": F.lit(None).cast("long"), "total": F.lit(None).cast("long"), "lead": F.lit(1)})
-    # A connection last touched in an earlier slice than the previous one has expired: slices are as long as the idle limit.
-    primed = left_open(r.filter("act <> 0")).select(F.lit(-1).cast("long").alias("seq"), F.col("last").alias("ts_us"), *PAIR, "cport", F.lit(1).alias("act"), "amount",
-                                                    (F.col("slice") + 1).alias("slice"), "first", "total", F.lit(0).alias("lead"))
-    cols = ["seq", "ts_us", *PAIR, "cport", "act", "amount", "first", "total", "slice", "lead"]
-    stream = body.select(*cols).unionByName(primed.select(*cols))
-    stream = stream.repartition(*PAIR, "slice").sortWithinPartitions(*PAIR, "slice", "lead", "ts_us", "seq")
-    group = [*PAIR, "slice"]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        previous, live = None, {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            fresh = group_starts(pdf, group, previous)
-            previous = tuple(pdf[k].iloc[-1] for k in group)
-            out = []
-            for new, seq, now, port, act, amount, first, total, lead in zip(
-                    fresh.tolist(), pdf["seq"].tolist(), pdf["ts_us"].tolist(), pdf["cport"].tolist(), pdf["act"].tolist(),
-                    pdf["amount"].tolist(), pdf["first"].tolist(), pdf["total"].tolist(), pdf["lead"].tolist()):
-                if new:
-                    live = {}
-                if not lead:
-                    live[port] = (first, now, total, amount)
-                    continue
-                for p in [p for p, row in live.items() if now - row[1] > IDLE_US]:
-                    del live[p]
-                if act == 1:
-                    was = live.pop(port, None)
-                    live[port] = (was[0] if was else now, now, (was[2] if was else 0) + amount, amount)
-                elif act == -1:
-                    live.pop(port, None)
-                n = len(live)
-                ages = [(now - row[0]) / 1e6 for row in live.values()]
-                rates = [row[2] / max(a, 1.0) for row, a in zip(live.values(), ages)]
-                slow = sum(1 for a, q in zip(ages, rates) if a >= min_age_s and (max_rate is None or q <= max_rate))
-                d = n or 1
-                out.append((seq, slow, n, sum(ages) / d, sum(rates) / d, sum(row[3] for row in live.values()) / d))
-            yield pd.DataFrame(out, columns=["seq", "slow", "open", "mean_age_s", "mean_rate", "mean_amount"])
-
-    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("slow", T.LongType()), T.StructField("open", T.LongType()),
-                           T.StructField("mean_age_s", T.DoubleType()), T.StructField("mean_rate", T.DoubleType()), T.StructField("mean_amount", T.DoubleType())])
-    return stream.mapInPandas(fold, schema)
+    """At every event of a pair: open connections, slow ones, mean age, mean last amount, and the mean rate where any is slow."""
+    r = rows.select("seq", "ts_us", *CONNECTION, F.when(close, -1).when(touch, 1).otherwise(0).alias("act"), amount.cast("long").alias("amount"))
+    late = F.lit(int(min_age_s * 1e6))
+    turns = F.col("first") + (late if max_rate is None else F.greatest(late, F.ceil(F.col("total") * F.lit(1e6) / max_rate).cast("long")))
+    acts = touched(r.filter("act <> 0")).withColumn("turns", F.when(F.col("act") == 1, turns))
+    acts = neighbours(acts, CONNECTION, "_prev", "_next", BLOCK_US, carry=["act", "amount", "first", "turns"])
+    # What the act finds open, and until when its own touch counts.
+    was = F.coalesce((F.col("_prev.act") == 1) & (F.col("ts_us") - F.col("_prev.ts_us") <= IDLE_US), F.lit(False))
+    is_ = F.col("act") == 1
+    ends = F.when(F.col("_next.ts_us") - F.col("ts_us") <= IDLE_US, F.col("_next.ts_us")).otherwise(F.col("ts_us") + IDLE_US + 1)
+    acts = acts.withColumns({"was": was, "is": is_, "ends": ends, "silent": is_ & F.coalesce(F.col("_next.ts_us") - F.col("ts_us") > IDLE_US, F.lit(True))})
+    other = r.filter("act = 0").select("seq", "ts_us", *PAIR)
+    every = acts.unionByName(other, allowMissingColumns=True)
+    gone = {"open": F.lit(-1), "firsts": -F.col("_prev.first"), "amounts": -F.col("_prev.amount")}
+    here = {"open": F.lit(1), "firsts": F.col("first"), "amounts": F.col("amount")}
+    arrive = {n: F.when(F.col("was"), gone[n]).otherwise(0) + F.when(F.col("is"), here[n]).otherwise(0) for n in here}
+    arrive["slow"] = (F.when(F.col("was") & (F.col("_prev.turns") <= F.col("ts_us")), -1).otherwise(0)
+                      + F.when(F.col("is") & (F.col("turns") <= F.col("ts_us")), 1).otherwise(0))
+    sums = change_points(every, PAIR, [
+        (None, arrive, None),
+        (F.col("turns"), {"slow": F.lit(1)}, F.col("is") & (F.col("turns") > F.col("ts_us")) & (F.col("turns") <= F.col("ends"))),
+        (F.col("ends"), {n: -c for n, c in here.items()}, F.col("silent")),
+        (F.col("ends"), {"slow": F.lit(-1)}, F.col("silent") & (F.col("turns") <= F.col("ends")))], BLOCK_US)
+    n = F.greatest(F.col("open").cast("double"), F.lit(1.0))
+    sums = sums.join(r.select("seq", "ts_us", *PAIR), "seq")
+    out = sums.select("seq", "ts_us", *PAIR, F.col("slow").cast("long").alias("slow"), F.col("open").cast("long").alias("open"),
+                      ((F.col("open") * F.col("ts_us") - F.col("firsts")).cast("double") / 1e6 / n).alias("mean_age_s"), (F.col("amounts").cast("double") / n).alias("mean_amount"))
+    if max_rate is None:
+        return out
+    rates = mean_rates(out.filter("slow > 0").select("seq", "ts_us", *PAIR), acts.filter("is"))
+    return out.join(rates, "seq", "left").withColumn("mean_rate", F.coalesce("mean_rate", F.lit(0.0)))
+
+
+def mean_rates(events: DataFrame, touches: DataFrame) -> DataFrame:
+    """Mean rate of the connections open at each of the (few) events that see a slow one: intervals met by pair and time slice."""
+    slice_of = lambda c: F.floor(F.col(c) / IDLE_US)
+    spans = touches.select(*PAIR, "first", "total", F.struct(F.col("ts_us").alias("t"), F.col("seq").alias("s")).alias("since"), F.struct(F.col("ends").alias("t"), F.coalesce("_next.seq", F.lit(-1)).alias("s")).alias("until"),
+                           F.col("silent"), F.explode(F.sequence(slice_of("ts_us"), slice_of("ends"))).alias("slice"))
+    now = F.struct(F.col("ts_us").alias("t"), F.col("seq").alias("s"))
+    met = events.withColumns({"slice": slice_of("ts_us"), "now": now}).join(spans, [*PAIR, "slice"])
+    alive = (F.col("since") <= F.col("now")) & F.when(F.col("silent"), F.col("now.t") < F.col("until.t")).otherwise(F.col("now") < F.col("until"))
+    rate = F.col("total") / F.greatest((F.col("now.t") - F.col("first")) / 1e6, F.lit(1.0))
+    return met.filter(alive).groupBy("seq").agg(F.avg(rate).alias("mean_rate"))
 
 
 def slow_senders(rows: DataFrame, data_min_bytes=61, max_rate=100, min_age_s=30) -> DataFrame:

@@ -43,10 +43,10 @@ def peer_window(rows: DataFrame, wide: int) -> DataFrame:
     seen = rows.select("seq", "ts_us", *peer, F.coalesce(F.col("tls_fingerprint") == LAB_FINGERPRINT, F.lit(False)).cast("int").alias("lab"), F.round(F.col("bytes") / F.col("packets") * 1e6).cast("long").alias("size"))
     square = lambda c: c.cast("decimal(19,0)") * c.cast("decimal(19,0)")
     own = {"n": F.lit(1), "sizes": F.col("size"), "squares": square(F.col("size")), "labs": F.col("lab")}
-    gap = F.col("ts_us") - F.col("_prev")
+    gap = F.col("ts_us") - F.col("_prev.ts_us")
     apart, counts = {"gaps": gap, "gap_squares": square(gap)}, F.coalesce(gap <= wide, F.lit(False))
     c = change_points(neighbours(seen, peer, "_prev", "_next", BLOCK_US), peer, [
-        (None, own, None), (_at(wide + 1), _minus(own), None), (None, apart, counts), (F.col("_prev") + wide + 1, _minus(apart), counts)], BLOCK_US)
+        (None, own, None), (_at(wide + 1), _minus(own), None), (None, apart, counts), (F.col("_prev.ts_us") + wide + 1, _minus(apart), counts)], BLOCK_US)
     spread = lambda n, s, ss: F.sqrt(F.greatest(F.lit(0.0), (n * ss - s * s).cast("double"))) / n / 1e6
     n, gaps = F.col("n"), F.col("n") - 1
     gap_mean = F.when(n > 1, F.col("gaps").cast("double") / gaps.cast("double") / 1e6).otherwise(F.lit(0.0))
@@ -79,7 +79,8 @@ def _minus(amounts: dict) -> dict:
 
 def _distinct(prev: str, next_: str, near: int, name: str) -> list:
     """A value counts from its first sighting in the recent window until its last has left it."""
-    return [(None, {name: F.lit(1)}, F.col(prev).isNull() | (F.col(prev) < F.col("ts_us") - near)), (_at(near + 1), {name: F.lit(-1)}, F.col(next_).isNull() | (F.col(next_) > F.col("ts_us") + near))]
+    before, after = F.col(prev + ".ts_us"), F.col(next_ + ".ts_us")
+    return [(None, {name: F.lit(1)}, before.isNull() | (before < F.col("ts_us") - near)), (_at(near + 1), {name: F.lit(-1)}, after.isNull() | (after > F.col("ts_us") + near))]
 
 
 def source_history(rows: DataFrame, window_ms=60_000, recent_ms=10_000, families=("source", "peer", "question")) -> DataFrame:

@@ -129,13 +129,14 @@ def sessionize(rows: DataFrame, keys, gap_us: int, keep_equal: bool, base=None,
     return out.select(*rows.columns, F.col("_s.ts_us").alias("session_start"), F.col("_s.seq").alias("session_seq"))
 
 
-def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US) -> DataFrame:
-    """Adds the times of the row before and the row after of the same key, across blocks."""
+def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US, carry=()) -> DataFrame:
+    """Adds the row before and the row after of the same key, across blocks, as structs of ts_us, seq and `carry`."""
     keys = list(keys)
-    blocked = rows.withColumn("_blk", block(block_us))
+    blocked = rows.withColumns({"_blk": block(block_us), "_me": F.struct(*ORDER, *carry)})
     w = W.partitionBy(*keys, "_blk").orderBy(*ORDER)
-    local = blocked.withColumns({prev: F.lag("ts_us").over(w), next_: F.lead("ts_us").over(w)})
-    ends = blocked.groupBy(*keys, "_blk").agg(F.min("ts_us").alias("_min"), F.max("ts_us").alias("_max"))
+    local = blocked.withColumns({prev: F.lag("_me").over(w), next_: F.lead("_me").over(w)})
+    order = F.struct(*ORDER)
+    ends = blocked.groupBy(*keys, "_blk").agg(F.min_by("_me", order).alias("_min"), F.max_by("_me", order).alias("_max"))
     wb = W.partitionBy(*keys).orderBy("_blk")
     ends = ends.select(*keys, "_blk", F.lag("_max").over(wb).alias("_before"), F.lead("_min").over(wb).alias("_after"))
     out = local.join(ends, [*keys, "_blk"])

@@ -196,7 +196,7 @@ select seq, {tail} from z""")
 
 
 @query("slow_senders", _conn_sql("from_client and bytes >= 61", "fin_rst", "bytes", "age >= 5 and rate <= 100",
-       "slow slow_http_connections, op slow_http_open_connections, round(age, 9) slow_http_mean_age_s, round(rate, 9) slow_http_mean_client_rate_bps"))
+       "slow slow_http_connections, op slow_http_open_connections, round(age, 9) slow_http_mean_age_s, round(case when slow > 0 then rate else 0 end, 9) slow_http_mean_client_rate_bps"))
 def slow_senders(spark, sf):
     return rounded(connections.slow_senders(V.web(spark, sf), min_age_s=5), 9)
 
