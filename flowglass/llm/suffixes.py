@@ -5,13 +5,13 @@ leftmost of equals), so equal windows have equal anchors at equal offsets.  Neig
 the bytes they cover.  Anchors that occur once are done with.  Equal contexts are found by their digest and counted: they repeat as
 a whole, and one of them stands for all from there on.
 
-Suffix arrays.  The different contexts of each repeated anchor go to one shard; shards of about `SHARD` bytes are sorted by
-induced sorting, and the permuted common prefixes tell which windows start elsewhere too.  A window belongs to one context only, so a
-match is always another place.
+Parts.  The different contexts of a repeated anchor are divided by their windows' offsets into parts of `STEPS[0]` windows, keyed
+by the bytes that all windows of a part share.  A part whose key is alone has no repeated window; parts equal as a whole are again
+counted.  Where more than `GROUP` different parts share a key, they are divided further.  A part of one window is such a whole, so the
+division ends, no shard grows with a group of copies and no window is left out.
 
-Hot anchors.  Where more than `GROUP` different contexts share an anchor, their windows are divided by offset, `STEPS` at a
-time, and keyed by the bytes that all windows of a part share; parts that are equal as a whole are again counted.  A part of one
-window is such a whole, so the division ends, no shard grows with a group of copies and no window is left out.
+Suffix arrays.  The different parts of a key go to one shard; shards of about `SHARD` bytes are sorted by induced sorting, and the
+permuted common prefixes tell which windows start elsewhere too.  A window belongs to one part only, so a match is always another place.
 
 Texts are compared as UTF-8 bytes, null is empty, matches never cross texts but may overlap and lie in one text.  Repeated rows are
 repetitions of each other.  A row without doc_id takes part like any other.  Digests have 128 bits.  `dedup` takes the bytes out
@@ -181,14 +181,16 @@ def _shards(rows: DataFrame, length: int, shard: int) -> DataFrame:
 
 
 def _divided(rows: DataFrame, length: int, step: int) -> DataFrame:
-    """Every context cut at multiples of `step` of its windows' offsets, keyed by the bytes all windows of the part share."""
+    """Every context cut at multiples of `step` of its windows' offsets, keyed by the bytes all windows of the part share.
+
+    `from` is where the context started; the bytes stay with it."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _text long, start int, windows int, rel int, k1 long, k2 long, d1 long, d2 long, data binary"
+    schema = f"doc_id {kind}, _text long, start int, windows int, rel int, from int, k1 long, k2 long, d1 long, d2 long"
 
     def run(batches):
         for b in batches:
             cols = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)}
-            own, out = [], {c: [] for c in ("start", "windows", "rel", "k1", "k2", "d1", "d2", "data")}
+            own, out = [], {c: [] for c in ("start", "windows", "rel", "from", "k1", "k2", "d1", "d2")}
             for i, data in enumerate(cols["data"]):
                 rel, n = cols["rel"][i], cols["windows"][i]
                 at = rel
@@ -199,13 +201,13 @@ def _divided(rows: DataFrame, length: int, step: int) -> DataFrame:
                     core = data[part + step - 1 - rel : part - rel + length]
                     digest = hashlib.blake2b(core, digest_size=16, salt=(part + (1 << 31)).to_bytes(8, "little")).digest()
                     whole = hashlib.blake2b(piece, digest_size=16).digest()
-                    for c, v in (("start", cols["start"][i] + at - rel), ("windows", upto - at), ("rel", at), ("data", piece), ("k1", int.from_bytes(digest[:8], "little", signed=True)),
+                    for c, v in (("start", cols["start"][i] + at - rel), ("windows", upto - at), ("rel", at), ("from", cols["start"][i]), ("k1", int.from_bytes(digest[:8], "little", signed=True)),
                                  ("k2", int.from_bytes(digest[8:], "little", signed=True)), ("d1", int.from_bytes(whole[:8], "little", signed=True)), ("d2", int.from_bytes(whole[8:], "little", signed=True))):
                         out[c].append(v)
                     own.append(i)
                     at = upto
             take = pa.array(own, pa.int64())
-            types = {"start": pa.int32(), "windows": pa.int32(), "rel": pa.int32(), "data": pa.binary()}
+            types = {c: pa.int32() for c in ("start", "windows", "rel", "from")}
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(v, types.get(c, pa.int64())) for c, v in out.items())], ["doc_id", "_text", *out])
 
     return rows.select("doc_id", "_text", "start", "windows", "rel", "data").mapInArrow(run, schema)
@@ -221,23 +223,24 @@ def repeated_windows(docs: DataFrame, length=LENGTH, shard=SHARD, group=GROUP) -
     twice = counted.filter("times > 1").select(*KEY)
     found = [written(rows.join(twice, KEY).select(*cols), "equal")]
     kinds = counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
-    unlike = counted.join(kinds, "g").select("at.doc_id", "at._text", "at.start", "windows", "rel", F.col("g").alias("k1"), F.lit(0).cast("long").alias("k2"))
+    unlike = counted.join(kinds, "g").select("at.doc_id", "at._text", "at.start", "windows", "rel")
     todo = written(_with_bytes(unlike, docs, length), "bytes")
-    for step in (*STEPS, None):
-        size = todo.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-        size = written(size, "sizes")
-        found.append(_shards(todo.join(size.filter((F.col("n") > 1) & (F.col("n") <= group)).select("k1", "k2"), ["k1", "k2"]), length, shard))
-        large = size.filter(F.col("n") > group).select("k1", "k2")
-        if step is None or large.isEmpty():
-            break
-        parts = written(_divided(todo.join(large, ["k1", "k2"]), length, step), "parts")
-        key = ["k1", "k2", "rel", "windows", "d1", "d2"]
+    key = ["k1", "k2", "rel", "windows", "d1", "d2"]
+    same = lambda a, b, *cs: F.expr(" and ".join([f"{a}.doc_id <=> {b}.doc_id", f"{a}._text = {b}._text", *(f"{a}.{x} = {b}.{y}" for x, y in cs)]))
+    for step in STEPS:
+        parts = written(_divided(todo, length, step), "parts")
         counted = written(_counted(parts, key), "parts-counted")
         found.append(parts.join(counted.filter("times > 1").select(*key), key).select(*cols))
-        kinds = counted.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2")
-        some = counted.join(kinds, ["k1", "k2"]).select("at.doc_id", "at._text", "at.start")
-        one = parts.select(*cols, "rel", "k1", "k2", "data").alias("p").join(some.alias("s"), F.expr("p.doc_id <=> s.doc_id and p._text = s._text and p.start = s.start"))
-        todo = written(one.select("p.*"), "bytes")
+        groups = counted.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        some = counted.join(groups, ["k1", "k2"]).select("at.doc_id", "at._text", "at.start", "k1", "k2", "n")
+        one = parts.select(*cols, "rel", "from").alias("p").join(some.alias("s"), same("p", "s", ("start", "start"))).select("p.*", "k1", "k2", "n")
+        bytes_ = todo.select("doc_id", "_text", "start", "data").alias("t")
+        left = one.alias("o").join(bytes_, same("o", "t", ("from", "start"))).select("o.*", F.expr(f"substring(t.data, o.start - o.from + 1, o.windows - 1 + {length})").alias("data"))
+        left = written(left.drop("from"), "left")
+        found.append(_shards(left.filter(F.col("n") <= group), length, shard))
+        todo = left.filter(F.col("n") > group).drop("k1", "k2", "n")
+        if todo.isEmpty():
+            break
     return reduce(DataFrame.unionByName, [f.select(*cols) for f in found])
 
 
