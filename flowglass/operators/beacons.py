@@ -8,7 +8,7 @@ from ..functions.numbers import gaps_seconds
 from .throttle import throttle
 
 PEER = ["src_ip", "dst_ip", "dst_port"]
-COALESCE_US, RESET_US, KEEP, WINDOW = 2_000_000, 7_200_000_000, 24, 10
+COALESCE_US, RESET_US, WINDOW = 2_000_000, 7_200_000_000, 10
 
 
 def eligible(rows: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def slow_contacts(rows: DataFrame, hot_rows=None) -> DataFrame:
     kept = kept.withColumn("_mean", mean)
     std = F.sqrt(F.aggregate("_g", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / (WINDOW - 1))
     full = F.col("_n") >= WINDOW
-    stats = kept.select(*PEER, F.col("ts_us").alias("anchor_us"), F.least("_n", F.lit(KEEP)).alias("slow_beacon_events"),
+    stats = kept.select(*PEER, F.col("ts_us").alias("anchor_us"), F.col("_n").alias("slow_beacon_events"),
                         F.when(full, F.col("_mean")).otherwise(F.lit(0.0)).alias("slow_beacon_mean_s"),
                         F.when(full & (F.col("_mean") > 0), std / F.col("_mean")).otherwise(F.lit(9.0)).alias("slow_beacon_cv"))
     return held.join(stats, [*PEER, "anchor_us"]).select("seq", "ts_us", *PEER, "slow_beacon_events", "slow_beacon_mean_s", "slow_beacon_cv")

@@ -1,7 +1,6 @@
 """Encrypted sessions, flow identities and fingerprint rarity."""
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.numbers import array_cv, array_mean, gaps_seconds
 from .ordered import drop_history, recent, running_sums, sessionize, with_history
@@ -67,23 +66,22 @@ def tls_sessions(rows: DataFrame, depth=64) -> DataFrame:
         F.when(F.size("_g") > 0, array_mean("_g")).otherwise(F.lit(0.0)).alias("tls_session_iat_mean_s"), array_cv("_g").alias("tls_session_iat_cv"))
 
 
-def fingerprint_rarity(sessions: DataFrame, offers: DataFrame, clock: DataFrame, max_clients=64) -> DataFrame:
-    """Adds distinct clients per session fingerprint so far (readings stop at `max_clients`) and the client population.
+def fingerprint_rarity(sessions: DataFrame, offers: DataFrame, clock: DataFrame) -> DataFrame:
+    """Adds distinct clients per session fingerprint so far and the client population so far.
 
     `offers` holds one row per event that carried a fingerprint: (event_fp, client, ts_us, seq);
     `clock` the times of all rows of `sessions`, read from a cheaper input.
-    Only the first sighting of each (fingerprint, client) matters, and only the first
-    `max_clients` of those per fingerprint."""
-    first = offers.groupBy("event_fp", "client").agg(F.min(F.struct("ts_us", "seq")).alias("at"))
-    rank = F.row_number().over(W.partitionBy("event_fp").orderBy("at"))
-    steps = (first.withColumn("n", rank).filter(F.col("n") <= max_clients)
-             .groupBy("event_fp").agg(F.array_sort(F.collect_list("at")).alias("_steps")))
-    now = F.struct("ts_us", "seq")
+    Only first sightings change a count: they are stacked with the readings of the same
+    fingerprint (before the reading of the same event) and summed in arrival order."""
+    at = F.min(F.struct("ts_us", "seq")).alias("at")
     fp = F.coalesce("tls_ja4", "tls_ja3", "tls_quic")
-    s = sessions.withColumn("_fp", fp).join(steps.withColumnRenamed("event_fp", "_fp"), "_fp", "left")
-    s = s.withColumn("tls_fingerprint_clients", F.coalesce(F.size(F.filter("_steps", lambda x: x <= now)), F.lit(0)))
-    s = s.withColumn("tls_fingerprint_clients", F.greatest("tls_fingerprint_clients", F.lit(0))).drop("_fp", "_steps")
-    new = offers.groupBy("client").agg(F.min(F.struct("ts_us", "seq")).alias("at")).select("at.seq", F.col("at.ts_us").alias("ts_us"), F.lit(1).alias("_new"))
+    first = offers.groupBy("event_fp", "client").agg(at)
+    points = first.select(F.col("event_fp").alias("_fp"), "at.ts_us", (F.col("at.seq") * 2).alias("seq"), F.lit(1).alias("_new"))
+    reads = sessions.select(fp.alias("_fp"), "ts_us", (F.col("seq") * 2 + 1).alias("seq"), F.lit(0).alias("_new")).filter("_fp is not null")
+    counts = running_sums(points.unionByName(reads), ["_fp"], {"_clients": F.col("_new")}).filter("seq % 2 = 1")
+    s = sessions.join(counts.select(F.floor(F.col("seq") / 2).cast("long").alias("seq"), "_clients"), "seq", "left")
+    s = s.withColumn("tls_fingerprint_clients", F.coalesce("_clients", F.lit(0)).cast("int")).drop("_clients")
+    new = offers.groupBy("client").agg(at).select("at.seq", F.col("at.ts_us").alias("ts_us"), F.lit(1).alias("_new"))
     base = new.select("ts_us", "_new").unionByName(clock.select("ts_us", F.lit(0).alias("_new")))
     s = s.join(new.drop("ts_us"), "seq", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
     return running_sums(s, [], {"tls_client_population": F.col("_new")}, base=base, block_us=1_000_000).drop("_new")

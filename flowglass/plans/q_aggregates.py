@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text
 from ..operators import dataprep, history, joins, metrics
-from ..operators.ordered import running_max
+from ..operators.ordered import neighbours, running_max
 from . import views as V
 from .catalog import query, rounded
 from .fixtures_sql import EPISODES, NAMES, SCORED, TRAFFIC, over
@@ -178,13 +178,18 @@ def value_distributions(spark, sf):
     return joins.order_statistics(V.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", picks)
 
 
-@query("latency_percentiles", over(TRAFFIC, """, l as (select seq, (ts_us - lag(ts_us) over (order by seq)) v from traffic), k as (select v from l order by seq desc limit 10000), r as (select v, row_number() over (order by v) i, count(*) over () n from k where v is not null)
+def before(rows, order, value):
+    """Adds `_before`, the value of the row before in `order`, whose numbers may have holes."""
+    n = neighbours(rows.select(F.col(order).alias("ts_us"), F.lit(0).alias("seq"), F.col(value).alias("_v")), [], "_p", "_n", 65_536, carry=["_v"])
+    return n.select(F.col("ts_us").alias(order), F.col("_v").alias(value), F.col("_p._v").alias("_before"))
+
+
+@query("latency_percentiles", over(TRAFFIC, """, l as (select seq, (ts_us - lag(ts_us) over (order by seq)) v from traffic), k as (select v from l), r as (select v, row_number() over (order by v) i, count(*) over () n from k where v is not null)
   select max(v) filter (i - 1 = least(n - 1, cast(floor(n * 0.95) as bigint))) p95_floor, max(v) filter (i = cast(ceil(n * 0.95) as bigint)) p95_nearest, max(v) filter (i = cast(ceil(n * 0.5) as bigint)) p50_nearest from r"""))
 def latency_percentiles(spark, sf):
-    """Percentiles over the last 10,000 gaps: index rule floor(n*x) and nearest rank ceil(n*x)."""
+    """Percentiles over all gaps: index rule floor(n*x) and nearest rank ceil(n*x)."""
     t = V.traffic(spark, sf).select("seq", "ts_us")
-    nxt = t.select((F.col("seq") + 1).alias("seq"), F.col("ts_us").alias("pt"))
-    gaps = t.join(nxt, "seq", "left").select("seq", (F.col("ts_us") - F.col("pt")).alias("v")).orderBy(F.desc("seq")).limit(10_000)
+    gaps = before(t, "seq", "ts_us").select("seq", (F.col("ts_us") - F.col("_before")).alias("v")).filter("v is not null")
     picks = {"p95_floor": lambda n: F.least(n - 1, F.floor(n * 0.95)), "p95_nearest": lambda n: F.ceil(n * 0.95) - 1, "p50_nearest": lambda n: F.ceil(n * 0.5) - 1}
     return joins.order_statistics(gaps, [], "v", picks).select(*picks)
 
@@ -231,16 +236,15 @@ def connection_lifetimes(spark, sf):
   select count(*) events, count(*) filter (ts_us < p) backward_steps, max(p - ts_us) max_backward_us, count(*) filter (ts_us < m) behind_watermark from w"""))
 def order_diagnostics(spark, sf):
     d = V.traffic(spark, sf).selectExpr("seq", "ts_us - if(seq % 7 = 0, 3000000, 0) as ts_us")
-    prev = d.select((F.col("seq") + 1).alias("seq"), F.col("ts_us").alias("p"))
-    m = running_max(d, "ts_us", "m", block_rows=4096).join(prev, "seq", "left")
+    m = running_max(d, "ts_us", "m", block_rows=4096).join(before(d, "seq", "ts_us").select("seq", F.col("_before").alias("p")), "seq")
     return m.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("ts_us") < F.col("p")).alias("backward_steps"), F.max(F.col("p") - F.col("ts_us")).alias("max_backward_us"),
                  F.count_if(F.col("ts_us") < F.col("m")).alias("behind_watermark"))
 
 
-@query("column_coverage", """with d as (select source, lang, case when n_chars % 11 = 0 then null when n_chars % 7 = 0 then '' else substr(text, 1, 5) end a, case when n_chars % 5 = 0 then null else text end b from documents)
+@query("column_coverage", """with d as (select source, lang, case when n_chars % 11 = 0 then null when n_chars % 7 = 0 then '' else text end a, case when n_chars % 5 = 0 then null else text end b from documents)
   select source, count(*) rows_seen, count(*) filter (a is null) a_missing, count(*) filter (a = '') a_empty, count(*) filter (a <> '') a_present, count(*) filter (a <> '' and b is not null) joint from d group by 1""")
 def column_coverage(spark, sf):
-    d = V.table(spark, sf, "documents").selectExpr("source", "case when n_chars % 11 = 0 then null when n_chars % 7 = 0 then '' else substr(text, 1, 5) end as a", "if(n_chars % 5 = 0, null, n_chars) as b")
+    d = V.table(spark, sf, "documents").selectExpr("source", "case when n_chars % 11 = 0 then null when n_chars % 7 = 0 then '' else text end as a", "if(n_chars % 5 = 0, null, text) as b")
     a = F.col("a")
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(a.isNull()).alias("a_missing"), F.count_if(a == "").alias("a_empty"), F.count_if(a != "").alias("a_present"),
                                    F.count_if((a != "") & F.col("b").isNotNull()).alias("joint"))
@@ -328,8 +332,8 @@ def capture_catalogue(spark, sf):
 def activity_summary(spark, sf):
     """States and transitions of an activity log, distinct runs, range, rows inside an observation window."""
     c = V.table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("nx"))
-    j = c.join(nxt, ["conv_id", "turn"], "left")
+    n = c.select("conv_id", "role", F.col("turn").cast("long").alias("ts_us"), F.lit(0).alias("seq"))
+    j = neighbours(n, ["conv_id"], "_p", "_n", 1024, carry=["role"]).select("conv_id", "role", F.col("ts_us").alias("turn"), F.col("_n.role").alias("nx"))
     return j.groupBy(F.col("role").alias("state"), F.coalesce("nx", F.lit("END")).alias("next_state")).agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("conv_id").alias("runs"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(F.col("turn").between(2, 4)).alias("in_window"))
 

@@ -68,7 +68,7 @@ def clock_offset_hypotheses(spark, sf):
     return t.filter("protocol = 6").select("dst_ip", "ts_us").join(w, "dst_ip").groupBy("dst_ip").agg(inside(0).alias("as_is"), inside(30_000_000).alias("shifted"))
 
 
-MARKER = """with m as (select o_orderkey id, o_custkey % 400 name, date_part('hour', o_orderdate) + o_orderkey % 24 h, count(*) over (partition by o_custkey % 400, date_part('hour', o_orderdate) + o_orderkey % 24) multi from orders where o_orderkey % 50 = 0),
+MARKER = """with m as (select o_orderkey id, o_custkey % 400 name, date_part('hour', o_orderdate) + o_orderkey % 24 h, count(*) over (partition by o_custkey % 400, date_part('hour', o_orderdate) + o_orderkey % 24) multi from orders),
   q as (select user_id % 400 name, date_part('hour', ts) h, event_type qtype, event_id % 3 src from events)
   select m.id, coalesce(count(*) filter (q.h = m.h and qtype <> 'view'), 0) wrong_type, count(*) filter (q.h = m.h and qtype = 'view' and src <> 0) other_source, count(*) filter (q.h = m.h and qtype = 'view' and src = 0) eligible,
   count(*) filter (q.h <> m.h and src = 0) other_second, case when count(*) filter (q.h = m.h and qtype = 'view' and src = 0) = 0 then 'UNMATCHED' when count(*) filter (q.h = m.h and qtype = 'view' and src = 0) > 1 or any_value(multi) > 1 then 'AMBIGUOUS' else 'EXACT_MARKER_JOIN' end status
@@ -82,24 +82,25 @@ def marker_join(spark, sf):
     Observations are counted per (name, second) before the join, so a frequent name costs one row per second."""
     q = V.table(spark, sf, "events").select((F.col("user_id") % 400).alias("name"), F.hour("ts").alias("h"), (F.col("event_type") == "view").alias("a"), (F.col("event_id") % 3 == 0).alias("s"))
     q = q.groupBy("name", "h").agg(F.count_if(~F.col("a")).alias("wt"), F.count_if(F.col("a") & ~F.col("s")).alias("os"), F.count_if(F.col("a") & F.col("s")).alias("el"), F.count_if("s").alias("src"))
-    m = V.table(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 400).alias("name"), (F.hour("o_orderdate") + F.col("o_orderkey") % 24).alias("mh"))
+    m = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 400).alias("name"), (F.hour("o_orderdate") + F.col("o_orderkey") % 24).alias("mh"))
     multi = m.groupBy("name", "mh").agg(F.count(F.lit(1)).alias("multi"))
-    j = m.join(multi, ["name", "mh"]).join(q, "name", "left")
-    at = lambda c: F.coalesce(F.sum(F.when(F.col("h") == F.col("mh"), F.col(c))), F.lit(0))
-    g = j.groupBy("id").agg(at("wt").alias("wrong_type"), at("os").alias("other_source"), at("el").alias("eligible"),
-                            F.coalesce(F.sum(F.when(F.col("h") != F.col("mh"), F.col("src"))), F.lit(0)).alias("other_second"), F.max("multi").alias("multi"))
+    # One row per (name, second) on the second itself, and the name's total for the other seconds.
+    total = q.groupBy("name").agg(F.sum("src").alias("all"))
+    j = m.join(multi, ["name", "mh"]).join(q.withColumnRenamed("h", "mh"), ["name", "mh"], "left").join(total, "name", "left")
+    at = lambda c: F.coalesce(F.col(c), F.lit(0))
+    g = j.select("id", at("wt").alias("wrong_type"), at("os").alias("other_source"), at("el").alias("eligible"), (at("all") - at("src")).alias("other_second"), "multi")
     status = F.when(F.col("eligible") == 0, "UNMATCHED").when((F.col("eligible") > 1) | (F.col("multi") > 1), "AMBIGUOUS").otherwise("EXACT_MARKER_JOIN")
     return g.select("id", "wrong_type", "other_source", "eligible", "other_second", status.alias("status"))
 
 
-@query("uid_label_errors", """with s as (select l_orderkey % 9000 uid, l_quantity q, l_discount d from lineitem where l_linenumber = 1), l as (select o_orderkey uid, cast(o_orderkey % 50 + 1 as double) q, o_orderkey % 11 / 100.0 d from orders where o_orderkey % 2 = 0),
+@query("uid_label_errors", """with s as (select l_orderkey % 9000 uid, l_quantity q, l_discount d from lineitem), l as (select o_orderkey uid, cast(o_orderkey % 50 + 1 as double) q, o_orderkey % 11 / 100.0 d from orders),
   sg as (select uid, count(*) n, min(q) q, min(d) d from s group by 1), lg as (select uid, count(*) n, min(q) q, min(d) d from l group by 1),
   j as (select coalesce(sg.uid, lg.uid) uid, array_to_string(list_filter([case when sg.n > 1 then 'duplicate_source' end, case when lg.n > 1 then 'duplicate_label' end, case when lg.n is null then 'unlabelled' end, case when sg.n is null then 'unmatched_label' end,
     case when sg.n is not null and lg.n is not null and sg.q is distinct from lg.q then 'q_differs' end, case when sg.n is not null and lg.n is not null and sg.d is distinct from lg.d then 'd_differs' end], lambda x: x is not null), '+') reason from sg full join lg on sg.uid = lg.uid)
   select uid, reason from j where reason <> ''""")
 def uid_label_errors(spark, sf):
-    s = V.table(spark, sf, "lineitem").filter("l_linenumber = 1").selectExpr("l_orderkey % 9000 as uid", "l_quantity as q", "l_discount as d")
-    l = V.table(spark, sf, "orders").filter("o_orderkey % 2 = 0").selectExpr("o_orderkey as uid", "cast(o_orderkey % 50 + 1 as double) as q", "cast(o_orderkey % 11 as double) / 100 as d")
+    s = V.table(spark, sf, "lineitem").selectExpr("l_orderkey % 9000 as uid", "l_quantity as q", "l_discount as d")
+    l = V.table(spark, sf, "orders").selectExpr("o_orderkey as uid", "cast(o_orderkey % 50 + 1 as double) as q", "cast(o_orderkey % 11 as double) / 100 as d")
     return joins.label_errors(s, l, ["q", "d"])
 
 
@@ -143,7 +144,7 @@ def false_positive_context(spark, sf):
     """False positives joined back to their original rows, with the distinct types seen."""
     fp = V.scored(spark, sf).filter("y = 0 and score >= 0.5").select("doc_id")
     d = V.table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return d.join(fp, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("false_positives"), F.array_join(F.slice(F.array_sort(F.collect_set("lang")), 1, 8), ",").alias("langs"))
+    return d.join(fp, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("false_positives"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
 @query("label_union", """select lower(name) name from (select c_mktsegment name from customer union select p_type from part union select split_part(n_name, '_', 1) from nation)""")

@@ -193,15 +193,15 @@ def log_vectors(spark, sf):
 
 
 @query("variation_guards", """with g as (select l_orderkey, count(*) n, avg(l_quantity - 25) m, stddev_pop(l_quantity - 25) s from lineitem group by 1)
-  select l_orderkey, round(least(1000.0, case when n < 2 then 0 else s / greatest(m, 1e-9) end), 4) tiny_guard, round(case when abs(m) > 1e-12 then s / m else 9.0 end, 4) nine_guard,
-  round(case when abs(m) > 1e-12 then s / m else 0 end, 4) zero_guard from g where abs(m) > 0.01 or m = 0""")
+  select l_orderkey, round(log10(1 + case when n < 2 then 0 else s / greatest(m, 1e-9) end), 6) tiny_guard, round(case when abs(m) > 1e-12 then s / m else 9.0 end, 4) nine_guard,
+  round(case when abs(m) > 1e-12 then s / m else 0 end, 4) zero_guard from g""")
 def variation_guards(spark, sf):
     x = F.col("l_quantity") - 25
-    g = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).filter("abs(m) > 0.01 or m = 0")
+    g = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"))
     zero = F.abs("m") <= 1e-12
     ratio = F.col("s") / F.col("m")
-    return rounded(g.select("l_orderkey", F.least(F.lit(1000.0), F.when(F.col("n") < 2, 0.0).otherwise(F.col("s") / F.greatest("m", F.lit(1e-9)))).alias("tiny_guard"),
-                            F.when(zero, 9.0).otherwise(ratio).alias("nine_guard"), F.when(zero, 0.0).otherwise(ratio).alias("zero_guard")), 4)
+    return rounded(g.select("l_orderkey", F.round(F.log10(1 + numbers.moment_cv(F.col("n"), F.col("s1"), F.col("s2"))), 6).alias("tiny_guard"),
+                            F.round(F.when(zero, 9.0).otherwise(ratio), 4).alias("nine_guard"), F.round(F.when(zero, 0.0).otherwise(ratio), 4).alias("zero_guard")))
 
 
 @query("evidence_text", over(TRAFFIC, """ select seq, concat('bytes=', cast(bytes as varchar), '; mean=', regexp_replace(regexp_replace(printf('%.4f', round(bytes / packets, 4)), '0+$', ''), '[.]$', '.0'),

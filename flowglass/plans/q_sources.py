@@ -247,10 +247,10 @@ def dead_letters(spark, sf):
     return _checked(spark, sf).select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dead_letter_details", over(TRAFFIC, BROKEN.replace("e as (select", "er as (select") + " select seq, errs[1] error from er where len(errs) > 0 order by seq limit 1000"))
+@query("dead_letter_details", over(TRAFFIC, BROKEN.replace("e as (select", "er as (select") + " select seq, errs[1] error from er where len(errs) > 0"))
 def dead_letter_details(spark, sf):
-    """The first thousand rejected rows in arrival order."""
-    return _checked(spark, sf).filter(F.size("errors") > 0).select("seq", F.get("errors", F.lit(0)).alias("error")).orderBy("seq").limit(1000)
+    """Every rejected row with its first error."""
+    return _checked(spark, sf).filter(F.size("errors") > 0).select("seq", F.get("errors", F.lit(0)).alias("error"))
 
 
 @query("tcp_orientation", over(TRAFFIC, """, s as (select seq, protocol, case when seq % 3 = 0 then dst_ip else src_ip end a, case when seq % 3 = 0 then src_ip else dst_ip end b, case when seq % 3 = 0 then dst_port when seq % 17 = 0 then 0 else src_port end p, case when seq % 3 = 0 then src_port else dst_port end q from traffic)
@@ -291,7 +291,7 @@ def observed_byte_ratio(spark, sf):
 
 
 @query("flow_counters_to_events", over(TRAFFIC, """, c as (select seq, packets * case when seq % 10 = 0 then 100000 else 1 end p, bytes * 50000 o, case when syn then 2 else 0 end + case when seq % 4 = 0 then 16 else 0 end f, case when seq % 12 = 0 then null else src_ip end s, protocol, dst_port from traffic)
-  select seq, least(p, 1000000) packets, least(o, 1000000000) bytes, f & 2 > 0 syn, case when protocol = 6 then case when f & 2 = 0 then 0 when f & 16 = 0 then least(p, 1000000) end end syn_packets from c where s is not null"""))
+  select seq, p packets, o bytes, f & 2 > 0 syn, case when protocol = 6 then case when f & 2 = 0 then 0 when f & 16 = 0 then p end end syn_packets from c where s is not null"""))
 def flow_counters_to_events(spark, sf):
     t = V.traffic(spark, sf).selectExpr("seq", "ts_us", "if(seq % 12 = 0, null, src_ip) as src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packets * if(seq % 10 = 0, 100000, 1) as packets", "bytes * 50000 as octets",
                                         "cast(if(syn, 2, 0) + if(seq % 4 = 0, 16, 0) as bigint) as flags", "cast(null as bigint) as reverse")

@@ -160,7 +160,7 @@ def tls_sessions(spark, sf):
 o2 as (select o.fp, o.client, o.t, min(x.seq) q from o join x on x.fp = o.fp and x.client = o.client and x.ts_us = o.t group by 1, 2, 3),
 c as (select client, min(ts_us) t from x where fp is not null group by 1),
 c2 as (select c.client, c.t, min(x.seq) q from c join x on x.client = c.client and x.ts_us = c.t and x.fp is not null group by 1, 2)
-select k.seq, cast(least(64, (select count(*) from o2 where o2.fp = k.ja3 and (o2.t, o2.q) <= (k.ts_us, k.seq))) as int) tls_fingerprint_clients,
+select k.seq, cast((select count(*) from o2 where o2.fp = k.ja3 and (o2.t, o2.q) <= (k.ts_us, k.seq)) as int) tls_fingerprint_clients,
   (select count(*) from c2 where (c2.t, c2.q) <= (k.ts_us, k.seq)) tls_client_population from k"""))
 def fingerprint_rarity(spark, sf):
     return sessions.tls_features(_tls_rows(spark, sf)).select("seq", "tls_fingerprint_clients", "tls_client_population")
@@ -173,7 +173,7 @@ g as (select *, t - lag(t) over w gap from r window w as (partition by src_ip, d
 s as (select *, sum(case when gap > 7200000000 then 1 else 0 end) over (partition by src_ip, dst_ip, dst_port order by t) sid from g),
 k as (select *, row_number() over w n from s window w as (partition by src_ip, dst_ip, dst_port, sid order by t)),
 st as (select *, avg(gap / 1e6) over w m, stddev_pop(gap / 1e6) over w sd from k window w as (partition by src_ip, dst_ip, dst_port, sid order by t rows between 8 preceding and current row))
-select c.seq, cast(least(24, st.n) as int) slow_beacon_events, round(case when st.n >= 10 then m else 0 end, 6) slow_beacon_mean_s,
+select c.seq, cast(st.n as int) slow_beacon_events, round(case when st.n >= 10 then m else 0 end, 6) slow_beacon_mean_s,
   round(case when st.n >= 10 and m > 0 then sd / m else 9.0 end, 6) slow_beacon_cv
 from contacts c asof join st on c.src_ip = st.src_ip and c.dst_ip = st.dst_ip and c.dst_port = st.dst_port and c.ts_us >= st.t""", recursive=True))
 def slow_contact_series(spark, sf):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import asof_latest
 from .wire import cut_bytes, decode_frames, ipv4, ipv6, stage, u
 
-MAX_PACKETS, MAX_BYTES = 1_000_000, 1_000_000_000
+MAX_PACKETS, MAX_BYTES = 1_000_000, 1_000_000_000  # counters above are kept as they are and marked `clipped`
 REVERSE = 29305  # enterprise number of reverse-direction counters
 # Information element numbers.
 IE = {"octets": 1, "packets": 2, "protocol": 4, "flags": 6, "src_port": 7, "src_v4": 8, "dst_port": 11, "dst_v4": 12, "end_uptime": 21, "src_v6": 27, "dst_v6": 28,
@@ -20,13 +20,14 @@ def flow_events(r: DataFrame) -> DataFrame:
     tcp = F.col("protocol") == 6
     fl = F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(0x1FF))
     bit = lambda m: fl.bitwiseAND(F.lit(m)) != 0
-    packets = F.least(F.col("packets"), F.lit(MAX_PACKETS)).cast("long")
+    packets = F.col("packets").cast("long")
+    over = (packets > MAX_PACKETS) | (F.coalesce("octets", F.lit(0)) > MAX_BYTES) | (F.coalesce("reverse", F.lit(0)) > MAX_BYTES)
     enc = (F.col("src_port") == 443) | (F.col("dst_port") == 443)
     good = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull() & (F.col("packets") > 0) & (F.col("ts_us") >= 0)
     return r.filter(F.coalesce(good, F.lit(False))).select(
-        *[c for c in r.columns if c not in ("packets", "octets", "flags", "reverse")], packets.alias("packets"), F.least(F.coalesce("octets", F.lit(0)), F.lit(MAX_BYTES)).cast("long").alias("bytes"), bit(2).alias("syn"),
+        *[c for c in r.columns if c not in ("packets", "octets", "flags", "reverse")], packets.alias("packets"), F.coalesce("octets", F.lit(0)).cast("long").alias("bytes"), bit(2).alias("syn"),
         F.when(tcp & bit(2) & ~bit(16), packets).when(tcp & ~bit(2), 0).cast("long").alias("syn_packets"), F.when(tcp & bit(5), True).alias("tcp_fin_rst"), enc.alias("encrypted"),
-        F.when((F.col("protocol") == 17) & enc, "QUIC").otherwise("IP").alias("transport"), F.least("reverse", F.lit(MAX_BYTES)).cast("long").alias("reverse_bytes"), F.col("reverse").isNotNull().alias("reverse_observed"))
+        F.when((F.col("protocol") == 17) & enc, "QUIC").otherwise("IP").alias("transport"), F.col("reverse").cast("long").alias("reverse_bytes"), F.col("reverse").isNotNull().alias("reverse_observed"), F.coalesce(over, F.lit(False)).alias("clipped"))
 
 
 def export_datagrams(frames: DataFrame, ports) -> DataFrame:
