@@ -6,6 +6,7 @@ advance.  So each touch, close and expiry is a change point, and what is open at
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ordered import change_points, neighbours, running_sums, sessionize
 
 IDLE_US = 120_000_000
@@ -27,8 +28,8 @@ def orient(rows: DataFrame) -> DataFrame:
 def touched(acts: DataFrame) -> DataFrame:
     """Acts (1 touch, -1 close) with `first` and `total` of the connection a touch belongs to, null on closes."""
     life = [*CONNECTION, "life"]
-    acts = running_sums(acts, CONNECTION, {"life": (F.col("act") == -1).cast("long")}, block_us=BLOCK_US)
-    touches = sessionize(acts.filter("act = 1"), life, IDLE_US, keep_equal=True, block_us=BLOCK_US)
+    acts = cut(running_sums(acts, CONNECTION, {"life": (F.col("act") == -1).cast("long")}, block_us=BLOCK_US))
+    touches = cut(sessionize(acts.filter("act = 1"), life, IDLE_US, keep_equal=True, block_us=BLOCK_US))
     touches = running_sums(touches, [*life, "session_start", "session_seq"], {"total": F.col("amount")}, block_us=BLOCK_US)
     nothing = F.lit(None).cast("long")
     return touches.withColumnRenamed("session_start", "first").drop("session_seq", "life").unionByName(
@@ -40,8 +41,8 @@ def open_connections(rows: DataFrame, touch, close, amount, max_rate=None, min_a
     r = rows.select("seq", "ts_us", *CONNECTION, F.when(close, -1).when(touch, 1).otherwise(0).alias("act"), amount.cast("long").alias("amount"))
     late = F.lit(int(min_age_s * 1e6))
     turns = F.col("first") + (late if max_rate is None else F.greatest(late, F.ceil(F.col("total") * F.lit(1e6) / max_rate).cast("long")))
-    acts = touched(r.filter("act <> 0")).withColumn("turns", F.when(F.col("act") == 1, turns))
-    acts = neighbours(acts, CONNECTION, "_prev", "_next", BLOCK_US, carry=["act", "amount", "first", "turns"])
+    acts = cut(touched(r.filter("act <> 0")).withColumn("turns", F.when(F.col("act") == 1, turns)))
+    acts = cut(neighbours(acts, CONNECTION, "_prev", "_next", BLOCK_US, carry=["act", "amount", "first", "turns"]))
     # What the act finds open, and until when its own touch counts.
     was = F.coalesce((F.col("_prev.act") == 1) & (F.col("ts_us") - F.col("_prev.ts_us") <= IDLE_US), F.lit(False))
     is_ = F.col("act") == 1

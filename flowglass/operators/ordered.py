@@ -129,6 +129,17 @@ def sessionize(rows: DataFrame, keys, gap_us: int, keep_equal: bool, base=None,
     return out.select(*rows.columns, F.col("_s.ts_us").alias("session_start"), F.col("_s.seq").alias("session_seq"))
 
 
+def most_before(rows: DataFrame, keys, value, name: str, block_us=BLOCK_US) -> DataFrame:
+    """Adds the greatest `value` among the earlier rows of the key, across blocks; null on its first row."""
+    keys = list(keys)
+    blocked = rows.withColumns({"_blk": block(block_us), "_v": value})
+    inside = W.partitionBy(*keys, "_blk").orderBy(*ORDER).rowsBetween(FIRST, -1)
+    tops = blocked.groupBy(*keys, "_blk").agg(F.max("_v").alias("_t"))
+    carry = tops.select(*keys, "_blk", F.max("_t").over(W.partitionBy(*keys).orderBy("_blk").rowsBetween(FIRST, -1)).alias("_c"))
+    out = blocked.withColumn("_m", F.max("_v").over(inside)).join(carry, [*keys, "_blk"])
+    return out.select(*rows.columns, F.greatest("_m", "_c").alias(name))
+
+
 def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US, carry=()) -> DataFrame:
     """Adds the row before and the row after of the same key, across blocks, as structs of ts_us, seq and `carry`."""
     keys = list(keys)

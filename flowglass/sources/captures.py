@@ -6,6 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import most_before, neighbours, running_sums
+from ..session import cut
+from . import wire
+
 FRAMES = "path string, idx long, ts_us long, frame binary, original long, problem string"
 IDLE_US, MAX_MESSAGE = 10_000_000, 16_384
 
@@ -94,50 +98,59 @@ def frames_of(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, FRAMES)
 
 
-def message_length(p: bytes, dns: bool) -> int:
-    if dns:
-        return 2 + int.from_bytes(p[:2], "big") if len(p) >= 2 else 0
-    return 5 + int.from_bytes(p[3:5], "big") if len(p) >= 5 and p[0] == 0x16 and p[1] == 3 else 0
+def declared_size(payload: str, dns) -> "F.Column":
+    """Bytes of the message whose first bytes stand in `payload`, by its own length field; 0 where there is none."""
+    told = F.when(dns, wire.u(payload, 0, 2) + 2).when((wire.u(payload, 0, 1) == 0x16) & (wire.u(payload, 1, 1) == 3), wire.u(payload, 3, 2) + 5)
+    return F.coalesce(told, F.lit(0)).cast("long")
 
 
-def assemble(segments: DataFrame) -> DataFrame:
-    """Replaces `payload` of TCP segments by the message it completes; null while one is incomplete.
+def assemble(segments: DataFrame, limit=MAX_MESSAGE) -> DataFrame:
+    """Adds `message` to TCP segments: the message a segment completes; null while one is incomplete.
 
-    Only a message that starts in a segment is buffered; a gap abandons it, a
-    retransmission is ignored, ten idle seconds or FIN/RST end it.  Segments of one
-    connection stream through one task in order; a task keeps one partial message."""
+    Sequence numbers become positions in the stream of a direction.  A segment below the highest position seen repeats what was
+    there; the others are cut into runs where nothing can be pending: at a hole in the positions, after ten idle seconds, and around FIN or
+    RST.  Runs are independent of each other, so a long connection is spread over as many tasks as it has runs.  Inside a run messages
+    follow from declared sizes alone; their bytes are put together afterwards, a message at a time.  A message of more than `limit` bytes
+    is passed on segment by segment."""
     keys = ["src_ip", "dst_ip", "src_port", "dst_port"]
-    s = segments.select("seq", "ts_us", *keys, "tcp_flags", "tcp_seq", "payload").filter(F.length("payload") > 0)
-    s = s.repartition(*keys).sortWithinPartitions(*keys, "ts_us", "seq")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev, want, need, held, last = None, 0, 0, None, 0
+    s = segments.filter(F.length("payload") > 0).select(
+        "seq", "ts_us", *keys, F.col("tcp_seq").cast("long").alias("tcp_seq"), (F.col("tcp_flags").bitwiseAND(F.lit(5)) != 0).alias("ends"), F.length("payload").cast("long").alias("size"),
+        declared_size("payload", (F.col("src_port") == 53) | (F.col("dst_port") == 53)).alias("told"))
+    half = 1 << 31
+    moved = F.pmod(F.col("tcp_seq") - F.col("_p.tcp_seq") + half, F.lit(1 << 32)) - half
+    s = neighbours(s, keys, "_p", "_n", carry=["tcp_seq"]).withColumn("moved", F.coalesce(moved, F.lit(0)))
+    s = running_sums(s, keys, {"at": F.col("moved")}).drop("_p", "_n", "moved", "tcp_seq")
+    s = cut(most_before(cut(s), keys, F.col("at") + F.col("size"), "high"))
+    late = F.coalesce(F.col("at") < F.col("high"), F.lit(False))
+    fresh = neighbours(s.filter(~late), keys, "_p", "_n", carry=["ends"])
+    apart = F.col("_p").isNull() | (F.col("at") > F.col("high")) | (F.col("ts_us") - F.col("_p.ts_us") > IDLE_US) | F.col("ends") | F.col("_p.ends")
+    fresh = running_sums(cut(fresh.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("long")).drop("_p", "_n")), keys, {"run": F.col("apart")})
+    spans = F.when(~F.col("ends") & (F.col("told") > F.col("size")) & (F.col("told") <= limit), F.col("told")).otherwise(0)
+    fresh = fresh.select("seq", "ts_us", *keys, "run", "size", spans.alias("spans"))
+    framed = fresh.repartition(*keys, "run").sortWithinPartitions(*keys, "run", "ts_us", "seq")
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The first segment of each segment's message, the bytes that message still lacks after it, and its whole size."""
+        here, head, lacks, whole = None, None, 0, 0
         for pdf in batches:
-            ids, outs = [], []
-            for sid, now, a, b, sp, dp, fl, q, p in pdf.itertuples(index=False):
-                if prev != (a, b, sp, dp):
-                    prev, held = (a, b, sp, dp), None
-                p, res = bytes(p), None
-                if held is not None and now - last > IDLE_US:
-                    held = None
-                if fl & 5:
-                    held, res = None, p
-                elif held is not None:
-                    gap = (q - want) & 0xFFFFFFFF
-                    if gap == 0:
-                        held, want, last = held + p, (q + len(p)) & 0xFFFFFFFF, now
-                        if len(held) >= need:
-                            res, held = held[:need], None
-                    elif gap <= 0x7FFFFFFF:
-                        held, res = None, p
-                else:
-                    need = message_length(p, 53 in (sp, dp))
-                    if len(p) < need <= MAX_MESSAGE:
-                        held, want, last = p, (q + len(p)) & 0xFFFFFFFF, now
-                    else:
-                        res = p
-                ids.append(sid)
-                outs.append(res)
-            yield pd.DataFrame({"seq": ids, "message": outs})
-
-    return segments.join(s.mapInPandas(fold, "seq long, message binary"), "seq", "left")
+            out = []
+            for row in pdf.itertuples(index=False):
+                if here != row[1:6]:
+                    here, lacks = row[1:6], 0
+                if lacks <= 0:
+                    head, lacks, whole = row.seq, row.spans or row.size, row.spans or row.size
+                lacks -= row.size
+                out.append((row.seq, head, lacks, whole))
+            yield pd.DataFrame(out, columns=["seq", "head", "lacks", "whole"])
+
+    placed = cut(framed.select("seq", *keys, "run", "size", "spans").mapInPandas(heads, "seq long, head long, lacks long, whole long"))
+    # A repeated segment stands for itself unless a message is pending around it.
+    pending = running_sums(s.join(placed, "seq", "left"), keys, {}, lasts=["lacks"])
+    alone = pending.filter((late & (F.coalesce("last_lacks", F.lit(0)) <= 0)) | ((F.col("head") == F.col("seq")) & (F.col("lacks") <= 0))).select("seq")
+    parts = placed.filter((F.col("head") != F.col("seq")) | (F.col("lacks") > 0)).join(segments.select("seq", "ts_us", "payload"), "seq")
+    whole = parts.groupBy("head").agg(F.max("whole").alias("whole"), F.min("lacks").alias("lacks"), F.max_by("seq", F.struct("ts_us", "seq")).alias("seq"),
+                                      F.array_sort(F.collect_list(F.struct("ts_us", "seq", "payload"))).alias("p"))  # at most `limit` bytes and one segment
+    joined = F.aggregate("p", F.lit(b""), lambda x, y: F.concat(x, y["payload"]))
+    whole = whole.filter("lacks <= 0").withColumn("m", joined).selectExpr("seq", "substring(m, 1, cast(whole as int)) as _whole")
+    out = segments.join(alone.withColumn("_alone", F.lit(True)), "seq", "left").join(whole, "seq", "left")
+    return out.withColumn("message", F.when(F.col("_alone"), F.col("payload")).otherwise(F.col("_whole"))).drop("_alone", "_whole")
