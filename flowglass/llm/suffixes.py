@@ -217,12 +217,13 @@ def repeated_windows(docs: DataFrame, length=LENGTH, shard=SHARD, group=GROUP) -
     """Runs of windows that also start elsewhere: doc_id, _text, start, windows."""
     cols = ["doc_id", "_text", "start", "windows"]
     every = written(_anchored(docs, length), "anchors")
-    often = every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    # Counts are written before they are joined back: both sides of the join are then dealt anew, and Spark can split a hot key.
+    often = written(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "often")
     rows = written(every.join(often, "g"), "repeated")
     counted = written(_counted(rows, KEY), "contexts")
     twice = counted.filter("times > 1").select(*KEY)
     found = [written(rows.join(twice, KEY).select(*cols), "equal")]
-    kinds = counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    kinds = written(counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "kinds")
     unlike = counted.join(kinds, "g").select("at.doc_id", "at._text", "at.start", "windows", "rel")
     todo = written(_with_bytes(unlike, docs, length), "bytes")
     key = ["k1", "k2", "rel", "windows", "d1", "d2"]
@@ -231,7 +232,7 @@ def repeated_windows(docs: DataFrame, length=LENGTH, shard=SHARD, group=GROUP) -
         parts = written(_divided(todo, length, step), "parts")
         counted = written(_counted(parts, key), "parts-counted")
         found.append(parts.join(counted.filter("times > 1").select(*key), key).select(*cols))
-        groups = counted.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        groups = written(counted.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
         some = counted.join(groups, ["k1", "k2"]).select("at.doc_id", "at._text", "at.start", "k1", "k2", "n")
         one = parts.select(*cols, "rel", "from").alias("p").join(some.alias("s"), same("p", "s", ("start", "start"))).select("p.*", "k1", "k2", "n")
         bytes_ = todo.select("doc_id", "_text", "start", "data").alias("t")
