@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, tunnel_name
+from ..session import cut
 from .ordered import change_points, neighbours
 
 BLOCK_US = 1_000_000
@@ -27,7 +28,8 @@ def is_dns_question():
 def source_window(rows: DataFrame, wide: int, near: int) -> DataFrame:
     """Per event: what its source did in the last `wide` and `near` microseconds."""
     one = rows.select("seq", "ts_us", "src_ip", "dst_ip", "dst_port", F.col("bytes").cast("long").alias("bytes"), probe_syn().cast("int").alias("probe"))
-    one = neighbours(neighbours(one, ["src_ip", "dst_ip"], "_pd", "_nd", BLOCK_US), ["src_ip", "dst_port"], "_pp", "_np", BLOCK_US)
+    # The running sums read this twice, so the narrow rows are written once instead of being derived again.
+    one = cut(neighbours(neighbours(one, ["src_ip", "dst_ip"], "_pd", "_nd", BLOCK_US), ["src_ip", "dst_port"], "_pp", "_np", BLOCK_US))
     short, long = {"events": F.lit(1), "probes": F.col("probe")}, {"total": F.col("bytes")}
     # `edge` counts events exactly as old as the window: with one, the window is full.
     c = change_points(one, ["src_ip"], [
@@ -45,7 +47,7 @@ def peer_window(rows: DataFrame, wide: int) -> DataFrame:
     own = {"n": F.lit(1), "sizes": F.col("size"), "squares": square(F.col("size")), "labs": F.col("lab")}
     gap = F.col("ts_us") - F.col("_prev.ts_us")
     apart, counts = {"gaps": gap, "gap_squares": square(gap)}, F.coalesce(gap <= wide, F.lit(False))
-    c = change_points(neighbours(seen, peer, "_prev", "_next", BLOCK_US), peer, [
+    c = change_points(cut(neighbours(seen, peer, "_prev", "_next", BLOCK_US)), peer, [
         (None, own, None), (_at(wide + 1), _minus(own), None), (None, apart, counts), (F.col("_prev.ts_us") + wide + 1, _minus(apart), counts)], BLOCK_US)
     spread = lambda n, s, ss: F.sqrt(F.greatest(F.lit(0.0), (n * ss - s * s).cast("double"))) / n / 1e6
     n, gaps = F.col("n"), F.col("n") - 1

@@ -22,12 +22,14 @@ def build_session(app="flowglass", master=None, shuffle_partitions=None, extra=N
 
 
 def checkpoint_dir(spark):
-    """The shared folder named by the cluster; a private one only where none is configured."""
+    """The shared folder named by the cluster; a private one only in local mode, where all tasks share this machine."""
     import tempfile
 
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="flowglass-ckpt-"))
     return configured
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowglass.operators import beacons, connections, history, rates, sessions
 from flowglass.operators.joins import asof_latest, order_statistics, quantiles
-from flowglass.operators.ordered import running_max, running_sums, sessionize
+from flowglass.operators.ordered import most_before, neighbours, running_max, running_sums, sessionize
 from flowglass.operators.throttle import throttle
 
 
@@ -52,6 +52,20 @@ def test_history_against_rescan(spark, monkeypatch, block_us):
         assert got[i][7] == (row[1] - kept[0][1] < 60_000_000)
 
 
+@pytest.mark.parametrize("block_us", [1, 50, 10**9])
+def test_neighbours_with_holes(spark, block_us):
+    r = random.Random(2)
+    rows = [("ab"[r.randrange(2)], t, r.randrange(100)) for t in sorted(r.sample(range(1000), 60))]
+    df = spark.createDataFrame([(k, t, 0, v) for k, t, v in rows], "k string, ts_us long, seq long, v int")
+    got = {x.ts_us: (x.p and x.p.v, x.n and x.n.v) for x in neighbours(df, ["k"], "p", "n", block_us, carry=["v"]).collect()}
+    most = {x.ts_us: x.m for x in most_before(df, ["k"], F.col("v"), "m", block_us).collect()}
+    for k, t, v in rows:
+        own = [(u, w) for j, u, w in rows if j == k]
+        i = own.index((t, v))
+        assert got[t] == (own[i - 1][1] if i else None, own[i + 1][1] if i + 1 < len(own) else None)
+        assert most[t] == max((w for _, w in own[:i]), default=None)
+
+
 def test_eleven_second_buckets(spark):
     got = by_seq(rates.global_rates(frame(spark, [event(1, 0), event(2, 10_000), event(3, 11_000)])), "packet_rate")
     assert got == {1: 0.1, 2: 0.2, 3: 0.2}
