@@ -298,25 +298,41 @@ def evidence_cases(h: DataFrame, th: Thresholds) -> list:
     ]
 
 
+# The closing sentences of the narrative.
+CLOSING = {
+    "amplified": "; consistent with UDP reflection/amplification behavior; passive metadata cannot verify reflection or amplification factor",
+    "udp_flood": "; high-rate UDP pattern; passive metadata cannot verify reflection or amplification",
+    "forged_sources": "; reserved or martian source addresses among flood sources, a passive indicator of forged sources that cannot prove forgery",
+    "slow_http": "; many long-lived low-rate connections held open to one service, consistent with slow-HTTP exhaustion; request contents not inspected",
+    "slow_beacon": "; repeated contact with one service at near-constant long intervals (slow periodic beaconing); content not inspected",
+    "slow_read": "; many connections held open with a tiny advertised receive window, consistent with a slow-read attack; contents not inspected",
+    "exfiltration": "; behavior consistent with possible exfiltration; content and intent unverified",
+    "no_reverse": "; reverse traffic unavailable: volume-only suspicion",
+    "zero_reverse": "; reverse observed as zero: finite byte ratio undefined",
+    "tls_path": "; metadata-only suspicion from handshake fingerprints and session size/timing; payload not decrypted; not proof of malware",
+    "lab_fingerprint": "; metadata-only suspicion; lab fingerprint, not proof of malware",
+}
+
+
 def closing_words(th: Thresholds) -> Column:
     """Class-specific closing sentences of the narrative."""
     q, t = F.col, F.col("threat_class")
     ddos = t == "DDOS"
     amplified = (q("udp_target_source_count") >= th.amplifier_sources) & (q("udp_packet_size_mean") >= th.amplifier_mean_bytes)
-    say = lambda cond, words: F.when(cond, F.lit(words)).otherwise(F.lit(""))
+    say = lambda cond, name: F.when(cond, F.lit(CLOSING[name])).otherwise(F.lit(""))
     held = ddos & ~q("syn_flood")
     return F.concat(
-        say(ddos & q("udp_flood") & amplified, "; consistent with UDP reflection/amplification behavior; passive metadata cannot verify reflection or amplification factor"),
-        say(ddos & q("udp_flood") & ~amplified, "; high-rate UDP pattern; passive metadata cannot verify reflection or amplification"),
-        say(ddos & q("source_reserved_count").isNotNull(), "; reserved or martian source addresses among flood sources, a passive indicator of forged sources that cannot prove forgery"),
-        say(held & q("slow_http"), "; many long-lived low-rate connections held open to one service, consistent with slow-HTTP exhaustion; request contents not inspected"),
-        say(q("slow_only"), "; repeated contact with one service at near-constant long intervals (slow periodic beaconing); content not inspected"),
-        say(held & q("slow_read"), "; many connections held open with a tiny advertised receive window, consistent with a slow-read attack; contents not inspected"),
-        say(t == "DATA_EXFILTRATION", "; behavior consistent with possible exfiltration; content and intent unverified"),
-        say((t == "DATA_EXFILTRATION") & ~q("reverse_observed"), "; reverse traffic unavailable: volume-only suspicion"),
-        say((t == "DATA_EXFILTRATION") & q("reverse_observed") & (q("reverse_bytes") == 0), "; reverse observed as zero: finite byte ratio undefined"),
-        say((t == "ENCRYPTED_MALWARE") & q("tls_path"), "; metadata-only suspicion from handshake fingerprints and session size/timing; payload not decrypted; not proof of malware"),
-        say((t == "ENCRYPTED_MALWARE") & ~q("tls_path"), "; metadata-only suspicion; lab fingerprint, not proof of malware"))
+        say(ddos & q("udp_flood") & amplified, "amplified"),
+        say(ddos & q("udp_flood") & ~amplified, "udp_flood"),
+        say(ddos & q("source_reserved_count").isNotNull(), "forged_sources"),
+        say(held & q("slow_http"), "slow_http"),
+        say(q("slow_only"), "slow_beacon"),
+        say(held & q("slow_read"), "slow_read"),
+        say(t == "DATA_EXFILTRATION", "exfiltration"),
+        say((t == "DATA_EXFILTRATION") & ~q("reverse_observed"), "no_reverse"),
+        say((t == "DATA_EXFILTRATION") & q("reverse_observed") & (q("reverse_bytes") == 0), "zero_reverse"),
+        say((t == "ENCRYPTED_MALWARE") & q("tls_path"), "tls_path"),
+        say((t == "ENCRYPTED_MALWARE") & ~q("tls_path"), "lab_fingerprint"))
 
 
 def flood_sources(kept: DataFrame, events: DataFrame) -> DataFrame:
