@@ -35,7 +35,7 @@ SKETCH = 256
 SIMILAR = 80  # percent
 SLACK = 0.15
 DIRECT, DEPTH = 8, 3
-LAZY = 6
+LAZY = 14  # steps after which the few sets still open get whole permutations
 
 
 def super_minhash(doc: np.ndarray, elements: np.ndarray, sets: int, m: int) -> np.ndarray:
@@ -84,7 +84,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, buf, off in text.slices(b.column(2)):
+            for i, buf, off in text.slices(b.column(2), 1 << 19):
                 w = text.Words(buf, off, text.SPACED)
                 doc, sh, n = text.shingles(w, words)
                 sums = np.zeros((2, len(n)), np.uint64)
@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, words=WORDS, percent=SIMILAR) -> DataFrame:
     groups = _Groups(sets)
 
     keyed = sets.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first")).filter("_n > 1")
+    # Written first, so that both sides of the join back are dealt anew and Spark can split a hot key.
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first")).filter("_n > 1"), "shared")
     rows = written(keyed.join(shared, "key").filter("id <> _first"), "buckets")
     star = written(_close(rows.select(F.col("_first").alias("a"), F.col("id").alias("b")), sets, percent), "star")
     # The likeliest partner of every set first: its copies are then one component, and few pairs are left to be confirmed.
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame, words=WORDS, percent=SIMILAR) -> DataFrame:
         else:
             big = still.filter(F.col("_few") > DIRECT).select("key", "id").join(sets.select("id", F.explode("bands").alias("_more")), "id").filter("key <> _more")
             finer = big.select(F.xxhash64("key", "_more").alias("key"), "id")
-            many = finer.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+            many = written(finer.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"), "many")
             rows = finer.join(many, "key")
         rows, depth = written(rows, "rows"), depth + 1
 
