@@ -5,9 +5,9 @@ lane, modulo a power of two.  So the order of paragraphs does not matter, equal
 paragraph is inserted or deleted by adding or subtracting its vector (`insert`, `delete`) without reading the document.
 
 A vector has two parts: `LANES` lanes of 64 bits from an extendable-output hash of the paragraph, which decide equality,
-and `SKETCH` lanes of 16 bits that count the paragraph's word triples with hashed signs.  Sums of the latter estimate how
+and `SKETCH` lanes of 32 bits that count the paragraph's word triples with hashed signs.  Sums of the latter estimate how
 much two documents share: `likeness` = 2<a,b> / (<a,a> + <b,b>), clipped to 0..1, with an error of about 1/sqrt(SKETCH).
-The 16-bit counts wrap only where a text has hundreds of millions of equal triples.
+A text of under 2 GiB, the most a value can hold, has fewer than 2**30 triples, so the counts of one text never wrap.
 
 Null and empty texts have the zero vector; two of those are alike (1), and unlike any text with words (0).  Repeated rows are
 fingerprinted one by one.  Empty tables give no rows.  Only `doc_id` and `text` are read."""
@@ -30,7 +30,7 @@ SLICE = 2 << 20
 
 
 def vectors(column) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: exact lanes (rows x LANES, modulo 2**64) and sketch lanes (rows x SKETCH, modulo 2**16)."""
+    """Per text: exact lanes (rows x LANES, modulo 2**64) and sketch lanes (rows x SKETCH, modulo 2**32)."""
     exact, sketch = [], []
     for _, buf, off in text.slices(column):
         n = len(off) - 1
@@ -58,27 +58,27 @@ def vectors(column) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(off, bounds[row], "right") - 1 if len(row) else row
         lane = at * SKETCH + (h >> text.U(40)).astype(np.int64) % SKETCH
         sign = (h & text.U(1)).astype(np.float64) * 2 - 1
-        sketch.append(np.bincount(lane, sign, n * SKETCH).astype(np.int64).astype(np.int16).reshape(n, SKETCH))
+        sketch.append(np.bincount(lane, sign, n * SKETCH).astype(np.int64).astype(np.int32).reshape(n, SKETCH))
     if not exact:
-        return np.zeros((0, LANES), np.uint64), np.zeros((0, SKETCH), np.int16)
+        return np.zeros((0, LANES), np.uint64), np.zeros((0, SKETCH), np.int32)
     return np.concatenate(exact), np.concatenate(sketch)
 
 
 def encode(exact: np.ndarray, sketch: np.ndarray) -> list[str]:
-    both = np.concatenate([exact.astype("<u8").view(np.uint8).reshape(len(exact), -1), sketch.astype("<i2").view(np.uint8).reshape(len(sketch), -1)], axis=1)
+    both = np.concatenate([exact.astype("<u8").view(np.uint8).reshape(len(exact), -1), sketch.astype("<i4").view(np.uint8).reshape(len(sketch), -1)], axis=1)
     return [base64.b64encode(r).decode() for r in np.ascontiguousarray(both)]
 
 
 def decode(fingerprints) -> tuple[np.ndarray, np.ndarray]:
     rows = np.frombuffer(b"".join(base64.b64decode(x) for x in fingerprints), np.uint8).reshape(len(fingerprints), -1)
-    return np.ascontiguousarray(rows[:, : 8 * LANES]).view("<u8"), np.ascontiguousarray(rows[:, 8 * LANES :]).view("<i2")
+    return np.ascontiguousarray(rows[:, : 8 * LANES]).view("<u8"), np.ascontiguousarray(rows[:, 8 * LANES :]).view("<i4")
 
 
 def insert(fingerprint: str, paragraph: str, sign: int = 1) -> str:
     """The fingerprint of the document with one more paragraph."""
     exact, sketch = decode([fingerprint])
     e, s = vectors(pa.array([paragraph]))
-    return encode(exact + e if sign > 0 else exact - e, (sketch + s if sign > 0 else sketch - s).astype(np.int16))[0]
+    return encode(exact + e if sign > 0 else exact - e, (sketch + s if sign > 0 else sketch - s).astype(np.int32))[0]
 
 
 def delete(fingerprint: str, paragraph: str) -> str:

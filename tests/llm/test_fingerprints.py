@@ -48,3 +48,28 @@ def test_multiset():
     assert P.delete(f("\n".join(lines)), "twice") == f("\n".join(lines[:-1]))
     assert P.insert(f("\n".join(lines[1:])), lines[0]) == f("\n".join(lines))
     assert f("") == f("\n\n") and P.decode([f("")])[0].sum() == 0
+
+
+def triples(doc):
+    c = Counter()
+    for line in doc.split("\n"):
+        w = line.split()
+        c.update(zip(w, w[1:], w[2:]))
+    return c
+
+
+def exact(a, b):
+    a, b = triples(a), triples(b)
+    return min(2 * sum(n * b[k] for k, n in a.items()) / (sum(n * n for n in a.values()) + sum(n * n for n in b.values())), 1.0)
+
+
+def test_equal_triples_do_not_wrap(spark):
+    other = " ".join(f"word{i}" for i in range(3000))
+    docs = [(1, "x " * 90000), (2, other), (3, "x " * 240000), (4, "the same line again\n" * 120000), (5, "x " * 130000), (6, "a short last text with other words")]
+    rows = {r.doc_id: r for r in P.edited_likeness(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (d, t) in enumerate(docs):
+        nxt, k = docs[(i + 1) % len(docs)][1], len(t) // 2
+        edited = t[: len(t) - k] + nxt[:k]
+        assert abs(rows[d].near_edited - exact(t, edited)) < 0.15 and abs(rows[d].near_next - exact(t, nxt)) < 0.15, d
+    assert 0.7 < rows[1].near_edited < 0.9
+    assert P.delete(P.insert(rows[1].fingerprint, docs[2][1]), docs[2][1]) == rows[1].fingerprint
