@@ -1,6 +1,7 @@
 """Character n-gram classifier: TF-IDF plus composition numbers, logistic regression, then boosted trees.
 
-Numbers differ from other libraries' solvers; the model shape is the same."""
+Every distinct gram of the training rows is a term, however rare.  Numbers differ from other libraries' solvers; the model
+shape is the same."""
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import alerts, numbers, text
 
 NUMBERS = ["log_length", "entropy", "digit_ratio", "vowel_ratio", "hyphen_ratio", "unique_ratio", "consonant_run", "digit_run", "digit_transitions", "repeat_ratio"]
+ALL_TERMS = 2**31 - 1  # the vectorizer takes the distinct grams it counts where they are fewer
 
 
 @F.udf(VectorUDT())
@@ -54,8 +56,8 @@ class LexicalModel:
         return r.select(*keep, "logit", "score")
 
 
-def fit_base(rows: DataFrame, vocab=20_000, max_iter=50) -> LexicalModel:
-    terms = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocab, minDF=2.0)]).fit(rows)
+def fit_base(rows: DataFrame, vocab=ALL_TERMS, max_iter=50) -> LexicalModel:
+    terms = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocab, minDF=1.0)]).fit(rows)
     seen = terms.transform(rows).withColumn("damped", damped("counts"))
     vectors = Pipeline(stages=[IDF(inputCol="damped", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="normed"),
                                VectorAssembler(inputCols=NUMBERS, outputCol="raw_numbers"), StandardScaler(inputCol="raw_numbers", outputCol="scaled", withMean=True),
@@ -64,7 +66,7 @@ def fit_base(rows: DataFrame, vocab=20_000, max_iter=50) -> LexicalModel:
     return LexicalModel(terms, vectors, base, None)
 
 
-def fit(rows: DataFrame, trees=100, depth=3, rate=0.08, vocab=20_000, logits: DataFrame | None = None) -> LexicalModel:
+def fit(rows: DataFrame, trees=100, depth=3, rate=0.08, vocab=ALL_TERMS, logits: DataFrame | None = None) -> LexicalModel:
     """Fits the base model and the trees over (logit, numbers); `logits` replaces in-sample logits by out-of-fold ones."""
     m = fit_base(rows, vocab)
     r = (logits if logits is not None else m.logits(rows)).select("y", "weight", "logit", *NUMBERS)
@@ -73,7 +75,7 @@ def fit(rows: DataFrame, trees=100, depth=3, rate=0.08, vocab=20_000, logits: Da
     return m
 
 
-def out_of_fold(rows: DataFrame, group: str, folds=3, vocab=20_000) -> DataFrame:
+def out_of_fold(rows: DataFrame, group: str, folds=3, vocab=ALL_TERMS) -> DataFrame:
     """Every row scored by a base model that never saw its group."""
     r = rows.withColumn("fold", numbers.hash_bucket(group, folds, "fold:"))
     parts = [fit_base(r.filter(F.col("fold") != k), vocab).logits(r.filter(F.col("fold") == k)).select(*r.columns, "logit") for k in range(folds)]

@@ -343,13 +343,13 @@ def _training(spark, sf):
 
 @query("lexical_classifier")
 def lexical_classifier(spark, sf):
-    """Scores of the boosted lexical classifier on the held-out fold (few trees; the fitting solver has no SQL twin)."""
+    """Scores of the boosted lexical classifier on the held-out fold (the fitting solver has no SQL twin)."""
     r = _training(spark, sf).withColumn("b", numbers.hash_bucket("label", 10, "lex:"))
-    m = lexical_model.fit(lexical_model.weighted(r.filter("b < 6")), trees=5, vocab=4000)
+    m = lexical_model.fit(lexical_model.weighted(r.filter("b < 6")))
     return m.score(r.filter("b >= 8")).select("seq", "y", F.round("logit", 4).alias("logit"), F.round("score", 4).alias("score"))
 
 
 @query("out_of_fold_logits")
 def out_of_fold_logits(spark, sf):
     r = lexical_model.balanced(_training(spark, sf)).withColumn("grp", F.when(F.col("y") == 1, F.col("family")).otherwise(F.col("label")))
-    return lexical_model.out_of_fold(r, "grp", vocab=4000).select("seq", "y", "fold", F.round("logit", 4).alias("logit"))
+    return lexical_model.out_of_fold(r, "grp").select("seq", "y", "fold", F.round("logit", 4).alias("logit"))
