@@ -5,8 +5,8 @@ again soon after an insertion.  Chunks have at least `MIN` bytes (but for the la
 the minimum, and never split a character.  Digests have 128 bits.  Of equal chunks the first by (doc_id, position) stays and the
 others go, if they belong to a run of repeated chunks of at least `RUN` bytes; shorter coincidences are left alone.
 
-Chunks are counted by digest with partial sums, so a chunk that a third of all documents share is one row per task; the join back
-is an inner join that Spark may split.  Null and empty texts have no chunks.  Rows of equal doc_id and text are one document and
+Chunks are counted by digest with partial sums, so a chunk that a third of all documents share is one row per task; the counts
+are written before the join back, so both sides are dealt anew and Spark can split a hot digest.  Null and empty texts have no chunks.  Rows of equal doc_id and text are one document and
 lose nothing to each other; a null doc_id comes first.  Empty tables give no rows.  `dedup` keeps all other columns as they are."""
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.catalog import query
 from ..plans.views import table
 from . import text
+from .store import written
 
 MEAN, MIN, MAX, RUN = 32, 16, 512, 100
 SPAN = "array<struct<start:bigint,end:bigint>>"
@@ -91,8 +92,8 @@ def chunks(docs: DataFrame, mean=MEAN, low=MIN, high=MAX) -> DataFrame:
 def repeated(docs: DataFrame, run_bytes=RUN, **cuts) -> DataFrame:
     """Per document that has any: `repeated` (spans of chunks that occur elsewhere too) and `removed` (those of them that go)."""
     all_ = chunks(docs, **cuts)
-    place = F.struct(F.col("doc_id").isNotNull(), "doc_id", "_text", "start")
-    twice = all_.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_text", "start")
+    twice = written(all_.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "chunks-twice")
     found = all_.join(twice, ["d1", "d2"]).select("doc_id", "_text", F.struct("start", "length", (place == F.col("first")).alias("first")).alias("c"))
     per = found.groupBy("doc_id", "_text").agg(F.collect_set("c").alias("c"))  # no more than the chunks of one text
 

@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..plans.catalog import query
 from ..plans.views import table
-from .store import folder
+from .store import folder, written
 
 SCHEMA = ("record_id string, record_type string, page_id bigint, target_uri string, warc_date string, payload_digest string, refers_to string, refers_to_page bigint, "
           "content_length bigint, payload_bytes bigint, payload binary")
@@ -319,11 +319,12 @@ def columns(*names: str) -> str:
 def archive(pages: DataFrame, path: str, min_bytes=0) -> None:
     """Writes one record per row of `pages` (page_id, url, html); equal payloads are stored once.
 
-    Only digests are grouped (with partial counts); the join back is an inner join on the digest that Spark may split."""
+    Only digests are grouped (with partial counts); they are written before the join
+    back, so both sides are dealt anew and Spark can split a hot digest."""
     spark = ready(pages.sparkSession)
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     p = p.withColumns({"_digest": F.sha1("payload"), "_bytes": F.length("payload")})
-    first = p.groupBy("_digest", "_bytes").agg(F.min("page_id").alias("_first"))
+    first = written(p.groupBy("_digest", "_bytes").agg(F.min("page_id").alias("_first")), "digests")
     again = (F.col("_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first"))
     out = p.join(first, ["_digest", "_bytes"]).select(F.when(again, "revisit").otherwise("response").alias("record_type"), "page_id", "url",
                                                      F.col("payload"), F.when(again, F.col("_first")).alias("refers_to"))

@@ -101,3 +101,12 @@ def test_query_and_dedup(spark, tmp_path):
         assert len((kept[i].text or "").encode()) == sizes[d[0], len((d[1] or "").encode())] and kept[i].removed == "x"
     assert kept[3].text is None and kept[6].text == docs[6][1]
     assert C.dedup(df.filter("doc_id > 99")).count() == 0
+
+
+def test_counts_are_written_before_the_join_back(spark, monkeypatch):
+    shared = " ".join(f"shared{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{shared} own {i}") for i in range(12)], "doc_id long, text string")
+    sides, join = [], type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, *a, **k: sides.append(other) or join(self, other, *a, **k))
+    assert C.repeated(docs).count() == 12
+    assert len(sides) == 1 and "Aggregate" not in sides[0]._jdf.queryExecution().optimizedPlan().toString()

@@ -75,3 +75,12 @@ def test_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read(spark, path).count() == 0
+
+
+def test_digests_are_written_before_the_join_back(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "same" if i % 3 == 0 else f"page {i}") for i in range(30)], "page_id long, url string, html string")
+    sides, join = [], type(pages).join
+    monkeypatch.setattr(type(pages), "join", lambda self, other, *a, **k: sides.append(other) or join(self, other, *a, **k))
+    warc.archive(pages, f"file://{tmp_path}/out")
+    assert len(sides) == 1 and "Aggregate" not in sides[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert warc.read(spark, f"file://{tmp_path}/out", "record_type").filter("record_type = 'revisit'").count() == 9
