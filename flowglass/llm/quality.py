@@ -12,6 +12,7 @@ Labels with a null doc_id or quality are left out; of repeated labels of a docum
 languages, sources and lengths have features of their own.  Repeated rows are scored one by one, an empty table gives no rows, and
 without labels of both kinds nothing is rejected.  `select_good` returns the columns of its input, whatever they are; missing
 metadata columns count as null."""
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,12 +76,12 @@ def content(column) -> np.ndarray:
 
 
 def metadata(lang, source, n_chars) -> np.ndarray:
-    """Metadata view, rows x META: hashed one-hot language and source, length and its absence."""
+    """Metadata view, rows x META: one-hot language and source by a hash of all their bytes, length and its absence."""
     n = len(lang)
     out = np.zeros((n, META))
 
     def buckets(column, size):
-        known = [(0 if v is None else 1 + int.from_bytes(str(v).encode()[-8:], "little") * 0x9E3779B1 % 1_000_003 % (size - 1)) for v in column.to_pylist()]
+        known = [(0 if v is None else 1 + zlib.crc32(str(v).encode()) % (size - 1)) for v in column.to_pylist()]
         return np.array(known, np.int64)
 
     rows = np.arange(n)

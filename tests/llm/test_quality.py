@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowglass.llm import quality as Q
@@ -29,3 +31,11 @@ def test_edges(spark, some):
     assert Q.select_good(docs, views).columns == docs.columns and Q.select_good(docs, views).count() == 5
     assert Q.score(docs.filter("doc_id > 9"), views).count() == 0
     assert Q.score(docs.select("doc_id", "text"), views).count() == 5
+
+
+def test_sources_with_equal_ends_differ():
+    hosts = ["good.example.com", "spam.example.com"]
+    a, b = Q.metadata(pa.array(["en", "en"]), pa.array(hosts), pa.array([100, 100]))
+    assert not np.array_equal(a, b)
+    a, b = Q.metadata(pa.array(["a-long-language-tag", "b-long-language-tag"]), pa.array(["src1", "src1"]), pa.array([100, 100]))
+    assert not np.array_equal(a, b)
