@@ -7,7 +7,9 @@ from ..operators import connections, sessions
 from ..operators.rates import syn_accounting
 from ..operators.history import is_dns_question, probe_syn
 from ..schema import validate
+from ..session import shared_folder
 from ..sources import captures, exports, tables, wire
+from ..sources.capture_files import write_captures
 from . import views as V
 from .catalog import query, rounded
 from .fixtures_sql import HANDSHAKES, NAMES, TRAFFIC, over
@@ -206,6 +208,16 @@ def capture_frames(spark, sf):
     return d.groupBy("path").agg(F.count(F.lit(1)).alias("frames"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count_if(F.col("status") == "ok").alias("decoded"))
 
 
+@query("block_capture_frames", over(TRAFFIC, f""" select concat('net-', cast(seq // 2000 as varchar), '.ng') file, row_number() over (partition by seq // 2000 order by ts_us, seq) - 1 idx, ts_us, {STATUS} status from traffic"""))
+def block_capture_frames(spark, sf):
+    """Block captures of 2,000 frames, written as files and read back in ranges: three clocks, a new section in the other byte order every 64 frames."""
+    f = frames(spark, sf).withColumns({"file": F.concat(F.lit("net-"), F.floor(F.col("seq") / 2000).cast("string"), F.lit(".ng")), "original": F.length("frame").cast("long"), "interface": (F.col("seq") % 3).cast("int")})
+    path = shared_folder(spark, "captures")
+    write_captures(f, path, form="blocks", order="<>", resolutions="6,9,148", section=64)
+    got = wire.decode_frames(captures.read_captures(spark, path, split=40_000))
+    return got.select(F.element_at(F.split("path", "/"), -1).alias("file"), "idx", "ts_us", F.coalesce("problem", "status").alias("status"))
+
+
 @query("assembled_messages", over(HANDSHAKES, f""" select seq, true complete, md5(concat('771,', {DS.replace('{a}', CL.replace('{a}', 'ciphers'))}, ',', {DS.replace('{a}', "list_concat(case when has_sni then [0] else [] end, [23, 65281, 10, 11, 13], case when alpn is not null then [16] else [] end, [43])")},
   ',', {DS.replace('{a}', 'groups')}, ',', {DS.replace('{a}', 'points')})) ja3 from handshakes where seq % 11 <> 4"""))
 def assembled_messages(spark, sf):

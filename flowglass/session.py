@@ -41,3 +41,11 @@ def cut(df):
     so that neither the work nor the lineage is repeated."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark, name):
+    """A new path that driver and executors share, below the checkpoint folder."""
+    import uuid
+
+    root = checkpoint_dir(spark) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,5 +1,4 @@
 """Capture files to frames, and messages that span segments."""
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -8,92 +7,34 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import most_before, neighbours, running_sums
 from ..session import cut
-from . import wire
+from . import capture_files, wire
+from .capture_files import FRAMES
 
-FRAMES = "path string, idx long, ts_us long, frame binary, original long, problem string"
 IDLE_US, MAX_MESSAGE = 10_000_000, 16_384
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Every capture file below `path`, one task per file (a file must fit a BINARY value, 2 GB)."""
-    return frames_of(spark.read.format("binaryFile").load(path).select("path", "content"))
-
-
-def classic(data: bytes):
-    """Classic captures: 2.4, Ethernet, micro- or nanosecond stamps, either byte order."""
-    big, nano = data[:4] in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"), data[:4] in (b"\xa1\xb2\x3c\x4d", b"\x4d\x3c\xb2\xa1")
-    o = ">" if big else "<"
-    major, minor, _, _, snap, link = struct.unpack(o + "HHiIII", data[4:24])
-    if (major, minor) != (2, 4) or link != 1 or not 1 <= snap <= 1 << 24:
-        yield None, None, None, "unsupported_capture"
-        return
-    pos = 24
-    while pos + 16 <= len(data):
-        sec, part, kept, full = struct.unpack_from(o + "IIII", data, pos)
-        if kept > snap or kept > full:
-            yield None, None, None, "invalid_length"
-            return
-        if pos + 16 + kept > len(data):
-            break
-        yield sec * 1_000_000 + (part // 1000 if nano else part), data[pos + 16:pos + 16 + kept], full, None
-        pos += 16 + kept
-    if pos != len(data):
-        yield None, None, None, "truncated"
-
-
-def blocks(data: bytes):
-    """Block captures: sections reset interfaces; each interface has its own tick."""
-    pos, o, ticks = 0, "<", []
-    while pos + 12 <= len(data):
-        if data[pos:pos + 4] == b"\x0a\x0d\x0d\x0a":
-            o, ticks = (">" if data[pos + 8:pos + 12] == b"\x1a\x2b\x3c\x4d" else "<"), []
-        kind, total = struct.unpack_from(o + "II", data, pos)
-        if total < 12 or total % 4 or pos + total > len(data) or struct.unpack_from(o + "I", data, pos + total - 4)[0] != total:
-            yield None, None, None, "invalid_block"
-            return
-        body = data[pos + 8:pos + total - 4]
-        if kind == 1:
-            if struct.unpack_from(o + "H", body)[0] != 1:
-                yield None, None, None, "unsupported_capture"
-                return
-            res, at = 6, 8
-            while at + 4 <= len(body):
-                code, n = struct.unpack_from(o + "HH", body, at)
-                if code == 0:
-                    break
-                if code == 9 and n >= 1:
-                    res = body[at + 4]
-                at += 4 + (n + 3) // 4 * 4
-            ticks.append(2 ** (res & 127) if res & 128 else 10 ** res)
-        elif kind == 6:
-            i, hi, lo, kept, full = struct.unpack_from(o + "IIIII", body)
-            if i >= len(ticks) or kept > full or 20 + kept > len(body):
-                yield None, None, None, "invalid_block"
-                return
-            yield (hi << 32 | lo) * 1_000_000 // ticks[i], body[20:20 + kept], full, None
-        pos += total
-    if pos != len(data):
-        yield None, None, None, "truncated"
+def read_captures(spark: SparkSession, path: str, split=capture_files.SPLIT) -> DataFrame:
+    """Frames of every capture file below `path`, whatever its size, in tasks of about `split` bytes."""
+    return capture_files.read_ranges(spark, path, split)
 
 
 def frames_of(files: DataFrame) -> DataFrame:
-    """(path, content) to frames in file order; a damaged file ends with one row that names the problem."""
+    """(path, content) to frames in file order; a damaged file ends with one row that names the problem.
+
+    For files that stand in a column (2 GB at most); `read_captures` reads files where they lie."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "idx", "ts_us", "frame", "original", "problem"]
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"]):
-                data = bytes(data)
-                walk = blocks if data[:4] == b"\x0a\x0d\x0d\x0a" else classic if len(data) >= 24 and data[:4] in (
-                    b"\xa1\xb2\xc3\xd4", b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\x3c\x4d", b"\x4d\x3c\xb2\xa1") else None
-                rows, idx = [], 0
-                for row in (walk(data) if walk else [(None, None, None, "unsupported_capture")]):
+                rows = []
+                for idx, row in enumerate(capture_files.walk(capture_files.View.of(bytes(data)))):
                     rows.append((path, idx, *row))
-                    idx += 1
                     if len(rows) == 4096:
-                        yield pd.DataFrame(rows, columns=["path", "idx", "ts_us", "frame", "original", "problem"]).astype({"ts_us": "Int64", "original": "Int64"})
+                        yield pd.DataFrame(rows, columns=names).astype({"ts_us": "Int64", "original": "Int64"})
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "idx", "ts_us", "frame", "original", "problem"]).astype({"ts_us": "Int64", "original": "Int64"})
+                    yield pd.DataFrame(rows, columns=names).astype({"ts_us": "Int64", "original": "Int64"})
 
     return files.select("path", "content").mapInPandas(parse, FRAMES)
 
