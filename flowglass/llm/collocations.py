@@ -35,6 +35,7 @@ EVERY = 16
 LEAST = 100
 TOP = 2000
 SLICE = 2 << 20
+KEYS = 1 << 21  # different keys that a task sums up before it gives them out
 MOST_BITS = 1 << 28
 
 #: Lower-cased byte codes, 0 where a word ends; and where a piece ends.
@@ -138,6 +139,44 @@ def _slices(batches):
         yield from out(held)
 
 
+class Sums:
+    """Weighted counts by key over the slices of a task, given out when too many different keys are held."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, key: np.ndarray, n: np.ndarray, rows: pa.RecordBatch):
+        """`rows` tells what each key stands for."""
+        self.held.append((key, n, rows))
+        self.size += len(key)
+        if self.size > KEYS:
+            self.held = [self._merged()]
+            self.size = len(self.held[0][0])
+            if self.size > KEYS // 2:
+                yield self.rows()
+
+    def _merged(self):
+        key, one, which = np.unique(np.concatenate([k for k, _, _ in self.held]), return_index=True, return_inverse=True)
+        n = np.bincount(which, np.concatenate([n for _, n, _ in self.held]), len(key)).astype(np.int64)
+        return key, n, pa.Table.from_batches([r for _, _, r in self.held]).take(pa.array(one)).combine_chunks().to_batches()[0]
+
+    def rows(self) -> pa.RecordBatch:
+        """All held rows with their counts `n`; nothing is held afterwards."""
+        _, n, rows = self._merged()
+        self.held, self.size = [], 0
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(n)], [*rows.schema.names, "n"])
+
+
+def _summed(parts):
+    """`parts`: (keys, counts, rows) of slices; batches of rows with summed counts."""
+    sums = Sums()
+    for key, n, rows in parts:
+        if len(key):
+            yield from sums.add(key, n, rows)
+    if sums.size:
+        yield sums.rows()
+
+
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Keys whose bit is set; the number of bits is a power of two."""
     at = keys & text.U(len(bits) * 8 - 1)
@@ -148,16 +187,16 @@ def frequent_bits(words: DataFrame, size: int, least: int, pairs_of=None):
     """A broadcast bit set over the hashes of phrases of `size` words that may occur `least` times; pairs only of words in `pairs_of`."""
     spark = words.sparkSession
 
-    def run(batches):
+    def counts(batches):
         for s in _slices(batches):
             at = np.flatnonzero(s.own & (s.left >= size))
             if pairs_of is not None:
                 known = _has(pairs_of.value, s.keys(np.arange(len(s.pos)), 1)) if len(s.pos) else np.zeros(0, bool)
                 at = at[known[at] & known[at + 1]]
             key, _, n = s.counted(at, s.keys(at, size))
-            yield pa.RecordBatch.from_arrays([pa.array(text.signed(key)), pa.array(n)], ["key", "n"])
+            yield key, n, pa.RecordBatch.from_arrays([pa.array(text.signed(key))], ["key"])
 
-    keys = written(words.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
+    keys = written(words.mapInArrow(lambda batches: _summed(counts(batches)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
     bits = 1 << 18
     wanted = 32 * keys.count()
     while bits < min(wanted, MOST_BITS):
@@ -176,7 +215,7 @@ def frequent_phrases(words: DataFrame, least=LEAST, longest=LONGEST) -> DataFram
     single = frequent_bits(words, 1, least)
     double = frequent_bits(words, 2, least, single)
 
-    def run(batches):
+    def counts(batches):
         for s in _slices(batches):
             every = np.arange(len(s.pos))
             pair = np.zeros(len(every) + longest, bool)
@@ -190,11 +229,11 @@ def frequent_phrases(words: DataFrame, least=LEAST, longest=LONGEST) -> DataFram
                 if m == 1:
                     at = at[_has(single.value, key)]
                     key = s.keys(at, m)
-                _, one, n = s.counted(at, key)
+                key, one, n = s.counted(at, key)
                 lang = s.names.take(pa.array(s.code[s.w.doc[one]]))
-                yield pa.RecordBatch.from_arrays([lang, _cut(s.buf, s.w.start[one], s.w.end[one + m - 1]), pa.array(np.full(len(one), m, np.int32)), pa.array(n)], ["lang", "phrase", "m", "n"])
+                yield key, n, pa.RecordBatch.from_arrays([lang, _cut(s.buf, s.w.start[one], s.w.end[one + m - 1]), pa.array(np.full(len(one), m, np.int32))], ["lang", "phrase", "m"])
 
-    counted = words.mapInArrow(run, "lang string, phrase string, m int, n long")
+    counted = words.mapInArrow(lambda batches: _summed(counts(batches)), "lang string, phrase string, m int, n long")
     return counted.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
 
 
