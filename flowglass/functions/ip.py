@@ -43,6 +43,79 @@ def v6_hex(ip) -> Column:
     return F.when(col(ip).contains(":") & (F.length(full) == 32), full)
 
 
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4 = f"^{_OCTET}([.]{_OCTET}){{3}}$"
+_GROUPS = "[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4})*"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with `value` evaluated once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def is_v4(ip) -> Column:
+    """Dotted text of four numbers up to 255 without leading zeros."""
+    return col(ip).rlike(_V4)
+
+
+def _v6_shape(c: Column) -> Column:
+    size = F.size(F.filter(F.split(c, ":"), lambda x: x != ""))
+    return F.when(c.contains("::"), c.rlike(f"^({_GROUPS})?::({_GROUPS})?$") & (size < 8)).otherwise(c.rlike(f"^{_GROUPS}$") & (size == 8))
+
+
+def is_v6(ip) -> Column:
+    """IPv6 text: eight groups, or fewer around one '::'; the last two may be an IPv4 address."""
+    c = col(ip)
+    plain = F.regexp_replace(c, _V4[1:], "0:0")
+    return c.contains(":") & let(plain, lambda p: ~p.contains(".") & _v6_shape(p))
+
+
+def _half(digits: Column, at: int) -> Column:
+    part = lambda i: F.conv(F.substr(digits, F.lit(i), F.lit(8)), 16, 10).cast("long")
+    return F.shiftleft(part(at), 32).bitwiseOR(part(at + 8))
+
+
+def address(ip) -> Column:
+    """struct(family, hi, lo): the 32 bits of IPv4 text in `hi`, the 128 bits of IPv6 text in both; null for anything else."""
+    zero = F.lit(0).cast("long")
+    v4 = F.struct(F.lit(4).alias("family"), v4_number(ip).alias("hi"), zero.alias("lo"))
+    v6 = let(v6_hex(ip), lambda d: F.struct(F.lit(6).alias("family"), _half(d, 1).alias("hi"), _half(d, 17).alias("lo")))
+    return F.when(is_v4(ip), v4).when(is_v6(ip), v6)
+
+
+def prefix(a: Column, family, bits) -> Column:
+    """struct(hi, lo): the first `bits` bits of an address of that family, the others shifted out."""
+    family = F.lit(family) if isinstance(family, int) else family
+    bits = F.lit(bits) if isinstance(bits, int) else bits
+    shift = lambda x, n: F.call_function("shiftrightunsigned", x, n.cast("int"))
+    cut = lambda x, n: F.when(n <= 0, F.lit(0).cast("long")).otherwise(shift(x, 64 - n))
+    hi = F.when(family == 4, shift(a["hi"], 32 - bits)).otherwise(cut(a["hi"], F.least(bits, F.lit(64))))
+    return F.struct(hi.alias("hi"), F.when(family == 4, F.lit(0).cast("long")).otherwise(cut(a["lo"], bits - 64)).alias("lo"))
+
+
+def _length(mask: Column, family: Column) -> Column:
+    """Prefix length of what follows the slash: a number, or for IPv4 a dotted mask of either kind."""
+    run = lambda x: x.bitwiseAND(x + 1) == 0  # ones at the end only
+    dotted = let(v4_number(mask), lambda m: F.when(run(4294967295 - m), 32 - F.bit_count(4294967295 - m)).when(run(m), 32 - F.bit_count(m)))
+    return F.when(mask.rlike("^[0-9]{1,4}$"), mask.cast("int")).when((family == 4) & is_v4(mask), dotted)
+
+
+def network(text) -> Column:
+    """struct(family, bits, hi, lo) of an address or network; host bits are ignored, IPv4 masks may be dotted.  Null for anything else."""
+
+    def of(parts):
+        def sized(a):
+            most = F.when(a["family"] == 4, 32).otherwise(128)
+            bits = F.when(F.size(parts) == 1, most).otherwise(_length(F.get(parts, F.lit(1)), a["family"])).cast("int")
+            whole = let(F.struct(a.alias("a"), bits.alias("n"), most.alias("most")), lambda s: F.when(s["n"] <= s["most"], let(prefix(s["a"], s["a"]["family"], s["n"]), lambda c: F.struct(
+                s["a"]["family"].alias("family"), s["n"].alias("bits"), c["hi"].alias("hi"), c["lo"].alias("lo")))))
+            return F.when(a.isNotNull() & (F.size(parts) <= 2), whole)
+
+        return let(address(F.get(parts, F.lit(0))), sized)
+
+    return let(F.split(F.trim(col(text)), "/"), of)
+
+
 def v4_range(network: str, bits: int):
     a, b, c, d = (int(x) for x in network.split("."))
     lo = (a << 24 | b << 16 | c << 8 | d) >> (32 - bits) << (32 - bits)

@@ -3,6 +3,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import ip
+from ..session import cut
 from .ordered import BLOCK_US, running_sums
 
 
@@ -12,16 +14,59 @@ def spans(labels: DataFrame, start: str, end: str, bucket_us: int) -> DataFrame:
     return labels.withColumn("_b", F.explode(F.sequence(b(start), b(end))))
 
 
-def match_episodes(events: DataFrame, episodes: DataFrame, hit: Column, bucket_us=BLOCK_US) -> DataFrame:
-    """First matching episode per event (by `priority`, `id`), number of matches, background when none.
+BUCKET_US, FAN, TOP_LEVEL = 60_000_000, 64, 5
 
-    `episodes` has id, priority, start_us, end_us (inclusive); `hit` tests the hosts.
-    The join key is a time bucket: Spark broadcasts the labels when they are small and
-    otherwise shuffles both sides, splitting crowded buckets."""
-    lab = spans(episodes, "start_us", "end_us", bucket_us)
-    ev = events.withColumn("_b", F.floor(F.col("ts_us") / bucket_us).cast("long"))
-    pairs = ev.join(lab, "_b").filter(F.col("ts_us").between(F.col("start_us"), F.col("end_us")) & hit)
-    best = pairs.groupBy("seq").agg(F.min(F.struct("priority", "id", "label")).alias("m"), F.count(F.lit(1)).alias("matches"))
+
+def cover(start, end) -> Column:
+    """array(struct(level, bucket)) that covers an interval: minutes at its ends, spans of 64, 64 * 64, ... minutes between.
+
+    So an interval of any length has at most some hundred entries, and an instant lies in one bucket per level."""
+    none = F.array().cast("array<struct<level:int,bucket:bigint>>")
+    b = lambda c: F.floor(F.col(c) / BUCKET_US).cast("long")
+    at = lambda level, lo, hi: F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda x: F.struct(level.alias("level"), x.alias("bucket")))).otherwise(none)
+
+    def step(s, level):
+        lo, hi = s["lo"], s["hi"]
+        up_lo, up_hi = F.ceil(lo / FAN).cast("long"), F.floor((hi + 1) / FAN).cast("long") - 1
+        last = (hi - lo < 2 * FAN) | (level == TOP_LEVEL)
+        here = F.when(last, at(level, lo, hi)).otherwise(F.concat(at(level, lo, up_lo * FAN - 1), at(level, (up_hi + 1) * FAN, hi)))
+        nothing = F.lit(0).cast("long")
+        return F.struct(F.when(last, nothing).otherwise(up_lo).alias("lo"), F.when(last, nothing - 1).otherwise(up_hi).alias("hi"), F.concat(s["out"], here).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TOP_LEVEL)), F.struct(b(start).alias("lo"), b(end).alias("hi"), none.alias("out")), step, lambda s: s["out"])
+
+
+def match_networks(events: DataFrame, episodes: DataFrame, by=()) -> DataFrame:
+    """First matching episode per event (by `priority`, `id`), number of different matching episodes, background when none.
+
+    `events`: seq, ts_us, src_ip, dst_ip; `episodes`: id, priority, label, start_us, end_us (inclusive), hosts (addresses or networks, IPv4 or IPv6;
+    none: any event of the time).  An event matches by either endpoint; columns `by` must agree.
+
+    An equality join: networks are grouped by their prefix length, and an event looks up its addresses cut to each length in use, in the
+    time buckets in use (both are few: at most 162 lengths and six levels).  So no pair is made that does not share network and time."""
+    everywhere = F.array(F.struct(F.lit(0).alias("family"), F.lit(0).alias("bits"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo")))
+    nets = F.when(F.size(F.coalesce("hosts", F.array().cast("array<string>"))) == 0, everywhere).otherwise(F.array_distinct(F.filter(F.transform("hosts", ip.network), lambda n: n.isNotNull())))
+    lab = episodes.withColumns({"_nets": nets, "_times": cover("start_us", "end_us"), "_e": F.xxhash64(*by, "priority", "id", "label", "start_us", "end_us")})
+    lab = lab.withColumn("_n", F.explode("_nets")).withColumn("_t", F.explode("_times"))
+    lab = lab.select(*by, "id", "priority", "label", "start_us", "end_us", "_e", F.struct("_n.family", "_n.bits", "_n.hi", "_n.lo", "_t.level", "_t.bucket").alias("_k"))
+    lab = cut(lab)
+    shapes = lab.select("_k.family", "_k.bits", "_k.level").distinct().collect()  # at most (33 + 129 + 1) lengths times six levels
+    if not shapes:
+        none = F.lit(None).cast("string")
+        return events.withColumns({"episode": none, "label": none, "matches": F.lit(0).cast("long")})
+    bucket = lambda level: F.floor(F.col("ts_us") / (BUCKET_US * FAN**level)).cast("long")
+    ends = events.select(*by, "seq", "ts_us", F.explode(F.array_distinct(F.array(ip.address("src_ip"), ip.address("dst_ip")))).alias("_a"))
+
+    def key(r):
+        one = ip.prefix(F.col("_a"), r["family"], r["bits"])
+        zero = F.lit(0).cast("long")
+        place = F.struct(F.lit(r["family"]).alias("family"), F.lit(r["bits"]).alias("bits"), (one["hi"] if r["family"] else zero).alias("hi"), (one["lo"] if r["family"] else zero).alias("lo"),
+                         F.lit(r["level"]).alias("level"), bucket(r["level"]).alias("bucket"))
+        return place if not r["family"] else F.when(F.col("_a.family") == r["family"], place)
+
+    keyed = ends.withColumn("_k", F.explode(F.array_compact(F.array(*[key(r) for r in shapes])))).drop("_a")
+    pairs = keyed.join(lab, [*by, "_k"]).filter(F.col("ts_us").between(F.col("start_us"), F.col("end_us")))
+    best = pairs.groupBy("seq").agg(F.min(F.struct("priority", "id", "label")).alias("m"), F.count_distinct("_e").alias("matches"))
     best = best.select("seq", F.col("m.id").alias("episode"), F.col("m.label").alias("label"), "matches")
     return events.join(best, "seq", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 

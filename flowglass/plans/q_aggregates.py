@@ -122,7 +122,7 @@ def _lab(spark, sf):
     hits = history.source_history(t, families=("source",)).filter("destination_count >= 5").select("seq")
     al = hits.withColumn("threat_class", F.lit("RECONNAISSANCE")).unionByName(hits.filter("seq % 4 = 0").withColumn("threat_class", F.lit("BOTNET_C2")))
     e = V.episodes(spark, sf)
-    m = joins.match_episodes(t.select("seq", "ts_us", "src_ip", "dst_ip"), e, (F.col("src_ip") == F.col("host")) | (F.col("dst_ip") == F.col("host")))
+    m = joins.match_networks(t.select("seq", "ts_us", "src_ip", "dst_ip"), e.withColumn("hosts", F.array("host")))
     m = metrics.lab_events(m.select("seq", "ts_us", "episode", "label", "matches"), al)
     e = e.withColumns({"scenario": F.lower("label"), "split": F.when(F.crc32("id") % 2 == 0, "development").otherwise("test")})
     return m, e, metrics.lab_episodes(m, e)

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 
 from ..functions import numbers, text
 from ..operators import joins
+from ..sources import tables
 from . import views as V
 from .catalog import query, rounded
 from .fixtures_sql import EPISODES, NAMES, TRAFFIC, over
@@ -14,7 +15,7 @@ from .fixtures_sql import EPISODES, NAMES, TRAFFIC, over
   select t.seq, m.id episode, m.label, coalesce(m.n, 0) matches from traffic t left join (select * from m where r = 1) m using (seq)"""))
 def episode_matching(spark, sf):
     t, e = V.traffic(spark, sf).select("seq", "ts_us", "src_ip", "dst_ip"), V.episodes(spark, sf)
-    m = joins.match_episodes(t, e, (F.col("src_ip") == F.col("host")) | (F.col("dst_ip") == F.col("host")))
+    m = joins.match_networks(t, e.withColumn("hosts", F.array("host")))
     return m.select("seq", "episode", "label", "matches")
 
 
@@ -24,13 +25,47 @@ def episode_matching(spark, sf):
   m as (select n.seq, id, label, row_number() over (partition by n.seq order by priority, id) r, count(*) over (partition by n.seq) k from n join c on ts_us between start_us and end_us and (s between lo and hi or d between lo and hi))
   select n.seq, m.id episode, m.label, coalesce(m.k, 0) matches from n left join (select * from m where r = 1) m using (seq)"""))
 def network_episode_matching(spark, sf):
-    from ..functions.ip import v4_number, v4_range
-
-    t = V.traffic(spark, sf).select("seq", "ts_us", v4_number("src_ip").alias("s"), v4_number("dst_ip").alias("d"))
-    rows = [("lan-a", 1, "BENIGN", V.EPOCH, V.EPOCH + 130_000_000, *v4_range("10.0.0.5", 25)), ("lan-b", 2, "DDOS", V.EPOCH + 30_000_000, V.EPOCH + 200_000_000, *v4_range("198.51.100.0", 29))]
-    e = spark.createDataFrame(rows, "id string, priority int, label string, start_us long, end_us long, lo long, hi long")
-    m = joins.match_episodes(t, e, F.col("s").between(F.col("lo"), F.col("hi")) | F.col("d").between(F.col("lo"), F.col("hi")))
-    return m.select("seq", "episode", "label", "matches")
+    t = V.traffic(spark, sf).select("seq", "ts_us", "src_ip", "dst_ip")
+    rows = [("lan-a", 1, "BENIGN", V.EPOCH, V.EPOCH + 130_000_000, ["10.0.0.5/25"]), ("lan-b", 2, "DDOS", V.EPOCH + 30_000_000, V.EPOCH + 200_000_000, ["198.51.100.0/29"])]
+    e = spark.createDataFrame(rows, "id string, priority int, label string, start_us long, end_us long, hosts array<string>")
+    return joins.match_networks(t, e).select("seq", "episode", "label", "matches")
+
+
+LABELLED = over(TRAFFIC, """, a as (select seq, ts_us, seq % 2 v6, cast(split_part(src_ip, '.', 3) as int) o3, cast(split_part(src_ip, '.', 4) as int) o4, cast(split_part(dst_ip, '.', 4) as int) d4 from traffic),
+  h as (select o3, o4, min(ts_us) s, min(seq) q from a group by all),
+  l as (select *, concat('ep-', cast(o3 as varchar), '-', cast(o4 as varchar)) id, case when o4 % 50 = 7 then 'bad' when o4 % 50 = 9 then 'any' when o4 % 5 = 4 then 'half' else cast(o4 % 5 as varchar) end kind, o4 % 9 priority,
+    case when o4 % 2 = 0 then 'DDOS' else 'BENIGN' end label, (s - 20000000) // 1000 * 1000 a_us, (s + (case when o4 % 50 = 9 then 1 else 60 end + case when o4 % 7 = 0 then 100000000 else 0 end) * 1000000) // 1000 * 1000 b_us from h),
+  m as (select a.seq, l.id, l.label, row_number() over (partition by a.seq order by l.priority, l.id) r, count(*) over (partition by a.seq) n from a join l on a.ts_us between a_us and b_us and (
+    kind = 'any' or (kind = '0' and v6 = 0 and a.o3 = l.o3 and a.o4 = l.o4) or (kind = '1' and v6 = 0 and a.o3 = l.o3 and a.o4 // 4 = l.o4 // 4)
+    or (kind = '2' and v6 = 1 and a.o4 % 8 = l.o4 % 8) or (kind = '3' and ((v6 = 1 and a.o4 % 8 = l.o4 % 8 and (a.d4 % 8) // 2 = (l.o4 % 8) // 2) or a.d4 = l.o4 % 32))
+    or (kind = 'half' and v6 = 1 and a.o4 % 8 >= 4 and l.o4 % 25 = 4)))
+  select a.seq, m.id episode, m.label, coalesce(m.n, 0) matches from a left join (select * from m where r = 1) m using (seq)""")
+
+
+@query("labelled_network_episodes", LABELLED)
+def labelled_network_episodes(spark, sf):
+    """Events of both address families against label files whose hosts are addresses and networks of either; files with a bad host are left out."""
+    t = V.traffic(spark, sf).select("seq", "ts_us", "src_ip", "dst_ip")
+    octet = lambda c, i: F.element_at(F.split(c, "[.]"), i).cast("int")
+    part = lambda x: F.lower(F.hex(x))
+    v6 = F.concat(F.lit("2001:db8:"), part(32764 + octet("src_ip", 4) % 8), F.lit(":"), part(octet("dst_ip", 4) % 8), F.lit("::"), part(F.col("seq") % 65536))
+    events = t.withColumn("src_ip", F.when(F.col("seq") % 2 == 1, v6).otherwise(F.col("src_ip")))
+    h = t.groupBy(octet("src_ip", 3).alias("o3"), octet("src_ip", 4).alias("o4"), "src_ip").agg(F.min("ts_us").alias("s"))
+    text = F.concat(F.lit("2001:DB8:"), part(32764 + F.col("o4") % 8))
+    hosts = (F.when(F.col("o4") % 50 == 7, F.array(F.lit("10.0.0.300"))).when(F.col("o4") % 50 == 9, F.array().cast("array<string>")).when(F.col("o4") % 25 == 4, F.array(F.lit("2001:db8:8000::/33")))
+             .when(F.col("o4") % 5 == 4, F.array(F.lit("fd00::/8"), F.lit("10.9.9.9"))).when(F.col("o4") % 5 == 0, F.array("src_ip")).when(F.col("o4") % 5 == 1, F.array(F.concat("src_ip", F.lit("/255.255.255.252")), F.lit("ff02::1")))
+             .when(F.col("o4") % 5 == 2, F.array(F.concat(text, F.lit("::/48")))).otherwise(F.array(F.concat(text, F.lit(":"), part(F.col("o4") % 8), F.lit("::/63")), F.concat(F.lit("198.51.100."), (F.col("o4") % 32).cast("string")))))
+    seconds = F.when(F.col("o4") % 50 == 9, 1).otherwise(60) + F.when(F.col("o4") % 7 == 0, 100_000_000).otherwise(0)
+    ms = lambda us: F.floor(us / 1000).cast("double")
+    one = F.struct(F.concat_ws("-", F.lit("ep"), "o3", "o4").alias("id"), F.when(F.col("o4") % 2 == 0, "DDOS").otherwise("BENIGN").alias("label"), ms(F.col("s") - 20_000_000).alias("start_ms"), ms(F.col("s") + seconds.cast("long") * 1_000_000).alias("end_ms"), hosts.alias("hosts"))
+    # one file per rank, so that an episode's place in its file is its priority
+    files = h.select(F.concat(F.lit("net-"), "o3", F.lit("-"), F.floor(F.col("o4") / 9).cast("string")).alias("capture"), F.struct("o4", one.alias("e")).alias("x")).groupBy("capture").agg(F.array_sort(F.collect_list(F.struct("x.o4", F.to_json("x.e").alias("j")))).alias("e"), F.max("x.o4").alias("top"))
+    # places without an episode hold an unusable entry
+    slots = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.coalesce(F.element_at(F.filter("e", lambda y: y["o4"] % 9 == i), 1)["j"], F.lit('{"id": null}')))
+    doc = F.concat(F.lit('{"format":"x","split":"train","capture":"'), "capture", F.lit('","episodes":['), F.array_join(slots, ","), F.lit("]}"))
+    parsed = files.select(F.from_json(doc, tables.LABEL_FILE).alias("j")).select("j.*")
+    episodes = tables.label_episodes(parsed, allowed=["DDOS", "BENIGN"]).filter(F.size("errors") == 0)
+    return joins.match_networks(events, episodes).select("seq", "episode", "label", "matches")
 
 
 ASOF = """with o as (select o_custkey % 1000 u, cast(epoch_us(o_orderdate) as bigint) t, max(o_orderkey) k from orders group by 1, 2),

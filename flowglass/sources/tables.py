@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ip
 from ..functions.times import iso_ms, syslog_seconds
 from ..functions.text import canonical_log_name
 
@@ -87,6 +88,7 @@ def label_episodes(files: DataFrame, allowed=None) -> DataFrame:
     e = e.join(ids, ["_f", "id"], "left").withColumns({"start_us": (start * 1000).cast("long"), "end_us": (end * 1000).cast("long")})
     errors = [F.when(F.col("id").isNull() | (F.trim("id") == ""), "missing_id"), F.when(F.col("_k") > 1, "duplicate_id"),
               F.when(F.col("start_us").isNull() | F.col("end_us").isNull() | (F.col("start_us") < 0), "bad_time"), F.when(F.col("end_us") < F.col("start_us"), "end_precedes_start")]
+    errors.append(F.when(F.exists(F.coalesce("hosts", F.array().cast("array<string>")), lambda h: ip.network(h).isNull()), "bad_host"))
     if allowed:
         errors.append(F.when(~F.col("label").isin(list(allowed)) | F.col("label").isNull(), "bad_label"))
     e = e.withColumns({"errors": F.array_compact(F.array(*errors)), "scenario": F.coalesce("scenario", F.lower("label"))})
