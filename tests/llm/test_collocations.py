@@ -45,7 +45,6 @@ def rows_of(df):
 def test_whole_texts(spark, every, least, monkeypatch):
     if every == 2:
         monkeypatch.setattr(C, "SLICE", 3000)
-        monkeypatch.setattr(C, "KEYS", 2000)
         monkeypatch.setattr(C, "MOST_BITS", 64)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     rows = [(r.lang, r.text) for r in docs.collect()]
