@@ -6,10 +6,10 @@ with that window.  Where a chunk ends depends on its content alone, so copies of
 The dictionary keeps each different chunk once with its frequency in the parse.  Phrases are counted inside dictionary chunks only and
 weighted by that frequency; a phrase belongs to the chunk in which it starts before the closing window, so overlaps count once.
 
-Counting takes three passes over the dictionary, and only the last one handles strings.  The first two count hashes of words, then
-of word pairs made of frequent words; each leaves a bit set of the hashes that reach the least count (sized by their number, at most
-`MOST_BITS` bits: beyond that it only lets more through).  Hash counts can only be too high, so nothing frequent is missed.  The last pass
-counts, as strings, words and pairs found in the bit sets and longer phrases all of whose pairs are; those counts are exact.
+Counting takes four passes over the dictionary, and only the last one handles strings.  The first three count hashes of words, of
+pairs made of frequent words and of triples made of frequent pairs; each leaves a bit set of the hashes that reach the least count (sized by
+their number, at most `MOST_BITS` bits: beyond that it only lets more through).  Hash counts can only be too high, so nothing frequent is
+missed.  The last pass counts, as strings, phrases found in the bit sets and longer ones all of whose triples are; those counts are exact.
 
 A candidate has 2 to 5 words and a count a of at least `least`.  A cut after k words with counts l and r of its parts scores
 floor(1000 a n / (l r)), n being the words of the language; the lowest cut counts, ties to the smallest k.  Candidates contained in a
@@ -144,16 +144,24 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> text.U(3)).astype(np.int64)] >> (at & text.U(7)).astype(np.uint8)) & 1 > 0
 
 
-def frequent_bits(words: DataFrame, size: int, least: int, pairs_of=None):
-    """A broadcast bit set over the hashes of phrases of `size` words that may occur `least` times; pairs only of words in `pairs_of`."""
+def _links(s: Slice, size: int, bits) -> np.ndarray:
+    """For each word whether the `size` words from it on are a phrase found in the bit set; some words more at the end."""
+    out = np.zeros(len(s.pos) + LONGEST, bool)
+    at = np.flatnonzero(s.left >= size)
+    out[at] = _has(bits, s.keys(at, size))
+    return out
+
+
+def frequent_bits(words: DataFrame, size: int, least: int, shorter=None):
+    """A broadcast bit set over the hashes of phrases of `size` words that may occur `least` times; `shorter`: that of phrases one word shorter."""
     spark = words.sparkSession
 
     def run(batches):
         for s in _slices(batches):
             at = np.flatnonzero(s.own & (s.left >= size))
-            if pairs_of is not None:
-                known = _has(pairs_of.value, s.keys(np.arange(len(s.pos)), 1)) if len(s.pos) else np.zeros(0, bool)
-                at = at[known[at] & known[at + 1]]
+            if shorter is not None:
+                part = _links(s, size - 1, shorter.value)
+                at = at[part[at] & part[at + 1]]
             key, _, n = s.counted(at, s.keys(at, size))
             yield pa.RecordBatch.from_arrays([pa.array(text.signed(key)), pa.array(n)], ["key", "n"])
 
@@ -175,22 +183,17 @@ def frequent_phrases(words: DataFrame, least=LEAST, longest=LONGEST) -> DataFram
     """lang, phrase, m (words), a: all phrases of up to `longest` words that occur `least` times."""
     single = frequent_bits(words, 1, least)
     double = frequent_bits(words, 2, least, single)
+    triple = frequent_bits(words, 3, least, double)
 
     def run(batches):
         for s in _slices(batches):
-            every = np.arange(len(s.pos))
-            pair = np.zeros(len(every) + longest, bool)
-            two = every[s.left >= 2]
-            pair[two] = _has(double.value, s.keys(two, 2))
+            found = [_links(s, size, bits.value) for size, bits in enumerate((single, double, triple), 1)]
             for m in range(1, longest + 1):
-                at = every[s.own & (s.left >= m)]
-                for i in range(m - 1):
-                    at = at[pair[at + i]]
-                key = s.keys(at, m)
-                if m == 1:
-                    at = at[_has(single.value, key)]
-                    key = s.keys(at, m)
-                _, one, n = s.counted(at, key)
+                at = np.flatnonzero(s.own & (s.left >= m))
+                size = min(m, len(found))
+                for i in range(m - size + 1):
+                    at = at[found[size - 1][at + i]]
+                _, one, n = s.counted(at, s.keys(at, m))
                 lang = s.names.take(pa.array(s.code[s.w.doc[one]]))
                 yield pa.RecordBatch.from_arrays([lang, _cut(s.buf, s.w.start[one], s.w.end[one + m - 1]), pa.array(np.full(len(one), m, np.int32)), pa.array(n)], ["lang", "phrase", "m", "n"])
 
