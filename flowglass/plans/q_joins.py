@@ -34,7 +34,7 @@ def network_episode_matching(spark, sf):
 LABELLED = over(TRAFFIC, """, a as (select seq, ts_us, seq % 2 v6, cast(split_part(src_ip, '.', 3) as int) o3, cast(split_part(src_ip, '.', 4) as int) o4, cast(split_part(dst_ip, '.', 4) as int) d4 from traffic),
   h as (select o3, o4, min(ts_us) s, min(seq) q from a group by all),
   l as (select *, concat('ep-', cast(o3 as varchar), '-', cast(o4 as varchar)) id, case when o4 % 50 = 7 then 'bad' when o4 % 50 = 9 then 'any' when o4 % 5 = 4 then 'half' else cast(o4 % 5 as varchar) end kind, o4 % 9 priority,
-    case when o4 % 2 = 0 then 'DDOS' else 'BENIGN' end label, (s - 20000000) // 1000 * 1000 a_us, (s + (case when o4 % 50 = 9 then 1 else 60 end + case when o4 % 7 = 0 then 100000000 else 0 end) * 1000000) // 1000 * 1000 b_us from h),
+    case when o4 % 2 = 0 then 'DDOS' else 'BENIGN' end label, (s - 20000000) // 1000 * 1000 a_us, (s + (case when o4 % 50 = 9 then 1 else 60 end + case when o4 % 7 = 0 then 100000000 else 0 end) * cast(1000000 as bigint)) // 1000 * 1000 b_us from h),
   m as (select a.seq, l.id, l.label, row_number() over (partition by a.seq order by l.priority, l.id) r, count(*) over (partition by a.seq) n from a join l on a.ts_us between a_us and b_us and (
     kind = 'any' or (kind = '0' and v6 = 0 and a.o3 = l.o3 and a.o4 = l.o4) or (kind = '1' and v6 = 0 and a.o3 = l.o3 and a.o4 // 4 = l.o4 // 4)
     or (kind = '2' and v6 = 1 and a.o4 % 8 = l.o4 % 8) or (kind = '3' and ((v6 = 1 and a.o4 % 8 = l.o4 % 8 and (a.d4 % 8) // 2 = (l.o4 % 8) // 2) or a.d4 = l.o4 % 32))
@@ -61,7 +61,7 @@ def labelled_network_episodes(spark, sf):
     # one file per rank, so that an episode's place in its file is its priority
     files = h.select(F.concat(F.lit("net-"), "o3", F.lit("-"), F.floor(F.col("o4") / 9).cast("string")).alias("capture"), F.struct("o4", one.alias("e")).alias("x")).groupBy("capture").agg(F.array_sort(F.collect_list(F.struct("x.o4", F.to_json("x.e").alias("j")))).alias("e"), F.max("x.o4").alias("top"))
     # places without an episode hold an unusable entry
-    slots = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.coalesce(F.element_at(F.filter("e", lambda y: y["o4"] % 9 == i), 1)["j"], F.lit('{"id": null}')))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.coalesce(F.get(F.filter("e", lambda y: y["o4"] % 9 == i), F.lit(0))["j"], F.lit('{"id": null}')))
     doc = F.concat(F.lit('{"format":"x","split":"train","capture":"'), "capture", F.lit('","episodes":['), F.array_join(slots, ","), F.lit("]}"))
     parsed = files.select(F.from_json(doc, tables.LABEL_FILE).alias("j")).select("j.*")
     episodes = tables.label_episodes(parsed, allowed=["DDOS", "BENIGN"]).filter(F.size("errors") == 0)
