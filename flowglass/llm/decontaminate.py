@@ -11,6 +11,8 @@ A window is `window` consecutive words of an item; an item of fewer, but not non
 letters and non-ASCII characters, A-Z lower-cased.  Null and empty texts have no words, and items without words match
 nothing; an item with a null id marks words but is not listed.  Equal items are all listed; repeated documents are judged
 one by one.  With an empty benchmark every document is clean.  `clean` returns the columns of its input, whatever they are."""
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,24 +54,23 @@ def suffix_order(ranks: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-class Block:
-    """Test windows: distinct word sequences, and for each the (item, position) pairs it stands at."""
+def block_of(hashes: list[np.ndarray], ids: list, window: int) -> SimpleNamespace:
+    """Test windows: distinct word sequences, and for each the (item, position) pairs it stands at.
 
-    def __init__(self, hashes: list[np.ndarray], ids: list, window: int):
-        self.ids = ids
-        self.sizes = []
-        seen: dict[tuple, list] = {}
-        for item, h in enumerate(hashes):
-            size = min(window, len(h))
-            for p in range(len(h) - size + 1 if size else 0):
-                seen.setdefault(tuple(h[p : p + size].tolist()), []).append((item, p))
-        by_size: dict[int, list] = {}
-        for w in seen:
-            by_size.setdefault(len(w), []).append(w)
-        self.groups = []
-        for size, ws in sorted(by_size.items()):
-            at = [seen[w] for w in ws]
-            self.groups.append((np.array(ws, np.uint64), np.array([len(a) for a in at]), np.array([x for a in at for x in a], np.int64).reshape(-1, 2)))
+    A plain object of arrays, which executors can read without this package."""
+    seen: dict[tuple, list] = {}
+    for item, h in enumerate(hashes):
+        size = min(window, len(h))
+        for p in range(len(h) - size + 1 if size else 0):
+            seen.setdefault(tuple(h[p : p + size].tolist()), []).append((item, p))
+    by_size: dict[int, list] = {}
+    for w in seen:
+        by_size.setdefault(len(w), []).append(w)
+    groups = []
+    for _, ws in sorted(by_size.items()):
+        at = [seen[w] for w in ws]
+        groups.append((np.array(ws, np.uint64), np.array([len(a) for a in at]), np.array([x for a in at for x in a], np.int64).reshape(-1, 2)))
+    return SimpleNamespace(ids=ids, groups=groups)
 
 
 class Shard:
@@ -171,7 +172,7 @@ def test_blocks(benchmark: DataFrame, window: int, limit: int) -> list:
     out = []
     for k in range(2 * parts if parts > 1 else min(1, parts)):
         part = (rows.filter(F.col("_part") == k) if parts > 1 else rows).filter("n > 0").collect()
-        out.append(spark.sparkContext.broadcast(Block([np.array(r["words"], np.int64).view(np.uint64) for r in part], [r["item_id"] for r in part], window)))
+        out.append(spark.sparkContext.broadcast(block_of([np.array(r["words"], np.int64).view(np.uint64) for r in part], [r["item_id"] for r in part], window)))
     return out
 
 
