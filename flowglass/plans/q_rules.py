@@ -124,11 +124,12 @@ def generated_name_hits(spark, sf):
     return f.filter(D.guard_conditions(TH)["DGA_DOMAINS"]).select("seq", F.col("_rl").alias("lb"))
 
 
-@query("encrypted_session_hits", over(TRAFFIC, TLS_SQL + """, c as (select client, min((ts_us, seq)) f from x where fp is not null group by 1),
+@query("encrypted_session_hits", over(TRAFFIC, TLS_SQL + """, c as (select client, min((ts_us, seq)) f from x where fp is not null group by 1), o as (select fp, client, min((ts_us, seq)) f from x where fp is not null group by 1, 2),
   s1 as (select seq, ts_us, ja3, sum(packets) over (partition by client, server, sid order by ts_us, seq rows unbounded preceding) pk, avg(size) over v mean,
     case when count(*) over v < 2 then 0 else stddev_pop(size) over v / greatest(avg(size) over v, 1e-9) end scv, case when count(gap) over z < 2 then 0 else stddev_pop(gap) over z / greatest(avg(gap) over z, 1e-9) end icv from k
     window v as (partition by client, server, sid order by ts_us, seq rows between 63 preceding and current row), z as (partition by client, server, sid order by ts_us, seq rows between 62 preceding and current row))
-  select seq, ja3 tls_ja3 from s1 where ja3 is not null and pk >= 8 and scv <= 0.9 and icv <= 0.9 and mean <= 900 and (select count(*) from c where (c.f[1], c.f[2]) <= (s1.ts_us, s1.seq)) >= 5"""))
+  select seq, ja3 tls_ja3 from s1 where ja3 is not null and pk >= 8 and scv <= 0.9 and icv <= 0.9 and mean <= 900 and (select count(*) from c where (c.f[1], c.f[2]) <= (s1.ts_us, s1.seq)) >= 5
+    and (select count(*) from o where o.fp = s1.ja3 and (o.f[1], o.f[2]) <= (s1.ts_us, s1.seq)) <= 64"""))
 def encrypted_session_hits(spark, sf):
     f = sessions.tls_features(_tls_rows(spark, sf)).withColumn("encrypted", F.lit(True))
     return f.filter(D.blocks(TH)["tls_regular"]).select("seq", "tls_ja3")
