@@ -56,22 +56,25 @@ class LexicalModel:
         return r.select(*keep, "logit", "score")
 
 
-def fit_base(rows: DataFrame, vocab=ALL_TERMS, max_iter=50) -> LexicalModel:
+def fit_base(rows: DataFrame, vocab=ALL_TERMS, max_iter=300, converge=True) -> LexicalModel:
+    """Terms and the linear model; with `converge` a fit that needs all its iterations is refused."""
     terms = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocab, minDF=1.0)]).fit(rows)
     seen = terms.transform(rows).withColumn("damped", damped("counts"))
     vectors = Pipeline(stages=[IDF(inputCol="damped", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="normed"),
                                VectorAssembler(inputCols=NUMBERS, outputCol="raw_numbers"), StandardScaler(inputCol="raw_numbers", outputCol="scaled", withMean=True),
                                VectorAssembler(inputCols=["normed", "scaled"], outputCol="features")]).fit(seen)
     base = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=max_iter, regParam=0.01).fit(vectors.transform(seen))
+    if converge and base.summary.totalIterations >= max_iter:
+        raise ValueError(f"the linear model did not converge in {max_iter} iterations")
     return LexicalModel(terms, vectors, base, None)
 
 
-def fit(rows: DataFrame, trees=100, depth=3, rate=0.08, vocab=ALL_TERMS, logits: DataFrame | None = None) -> LexicalModel:
-    """Fits the base model and the trees over (logit, numbers); `logits` replaces in-sample logits by out-of-fold ones."""
+def fit(rows: DataFrame, trees=100, depth=3, rate=0.08, vocab=ALL_TERMS, logits: DataFrame | None = None, leaf=1000) -> LexicalModel:
+    """Fits the base model and the trees over (logit, numbers); `logits` replaces in-sample logits by out-of-fold ones, `leaf` is the least number of rows in a leaf."""
     m = fit_base(rows, vocab)
     r = (logits if logits is not None else m.logits(rows)).select("y", "weight", "logit", *NUMBERS)
     r = VectorAssembler(inputCols=["logit", *NUMBERS], outputCol="tree_in").transform(r)
-    m.trees = GBTClassifier(featuresCol="tree_in", labelCol="y", weightCol="weight", maxDepth=depth, maxIter=trees, stepSize=rate, seed=7).fit(r)
+    m.trees = GBTClassifier(featuresCol="tree_in", labelCol="y", weightCol="weight", maxDepth=depth, maxIter=trees, stepSize=rate, minInstancesPerNode=leaf, seed=7).fit(r)
     return m
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import alerts as A
 from ..functions import ip, text
 from ..functions.numbers import log_vector
-from ..operators import beacons, connections, history, rates, sessions
+from ..operators import beacons, connections, history, portable, rates, readable, sessions
 from ..operators.bayes import predict_gaussian
 from ..operators.throttle import throttle
 from ..session import cut
@@ -47,6 +47,9 @@ class Thresholds:
     suppress_slow_ms: int = 3_600_000
     tunnel_candidate: bool = False
     readable_words: tuple = ()
+    word_table: object = None  # DataFrame(word); takes the place of readable_words
+    name_model: object = None  # operators.portable.Portable; takes the place of the generated-name rule
+    name_score: float = 0.5
     indicators: dict = field(default_factory=dict)  # kind -> {fingerprint: note}
 
     def with_(self, **kw):
@@ -69,6 +72,19 @@ def name_features(rows: DataFrame) -> DataFrame:
     return r.withColumns({"domain_length": F.length("_full"), "txt_record": (F.col("dns_type").isin(10, 16) & named).cast("int")})
 
 
+def name_decisions(rows: DataFrame, th: Thresholds) -> DataFrame:
+    """Adds `_name_score` by the name model and `_readable` by the word table, where they are set; each different label is judged once."""
+    if th.name_model is not None:
+        r = rows.withColumn("_label", text.domain_label("dns_name"))
+        scores = portable.label_scores(r, th.name_model, "_label").select(F.col("label").alias("_label"), F.col("score").alias("_name_score"))
+        rows = r.join(scores, "_label", "left").drop("_label")
+    if th.word_table is not None:
+        r = rows.withColumn("_label", text.domain_label("_reg"))
+        seen = readable.readable_labels(r.select(F.col("_label").alias("label")).filter("label <> ''"), th.word_table)
+        rows = r.join(seen.select(F.col("label").alias("_label"), F.col("readable").alias("_readable")), "_label", "left").drop("_label")
+    return rows
+
+
 def all_features(events: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """Every causal feature of every event, one wide row per `seq`.
 
@@ -86,7 +102,7 @@ def all_features(events: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     for part in parts:
         r = r.join(part, "seq", "left")
     # Lexical work comes after the joins, where rows are spread evenly whatever the input files look like.
-    r = history.byte_ratio(name_features(r)).withColumn("udp_destination_concentration", rates.concentration())
+    r = history.byte_ratio(name_decisions(name_features(r), th)).withColumn("udp_destination_concentration", rates.concentration())
     zero = {c: 0 for c in ("tls_session_packets", "tls_fingerprint_clients", "tls_client_population", "slow_beacon_events", "slow_http_connections",
                            "slow_http_open_connections", "slow_read_connections", "slow_read_open_connections", "tls_session_duration_s",
                            "tls_session_mean_bytes", "tls_session_size_cv", "tls_session_small_fraction", "tls_session_iat_mean_s", "tls_session_iat_cv",
@@ -153,6 +169,8 @@ def blocks(th: Thresholds) -> dict:
 
 
 def generated_name(th: Thresholds) -> Column:
+    if th.name_model is not None:
+        return F.coalesce(F.col("_name_score") >= th.name_score, F.lit(False))
     reg = {k: F.col("_r" + k) for k in ("domain_entropy", "bigram_surprise", "domain_label_length", "domain_vowel_ratio")}
     return text.conservative_rule(reg) & (reg["domain_vowel_ratio"] < th.natural_vowels)
 
@@ -198,7 +216,9 @@ def guard_conditions(th: Thresholds) -> dict:
     monitoring = ip.same_local_network("src_ip", "dst_ip") & (((q("protocol") == 17) & (q("dst_port") == 161)) | (q("protocol") == 1))
     named = F.length(F.coalesce("dns_name", F.lit(""))) > 0
     dga = named & q("generated") & ~F.lower(F.coalesce("dns_name", F.lit(""))).startswith("xn--")
-    if th.readable_words:
+    if th.word_table is not None:
+        dga = dga & ~F.coalesce("_readable", F.lit(False))
+    elif th.readable_words:
         dga = dga & ~text.is_readable(text.domain_label("_reg"), th.readable_words)
     return {
         "RECONNAISSANCE": (q("fanout") >= th.recon_floor) & unicast & ~service_reply & ~q("transport").isin("TLS", "QUIC") & ~browsing,
@@ -219,9 +239,11 @@ def hits(features: DataFrame, th: Thresholds = Thresholds(), model: dict | None
     found = []
     for threat, rule in rules.items():
         rule = F.coalesce(rule, F.lit(False))
-        ml = (F.col("model_label") == threat) & (F.col("model_posterior") >= th.posterior) & allowed.get(threat, F.lit(True))
+        ml, strength = (F.col("model_label") == threat) & (F.col("model_posterior") >= th.posterior) & allowed.get(threat, F.lit(True)), F.col("model_posterior")
+        if threat == "DGA_DOMAINS" and th.name_model is not None:
+            rule, ml, strength = F.lit(False), rule, F.col("_name_score")
         ok = (rule | ml) & guards.get(threat, F.lit(True))
-        found.append(F.when(ok, F.struct(F.lit(threat).alias("threat_class"), F.when(ml, F.col("model_posterior")).otherwise(F.lit(0.8)).alias("score"),
+        found.append(F.when(ok, F.struct(F.lit(threat).alias("threat_class"), F.when(ml, strength).otherwise(F.lit(0.8)).alias("score"),
                                          F.when(rule & ml, "HYBRID").when(rule, "RULE").otherwise("ML").alias("detector"))))
     f = f.withColumn("_hit", F.explode(F.array_compact(F.array(*found)))).select("*", "_hit.*").drop("_hit")
     slow_only = (F.col("threat_class") == "BOTNET_C2") & F.col("slow_beacon") & ~F.col("fast_beacon")

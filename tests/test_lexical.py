@@ -26,5 +26,13 @@ def test_rare_and_many_grams_stay_terms(spark):
     rows = spark.range(25_000).selectExpr("id as seq", "lower(conv(cast(shiftrightunsigned(xxhash64(id), 1) as string), 10, 36)) as label", "cast(id % 2 as int) as y")
     rows = lexical_model.balanced(lexical_model.prepare(rows))
     n = rows.select(F.explode("tokens").alias("t")).select("t").distinct().count()
-    m = lexical_model.fit_base(rows, max_iter=2)
+    m = lexical_model.fit_base(rows, max_iter=2, converge=False)
     assert len(m.terms.stages[0].vocabulary) == n > 40_000
+
+
+def test_a_fit_without_convergence_is_refused(spark):
+    import pytest
+
+    rows = lexical_model.balanced(lexical_model.prepare(spark.range(200).selectExpr("sha2(cast(id as string), 256) as label", "cast(id % 2 as int) as y")))
+    with pytest.raises(ValueError, match="converge"):
+        lexical_model.fit_base(rows, max_iter=2)
