@@ -1,4 +1,5 @@
 """Structured Streaming: late events, sliding rates, sessions, suppression, alert table."""
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -44,13 +45,16 @@ def sliding_rates(events: DataFrame, keys=("dst_ip",)) -> DataFrame:
 
 
 def closed_sessions(events: DataFrame, keys, gap="60 seconds") -> DataFrame:
-    """Sessions that ended: packets, bytes and time range."""
-    g = events.groupBy(F.session_window("ts", gap), *keys).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    """Sessions that ended: events, packets, bytes and time range.  The state of a session is its sums; silence of `gap` closes it."""
+    g = events.groupBy(F.session_window("ts", gap), *keys).agg(
+        F.count(F.lit(1)).alias("events"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
     return g.drop("session_window")
 
 
 class Suppressor(StatefulProcessor):
-    """Keeps the first hit of a key and drops repeats until its expiry; a late hit is dropped and counted.
+    """Keeps the first hit of a key and drops repeats until its expiry; late hits are dropped and their number is given out.
+
+    Spark itself drops rows behind the watermark of the batch before and reports their number in its progress (`dropped`).
 
     The expiry is the only state; an event-time timer clears it once it has passed."""
 
@@ -65,49 +69,94 @@ class Suppressor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts_us", "seq"], kind="stable")
         expiry = self.expiry.get()[0] if self.expiry.exists() else None
         mark = timerValues.getCurrentWatermarkInMs() * 1000
+        times = batch["ts_us"].tolist()
+        late = sum(ts < mark for ts in times)  # they stand first
         kept = []
-        for i, ts in enumerate(batch["ts_us"].tolist()):
-            if ts >= mark and (expiry is None or ts >= expiry):
-                expiry = ts + self.gap_us
+        for i in range(late, len(times)):
+            if expiry is None or times[i] >= expiry:
+                expiry = times[i] + self.gap_us
                 kept.append(i)
         if kept:
             self.expiry.update((expiry,))
             self.handle.registerTimer(expiry // 1000 + 1)
-        yield pd.DataFrame({"key": [key[0]] * len(kept), "ts_us": batch["ts_us"].iloc[kept].to_numpy(), "seq": batch["seq"].iloc[kept].to_numpy()})
+        out = [(key[0], times[i], seq, 0) for i, seq in zip(kept, batch["seq"].iloc[kept].tolist())]
+        if late:
+            out.append((key[0], None, None, late))
+        yield pd.DataFrame(out, columns=["key", "ts_us", "seq", "late"]).astype({"ts_us": "Int64", "seq": "Int64", "late": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.expiry.exists() and self.expiry.get()[0] <= timerValues.getCurrentWatermarkInMs() * 1000:
             self.expiry.clear()
-        yield pd.DataFrame({"key": pd.Series(dtype="str"), "ts_us": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64")})
+        yield pd.DataFrame({"key": pd.Series(dtype="str"), "ts_us": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"), "late": pd.Series(dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-def suppress(hits: DataFrame, key: str, gap_us: int) -> DataFrame:
-    """Streaming form of the repeat suppression: (key, ts_us, seq) of the hits that pass. Needs `ts` with a watermark and the RocksDB state store."""
-    return hits.select(F.col(key).alias("key"), "ts", "ts_us", "seq").groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Suppressor(gap_us), outputStructType="key string, ts_us long, seq long", outputMode="Append", timeMode="EventTime")
+def suppress(hits: DataFrame, key: str, gap_us: int, with_late=False) -> DataFrame:
+    """Streaming form of the repeat suppression: (key, ts_us, seq) of the hits that pass. Needs `ts` with a watermark and the RocksDB state store.
+
+    `with_late`: also one row per key and micro-batch with the number of `late` hits that reached the operator and were dropped there."""
+    out = hits.select(F.col(key).alias("key"), "ts", "ts_us", "seq").groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Suppressor(gap_us), outputStructType="key string, ts_us long, seq long, late long", outputMode="Append", timeMode="EventTime")
+    return out if with_late else out.filter("seq is not null").drop("late")
+
+
+def _note(spark: SparkSession, path: str, batch_id: int):
+    """What an earlier batch left for the next one; None before the first."""
+    if batch_id < 0:
+        return None
+    found = read_alerts(spark, f"{path}/_notes/{batch_id}")
+    return None if found is None else found.first()
 
 
 def write_alerts(path: str):
     """`foreachBatch` sink: one folder per batch, overwritten on retry, with sequence numbers that keep growing.
 
-    A failed batch leaves no rows behind and a repeated one writes the same rows again."""
+    A failed batch leaves no rows behind and a repeated one writes the same rows again.  Each batch leaves a note of one row with its last
+    number, so a batch reads one row of the past however long the history is."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        start = 0
-        if batch_id > 0:
-            earlier = read_alerts(spark, path)
-            if earlier is not None:
-                start = earlier.filter(F.col("batch_id") < batch_id).agg(F.max("sequence")).first()[0] or 0
+        before = _note(spark, path, batch_id - 1)
+        start = before["last"] if before else 0
         rows = running_sums(batch, [], {"sequence": F.lit(1)}, block_us=10_000_000).withColumn("sequence", F.col("sequence") + F.lit(start))
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        last = spark.read.parquet(f"{path}/batch_id={batch_id}").agg(F.coalesce(F.max("sequence"), F.lit(start)).cast("long").alias("last"))
+        last.write.mode("overwrite").parquet(f"{path}/_notes/{batch_id}")
 
     return sink
 
 
+def count_arrivals(path: str):
+    """`foreachBatch` sink: per micro-batch the rows processed, those late (before the newest event time of earlier batches) and the newest time so far."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _note(spark, path, batch_id - 1)
+        seen = F.lit(before["max_ts_us"] if before else None).cast("long")
+        row = batch.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("ts_us") < seen).alias("late"), F.greatest(F.max("ts_us"), seen).alias("max_ts_us"))
+        row.write.mode("overwrite").parquet(f"{path}/_notes/{batch_id}")
+        spark.read.parquet(f"{path}/_notes/{batch_id}").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return sink
+
+
+def watched(sink, path: str):
+    """Wraps an alert sink by a reader of its own: after every micro-batch it reads on from its cursor, as a client would, and notes what it found."""
+
+    def both(batch: DataFrame, batch_id: int) -> None:
+        sink(path)(batch, batch_id)
+        spark = batch.sparkSession
+        before = _note(spark, f"{path}/_reader", batch_id - 1)
+        cursor, total = (before["cursor"], before["visible"]) if before else (0, 0)
+        new = spark.read.option("basePath", path).parquet(f"{path}/batch_id={batch_id}").filter(F.col("sequence") > cursor)
+        seen = new.agg(F.coalesce(F.max("sequence"), F.lit(cursor)).cast("long").alias("cursor"), (F.count(F.lit(1)) + total).alias("visible"))
+        seen.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/_reader/_notes/{batch_id}")
+
+    return both
+
+
 def read_alerts(spark: SparkSession, path: str):
     try:
         return spark.read.parquet(path)
@@ -122,17 +171,52 @@ def read_since(spark: SparkSession, path: str, cursor: int, limit: int) -> DataF
     return spark.read.parquet(path).filter(F.col("sequence") > cursor).orderBy("sequence").limit(limit)
 
 
-def run_available(stream: DataFrame, sink=None, path=None, mode="append") -> str:
-    """Runs a stream over everything available and stops; returns the output folder."""
+def dropped(progress: list) -> int:
+    """Rows that stateful operators dropped behind the watermark, from the progress of a run."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def run_available(stream: DataFrame, sink=None, path=None, mode="append", state=None, progress: list | None = None) -> str:
+    """Runs a stream over everything available and stops; returns the output folder.  With the `state` folder of an earlier run it goes on from there.
+
+    `progress` takes one report per micro-batch (the newest that spark.sql.streaming.numRecentProgressUpdates keeps)."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     path = path or shared_path(spark, "stream-out")
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True)
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", state or shared_path(spark, "stream-state")).trigger(availableNow=True)
     q = w.foreachBatch(sink(path)).start() if sink else w.format("parquet").option("path", path).start()
     q.awaitTermination()
+    if progress is not None:
+        progress += [json.loads(p.json) if hasattr(p, "json") and not isinstance(p, dict) else p for p in q.recentProgress]
     return path
 
 
+FAR_US = 4_000_000_000_000_000  # the year 2096: behind every window of earlier events
+
+
+def run_to_end(events: DataFrame, build, sink=None) -> str:
+    """Runs build(events with watermark) over everything available and then closes what is still open; returns the output folder.
+
+    The end of input is said by one marker row far in the future.  It comes through a source of its own, in a second run from the same
+    state, so it is behind every event; its watermark closes all windows and sessions.  Its other columns are null and its own window stays open."""
+    spark = events.sparkSession
+    marks, state = shared_path(spark, "stream-marks"), shared_path(spark, "stream-state")
+    spark.createDataFrame([], "ts_us long").write.parquet(marks)
+    both = events.unionByName(spark.readStream.schema("ts_us long").parquet(marks), allowMissingColumns=True)
+    path = run_available(build(with_time(both)), sink, state=state)
+    spark.createDataFrame([(FAR_US,)], "ts_us long").write.mode("append").parquet(marks)
+    return run_available(build(with_time(both)), sink, path, state=state)
+
+
+def in_batches(rows: DataFrame, batch: str, batches: int, files=4) -> DataFrame:
+    """A stream of the rows in which micro-batch k holds those with `batch` = k: their files are written one batch after the other."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "stream-in")
+    for k in range(batches):
+        rows.filter(F.col(batch) == k).repartition(files).write.option("maxRecordsPerFile", 0).mode("append").parquet(path)
+    return event_stream(spark, path, rows.schema, files_per_trigger=files)
+
+
 def arrival_metrics(events: DataFrame) -> DataFrame:
     """Rows and newest event time per micro-batch, reported with the query progress; Spark adds the rows its watermark dropped."""
     return events.observe("arrivals", F.count(F.lit(1)).alias("rows"), F.max("ts_us").alias("max_ts_us"))
