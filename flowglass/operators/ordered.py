@@ -185,3 +185,18 @@ def running_max(rows: DataFrame, value: str, out: str, order="seq", block_rows=6
     tops = rows.groupBy(b.alias("_run")).agg(F.max(value).alias("_t"))
     carry = tops.select("_run", F.max("_t").over(W.orderBy("_run").rowsBetween(FIRST, -1)).alias("_c"))
     return local.join(carry, "_run").select(*rows.columns, F.greatest("_m", "_c").alias(out))
+
+
+def sequence_digest(rows: DataFrame, keys, text, size=4096, levels=3) -> DataFrame:
+    """keys, n, digest: an order-preserving digest of a key's rows in arrival order; `text` is what counts of a row.
+
+    Rows are numbered and cut into blocks of `size`; a block's digest is the SHA-256 of its lines, and the digests of `size` blocks are
+    lines of the next level, `levels` levels in all, the last one taking what is left.  So no row or task ever holds a whole sequence,
+    digests of parts can be made apart, and equal digests mean equal sequences."""
+    keys = list(keys)
+    r = running_sums(rows.select("seq", "ts_us", *keys, text.alias("_t")), keys, {"_p": F.lit(1).cast("long")}).select(*keys, (F.col("_p") - 1).alias("_p"), F.lit(1).cast("long").alias("n"), "_t")
+    for level in range(levels):
+        part = F.floor(F.col("_p") / size).cast("long") if level < levels - 1 else F.lit(0).cast("long")
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_t"))), lambda x: x["_t"]), "\n")
+        r = r.withColumn("_q", part).groupBy(*keys, "_q").agg(F.sum("n").alias("n"), F.sha2(lines, 256).alias("_t")).withColumnRenamed("_q", "_p")
+    return r.select(*keys, "n", F.col("_t").alias("digest"))

@@ -1,8 +1,10 @@
 """Flow-export datagrams to events: fixed records, template-based records, packet samples."""
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.joins import asof_latest
+from ..session import cut
 from .wire import cut_bytes, decode_frames, ipv4, ipv6, stage, u
 
 MAX_PACKETS, MAX_BYTES = 1_000_000, 1_000_000_000  # counters above are kept as they are and marked `clipped`
@@ -13,8 +15,8 @@ IE = {"octets": 1, "packets": 2, "protocol": 4, "flags": 6, "src_port": 7, "src_
 TEMPLATE = "array<struct<id:int,ent:long,len:int>>"
 
 
-def flow_events(r: DataFrame) -> DataFrame:
-    """Counters to event columns; rows without addresses, packets or time are dropped.
+def flow_events(r: DataFrame, skipped=False) -> DataFrame:
+    """Counters to event columns; rows without addresses, packets or time are dropped, or with `skipped` kept and marked by it.
 
     Needs seq, ts_us, src_ip, dst_ip, src_port, dst_port, protocol, packets, octets, flags, reverse (null when unseen)."""
     tcp = F.col("protocol") == 6
@@ -24,7 +26,9 @@ def flow_events(r: DataFrame) -> DataFrame:
     over = (packets > MAX_PACKETS) | (F.coalesce("octets", F.lit(0)) > MAX_BYTES) | (F.coalesce("reverse", F.lit(0)) > MAX_BYTES)
     enc = (F.col("src_port") == 443) | (F.col("dst_port") == 443)
     good = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull() & (F.col("packets") > 0) & (F.col("ts_us") >= 0)
-    return r.filter(F.coalesce(good, F.lit(False))).select(
+    good = F.coalesce(good, F.lit(False))
+    r = r.withColumn("skipped", ~good) if skipped else r.filter(good)
+    return r.select(
         *[c for c in r.columns if c not in ("packets", "octets", "flags", "reverse")], packets.alias("packets"), F.coalesce("octets", F.lit(0)).cast("long").alias("bytes"), bit(2).alias("syn"),
         F.when(tcp & bit(2) & ~bit(16), packets).when(tcp & ~bit(2), 0).cast("long").alias("syn_packets"), F.when(tcp & bit(5), True).alias("tcp_fin_rst"), enc.alias("encrypted"),
         F.when((F.col("protocol") == 17) & enc, "QUIC").otherwise("IP").alias("transport"), F.col("reverse").cast("long").alias("reverse_bytes"), F.col("reverse").isNotNull().alias("reverse_observed"), F.coalesce(over, F.lit(False)).alias("clipped"))
@@ -45,7 +49,7 @@ def datagram_kind(p="payload") -> Column:
             .when((v2 == 10) & (n >= 16) & (u(p, 2, 2) <= n) & (u(p, 2, 2) >= 16), "ipfix").when(v2.isin(5, 9, 10), "malformed").otherwise("unsupported"))
 
 
-def fixed_records(d: DataFrame) -> DataFrame:
+def fixed_records(d: DataFrame, skipped=False) -> DataFrame:
     """v5 datagrams (seq, payload) to events; an event is dated at the end of its flow."""
     p = "payload"
     n = u(p, 2, 2)
@@ -54,7 +58,7 @@ def fixed_records(d: DataFrame) -> DataFrame:
     r = r.select("seq", "i", "boot", cut_bytes(p, 24 + 48 * F.col("i"), 48).alias("r"))
     f = stage(r, {"ts_us": F.col("boot") + u("r", 28, 4) * 1000, "src_ip": ipv4("r", 0), "dst_ip": ipv4("r", 4), "src_port": u("r", 32, 2).cast("int"), "dst_port": u("r", 34, 2).cast("int"),
                   "protocol": u("r", 38, 1).cast("int"), "packets": u("r", 16, 4), "octets": u("r", 20, 4), "flags": u("r", 37, 1), "reverse": F.lit(None).cast("long")})
-    return flow_events(f.drop("boot", "r"))
+    return flow_events(f.drop("boot", "r"), skipped)
 
 
 def _walk(start, end, room, init, step):
@@ -111,7 +115,7 @@ def templates(s: DataFrame) -> DataFrame:
     return d.select("seq", "ts_us", "set_no", "exporter", "ipfix", "domain", F.col("d.tid").alias("template_id"), F.col("d.fields").alias("fields"))
 
 
-def template_records(d: DataFrame) -> DataFrame:
+def template_records(d: DataFrame, skipped=False) -> DataFrame:
     """v9 and IPFIX datagrams to events; sets without a known template are counted by `missing_templates`."""
     s = with_templates(d)
     b = "body"
@@ -150,7 +154,7 @@ def template_records(d: DataFrame) -> DataFrame:
     f = stage(r, {"ts_us": end, "src_ip": F.coalesce(addr4(raw("src_v4")), addr6(raw("src_v6"))), "dst_ip": F.coalesce(addr4(raw("dst_v4")), addr6(raw("dst_v6"))),
                   "src_port": zero(raw("src_port")), "dst_port": zero(raw("dst_port")), "protocol": zero(raw("protocol")), "packets": F.coalesce(num(raw("packets")), num(raw("packets_total"))),
                   "octets": F.coalesce(num(raw("octets")), num(raw("octets_total"))), "flags": num(raw("flags")), "reverse": num(raw("octets", REVERSE))})
-    return flow_events(f.drop("v", "export_us", "boot_us"))
+    return flow_events(f.drop("v", "export_us", "boot_us"), skipped)
 
 
 def with_templates(d: DataFrame) -> DataFrame:
@@ -183,3 +187,43 @@ def sampled_headers(d: DataFrame) -> DataFrame:
     x = s.select("seq", "ts_us", "rate", F.explode(_walk(F.when(wide, 44).otherwise(32), F.length(b).cast("int"), 8, F.array().cast("array<struct<fmt:int,raw:binary>>"), rec)).alias("x"))
     x = x.select("seq", "ts_us", "rate", "x.fmt", "x.raw").filter("fmt = 1").filter((F.length("raw") >= 16) & (u("raw", 0, 4) == 1))
     return x.select("seq", "ts_us", "rate", cut_bytes("raw", 16, u("raw", 12, 4)).alias("frame"))
+
+
+def sampled_records(d: DataFrame, skipped=False) -> DataFrame:
+    """Packet-sample datagrams to events: the sampled header stands for `rate` packets of its length, dated at arrival."""
+    s = sampled_headers(d).withColumn("i", F.row_number().over(W.partitionBy("seq").orderBy(F.monotonically_increasing_id())) - 1)
+    h = decode_frames(s)
+    ok = F.col("status") == "ok"
+    only = lambda c: F.when(ok, F.col(c))
+    f = stage(h, {"src_ip": only("src_ip"), "dst_ip": only("dst_ip"), "src_port": F.coalesce("src_port", F.lit(0)), "dst_port": F.coalesce("dst_port", F.lit(0)), "protocol": F.col("protocol"),
+                  "packets": F.col("rate"), "octets": F.col("rate") * F.col("ip_bytes"), "flags": F.col("tcp_flags").cast("long"), "reverse": F.lit(None).cast("long")})
+    return flow_events(f.select("seq", "i", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packets", "octets", "flags", "reverse"), skipped)
+
+
+def datagram_events(d: DataFrame, skipped=False) -> DataFrame:
+    """Events of all export formats (seq, ts_us, exporter, payload) with `place`, their order in the datagram: by flow end, equal ends as they stand.
+
+    A datagram holds at most 64 KB, so a group of this order is small whatever the traffic."""
+    named = lambda df, kind, set_no: df.withColumns({"format": F.lit(kind), "set_no": set_no})
+    none = F.lit(0).cast("int")
+    parts = [named(fixed_records(d, skipped), "v5", none), named(template_records(d, skipped), "template", F.col("set_no")), named(sampled_records(d, skipped), "samples", none)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.withColumn("place", F.row_number().over(W.partitionBy("seq").orderBy("ts_us", "set_no", "i")) - 1)
+
+
+def datagram_counters(frames: DataFrame, ports) -> DataFrame:
+    """One row of decode counters over captured frames (seq, ts_us, frame): datagrams, records, skipped_records, missing_template, malformed, unsupported, other_packets.
+
+    Frames are decoded once; the datagrams alone are kept for the record counts."""
+    r = export_datagrams(frames, ports).withColumn("kind", datagram_kind())
+    kept = cut(r.select("seq", "ts_us", F.col("src_ip").alias("exporter"), "payload", "kept", F.when(F.col("kept"), F.col("kind")).alias("kind")).withColumn("payload", F.when(F.col("kept"), F.col("payload"))))
+    d = kept.filter("kept and kind not in ('malformed', 'unsupported')").select("seq", "ts_us", "exporter", "payload")
+    heads = kept.agg(F.count_if("kept").alias("datagrams"), F.count_if(F.col("kind") == "malformed").alias("malformed"), F.count_if(F.col("kind") == "unsupported").alias("unsupported"), F.count_if(~F.col("kept")).alias("other_packets"))
+    none = F.lit(0).cast("long")
+    per = datagram_events(d, skipped=True).agg(F.count_if(~F.col("skipped")).alias("records"), F.count_if("skipped").alias("skipped_records"))
+    missing = missing_templates(d).agg(F.coalesce(F.sum("missing"), none).alias("missing_template"))
+    names = ["datagrams", "records", "skipped_records", "missing_template", "malformed", "unsupported", "other_packets"]
+    rows = heads.unionByName(per, allowMissingColumns=True).unionByName(missing, allowMissingColumns=True)
+    return rows.agg(*[F.coalesce(F.sum(n), none).alias(n) for n in names])
