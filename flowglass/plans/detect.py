@@ -51,6 +51,7 @@ class Thresholds:
     name_model: object = None  # operators.portable.Portable; takes the place of the generated-name rule
     name_score: float = 0.5
     indicators: dict = field(default_factory=dict)  # kind -> {fingerprint: note}
+    indicator_table: object = None  # DataFrame(kind, fingerprint, note) of any length; takes the place of indicators
 
     def with_(self, **kw):
         return replace(self, **kw)
@@ -101,6 +102,8 @@ def all_features(events: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     r = events.drop("tls_ja4")  # the session's value takes its place
     for part in parts:
         r = r.join(part, "seq", "left")
+    if th.indicator_table is not None:
+        r = r.join(indicator_matches(r, th.indicator_table), "seq", "left")
     # Lexical work comes after the joins, where rows are spread evenly whatever the input files look like.
     r = history.byte_ratio(name_decisions(name_features(r), th)).withColumn("udp_destination_concentration", rates.concentration())
     zero = {c: 0 for c in ("tls_session_packets", "tls_fingerprint_clients", "tls_client_population", "slow_beacon_events", "slow_http_connections",
@@ -130,7 +133,9 @@ def tunnel_pattern() -> Column:
 def indicator(th: Thresholds) -> Column:
     """First listed session fingerprint as (kind, fingerprint, note), in the order of `KINDS`.
 
-    The list is operator-edited and small; it is inlined as a map literal per kind."""
+    A list in `th.indicators` is small and inlined as a map literal per kind; one in `th.indicator_table` was joined before (`_listed`)."""
+    if th.indicator_table is not None:
+        return F.col("_listed")
     found = []
     for kind in KINDS:
         listed = {k.lower(): v for k, v in th.indicators.get(kind, {}).items()}
@@ -143,6 +148,19 @@ def indicator(th: Thresholds) -> Column:
     return F.coalesce(*found, none)
 
 
+def indicator_matches(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """seq, `_listed`: the first listed session fingerprint as (kind, fingerprint, note), in the order of `KINDS`; rows without one are left out.
+
+    An equality join, so the list may be long; equal entries give the smallest note."""
+    own = listed.groupBy("kind", F.lower("fingerprint").alias("_fp")).agg(F.min(F.coalesce("note", F.lit(""))).alias("note"))
+    have = [k for k in KINDS if f"tls_{k}" in rows.columns]
+    cell = lambda i, k: F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"), F.col(f"tls_{k}").alias("fingerprint"))
+    each = rows.select("seq", F.explode(F.array(*[cell(i, k) for i, k in enumerate(have)])).alias("x")).select("seq", "x.*").filter("fingerprint is not null")
+    found = each.withColumn("_fp", F.lower("fingerprint")).join(own, ["kind", "_fp"])
+    best = found.groupBy("seq").agg(F.min(F.struct("rank", "kind", "fingerprint", "note")).alias("b"))
+    return best.select("seq", F.struct("b.kind", "b.fingerprint", "b.note").alias("_listed"))
+
+
 def blocks(th: Thresholds) -> dict:
     """Building blocks of the rules that read feature columns only."""
     q = F.col
