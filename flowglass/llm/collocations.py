@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..plans.catalog import query
 from ..plans.views import table
 from . import text
+from .bits import MOST_BITS, bits_of, has
 from .store import forget, written
 
 LONGEST = 5
@@ -35,7 +36,6 @@ EVERY = 16
 LEAST = 100
 TOP = 2000
 SLICE = 2 << 20
-MOST_BITS = 1 << 28
 
 #: Lower-cased byte codes, 0 where a word ends; and where a piece ends.
 WORD = text._table([0x20, 0x09, *b".,;:!?", *range(0x0A, 0x0E)], True)
@@ -138,17 +138,11 @@ def _slices(batches):
         yield from out(held)
 
 
-def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Keys whose bit is set; the number of bits is a power of two."""
-    at = keys & text.U(len(bits) * 8 - 1)
-    return (bits[(at >> text.U(3)).astype(np.int64)] >> (at & text.U(7)).astype(np.uint8)) & 1 > 0
-
-
 def _links(s: Slice, size: int, bits) -> np.ndarray:
     """For each word whether the `size` words from it on are a phrase found in the bit set; some words more at the end."""
     out = np.zeros(len(s.pos) + LONGEST, bool)
     at = np.flatnonzero(s.left >= size)
-    out[at] = _has(bits, s.keys(at, size))
+    out[at] = has(bits, s.keys(at, size))
     return out
 
 
@@ -166,15 +160,7 @@ def frequent_bits(words: DataFrame, size: int, least: int, shorter=None):
             yield pa.RecordBatch.from_arrays([pa.array(text.signed(key)), pa.array(n)], ["key", "n"])
 
     keys = written(words.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
-    bits = 1 << 18
-    wanted = 32 * keys.count()
-    while bits < min(wanted, MOST_BITS):
-        bits *= 2
-    place = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
-    maps = keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # at most bits / 8 bytes
-    out = np.zeros(bits // 8, np.uint8)
-    for r in maps:
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    out = bits_of(keys, MOST_BITS)
     forget(keys)
     return spark.sparkContext.broadcast(out)
 
