@@ -8,12 +8,11 @@ element being a permutation, the variance is below that of independent minima.
 Bands.  `BANDS` keys of `ROWS` slots each.  A pair at the threshold of 0.8 is missed with probability (1 - 0.8**8)**64, about 8e-6,
 and a component only if all its connecting pairs are.  Equal sets are one from the start.
 
-Links without all pairs.  In a bucket every member is compared with the smallest one only.  What is then still in different
-components is compared inside the bucket: the members outside the largest component with those of other components, if there are
-at most `DIRECT` of them; else the bucket is divided by every further band key (which keeps any pair at the threshold together
-with the same probability) and, after `DEPTH` divisions, worked off `DIRECT` members at a time.  So nothing is left out,
-and no join emits the square of a bucket.  Pairs are dropped early by size and by an 8-bit sketch that is off by six
-standard deviations, then confirmed on their full shingle sets.  Links, components and sets stay in tables.
+Links without pairs.  Sets that share a bucket are read again as full shingle sets, once each.  Buckets with the same members are one; the
+members of a bucket meet in one task, in chunks of about `CHUNK` shingles.  There a local union-find joins them: each member is compared, on the full sets and
+exactly, with those later ones that are in other groups and of fitting size, so a group of copies costs little more than its size.
+Only the links of a spanning forest leave the task, at most one less than there are members.  Where a bucket has several chunks, a second
+pass compares the members outside its largest component with the chunks they have not met.  So nothing is left out or capped.
 
 Texts of fewer words than a shingle have the whole sequence as one; texts without words have no shingles and are linked with
 nothing.  Rows without doc_id are linked with nothing and kept.  Rows of equal doc_id are judged each by its text; `dedup` keeps or drops
@@ -27,14 +26,13 @@ from ..operators.dataprep import components
 from ..plans.catalog import query
 from ..plans.views import table
 from . import text
-from .store import written
+from .bits import bits_of, has
+from .store import forget, written
 
 WORDS = 5
 BANDS, ROWS = 64, 8
-SKETCH = 256
 SIMILAR = 80  # percent
-SLACK = 0.15
-DIRECT, DEPTH = 8, 3
+CHUNK = 1_500_000  # shingles that are compared in one go
 LAZY = 14  # steps after which the few sets still open get whole permutations
 
 
@@ -79,7 +77,7 @@ def super_minhash(doc: np.ndarray, elements: np.ndarray, sets: int, m: int) -> n
 
 
 def _features(docs: DataFrame, words: int) -> DataFrame:
-    """Per row of `docs`: doc_id, _text, n, two sums that stand for the set, band keys and a sketch of one byte for each of `SKETCH` slots."""
+    """Per row of `docs`: doc_id, _text, n, two sums that stand for the set, and band keys."""
     m = BANDS * ROWS
 
     def run(batches):
@@ -95,135 +93,140 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                 for r in range(ROWS):
                     keys = text.mix(keys * text.U(text.BASE) + sig[:, r::ROWS] + text.U(1))
                 keys = text.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64))
-                sketch = (text.mix(sig[:, :SKETCH]) >> text.U(56)).astype(np.uint8)
                 rows = len(n)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, rows), b.column(1).slice(i, rows), pa.array(n.astype(np.int64)), pa.array(text.signed(sums[0])), pa.array(text.signed(sums[1])),
-                     text.lists(text.signed(keys.ravel()), np.full(rows, BANDS)), pa.array([s.tobytes() for s in sketch], pa.binary())], ["doc_id", "_text", "n", "s1", "s2", "bands", "sketch"])
+                     text.lists(text.signed(keys.ravel()), np.full(rows, BANDS))], ["doc_id", "_text", "n", "s1", "s2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text long, n long, s1 long, s2 long, bands array<long>, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text long, n long, s1 long, s2 long, bands array<long>")
 
 
-def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) that size and sketch do not rule out, with the estimated similarity."""
-    one = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
-    j = one.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, set: the sorted shingle hashes of the wanted sets (id, _text).  A bit set of their ids passes over all other texts where they are read."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(bits_of(wanted.select(F.xxhash64("id").alias("key"))))
 
     def run(batches):
         for b in batches:
-            if not len(b):
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (2, 3))
-            est = (x == y).mean(axis=1)
-            ok = pa.array(est >= percent / 100 - SLACK)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(est).filter(ok)], ["a", "b", "est"])
+            b = b.filter(pa.array(has(bits.value, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
+            for i, buf, off in text.slices(b.column(3)):
+                doc, sh, n = text.shingles(text.Words(buf, off, text.SPACED), words)
+                sh = sh[np.lexsort((sh, doc))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(n)), b.column(2).slice(i, len(n)), text.lists(text.signed(sh), n)], ["id", "_text", "set"])
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return j.select("a", "b", "k_a", "k_b").mapInArrow(run, f"a {kind}, b {kind}, est double")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold; only their texts are read again."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "_text"), "id"), "verify")
-    kind = sets.schema["id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("_key"), F.xxhash64("text").alias("_text"), "text")
+    full = known.mapInArrow(run, f"id {kind}, _text long, set array<long>")
+    return written(full.join(wanted, ["id", "_text"]).select("id", "set").dropDuplicates(["id"]), "sets")
+
+
+def forest(flat: np.ndarray, off: np.ndarray, group: np.ndarray, first: int, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join what the similar pairs of sets join: sets flat[off[i]:off[i + 1]], already in the given groups.
+
+    Pairs of two sets from `first` on are left out."""
+    n, size = len(off) - 1, np.diff(off)
+    _, code = np.unique(flat, return_inverse=True)
+    mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    group, links = group.copy(), []
+    for i in range(min(first, n)):
+        other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        other = other[np.minimum(size[other], size[i]) * 100 >= np.maximum(size[other], size[i]) * percent]
+        if not len(other):
+            continue
+        mine = code[off[i] : off[i + 1]]
+        mark[mine] = True
+        m = size[other]
+        ends = np.cumsum(m)
+        place = np.arange(ends[-1]) + np.repeat(off[other] - (ends - m), m)
+        both = np.diff(np.concatenate([[0], np.cumsum(mark[code[place]])])[np.concatenate([[0], ends])])
+        mark[mine] = False
+        for j in other[both * 100 >= (m + size[i] - both) * percent].tolist():
+            if group[j] != group[i]:
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+    return links
+
+
+def _links(rows: DataFrame, percent: int, across: bool) -> DataFrame:
+    """a, b: a spanning forest of each part of `rows` (part, side, id, comp, set).  `across`: only pairs with one set of side 0 and one of side 1."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            for i, buf, off in text.slices(b.column(1)):
-                _, sh, n = text.shingles(text.Words(buf, off, text.SPACED), words)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(n)), text.lists(text.signed(sh), n)], ["id", "set"])
-
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
-    texts = hashed.join(ids, (hashed["doc_id"] == ids["id"]) & (hashed["_hash"] == ids["_text"])).select("id", "text")
-    full = written(texts.mapInArrow(run, f"id {kind}, set array<long>"), "sets")
-    j = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    return j.filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b").distinct()
-
-
-class _Groups:
-    """The component of every set that is linked; new links only join components."""
-
-    def __init__(self, sets):
-        self.labels = sets.select("id", F.col("id").alias("comp")).limit(0)
-
-    def add(self, links: DataFrame) -> None:
-        links = written(links, "links")
-        if links.isEmpty():
-            return
-        joined = self.of(self.of(links, "a", "_ca"), "b", "_cb").select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
-        roots = written(components(joined), "roots")
-        fresh = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.labels, "id", "left_anti").select("id", F.col("id").alias("comp"))
-        moved = self.labels.unionByName(fresh).join(roots, F.col("comp") == F.col("node"), "left")
-        self.labels = written(moved.select("id", F.coalesce("component", "comp").alias("comp")), "components")
+        held, here = [], None
+
+        def found():
+            t = pa.Table.from_batches(held).combine_chunks()
+            sets = t.column(3).combine_chunks()
+            off = sets.offsets.to_numpy().astype(np.int64)
+            flat = sets.values.to_numpy()[off[0] : off[-1]]
+            first = int((t.column(1).to_numpy() == 0).sum()) if across else len(t)
+            group = np.unique(t.column(4).to_numpy(), return_inverse=True)[1]
+            pairs = forest(flat, off - off[0], group, first, percent)
+            ids = t.column(2)
+            take = lambda k: ids.take(pa.array([p[k] for p in pairs], pa.int64())).combine_chunks()
+            return pa.RecordBatch.from_arrays([take(0), take(1)], ["a", "b"])
 
-    def of(self, rows: DataFrame, column="id", name="comp") -> DataFrame:
-        lab = self.labels.select(F.col("id").alias(column), F.col("comp").alias("_c"))
-        return rows.join(lab, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        return self.of(self.of(pairs, "a", "_ca"), "b", "_cb").filter("_ca <> _cb").drop("_ca", "_cb")
-
-
-def near_duplicates(docs: DataFrame, words=WORDS, percent=SIMILAR) -> DataFrame:
+        for b in batches:
+            part = b.column(0).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+            for lo, hi in zip(edge, [*edge[1:], len(part)]):
+                if part[lo] != here:
+                    if len(held):
+                        yield found()
+                    held, here = [], part[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield found()
+
+    sorted_ = rows.repartition("part").sortWithinPartitions("part", "side", "id").select("part", "side", "id", "set", "comp")
+    return written(sorted_.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+
+
+def near_duplicates(docs: DataFrame, words=WORDS, percent=SIMILAR, chunk=CHUNK) -> DataFrame:
     """doc_id, _text (hash of the text), n_shingles, component_id (smallest doc_id reachable over links) and kept."""
     feats = written(_features(docs, words), "features")
-    distinct = feats.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(
-        F.min(F.struct("doc_id", "_text")).alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    sets = written(distinct.select(F.col("r.doc_id").alias("id"), F.col("r._text").alias("_text"), "n", "s1", "s2", "bands", "sketch"), "distinct")
-    groups = _Groups(sets)
-
-    keyed = sets.select("id", F.explode("bands").alias("key"))
-    # Written first, so that both sides of the join back are dealt anew and Spark can split a hot key.
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first")).filter("_n > 1"), "shared")
-    rows = written(keyed.join(shared, "key").filter("id <> _first"), "buckets")
-    star = written(_close(rows.select(F.col("_first").alias("a"), F.col("id").alias("b")), sets, percent), "star")
-    # The likeliest partner of every set first: its copies are then one component, and few pairs are left to be confirmed.
-    best = star.groupBy("b").agg(F.max_by("a", "est").alias("a"))
-    groups.add(_confirmed(best.select("a", "b"), docs, sets, words, percent))
-    left = written(groups.apart(star.join(best, ["a", "b"], "left_anti").select("a", "b")), "left")
-    if not left.isEmpty():
-        groups.add(_confirmed(left, docs, sets, words, percent))
-
-    rows, depth = rows.filter("_n > 2").select("key", "id"), 0
-    while True:
-        labelled = written(groups.of(rows), "labelled")
-        sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_ = sizes.groupBy("key").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "comp")).alias("_top"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-        open_ = written(open_.select("key", F.col("_top.comp").alias("_top"), (F.col("_n") - F.col("_top.n")).alias("_few")), "open")
-        if open_.isEmpty():
-            break
-        still = labelled.join(open_, "key")
-        outside = still.filter("comp <> _top")
-        last = depth >= DEPTH
-        if last:
-            chosen = outside.join(_some(outside), ["key", "id"])
-        else:
-            chosen = outside.filter(F.col("_few") <= DIRECT)
-        pairs = chosen.select("key", F.col("id").alias("a"), F.col("comp").alias("_ca")).join(still.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb")), "key").filter("_ca <> _cb")
-        close = written(groups.apart(_close(pairs.select("a", "b"), sets, percent)), "close")
-        if not close.isEmpty():
-            groups.add(_confirmed(close.select("a", "b"), docs, sets, words, percent))
-        if last:
-            rows = still.select("key", "id").join(chosen.select("key", "id"), ["key", "id"], "left_anti")
-        else:
-            big = still.filter(F.col("_few") > DIRECT).select("key", "id").join(sets.select("id", F.explode("bands").alias("_more")), "id").filter("key <> _more")
-            finer = big.select(F.xxhash64("key", "_more").alias("key"), "id")
-            many = written(finer.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"), "many")
-            rows = finer.join(many, "key")
-        rows, depth = written(rows, "rows"), depth + 1
-
-    named = groups.of(sets.select("n", "s1", "s2", "id")).select("n", "s1", "s2", "comp")
+    distinct = feats.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "_text")).alias("r"), F.first("bands").alias("bands"))
+    sets = written(distinct.select(F.col("r.doc_id").alias("id"), F.col("r._text").alias("_text"), "n", "s1", "s2", "bands"), "distinct")
+
+    keyed = sets.select("id", "n", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_w"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_y")).filter("_n > 1")
+    # Buckets with the same members are one.  Written, so that both sides of the join back are dealt anew and Spark can split a hot key.
+    shared = written(shared.groupBy("_n", "_x", "_y").agg(F.min("key").alias("key"), F.first("_w").alias("_w")).select("key", F.ceil(F.col("_w") / chunk).alias("_chunks")), "shared")
+    rows = written(keyed.join(shared, "key").select("key", "id", "_chunks", F.pmod(F.xxhash64("id", "key"), F.col("_chunks")).alias("_chunk")), "buckets")
+    full = _full_sets(docs, rows.select("id").distinct().join(sets.select("id", "_text"), "id"), words)
+
+    alone = rows.select(F.xxhash64("key", "_chunk").alias("part"), F.lit(0).alias("side"), "id", F.xxhash64("id").alias("comp")).join(full, "id")
+    links = [_links(alone, percent, False)]
+    comps = written(components(links[0]), "components")
+    many = rows.filter("_chunks > 1")
+    if not many.isEmpty():
+        links.append(_links(_across(many, comps, full), percent, True))
+        comps = written(components(links[0].unionByName(links[1])), "components")
+
+    named = sets.select("n", "s1", "s2", "id").join(comps, sets["id"] == comps["node"], "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("comp"))
+    named = written(named, "named")
+    forget(sets, shared, rows, full, *links, comps)
     out = feats.select("doc_id", "_text", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     comp = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "_text", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
-def _some(outside: DataFrame) -> DataFrame:
-    """At least one and at most DIRECT ids per key: the least of each hash class, by partial minima."""
-    return outside.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(DIRECT)).alias("_class")).agg(F.min("id").alias("id")).select("key", "id")
+def _across(rows: DataFrame, comps: DataFrame, full: DataFrame) -> DataFrame:
+    """Parts of buckets with several chunks: the members outside the bucket's largest component (side 0), by chunk, with every other chunk (side 1).
+
+    A member stands in as many parts as there are chunks of such outsiders, and an outsider in as many as there are chunks."""
+    r = rows.join(comps, rows["id"] == comps["node"], "left").select("key", "id", "_chunks", "_chunk", F.coalesce("component", "id").alias("comp"))
+    r = written(r, "labelled")
+    top = r.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("_top"))
+    r = r.join(written(top, "top"), "key")
+    outside = r.filter("comp <> _top")
+    chunks = written(outside.groupBy("key", F.col("_chunk").alias("_from")).agg(F.count(F.lit(1)).alias("_few")).select("key", "_from"), "outside")
+    part = lambda a, b: F.xxhash64("key", a, b)
+    comp = F.xxhash64("comp").alias("comp")
+    left = outside.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).filter("_to <> _chunk").select(part("_chunk", "_to").alias("part"), F.lit(0).alias("side"), "id", comp)
+    right = r.join(chunks, "key").filter("_from <> _chunk").select(part("_from", "_chunk").alias("part"), F.lit(1).alias("side"), "id", comp)
+    return left.unionByName(right).join(full, "id")
 
 
 def dedup(docs: DataFrame, words=WORDS, percent=SIMILAR) -> DataFrame:

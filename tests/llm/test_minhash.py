@@ -59,10 +59,8 @@ def near(seed, base, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("direct,depth", [(32, 3), (1, 1), (2, 0)])
-def test_large_groups_and_shared_passages(spark, monkeypatch, direct, depth):
-    monkeypatch.setattr(M, "DIRECT", direct)
-    monkeypatch.setattr(M, "DEPTH", depth)
+@pytest.mark.parametrize("chunk", [10**6, 2000, 400])
+def test_large_groups_and_shared_passages(spark, chunk):
     r = random.Random(4)
     fresh = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
     base, passage = fresh(150), fresh(60)
@@ -70,7 +68,28 @@ def test_large_groups_and_shared_passages(spark, monkeypatch, direct, depth):
     r.shuffle(texts)
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows_of(M.near_duplicates(df, 4)) == brute(docs, 4)
+    assert rows_of(M.near_duplicates(df, 4, chunk=chunk)) == brute(docs, 4)
+
+
+def test_forest_joins_what_similar_pairs_join():
+    r = np.random.default_rng(5)
+    for first in (30, 12):
+        base = r.integers(0, 10**6, 60)
+        sets = [np.unique(np.where(r.random(60) < r.choice([0, 0.05, 0.1, 0.4]), r.integers(0, 10**6, 60), base)) for _ in range(30)]
+        off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        group = np.arange(30)
+        group[3], group[20] = 1, 19
+        links = M.forest(np.concatenate(sets), off, group, first, 80)
+        want, got = group.copy(), group.copy()
+        for i in range(first):
+            for j in range(i + 1, 30):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    want[want == want[j]] = want[i]
+        for i, j in links:
+            got[got == got[j]] = got[i]
+        same = lambda g: g[:, None] == g[None, :]
+        assert (same(want) == same(got)).all() and len(links) < 30
 
 
 def test_edges(spark):
