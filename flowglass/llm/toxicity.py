@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..plans.catalog import query
 from ..plans.views import table
 from . import linear, text
-from .store import written
+from .store import forget, written
 
 ROWS = 20_000
 FOLDS = 5
@@ -84,15 +84,43 @@ def _words(rows: DataFrame, more: list[str]) -> DataFrame:
     return rows.select("text", *more).mapInArrow(run, f"{kinds}, words array<long>, kin long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows=ROWS, max_terms=MAX_TERMS, min_score=MIN_SCORE) -> Chain:
-    """`labels`: doc_id and one 0/1 column per name, in the order of the chain."""
+def sample_words(docs: DataFrame, labels: DataFrame, names: list[str], rows=ROWS) -> DataFrame:
+    """The words of the labelled documents that are trained on, with doc_id, _y0, _y1, ... and `kin`: read once and written once."""
     known = labels.dropna(subset=["doc_id", *names]).groupBy("doc_id").agg(*[F.max(F.col(n).cast("int")).alias(f"_y{k}") for k, n in enumerate(names)])
-    ys = [f"_y{k}" for k in range(len(names))]
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` rows of a few numbers: safe to broadcast
     one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    seen = written(_words(one, ["doc_id", *ys]), "labelled")
+    return written(_words(one, ["doc_id", *(f"_y{k}" for k in range(len(names)))]), "labelled")
+
+
+def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows=ROWS, max_terms=MAX_TERMS, min_score=MIN_SCORE) -> Chain:
+    """`labels`: doc_id and one 0/1 column per name, in the order of the chain."""
+    seen = sample_words(docs, labels, names, rows)
+    chain = fit_words(seen, names, max_terms, min_score)
+    forget(seen)
+    return chain
+
+
+def fit_weak(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows=ROWS) -> Chain:
+    """The chain from one toxic label: a toxic document is of each category of whose terms it holds one; the last link is the label itself."""
+    seen = sample_words(docs, labels, ["toxic"], rows)
+    marks = [((F.col("_y0") == 1) & _holds(t)).cast("int") for t in categories.values()]
+    table_ = seen.select("doc_id", "words", "kin", *[m.alias(f"_y{k}") for k, m in enumerate(marks)], F.col("_y0").alias(f"_y{len(marks)}"))
+    chain = fit_words(table_, [*categories, "toxic"])
+    forget(seen)
+    return chain
+
+
+def _holds(terms: list[str]):
+    return F.arrays_overlap("words", F.array(*[F.lit(int(t)) for t in word_hashes(terms).view(np.int64)]))
+
+
+def fit_words(seen: DataFrame, names: list[str], max_terms=MAX_TERMS, min_score=MIN_SCORE) -> Chain:
+    """The chain from a table like that of `sample_words`."""
+    ys = [f"_y{k}" for k in range(len(names))]
     kin = seen.groupBy("kin").agg(F.min("doc_id").alias("doc_id"))
-    kept = seen.join(F.broadcast(kin), ["kin", "doc_id"]).dropDuplicates(["doc_id"])
+    kept = seen.join(F.broadcast(kin), ["kin", "doc_id"])
+    if kept.select("doc_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows; else the words need not be dealt anew
+        kept = kept.dropDuplicates(["doc_id"])
     totals = kept.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     n = totals["n"]
     if not n:
@@ -154,13 +182,11 @@ def weak_labels(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows=
     Only the documents of `fit`'s sample are read for it."""
     known = labels.dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    words = written(_words(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "toxic"]), "weak")
-    has = lambda terms: F.arrays_overlap("words", F.array(*[F.lit(int(t)) for t in word_hashes(terms).view(np.int64)]))
-    return words.select("doc_id", *[((F.col("toxic") == 1) & has(t)).cast("int").alias(c) for c, t in categories.items()], "toxic")
+    words = _words(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "toxic"])
+    return words.select("doc_id", *[((F.col("toxic") == 1) & _holds(t)).cast("int").alias(c) for c, t in categories.items()], "toxic")
 
 
 @query("op10_toxicity")
 def op10_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
-    labels = weak_labels(docs, table(spark, sf, "labels"))
-    return score(docs, fit(docs, labels, [*CATEGORIES, "toxic"]))
+    return score(docs, fit_weak(docs, table(spark, sf, "labels")))
