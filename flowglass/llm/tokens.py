@@ -5,6 +5,7 @@ stands before a visible character, so a text can be cut there and the parts enco
 distinct part of a batch is encoded once and its ids are reused; the ids equal those of encoding the whole text."""
 import base64
 import itertools
+import json
 import os
 
 import numpy as np
@@ -13,8 +14,8 @@ import pyarrow as pa
 from . import text
 
 VOCABULARY = "byte_bpe_50k.json"
-KEEP = 1_000_000  # parts whose ids one task remembers (some 40 MB); beyond that it starts afresh
-SLICE = 4 << 20
+KEEP = 400_000  # parts whose ids one task remembers (some 16 MB); beyond that it starts afresh
+SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0x7F]] = True
@@ -38,11 +39,10 @@ class Encoder:
     faster; parts with any other character, or with the text of a special token, through the vocabulary file itself."""
 
     def __init__(self, path: str | None = None):
-        from tokenizers import Tokenizer
-
-        path = path or vocabulary_path()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path = path or vocabulary_path()
+        with open(path, encoding="utf-8") as f:
+            self.special = [x["content"].encode() for x in json.load(f).get("added_tokens", [])]
+        self.whole = None
         self.fast = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -60,6 +60,14 @@ class Encoder:
         self.begin = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def tokenizer(self):
+        """The vocabulary file, loaded when a part first needs it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole
+
     def learn(self, buf: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         if len(self.keys) > KEEP:
             self.keys, self.size, self.begin, self.flat = self.keys[:0], self.size[:0], self.begin[:0], self.flat[:0]
@@ -77,7 +85,7 @@ class Encoder:
             size[run] = np.diff(ends, prepend=0)
             flat.append(ids)
         rest = np.flatnonzero(~joined)
-        got = [self.fast.encode_ordinary(data[start[i] : end[i]].decode()) if common[i] else self.tokenizer.encode(data[start[i] : end[i]].decode("utf-8", "replace"), add_special_tokens=False).ids for i in rest]
+        got = [self.fast.encode_ordinary(data[start[i] : end[i]].decode()) if common[i] else self.tokenizer().encode(data[start[i] : end[i]].decode("utf-8", "replace"), add_special_tokens=False).ids for i in rest]
         size[rest] = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.concatenate([*flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size[rest].sum()))])
         place = np.empty(len(keys), np.int64)
