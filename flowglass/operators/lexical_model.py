@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alerts, numbers, text
+from ..sources.wire import stage
 
 NUMBERS = ["log_length", "entropy", "digit_ratio", "vowel_ratio", "hyphen_ratio", "unique_ratio", "consonant_run", "digit_run", "digit_transitions", "repeat_ratio"]
 ALL_TERMS = 2**31 - 1  # the vectorizer takes the distinct grams it counts where they are fewer
@@ -26,8 +27,8 @@ def damped(v):
 
 def prepare(rows: DataFrame, label="label") -> DataFrame:
     wrapped = F.concat(F.lit("^"), F.col(label), F.lit("$"))
-    r = rows.withColumn("_w", wrapped)
-    return r.withColumns({"tokens": F.concat(text.ngrams("_w", 2), text.ngrams("_w", 3)), **text.lexical_features(label)}).drop("_w")
+    r = stage(rows, {"_w": wrapped})
+    return stage(r, {"tokens": F.concat(text.ngrams("_w", 2), text.ngrams("_w", 3)), **text.lexical_features(label)}).drop("_w")
 
 
 def balanced(rows: DataFrame, y="y", extra=None) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import beacons, connections, history, portable, rates, readable
 from ..operators.bayes import predict_gaussian
 from ..operators.throttle import throttle
 from ..session import cut
+from ..sources.wire import stage
 
 
 @dataclass(frozen=True)
@@ -67,23 +68,24 @@ KINDS = ["ja3", "ja3s", "ja4", "quic"]
 def name_features(rows: DataFrame) -> DataFrame:
     """Lexical numbers of the queried name, and of its registrable part for the generated-name rule."""
     named = F.length(F.coalesce("dns_name", F.lit(""))) > 0
-    r = rows.withColumns({"_full": text.clean_name("dns_name"), "_reg": text.registrable_name("dns_name")})
-    r = r.withColumns({"_lb": text.first_label("_full"), "_rl": text.first_label("_reg")})
+    # Staged, so that the name's parts are not substituted into every number made from them.
+    r = stage(rows, {"_full": text.clean_name("dns_name"), "_reg": text.registrable_name("dns_name")})
+    r = stage(r, {"_lb": text.first_label("_full"), "_rl": text.first_label("_reg")})
     r = r.withColumns(text.guard_features("_lb")).withColumns({"_r" + k: v for k, v in text.guard_features("_rl").items()})
     return r.withColumns({"domain_length": F.length("_full"), "txt_record": (F.col("dns_type").isin(10, 16) & named).cast("int")})
 
 
 def name_decisions(rows: DataFrame, th: Thresholds) -> DataFrame:
-    """Adds `_name_score` by the name model and `_readable` by the word table, where they are set; each different label is judged once."""
+    """dns_name, `_name_score` by the name model and `_readable` by the word table, where they are set: one row per different name of `rows`."""
+    n = stage(rows.select("dns_name").filter("dns_name is not null").distinct(), {"_label": text.domain_label("dns_name"), "_own": text.domain_label(text.registrable_name("dns_name"))})
+    n = cut(n)  # names alone, read by each judge
     if th.name_model is not None:
-        r = rows.withColumn("_label", text.domain_label("dns_name"))
-        scores = portable.label_scores(r, th.name_model, "_label").select(F.col("label").alias("_label"), F.col("score").alias("_name_score"))
-        rows = r.join(scores, "_label", "left").drop("_label")
+        scores = portable.label_scores(n, th.name_model, "_label").select(F.col("label").alias("_label"), F.col("score").alias("_name_score"))
+        n = n.join(scores, "_label", "left")
     if th.word_table is not None:
-        r = rows.withColumn("_label", text.domain_label("_reg"))
-        seen = readable.readable_labels(r.select(F.col("_label").alias("label")).filter("label <> ''"), th.word_table)
-        rows = r.join(seen.select(F.col("label").alias("_label"), F.col("readable").alias("_readable")), "_label", "left").drop("_label")
-    return rows
+        seen = readable.readable_labels(n.select(F.col("_own").alias("label")).filter("label <> ''"), th.word_table)
+        n = n.join(seen.select(F.col("label").alias("_own"), F.col("readable").alias("_readable")), "_own", "left")
+    return n.drop("_label", "_own")
 
 
 def all_features(events: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
@@ -104,8 +106,10 @@ def all_features(events: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
         r = r.join(part, "seq", "left")
     if th.indicator_table is not None:
         r = r.join(indicator_matches(r, th.indicator_table), "seq", "left")
+    if th.name_model is not None or th.word_table is not None:
+        r = r.join(name_decisions(events, th), "dns_name", "left")
     # Lexical work comes after the joins, where rows are spread evenly whatever the input files look like.
-    r = history.byte_ratio(name_decisions(name_features(r), th)).withColumn("udp_destination_concentration", rates.concentration())
+    r = history.byte_ratio(name_features(r)).withColumn("udp_destination_concentration", rates.concentration())
     zero = {c: 0 for c in ("tls_session_packets", "tls_fingerprint_clients", "tls_client_population", "slow_beacon_events", "slow_http_connections",
                            "slow_http_open_connections", "slow_read_connections", "slow_read_open_connections", "tls_session_duration_s",
                            "tls_session_mean_bytes", "tls_session_size_cv", "tls_session_small_fraction", "tls_session_iat_mean_s", "tls_session_iat_cv",

@@ -71,6 +71,6 @@ def model_name_hits(spark, sf):
     rows = V.names(spark, sf).selectExpr("seq", "name as dns_name").unionByName(p).withColumn("dns_type", F.lit(1))
     words = V.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     th = D.Thresholds(name_model=portable.fit_counts(_named(spark, sf)), word_table=words, name_score=0.4)
-    f = D.name_decisions(D.name_features(rows), th).withColumn("generated", D.generated_name(th))
+    f = D.name_features(rows).join(D.name_decisions(rows, th), "dns_name", "left").withColumn("generated", D.generated_name(th))
     hit = f.filter(D.guard_conditions(th)["DGA_DOMAINS"])
     return rounded(hit.select("seq", text.domain_label("dns_name").alias("label"), F.col("_name_score").alias("score")))

@@ -76,6 +76,17 @@ def test_the_model_takes_the_place_of_the_rule(spark):
     words = spark.createDataFrame([("click",), ("here",), ("now",)], "word string")
     hits = {}
     for name, th in {"model": D.Thresholds(name_model=model, word_table=words), "bare": D.Thresholds(name_model=model)}.items():
-        f = D.name_decisions(D.name_features(rows), th).withColumn("generated", D.generated_name(th))
+        f = D.name_features(rows).join(D.name_decisions(rows, th), "dns_name", "left").withColumn("generated", D.generated_name(th))
         hits[name] = sorted(r.seq for r in f.filter(D.guard_conditions(th)["DGA_DOMAINS"]).collect())
     assert hits == {"model": [1], "bare": [1, 2]}
+
+
+def test_the_whole_path_takes_model_and_words(spark):
+    from helpers import event, frame
+
+    names = ["kqzxvjwpqzkxjvqw.example", "clickherenow.example", "plain.example", None]
+    rows = [event(i, 1000 * i, dns_name=n, dst_port=53, protocol=17) for i, n in enumerate(names)]
+    terms = spark.createDataFrame([("kq", 3.0, 1.0), ("cl", 3.0, 1.0)], "token string, weight double, idf double")
+    th = D.Thresholds(name_model=portable.Portable(terms, [(n, 0.0, 0.0, 1.0) for n in lexical_model.NUMBERS], -1.0), word_table=spark.createDataFrame([("click",), ("here",), ("now",)], "word string"))
+    found = [(r.seq, r.threat_class, r.detector, round(r.score, 3)) for r in D.hits(D.all_features(frame(spark, rows), th), th).select("seq", "threat_class", "detector", "score").collect()]
+    assert found == [(0, "DGA_DOMAINS", "ML", 0.881)]
