@@ -11,7 +11,8 @@ and a component only if all its connecting pairs are.  Equal sets are one from t
 Links without pairs.  Sets that share a bucket are read again as full shingle sets, once each.  Buckets with the same members are one; the
 members of a bucket meet in one task, in chunks of about `CHUNK` shingles.  There a local union-find joins them: each member is compared, on the full sets and
 exactly, with those later ones that are in other groups and of fitting size, so a group of copies costs little more than its size.
-Only the links of a spanning forest leave the task, at most one less than there are members.  Where a bucket has several chunks, a second
+One bucket in `EARLY` is done first; of the others only those whose members are still in different groups.  Only the links of a
+spanning forest leave a task, at most one less than there are members.  Where a bucket has several chunks, a second
 pass compares the members outside its largest component with the chunks they have not met.  So nothing is left out or capped.
 
 Texts of fewer words than a shingle have the whole sequence as one; texts without words have no shingles and are linked with
@@ -33,6 +34,7 @@ WORDS = 5
 BANDS, ROWS = 64, 8
 SIMILAR = 80  # percent
 CHUNK = 1_500_000  # shingles that are compared in one go
+EARLY = 4  # one bucket in so many is looked at before the others
 LAZY = 14  # steps after which the few sets still open get whole permutations
 
 
@@ -196,28 +198,38 @@ def near_duplicates(docs: DataFrame, words=WORDS, percent=SIMILAR, chunk=CHUNK)
     rows = written(keyed.join(shared, "key").select("key", "id", "_chunks", F.pmod(F.xxhash64("id", "key"), F.col("_chunks")).alias("_chunk")), "buckets")
     full = _full_sets(docs, rows.select("id").distinct().join(sets.select("id", "_text"), "id"), words)
 
-    alone = rows.select(F.xxhash64("key", "_chunk").alias("part"), F.lit(0).alias("side"), "id", F.xxhash64("id").alias("comp")).join(full, "id")
-    links = [_links(alone, percent, False)]
+    # A part of the buckets first: they join most copies, and of the others only those are left whose members are still apart.
+    early = F.pmod("key", F.lit(EARLY)) == 0
+    together = lambda r: _links(r.select(F.xxhash64("key", "_chunk").alias("part"), F.lit(0).alias("side"), "id", F.xxhash64("comp").alias("comp")).join(full, "id"), percent, False)
+    links = [together(rows.filter(early).withColumn("comp", F.col("id")))]
     comps = written(components(links[0]), "components")
+    late = written(_labelled(rows.filter(~early), comps), "late")
+    open_ = late.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
+    links.append(together(late.join(open_, "key", "left_semi")))
+    comps = written(components(links[0].unionByName(links[1])), "components")
     many = rows.filter("_chunks > 1")
     if not many.isEmpty():
         links.append(_links(_across(many, comps, full), percent, True))
-        comps = written(components(links[0].unionByName(links[1])), "components")
+        comps = written(components(links[0].unionByName(links[1]).unionByName(links[2])), "components")
 
     named = sets.select("n", "s1", "s2", "id").join(comps, sets["id"] == comps["node"], "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("comp"))
     named = written(named, "named")
-    forget(sets, shared, rows, full, *links, comps)
+    forget(sets, shared, rows, late, full, *links, comps)
     out = feats.select("doc_id", "_text", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     comp = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "_text", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
+def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Bucket rows with the component that each set has so far, itself where it has none."""
+    return rows.join(comps, rows["id"] == comps["node"], "left").select("key", "id", "_chunks", "_chunk", F.coalesce("component", "id").alias("comp"))
+
+
 def _across(rows: DataFrame, comps: DataFrame, full: DataFrame) -> DataFrame:
     """Parts of buckets with several chunks: the members outside the bucket's largest component (side 0), by chunk, with every other chunk (side 1).
 
     A member stands in as many parts as there are chunks of such outsiders, and an outsider in as many as there are chunks."""
-    r = rows.join(comps, rows["id"] == comps["node"], "left").select("key", "id", "_chunks", "_chunk", F.coalesce("component", "id").alias("comp"))
-    r = written(r, "labelled")
+    r = written(_labelled(rows, comps), "labelled")
     top = r.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("_top"))
     r = r.join(written(top, "top"), "key")
     outside = r.filter("comp <> _top")
