@@ -1,6 +1,11 @@
-"""Byte-level decoding as column expressions over BINARY columns (no Python workers)."""
+"""Byte-level decoding: frame headers by arithmetic over batches, messages as column expressions over BINARY columns."""
+import socket
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import tls
 from ..functions.text import col
@@ -49,45 +54,96 @@ def ipv6(b, off) -> Column:
     return F.when(high == "0" * 20 + "ffff", F.concat(F.lit("::ffff:"), dotted)).when((high == "0" * 24) & (sixth > 0), F.concat(F.lit("::"), dotted)).otherwise(text)
 
 
+DECODED = T.StructType([T.StructField(n, t) for n, t in (
+    ("status", T.StringType()), ("src_ip", T.StringType()), ("dst_ip", T.StringType()), ("src_port", T.IntegerType()), ("dst_port", T.IntegerType()), ("tcp_flags", T.IntegerType()),
+    ("tcp_seq", T.LongType()), ("tcp_window", T.IntegerType()), ("payload", T.BinaryType()), ("protocol", T.IntegerType()), ("ip_bytes", T.LongType()))])
+
+
+def _ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Binary values data[start:start + size], null where not known."""
+    size = np.where(known, np.maximum(size, 0), 0)
+    off = np.concatenate([[0], np.cumsum(size)])
+    body = data[np.arange(off[-1]) + np.repeat(start - off[:-1], size)]
+    mask = pa.array(known).buffers()[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [mask, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.binary())
+
+
+def _address_text(packed: np.ndarray, known: np.ndarray, family: int) -> np.ndarray:
+    """Text of addresses given as rows of bytes; each different one is written once."""
+    out = np.full(len(packed), None, object)
+    if known.any():
+        different, which = np.unique(packed[known], axis=0, return_inverse=True)
+        out[known] = np.array([socket.inet_ntop(family, x.tobytes()) for x in different], object)[which.ravel()]
+    return out
+
+
+def _decoded(frame: pa.Array) -> list[pa.Array]:
+    """The columns of `DECODED` for a batch of frames, by array arithmetic over all bytes; -1 stands for a number past the end."""
+    a = frame.cast(pa.large_binary())
+    off = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, a.offset * 8)
+    raw = a.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
+    start, size = off[:-1], np.diff(off)
+
+    def num(at, n):
+        inside = (at >= 0) & (at + n <= size)
+        first = np.where(inside, start + at, 0)
+        value = np.zeros(len(size), np.int64)
+        for i in range(n):
+            value = value << 8 | data[np.minimum(first + i, len(data) - 1)]
+        return np.where(inside, value, -1)
+
+    zero = np.zeros(len(size), np.int64)
+    eth = num(zero + 12, 2)
+    tagged = eth == 0x8100
+    l3 = np.where(tagged, 18, 14)
+    kind = np.where(tagged, num(zero + 16, 2), eth)
+    v4, v6 = kind == 0x0800, kind == 0x86DD
+    first = num(l3, 1)
+    total = np.where(v4, num(l3 + 2, 2), num(l3 + 4, 2))
+    protocol = np.where(v4, num(l3 + 9, 1), np.where(v6, num(l3 + 6, 1), -1))
+    head = np.where(v4, (first & 15) * 4, 40)
+    l4 = l3 + head
+    ip_bytes = np.where(v4, np.minimum(total, size - l3), 40 + total)
+    end = np.minimum(size, l3 + ip_bytes)
+    tcp, udp = protocol == 6, protocol == 17
+    of, length = num(l4 + 12, 2), num(l4 + 4, 2)
+    tcp_head = (of >> 12) * 4
+    bad4 = (head < 20) | (first >> 4 != 4) | (total < head) | (size < l3 + head)
+    cases = [(size < 14, "SHORT_FRAME"), (v4 & (size < l3 + 20), "SHORT_IPV4"), (v4 & bad4, "INVALID_IHL"), (v4 & (num(l3 + 6, 2) & 0x3FFF != 0), "unsupported"), (v6 & (size < l3 + 40), "SHORT_IPV6"),
+             (~(v4 | v6), "unsupported"), (tcp & (end < l4 + 20), "SHORT_TCP"), (tcp & ((tcp_head < 20) | (l4 + tcp_head > end)), "INVALID_TCP_LENGTH"),
+             (udp & (end < l4 + 8), "SHORT_UDP"), (udp & ((length < 8) | (l4 + length > end)), "INVALID_UDP_LENGTH")]
+    status = np.select([c for c, _ in cases], np.arange(len(cases)), len(cases))
+    ok = status == len(cases)
+    whole = lambda value, known, t: pa.array(value, t, mask=~known)
+    texts = []
+    for at4, at6 in ((12, 8), (16, 24)):
+        text = np.full(len(size), None, object)
+        for family, here, at, n in ((socket.AF_INET, ok & v4, at4, 4), (socket.AF_INET6, ok & v6, at6, 16)):
+            place = np.where(here, start + l3 + at, 0)[:, None] + np.arange(n)
+            text = np.where(here, _address_text(data[np.minimum(place, len(data) - 1)], here, family), text)
+        texts.append(pa.array(text, pa.string()))
+    ports = ok & (tcp | udp)
+    t = ok & tcp
+    body = np.where(tcp, l4 + tcp_head, l4 + 8)
+    names = np.array([n for _, n in cases] + ["ok"], object)
+    return [pa.array(names[status], pa.string()), *texts, whole(num(l4, 2), ports, pa.int32()), whole(num(l4 + 2, 2), ports, pa.int32()), whole(of & 0x1FF, t, pa.int32()), whole(num(l4 + 4, 4), t, pa.int64()),
+            whole(num(l4 + 14, 2), t, pa.int32()), _ranges(data, start + body, np.where(tcp, end, l4 + length) - body, ports), whole(protocol, ok, pa.int32()), whole(ip_bytes, ok, pa.int64())]
+
+
 def decode_frames(frames: DataFrame, frame="frame") -> DataFrame:
     """Ethernet (one VLAN tag), IPv4/IPv6, TCP/UDP headers.
 
     Adds `status` ('ok', 'unsupported' or a corruption reason), addresses, ports, flags,
-    window, TCP sequence number, IP length and `payload`."""
-    f = col(frame)
-    r = stage(frames, {"_eth": u(f, 12, 2)})
-    r = stage(r, {"_l3": F.when(F.col("_eth") == 0x8100, 18).otherwise(14)})
-    r = stage(r, {"_type": F.when(F.col("_eth") == 0x8100, u(f, 16, 2)).otherwise(F.col("_eth"))})
-    l3 = F.col("_l3")
-    v4, v6 = F.col("_type") == 0x0800, F.col("_type") == 0x86DD
-    size = F.length(f)
-    r = stage(r, {"_vihl": u(f, l3, 1), "_total": F.when(v4, u(f, l3 + 2, 2)).otherwise(u(f, l3 + 4, 2)), "_frag": u(f, l3 + 6, 2),
-                       "protocol": F.when(v4, u(f, l3 + 9, 1)).when(v6, u(f, l3 + 6, 1)).cast("int")})
-    r = stage(r, {"_ihl": F.when(v4, F.col("_vihl").bitwiseAND(F.lit(15)) * 4).otherwise(40).cast("int")})
-    r = stage(r, {"_l4": (l3 + F.col("_ihl")).cast("int")})
-    r = stage(r, {"ip_bytes": F.when(v4, F.least(F.col("_total"), size - l3)).when(v6, F.lit(40) + F.col("_total")).cast("long")})
-    r = stage(r, {"_end": F.least(size, (l3 + F.col("ip_bytes"))).cast("int")})
-    l4, end = F.col("_l4"), F.col("_end")
-    tcp, udp = F.col("protocol") == 6, F.col("protocol") == 17
-    r = stage(r, {"_of": F.when(tcp & (end >= l4 + 20), u(f, l4 + 12, 2)), "_ul": F.when(udp & (end >= l4 + 8), u(f, l4 + 4, 2))})
-    r = stage(r, {"_hl": F.shiftright("_of", 12) * 4})
-    bad4 = (F.col("_ihl") < 20) | (F.shiftright("_vihl", 4) != 4) | (F.col("_total") < F.col("_ihl")) | (size < l3 + F.col("_ihl"))
-    status = (F.when(size < 14, "SHORT_FRAME").when(v4 & (size < l3 + 20), "SHORT_IPV4").when(v4 & bad4, "INVALID_IHL").when(v4 & (F.col("_frag").bitwiseAND(F.lit(0x3FFF)) != 0), "unsupported")
-              .when(v6 & (size < l3 + 40), "SHORT_IPV6").when(~(v4 | v6) | F.col("_type").isNull(), "unsupported")
-              .when(tcp & (end < l4 + 20), "SHORT_TCP").when(tcp & ((F.col("_hl") < 20) | (l4 + F.col("_hl") > end)), "INVALID_TCP_LENGTH")
-              .when(udp & (end < l4 + 8), "SHORT_UDP").when(udp & ((F.col("_ul") < 8) | (l4 + F.col("_ul") > end)), "INVALID_UDP_LENGTH").otherwise("ok"))
-    r = stage(r, {"status": status})
-    ok = F.col("status") == "ok"
-    ports = ok & (tcp | udp)
-    only = lambda c: F.when(ok, c)
-    out = stage(r, {
-        "src_ip": only(F.when(v4, ipv4(f, l3 + 12)).otherwise(ipv6(f, l3 + 8))), "dst_ip": only(F.when(v4, ipv4(f, l3 + 16)).otherwise(ipv6(f, l3 + 24))),
-        "src_port": F.when(ports, u(f, l4, 2)).cast("int"), "dst_port": F.when(ports, u(f, l4 + 2, 2)).cast("int"),
-        "tcp_flags": F.when(ok & tcp, F.col("_of").bitwiseAND(F.lit(0x1FF))).cast("int"), "tcp_seq": F.when(ok & tcp, u(f, l4 + 4, 4)),
-        "tcp_window": F.when(ok & tcp, u(f, l4 + 14, 2)).cast("int"),
-        "payload": F.when(ok & tcp, cut_bytes(f, l4 + F.col("_hl"), end - l4 - F.col("_hl"))).when(ok & udp, cut_bytes(f, l4 + 8, F.col("_ul") - 8))})
-    out = stage(out, {"protocol": only(F.col("protocol")), "ip_bytes": only(F.col("ip_bytes"))})
-    return out.drop("_eth", "_l3", "_type", "_vihl", "_total", "_frag", "_ihl", "_l4", "_end", "_of", "_ul", "_hl")
+    window, TCP sequence number, IP length and `payload`.  A batch is decoded at once, by arithmetic over the bytes of all its frames."""
+    kept = [f for f in frames.schema.fields if f.name not in DECODED.names]
+    at = next(i for i, f in enumerate(kept) if f.name == frame)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *_decoded(b.column(at).fill_null(b""))], [*b.schema.names, *DECODED.names])
+
+    return frames.select(*[f.name for f in kept]).mapInArrow(run, T.StructType(kept + DECODED.fields))
 
 
 def dns_name(p, start=12) -> Column:
