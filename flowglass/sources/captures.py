@@ -10,7 +10,7 @@ from ..session import cut
 from . import capture_files, wire
 from .capture_files import FRAMES
 
-IDLE_US, MAX_MESSAGE = 10_000_000, 16_384
+IDLE_US, MAX_MESSAGE = 10_000_000, 65_537  # the longest message that the formats can declare (a name message with its length)
 
 
 def read_captures(spark: SparkSession, path: str, split=capture_files.SPLIT) -> DataFrame:
@@ -46,13 +46,13 @@ def declared_size(payload: str, dns) -> "F.Column":
 
 
 def assemble(segments: DataFrame, limit=MAX_MESSAGE) -> DataFrame:
-    """Adds `message` to TCP segments: the message a segment completes; null while one is incomplete.
+    """Adds `message` and `oversized` to TCP segments: the message a segment completes; null while one is incomplete.
 
     Sequence numbers become positions in the stream of a direction.  A segment below the highest position seen repeats what was
     there; the others are cut into runs where nothing can be pending: at a hole in the positions, after ten idle seconds, and around FIN or
     RST.  Runs are independent of each other, so a long connection is spread over as many tasks as it has runs.  Inside a run messages
     follow from declared sizes alone; their bytes are put together afterwards, a message at a time.  A message of more than `limit` bytes
-    is passed on segment by segment."""
+    is passed on segment by segment, and `oversized` marks the segment that declares it."""
     keys = ["src_ip", "dst_ip", "src_port", "dst_port"]
     s = segments.filter(F.length("payload") > 0).select(
         "seq", "ts_us", *keys, F.col("tcp_seq").cast("long").alias("tcp_seq"), (F.col("tcp_flags").bitwiseAND(F.lit(5)) != 0).alias("ends"), F.length("payload").cast("long").alias("size"),
@@ -87,11 +87,11 @@ def assemble(segments: DataFrame, limit=MAX_MESSAGE) -> DataFrame:
     placed = cut(framed.select("seq", *keys, "run", "size", "spans").mapInPandas(heads, "seq long, head long, lacks long, whole long"))
     # A repeated segment stands for itself unless a message is pending around it.
     pending = running_sums(s.join(placed, "seq", "left"), keys, {}, lasts=["lacks"])
-    alone = pending.filter((late & (F.coalesce("last_lacks", F.lit(0)) <= 0)) | ((F.col("head") == F.col("seq")) & (F.col("lacks") <= 0))).select("seq")
+    alone = pending.filter((late & (F.coalesce("last_lacks", F.lit(0)) <= 0)) | ((F.col("head") == F.col("seq")) & (F.col("lacks") <= 0))).select("seq", (F.col("told") > limit).alias("_over"))
     parts = placed.filter((F.col("head") != F.col("seq")) | (F.col("lacks") > 0)).join(segments.select("seq", "ts_us", "payload"), "seq")
     whole = parts.groupBy("head").agg(F.max("whole").alias("whole"), F.min("lacks").alias("lacks"), F.max_by("seq", F.struct("ts_us", "seq")).alias("seq"),
                                       F.array_sort(F.collect_list(F.struct("ts_us", "seq", "payload"))).alias("p"))  # at most `limit` bytes and one segment
     joined = F.aggregate("p", F.lit(b""), lambda x, y: F.concat(x, y["payload"]))
     whole = whole.filter("lacks <= 0").withColumn("m", joined).selectExpr("seq", "substring(m, 1, cast(whole as int)) as _whole")
     out = segments.join(alone.withColumn("_alone", F.lit(True)), "seq", "left").join(whole, "seq", "left")
-    return out.withColumn("message", F.when(F.col("_alone"), F.col("payload")).otherwise(F.col("_whole"))).drop("_alone", "_whole")
+    return out.withColumn("message", F.when(F.col("_alone"), F.col("payload")).otherwise(F.col("_whole"))).withColumn("oversized", F.coalesce("_over", F.lit(False))).drop("_alone", "_whole", "_over")
