@@ -41,3 +41,22 @@ def test_stages(spark):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == pieces(rows["decontamination"], 2048)
     total = sum(r.length for r in packed)
     assert check(packed, 2048) <= -(-total // 2048) * 1.01 + 1
+
+
+def test_edges(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    odd = [(None, "a text without id, long enough to be looked at by all", "en", "src1", None), (900001, None, None, None, None), (900002, "", "en", "src2", 0), (900003, " \t\n", "xx", "", 3), (900003, " \t\n", "xx", "", 3),
+           (900004, "word " * 30_000, "en", "src3", 150_000)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(20))
+    clash = {"id": "x", "words": "y", "bands": 1, "kept": True, "_text": 2, "sequence_id": 3, "component_id": 4, "ids": "z"}
+    from pyspark.sql import functions as F
+
+    more = rows.withColumns({k: F.lit(v) for k, v in clash.items()})
+    for table in (more, rows.limit(0)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            at = written(stage(spark, at, SF), name)
+            if name != "packing":
+                assert at.columns == table.columns
+        packed = at.collect()
+        assert (not packed) == (table is not more)
