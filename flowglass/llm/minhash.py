@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, words=WORDS, percent=SIMILAR, chunk=CHUNK)
     distinct = feats.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "_text")).alias("r"), F.first("bands").alias("bands"))
     sets = written(distinct.select(F.col("r.doc_id").alias("id"), F.col("r._text").alias("_text"), "n", "s1", "s2", "bands"), "distinct")
 
-    keyed = sets.select("id", "n", F.explode("bands").alias("key"))
+    keyed = _shared_bands(sets)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_w"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_y")).filter("_n > 1")
     # Buckets with the same members are one.  Written, so that both sides of the join back are dealt anew and Spark can split a hot key.
     shared = written(shared.groupBy("_n", "_x", "_y").agg(F.min("key").alias("key"), F.first("_w").alias("_w")).select("key", F.ceil(F.col("_w") / chunk).alias("_chunks")), "shared")
@@ -214,12 +214,30 @@ def near_duplicates(docs: DataFrame, words=WORDS, percent=SIMILAR, chunk=CHUNK)
 
     named = sets.select("n", "s1", "s2", "id").join(comps, sets["id"] == comps["node"], "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("comp"))
     named = written(named, "named")
-    forget(sets, shared, rows, late, full, *links, comps)
+    forget(sets, keyed, shared, rows, late, full, *links, comps)
     out = feats.select("doc_id", "_text", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     comp = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "_text", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
+def _shared_bands(sets: DataFrame) -> DataFrame:
+    """id, n, key of the bands that more than one set has, and of a few others.  Keys alone are counted; a bit set of those that repeat picks the rows."""
+    again = written(sets.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"), "again")
+    bits = sets.sparkSession.sparkContext.broadcast(bits_of(again))
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(has(bits.value, keys.view(np.uint64)))
+            row = pa.array(at // BANDS)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(keys[at])], ["id", "n", "key"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    out = written(sets.select("id", "n", "bands").mapInArrow(run, f"id {kind}, n long, key long"), "bands")
+    forget(again)
+    return out
+
+
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Bucket rows with the component that each set has so far, itself where it has none."""
     return rows.join(comps, rows["id"] == comps["node"], "left").select("key", "id", "_chunks", "_chunk", F.coalesce("component", "id").alias("comp"))
