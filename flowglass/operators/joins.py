@@ -43,7 +43,9 @@ def match_networks(events: DataFrame, episodes: DataFrame, by=()) -> DataFrame:
     none: any event of the time).  An event matches by either endpoint; columns `by` must agree.
 
     An equality join: networks are grouped by their prefix length, and an event looks up its addresses cut to each length in use, in the
-    time buckets in use (both are few: at most 162 lengths and six levels).  So no pair is made that does not share network and time."""
+    time buckets in use (both are few: at most 162 lengths and six levels).  So no pair is made that does not share network and time.
+
+    All sides grow with the events or the episodes; merge joins keep them out of the driver, which a small compressed size would not."""
     everywhere = F.array(F.struct(F.lit(0).alias("family"), F.lit(0).alias("bits"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo")))
     nets = F.when(F.size(F.coalesce("hosts", F.array().cast("array<string>"))) == 0, everywhere).otherwise(F.array_distinct(F.filter(F.transform("hosts", ip.network), lambda n: n.isNotNull())))
     lab = episodes.withColumns({"_nets": nets, "_times": cover("start_us", "end_us"), "_e": F.xxhash64(*by, "priority", "id", "label", "start_us", "end_us")})
@@ -54,21 +56,20 @@ def match_networks(events: DataFrame, episodes: DataFrame, by=()) -> DataFrame:
     if not shapes:
         none = F.lit(None).cast("string")
         return events.withColumns({"episode": none, "label": none, "matches": F.lit(0).cast("long")})
-    bucket = lambda level: F.floor(F.col("ts_us") / (BUCKET_US * FAN**level)).cast("long")
     ends = events.select(*by, "seq", "ts_us", F.explode(F.array_distinct(F.array(ip.address("src_ip"), ip.address("dst_ip")))).alias("_a"))
+    # one expression over a list of constants, so the plan is as short with many shapes as with one
+    listed = F.array(*[F.struct(F.lit(r["family"]).alias("family"), F.lit(r["bits"]).alias("bits"), F.lit(r["level"]).alias("level"), F.lit(BUCKET_US * FAN ** r["level"]).cast("long").alias("width")) for r in shapes])
 
     def key(r):
-        one = ip.prefix(F.col("_a"), r["family"], r["bits"])
         zero = F.lit(0).cast("long")
-        place = F.struct(F.lit(r["family"]).alias("family"), F.lit(r["bits"]).alias("bits"), (one["hi"] if r["family"] else zero).alias("hi"), (one["lo"] if r["family"] else zero).alias("lo"),
-                         F.lit(r["level"]).alias("level"), bucket(r["level"]).alias("bucket"))
-        return place if not r["family"] else F.when(F.col("_a.family") == r["family"], place)
+        place = lambda hi, lo: F.struct(r["family"].alias("family"), r["bits"].alias("bits"), hi.alias("hi"), lo.alias("lo"), r["level"].alias("level"), F.floor(F.col("ts_us") / r["width"]).cast("long").alias("bucket"))
+        return F.when(r["family"] == 0, place(zero, zero)).when(F.col("_a.family") == r["family"], ip.let(ip.prefix(F.col("_a"), r["family"], r["bits"]), lambda one: place(one["hi"], one["lo"])))
 
-    keyed = ends.withColumn("_k", F.explode(F.array_compact(F.array(*[key(r) for r in shapes])))).drop("_a")
-    pairs = keyed.join(lab, [*by, "_k"]).filter(F.col("ts_us").between(F.col("start_us"), F.col("end_us")))
+    keyed = ends.withColumn("_k", F.explode(F.array_compact(F.transform(listed, key)))).drop("_a")
+    pairs = keyed.join(lab.hint("merge"), [*by, "_k"]).filter(F.col("ts_us").between(F.col("start_us"), F.col("end_us")))
     best = pairs.groupBy("seq").agg(F.min(F.struct("priority", "id", "label")).alias("m"), F.count_distinct("_e").alias("matches"))
     best = best.select("seq", F.col("m.id").alias("episode"), F.col("m.label").alias("label"), "matches")
-    return events.join(best, "seq", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    return events.join(best.hint("merge"), "seq", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
 def asof_latest(left: DataFrame, right: DataFrame, keys, cols, strict=False) -> DataFrame:

@@ -79,3 +79,15 @@ def test_label_files_check_hosts(spark, tmp_path):
                                      ' {"id": "b", "label": "DDOS", "start_ms": 1, "end_ms": 2, "hosts": ["nowhere"]}, {"id": "c", "label": "DDOS", "start": "2024-01-01T00:00:00Z", "end": "2024-01-01T00:00:01Z"}]}')
     rows = {r.id: r for r in tables.read_labels(spark, str(tmp_path)).collect()}
     assert rows["a"].errors == [] and rows["b"].errors == ["bad_host"] and rows["c"].errors == [] and rows["c"].end_us - rows["c"].start_us == 1_000_000
+
+
+def test_matching_broadcasts_nothing(spark):
+    """Rows that compress well look small to Spark, and would all be collected by the driver; nor may the plan grow with the shapes of networks."""
+    df = spark.range(2000).selectExpr("id as seq", "id * 1000000 as ts_us", "concat('10.0.0.', id % 250) as src_ip", "'2001:db8::1' as dst_ip")
+    lab = lambda n: spark.createDataFrame([(f"e{i}", i, "A", 0, 10**15, [f"10.0.0.0/{8 + i}", f"2001:db8::/{32 + i}"]) for i in range(n)], "id string, priority int, label string, start_us long, end_us long, hosts array<string>")
+    m = joins.match_networks(df, lab(2))
+    assert {r.matches for r in m.collect()} == {2}
+    final = m._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in final and final.count("SortMergeJoin") >= 2
+    size = lambda n: len(joins.match_networks(df, lab(n))._jdf.queryExecution().analyzed().toString())
+    assert size(16) - size(2) < 14 * 2 * 6 * 60  # a constant per shape, no expression
