@@ -1,4 +1,6 @@
-"""Handshake fingerprints from integer array columns."""
+"""Handshake fingerprints from integer array columns, and the same from plain lists for decoders that walk a message."""
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +68,35 @@ def ja4(transport, version, ciphers, extensions, versions, has_sni, alpn, signat
     tail = F.when((F.size(kept) > 0) & (F.size(sg) > 0), F.concat(F.lit("_"), _hex4(sg))).otherwise(F.lit(""))
     part_c = _short_hash(F.concat(_hex4(kept), tail))
     return F.concat_ws("_", part_a, part_b, part_c)
+
+
+def _plain(values) -> list:
+    return [v for v in values if v & 0x0F0F != 0x0A0A]
+
+
+def _joined(values) -> str:
+    return "-".join(map(str, _plain(values)))
+
+
+def ja3_of(version: int, *lists) -> str:
+    """`ja3` of one client hello given as lists: ciphers, extensions, groups, points."""
+    return hashlib.md5(",".join([str(version), *map(_joined, lists)]).encode()).hexdigest()
+
+
+def ja3s_of(version: int, cipher: int, extensions) -> str:
+    return hashlib.md5(f"{version},{cipher},{_joined(extensions)}".encode()).hexdigest()
+
+
+def ja4_of(transport: str, version: int, ciphers, extensions, versions, alpn: bytes | None, signatures) -> str:
+    """`ja4` of one client hello given as lists."""
+    cs, es, vs, sg = map(_plain, (ciphers, extensions, versions, signatures))
+    code = VERSION_CODES.get(max(vs, default=version), "00")
+    ends = "00"
+    if alpn:
+        first, last = alpn[:1], alpn[-1:]
+        ends = (first + last).decode() if first.isalnum() and last.isalnum() else alpn.hex()[0] + alpn.hex()[-1]
+    short = lambda text: hashlib.sha256(text.encode()).hexdigest()[:12] if text else NO_HASH
+    hexed = lambda values: ",".join(f"{v:04x}" for v in values)
+    kept = sorted(e for e in es if e not in (0x0000, 0x0010))
+    tail = "_" + hexed(sg) if kept and sg else ""
+    return f"{transport}{code}{'d' if 0 in extensions else 'i'}{min(len(cs), 99):02d}{min(len(es), 99):02d}{ends}_{short(hexed(sorted(cs)))}_{short(hexed(kept) + tail)}"

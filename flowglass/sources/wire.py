@@ -1,5 +1,6 @@
 """Byte-level decoding: frame headers by arithmetic over batches, messages as column expressions over BINARY columns."""
 import socket
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -184,68 +185,81 @@ def decode_dns(rows: DataFrame) -> DataFrame:
     return stage(r, {"dns": F.when(good, d)}).drop("_p", "_n")
 
 
-def u16_list(p, start, count) -> Column:
-    """`count` two-byte integers from `start`."""
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda k: u(p, start + 2 * k, 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+HELLO = T.StructType([T.StructField(n, t) for n, t in (
+    ("hello", T.StringType()), ("version", T.IntegerType()), *((n, T.ArrayType(T.IntegerType())) for n in ("ciphers", "extension_types", "groups", "points", "versions", "signatures")),
+    ("alpn", T.BinaryType()), ("sni", T.BinaryType()), ("ja3", T.StringType()), ("ja4", T.StringType()), ("ja3s", T.StringType()))])
+
+
+def _hello(p: bytes | None, protocol: int | None) -> tuple | None:
+    """The values of `HELLO` for one payload; None if it does not hold a whole hello."""
+    n = len(p or b"")
+    if protocol != 6 or n < 43 or p[0] != 0x16:
+        return None
+    two = lambda at: p[at] << 8 | p[at + 1]
+    end = two(3) + 5
+    client = p[5] == 1 and end >= 45
+    if n < end or not client and (p[5] != 2 or end < 43) or n < 44:
+        return None
+    i1 = 44 + p[43]
+    if client:
+        count = (n - i1 - 2) // 2
+        if i1 + 2 <= n:
+            count = min((two(i1) + 1) // 2, count)
+        at, limit = i1 + 2 + 2 * count, n
+        if at >= n:
+            return None
+        at += 1 + p[at]
+    else:
+        at, limit = i1 + 3, end
+        if at > limit:
+            return None
+    found = []  # (type, position, bytes of it that are there)
+    if at + 2 <= limit:
+        stop, pos = min(at + 2 + two(at), limit), at + 2
+        while pos + 4 <= stop:
+            size = two(pos + 2)
+            found.append((two(pos), pos + 4, min(size, n - pos - 4)))
+            pos += 4 + size
+    numbers = lambda start, k: list(struct.unpack_from(f"!{k}H", p, start)) if k > 0 else []
+    version, kinds = two(9), [t for t, _, _ in found]
+    if not client:
+        cipher = two(i1)
+        return "server", version, [cipher], kinds, None, None, None, None, None, None, None, None, tls.ja3s_of(version, cipher, kinds)
+    lists = {10: [], 11: [], 13: [], 43: []}
+    first = {}
+    for t, pos, have in found:
+        first.setdefault(t, (pos, have))
+        if t in (10, 13) and have > 2:
+            lists[t] += numbers(pos + 2, min(two(pos), have - 2) // 2)
+        elif t == 43 and have > 1:
+            lists[t] += numbers(pos + 1, min(p[pos], have - 1) // 2)
+        elif t == 11 and have > 1:
+            lists[t] += p[pos + 1 : pos + 1 + min(p[pos], have - 1)]
+    (name_at, name), (alpn_at, offered) = first.get(0, (0, 0)), first.get(16, (0, 0))
+    sni = p[name_at + 5 : name_at + 5 + two(name_at + 3)] if name > 5 else None
+    alpn = p[alpn_at + 3 : alpn_at + 3 + p[alpn_at + 2]] if offered >= 3 else None
+    ciphers = numbers(i1 + 2, count)
+    return ("client", version, ciphers, kinds, lists[10], lists[11], lists[43], lists[13], alpn, sni,
+            tls.ja3_of(version, ciphers, kinds, lists[10], lists[11]), tls.ja4_of("t", version, ciphers, kinds, lists[43], alpn, lists[13]), None)
 
 
-def extensions(p, start, end) -> Column:
-    """Array of (type, pos, len) walked from `start` while a four-byte header fits before `end`."""
-    init = F.struct(start.cast("int").alias("pos"), F.array().cast("array<struct<type:int,pos:int,len:int>>").alias("out"))
-
-    def step(s, _):
-        t, n = u(p, s["pos"], 2).cast("int"), u(p, s["pos"] + 2, 2).cast("int")
-        item = F.struct(t.alias("type"), (s["pos"] + 4).cast("int").alias("pos"), n.alias("len"))
-        return F.when(s["pos"] + 4 <= end, F.struct((s["pos"] + 4 + n).cast("int").alias("pos"), F.array_append(s["out"], item).alias("out"))).otherwise(s)
+def decode_tls(rows: DataFrame, payload="payload") -> DataFrame:
+    """Adds `hello` ('client', 'server' or null) with version, ciphers, extension types, groups, points, versions, signatures, alpn, sni, and ja3, ja4, ja3s.
 
-    most = F.greatest(F.lit(1), F.floor((end - start) / 4).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), most), init, step, lambda s: s["out"])
+    A hello is walked once, in batches; walked by column expressions, each list would be taken apart again for every number made from it."""
+    kept = [f for f in rows.schema.fields if f.name not in HELLO.names]
+    names = [f.name for f in kept]
+    kinds = [pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 6, pa.binary(), pa.binary(), *[pa.string()] * 3]
+    none = (None,) * len(kinds)
 
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            got = [_hello(p, k) or none for p, k in zip(b.column(names.index(payload)).to_pylist(), b.column(names.index("protocol")).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, k) for c, k in zip(zip(*got), kinds)]], [*b.schema.names, *HELLO.names])
 
-def decode_tls(rows: DataFrame, payload="payload") -> DataFrame:
-    """Adds `hello` ('client', 'server' or null) with version, ciphers, extension types, groups, points, versions, signatures, alpn, sni, and ja3, ja4, ja3s."""
-    p = col(payload)
-    n = F.length(p).cast("int")
-    rec = u(p, 3, 2)
-    whole = (F.col("protocol") == 6) & (u(p, 0, 1) == 0x16) & (n >= rec + 5)
-    r = stage(rows, {"_k": F.when(whole & (rec >= 40) & (u(p, 5, 1) == 1), "client").when(whole & (rec >= 38) & (u(p, 5, 1) == 2), "server")})
-    client = F.col("_k") == "client"
-    r = stage(r, {"_i1": F.when(F.col("_k").isNotNull(), 44 + u(p, 43, 1)).cast("int")})
-    i1 = F.col("_i1")
-    r = stage(r, {"_nc": F.when(client, F.least(F.ceil(u(p, i1, 2) / 2), F.floor((n - i1 - 2) / 2))).cast("int")})
-    r = stage(r, {"_i2": F.when(client, i1 + 2 + 2 * F.col("_nc")).otherwise(i1 + 3).cast("int")})
-    r = stage(r, {"_i3": F.when(client, F.col("_i2") + 1 + u(p, F.col("_i2"), 1)).otherwise(F.col("_i2")).cast("int")})
-    limit = F.when(client, n).otherwise((rec + 5).cast("int"))
-    r = stage(r, {"_k": F.when((client & F.col("_i3").isNotNull()) | ((F.col("_k") == "server") & (i1 + 3 <= limit)), F.col("_k"))})
-    i3 = F.col("_i3")
-    r = stage(r, {"_x": F.when(F.col("_k").isNotNull() & (i3 + 2 <= limit), extensions(p, i3 + 2, F.least(i3 + 2 + u(p, i3, 2), limit).cast("int")))})
-    r = stage(r, {"_x": F.coalesce("_x", F.array().cast("array<struct<type:int,pos:int,len:int>>"))})
-    seen = lambda t: F.filter("_x", lambda x: x["type"] == t)
-    have = lambda x: F.least(x["len"], n - x["pos"]).cast("int")
-
-    def lists(t, head, body):
-        """Concatenated two-byte lists of all extensions of a type; `body` gives the byte count available to items."""
-        one = lambda x: u16_list(p, x["pos"] + head, F.floor(F.greatest(F.lit(0), body(x)) / 2))
-        return F.flatten(F.transform(seen(t), lambda x: F.coalesce(one(x), F.array().cast("array<int>"))))
-
-    groups = lists(10, 2, lambda x: F.least(u(p, x["pos"], 2), (have(x) - 2).cast("long")))
-    sigs = lists(13, 2, lambda x: F.least(u(p, x["pos"], 2), (have(x) - 2).cast("long")))
-    vers = lists(43, 1, lambda x: F.least(u(p, x["pos"], 1), (have(x) - 1).cast("long")))
-    pts = F.flatten(F.transform(seen(11), lambda x: F.when(F.least(u(p, x["pos"], 1), (have(x) - 1).cast("long")) > 0, F.transform(
-        F.sequence(F.lit(1), F.least(u(p, x["pos"], 1), (have(x) - 1).cast("long")).cast("int")), lambda k: u(p, x["pos"] + k, 1).cast("int"))).otherwise(F.array().cast("array<int>"))))
-    first = lambda t: F.get(seen(t), F.lit(0))
-    alpn = F.when(have(first(16)) >= 3, cut_bytes(p, first(16)["pos"] + 3, u(p, first(16)["pos"] + 2, 1)))
-    sni = F.when(have(first(0)) > 5, cut_bytes(p, first(0)["pos"] + 5, u(p, first(0)["pos"] + 3, 2)).cast("string"))
-    on = F.col("_k").isNotNull()
-    r = stage(r, {"hello": F.col("_k"), "version": F.when(on, u(p, 9, 2)).cast("int"),
-                       "ciphers": F.when(client, u16_list(p, i1 + 2, F.col("_nc"))).when(on, F.array(u(p, i1, 2).cast("int"))),
-                       "extension_types": F.when(on, F.col("_x.type")), "groups": F.when(client, groups), "points": F.when(client, pts), "versions": F.when(client, vers),
-                       "signatures": F.when(client, sigs), "alpn": F.when(client, alpn), "sni": F.when(client, sni)})
-    r = stage(r, {
-        "ja3": F.when(client, tls.ja3("version", "ciphers", "extension_types", "groups", "points")),
-        "ja4": F.when(client, tls.ja4(F.lit("t"), "version", "ciphers", "extension_types", "versions", F.array_contains("extension_types", 0), "alpn", "signatures")),
-        "ja3s": F.when(F.col("_k") == "server", tls.ja3s("version", F.get("ciphers", F.lit(0)), "extension_types"))})
-    return r.drop("_k", "_i1", "_i2", "_i3", "_nc", "_x")
+    return rows.select(*names).mapInArrow(run, T.StructType(kept + HELLO.fields)).withColumn("sni", F.col("sni").cast("string"))
 
 
 def quic_initial(payload) -> Column:

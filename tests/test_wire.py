@@ -3,6 +3,9 @@ import random
 import socket
 import struct
 
+from pyspark.sql import functions as F
+
+from flowglass.functions import tls
 from flowglass.sources import wire
 
 FIELDS = ("status", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "tcp_seq", "tcp_window", "payload", "protocol", "ip_bytes")
@@ -87,3 +90,41 @@ def test_batches_decode_like_single_frames(spark):
         seen.add(want["status"])
     assert len(seen) == 10 and rows[-1].status == "SHORT_FRAME"
     assert wire.decode_frames(df.limit(0)).count() == 0
+
+
+def hello(rng):
+    """A hello of either side with odd lists and lengths, as a TLS record, sometimes cut."""
+    words = lambda k: b"".join(struct.pack("!H", rng.choice([0x0A0A, 0x1A1A, 772, 771, 0, 16, rng.randrange(65536)])) for _ in range(rng.randrange(k)))
+    extensions = b""
+    for _ in range(rng.randrange(8)):
+        kind = rng.choice([0, 10, 11, 13, 16, 43, 0x1A1A, rng.randrange(65536)])
+        if kind == 0:
+            body = struct.pack("!HBH", 13, 0, 10) + b"example.or"
+        elif kind == 16:
+            body = b"\0\x03" + rng.choice([b"\x02h2", b"\x08http/1.1", b"\x02\x01\xff", b"\0"])
+        else:
+            items = words(5)
+            body = {10: struct.pack("!H", len(items)) + items, 13: struct.pack("!H", len(items) + rng.choice([0, 1, 9])) + items, 11: bytes([2, 0, 1]), 43: bytes([len(items)]) + items}.get(kind, items)
+        extensions += struct.pack("!HH", kind, len(body)) + body
+    side, ciphers = rng.choice([1, 1, 2]), words(6)
+    middle = struct.pack("!H", len(ciphers)) + ciphers + b"\1\0" if side == 1 else struct.pack("!HB", rng.randrange(65536), 0)
+    body = b"\3\3" + bytes(32) + b"\0" + middle + struct.pack("!H", len(extensions)) + extensions
+    message = bytes([side]) + len(body).to_bytes(3, "big") + body
+    record = b"\x16\3\1" + struct.pack("!H", len(message)) + message
+    return record[: rng.randrange(len(record))] if rng.random() < 0.1 else record
+
+
+def test_hellos_are_walked_once(spark):
+    rng = random.Random(3)
+    rows = [(i, 6, bytearray(hello(rng))) for i in range(1500)] + [(-1, 6, None), (-2, 17, bytearray(hello(rng))), (-3, None, bytearray(hello(rng))), (-4, 6, bytearray())]
+    d = wire.decode_tls(spark.createDataFrame(rows, "seq long, protocol int, payload binary"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan  # lists are not taken apart again for every number made from them
+    assert d.columns == ["seq", "protocol", "payload", *wire.HELLO.names] and dict(d.dtypes)["sni"] == "string"
+    sni = F.array_contains("extension_types", 0)
+    same = d.select("*", F.when(F.col("hello") == "client", tls.ja3("version", "ciphers", "extension_types", "groups", "points")).alias("_3"), F.when(F.col("hello") == "server", tls.ja3s("version", F.col("ciphers")[0], "extension_types")).alias("_s"),
+                    F.when(F.col("hello") == "client", tls.ja4(F.lit("t"), "version", "ciphers", "extension_types", "versions", sni, "alpn", "signatures")).alias("_4")).collect()
+    assert all((r.ja3, r.ja4, r.ja3s) == (r._3, r._4, r._s) for r in same)
+    assert all(r.hello is None and r.version is None and r.ja3 is None for r in same if r.seq < 0)
+    assert min(sum(r.hello == k for r in same) for k in ("client", "server", None)) > 30 and {r.sni for r in same} == {None, "example.or"}
+    assert wire.decode_tls(d.select("seq", "protocol", "payload").limit(0)).count() == 0
