@@ -61,9 +61,9 @@ def _ipfix_hex(t, per, end_ms, with_template, packets="packets"):
     g = t.withColumn("rec", rec).groupBy(F.floor(F.col("seq") / per).cast("long").alias("d")).agg(F.array_sort(F.collect_list(F.struct("seq", "rec"))).alias("r"))
     fields = "00080004000c00040004000100020008" + "00990008"
     tmpl = "0002" + "%04x" % (8 + len(fields) // 2) + "0100" + "%04x" % 5 + fields
-    body = F.array_join(F.transform("r", lambda x: x["rec"]), "")
-    sets = F.concat(F.when(with_template, tmpl).otherwise(""), F.lit("0100"), hexn(F.length(body) / 2 + 4, 2), body)
-    return g.select("d", F.concat(F.lit("000a"), hexn(F.length(sets) / 2 + 16, 2), F.lit("65920080"), hexn("d", 4), F.lit("00000007"), sets).alias("payload"))
+    g = wire.stage(g, {"_body": F.array_join(F.transform("r", lambda x: x["rec"]), "")})
+    g = wire.stage(g, {"_sets": F.concat(F.when(with_template, tmpl).otherwise(""), F.lit("0100"), hexn(F.length("_body") / 2 + 4, 2), F.col("_body"))})
+    return g.select("d", F.concat(F.lit("000a"), hexn(F.length("_sets") / 2 + 16, 2), F.lit("65920080"), hexn("d", 4), F.lit("00000007"), F.col("_sets")).alias("payload"))
 
 
 @query("datagram_counters", over(TRAFFIC, """, v as (select seq // 16 d, count(*) n, count(*) filter (seq % 5 = 0) z from traffic group by 1), i as (select seq // 8 d, count(*) n, count(*) filter (seq % 6 = 0) z from traffic group by 1),

@@ -1,7 +1,11 @@
 """Flow-export datagrams to events: fixed records, template-based records, packet samples."""
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.joins import asof_latest
 from ..session import cut
@@ -82,9 +86,38 @@ def sets(d: DataFrame) -> DataFrame:
     end = F.when(ipfix, u(p, 2, 2)).otherwise(F.length(p)).cast("int")
     r = stage(r, {"ipfix": ipfix, "domain": F.when(ipfix, u(p, 12, 4)).otherwise(u(p, 16, 4)), "export_us": F.when(ipfix, u(p, 4, 4)).otherwise(u(p, 8, 4)) * 1_000_000,
                        "boot_us": F.when(~ipfix, u(p, 8, 4) * 1_000_000 - u(p, 4, 4) * 1000)})
-    item = lambda pos: (F.when(u(p, pos + 2, 2) >= 4, u(p, pos + 2, 2)).otherwise(0).cast("int"), F.struct(u(p, pos, 2).cast("int").alias("set_id"), cut_bytes(p, pos + 4, u(p, pos + 2, 2) - 4).alias("body")))
-    walked = _walk(head, end, 4, F.array().cast("array<struct<set_id:int,body:binary>>"), item)
-    return r.select("seq", "ts_us", "exporter", "ipfix", "domain", "export_us", "boot_us", F.posexplode(walked).alias("set_no", "s")).select("*", "s.set_id", "s.body").drop("s")
+    r = stage(r, {"_from": head, "_to": end}).select("seq", "ts_us", "exporter", "ipfix", "domain", "export_us", "boot_us", p, "_from", "_to")
+    kept = r.schema.fields[:-3]
+    added = [T.StructField("set_no", T.IntegerType()), T.StructField("set_id", T.IntegerType()), T.StructField("body", T.BinaryType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, found = [], []
+            for row, (data, pos, stop) in enumerate(zip(*(batch.column(c).to_pylist() for c in (p, "_from", "_to")))):
+                for no, one in enumerate(_walk_sets(data, pos, stop)):
+                    which.append(row)
+                    found.append((no, *one))
+            yield from _rows_of(batch.select([f.name for f in kept]), which, found, ["set_no", "set_id", "body"], [pa.int32(), pa.int32(), pa.binary()])
+
+    return r.mapInArrow(run, T.StructType([*kept, *added]))
+
+
+def _walk_sets(data: bytes, pos: int, stop: int):
+    """(set number, body) of each set that starts in [pos, stop); one shorter than its own head ends the datagram."""
+    while pos + 4 <= stop:
+        size = int.from_bytes(data[pos + 2 : pos + 4], "big")
+        if size < 4:
+            return
+        yield int.from_bytes(data[pos : pos + 2], "big"), data[pos + 4 : pos + size]
+        pos += size
+
+
+def _rows_of(kept: pa.RecordBatch, which: list, found: list, names: list, kinds: list) -> Iterator[pa.RecordBatch]:
+    """The rows `which` of a batch with what was found in each, some thousand at a time."""
+    for k in range(0, len(which), 1 << 14):
+        some = kept.take(pa.array(which[k : k + (1 << 14)], pa.int32()))
+        values = [pa.array(c, kind) for c, kind in zip(zip(*found[k : k + (1 << 14)]), kinds)]
+        yield pa.RecordBatch.from_arrays([*some.columns, *values], [*some.schema.names, *names])
 
 
 def templates(s: DataFrame) -> DataFrame:
@@ -118,34 +151,32 @@ def templates(s: DataFrame) -> DataFrame:
 def template_records(d: DataFrame, skipped=False) -> DataFrame:
     """v9 and IPFIX datagrams to events; sets without a known template are counted by `missing_templates`."""
     s = with_templates(d)
-    b = "body"
-    known = s.filter(F.size("fields") > 0)
-    variable = lambda f: f["len"] == 65535
-    minimum = F.aggregate("fields", F.lit(0), lambda a, f: a + F.when(variable(f), 1).otherwise(f["len"]))
-    known = stage(known, {"_min": F.greatest(minimum, F.lit(1))})
-
-    def field(a, f):
-        one = u(b, a["pos"], 1).cast("int")
-        wide = u(b, a["pos"] + 1, 2).cast("int")
-        n = F.when(variable(f), F.when(one == 255, wide).otherwise(one)).otherwise(f["len"])
-        skip = F.when(variable(f), F.when(one == 255, 3).otherwise(1)).otherwise(0)
-        v = F.struct(f["id"].alias("id"), f["ent"].alias("ent"), cut_bytes(b, a["pos"] + skip, n).alias("raw"))
-        return F.struct((a["pos"] + skip + n).cast("int").alias("pos"), F.array_append(a["vals"], v).alias("vals"))
-
-    vals_type = "array<struct<id:int,ent:long,raw:binary>>"
-
-    def record(a, _):
-        got = F.aggregate("fields", F.struct(a["pos"].alias("pos"), F.array().cast(vals_type).alias("vals")), field)
-        more = F.struct(got["pos"].alias("pos"), F.array_append(a["out"], got["vals"]).alias("out"))
-        return F.when(F.length(b) - a["pos"] >= F.col("_min"), more).otherwise(a)
-
-    most = F.greatest(F.lit(1), F.floor(F.length(b) / F.col("_min")).cast("int"))
-    records = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{vals_type}>").alias("out")), record, lambda a: a["out"])
-    r = known.select("seq", "set_no", "exporter", "export_us", "boot_us", F.posexplode(records).alias("i", "v"))
-
-    def raw(name, ent=0):
-        return F.get(F.filter("v", lambda x: (x["id"] == IE[name]) & (x["ent"] == ent)), F.lit(0))["raw"]
-
+    known = s.filter(F.size("fields") > 0).select("seq", "set_no", "exporter", "export_us", "boot_us", "body", "fields")
+    kept = known.schema.fields[:-2]
+    wanted = {**{name: (number, 0) for name, number in IE.items()}, "reverse": (IE["octets"], REVERSE)}
+    names = ["i", *["_" + name for name in wanted]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layouts = {}
+        for batch in batches:
+            which, found = [], []
+            for row, (body, fields) in enumerate(zip(batch.column("body").to_pylist(), batch.column("fields").to_pylist())):
+                key = tuple((f["id"], f["ent"], f["len"]) for f in fields)
+                if key not in layouts:
+                    first = {}
+                    for k, f in enumerate(key):
+                        first.setdefault(f[:2], k)
+                    if len(layouts) == 1024:
+                        layouts.clear()
+                    layouts[key] = [f[2] for f in key], [first.get(x) for x in wanted.values()]
+                sizes, picks = layouts[key]
+                for i, values in enumerate(_walk_records(body or b"", sizes)):
+                    which.append(row)
+                    found.append((i, *[None if k is None else values[k] for k in picks]))
+            yield from _rows_of(batch.select([f.name for f in kept]), which, found, names, [pa.int32(), *[pa.binary()] * len(wanted)])
+
+    r = known.mapInArrow(run, T.StructType([*kept, T.StructField("i", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in names[1:]]]))
+    raw = lambda name: F.col("_" + name)
     num = lambda c: F.conv(F.hex(c), 16, 10).cast("long")
     addr4, addr6 = lambda c: F.when(F.length(c) == 4, ipv4(c, 0)), lambda c: F.when(F.length(c) == 16, ipv6(c, 0))
     boot = F.coalesce(F.col("boot_us"), num(raw("init_ms")) * 1000)
@@ -153,13 +184,36 @@ def template_records(d: DataFrame, skipped=False) -> DataFrame:
     zero = lambda c: F.coalesce(num(c), F.lit(0)).cast("int")
     f = stage(r, {"ts_us": end, "src_ip": F.coalesce(addr4(raw("src_v4")), addr6(raw("src_v6"))), "dst_ip": F.coalesce(addr4(raw("dst_v4")), addr6(raw("dst_v6"))),
                   "src_port": zero(raw("src_port")), "dst_port": zero(raw("dst_port")), "protocol": zero(raw("protocol")), "packets": F.coalesce(num(raw("packets")), num(raw("packets_total"))),
-                  "octets": F.coalesce(num(raw("octets")), num(raw("octets_total"))), "flags": num(raw("flags")), "reverse": num(raw("octets", REVERSE))})
-    return flow_events(f.drop("v", "export_us", "boot_us"), skipped)
+                  "octets": F.coalesce(num(raw("octets")), num(raw("octets_total"))), "flags": num(raw("flags")), "reverse": num(raw("reverse"))})
+    return flow_events(f.drop(*names[1:], "export_us", "boot_us"), skipped)
+
+
+def _walk_records(body: bytes, sizes: list):
+    """The fields of each record of a set; a size of 65535 says that the field brings its own length.
+
+    A field past the end is cut, one behind a length that is missing is None; both can only be in the last record."""
+    least = max(1, sum(1 if n == 65535 else n for n in sizes))
+    pos = 0
+    for _ in range(max(1, len(body) // least)):
+        if pos is None or len(body) - pos < least:
+            return
+        out = []
+        for n in sizes:
+            if pos is None:
+                out.append(None)
+                continue
+            if n == 65535:
+                head = body[pos : pos + 3]
+                n, skip = (None, 1) if not head else (head[0], 1) if head[0] < 255 else (int.from_bytes(head[1:], "big") if len(head) == 3 else None, 3)
+                pos += skip
+            out.append(body[pos : pos + (n or 0)])
+            pos = None if n is None else pos + n
+        yield out
 
 
 def with_templates(d: DataFrame) -> DataFrame:
     """Data sets with the newest earlier template of their scope (an as-of join in arrival order)."""
-    s = sets(d)
+    s = cut(sets(d))  # read four times: templates and data, rows and block totals
     key = ["exporter", "ipfix", "domain", "template_id"]
     order = F.col("seq") * 65_536 + F.col("set_no")
     t = templates(s).select(*key, "ts_us", order.alias("seq"), "fields")
