@@ -30,6 +30,7 @@ from ..session import cut
 
 FRAMES = "path string, idx long, ts_us long, frame binary, original long, problem string"
 SPLIT = 64 << 20
+TASK = 8 << 20
 BUFFER = 4 << 20
 CHAIN = 16  # headers in a row that make an offset plausible
 MAX_RECORD = 16 << 20
@@ -311,8 +312,11 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _spread(ranges: DataFrame) -> DataFrame:
-    """One task per range, up to some ten thousand."""
-    return ranges.repartition(max(1, min(ranges.count(), 20_000)))
+    """One task per range, up to some ten thousand; ranges of few bytes share tasks of about `TASK`, so that starting them is not the work."""
+    begin = F.col("start") if "start" in ranges.columns else F.col("first")
+    n, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - begin), F.lit(0))).first()
+    least = 4 * ranges.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(max(1, min(n, 20_000, max(least, -(-size // TASK)))))
 
 
 def surveyed(spark: SparkSession, path: str, split=SPLIT) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowglass.sources import capture_files as C
 
@@ -106,3 +107,14 @@ def test_a_range_far_into_a_large_file():
     assert first >= start and (first - 24) % 1016 == 0
     rows = list(C.walk_classic(view, first, start + 100_000, "<", False, 65535))
     assert rows[0][1] == (1_000_000 + (first - 24) // 1016) * 1_000_000 + 1 and rows[-1][0] >= start + 100_000
+
+
+def test_small_ranges_share_tasks(spark):
+    """A task per range of a few kilobytes would spend its time on starting; large ranges keep a task each."""
+    ranges = lambda n, size: spark.range(n).select((F.col("id") * size).alias("start"), ((F.col("id") + 1) * size).alias("end"))
+    few = 4 * spark.sparkContext.defaultParallelism
+    assert C._spread(ranges(500, 40_000)).rdd.getNumPartitions() == few
+    assert C._spread(ranges(50, C.SPLIT)).rdd.getNumPartitions() == 50
+    assert C._spread(ranges(500, C.TASK // 4)).rdd.getNumPartitions() == 125
+    assert C._spread(ranges(500, 40_000).withColumnRenamed("start", "first")).count() == 500
+    assert C._spread(ranges(0, 1)).count() == 0
