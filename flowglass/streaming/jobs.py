@@ -56,48 +56,52 @@ class Suppressor(StatefulProcessor):
 
     Spark itself drops rows behind the watermark of the batch before and reports their number in its progress (`dropped`).
 
-    The expiry is the only state; an event-time timer clears it once it has passed."""
+    The keys of a bucket share a call and a state, the expiries that the watermark has not passed; an event-time timer clears them once it has passed all."""
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.expiry = handle.getValueState("expiry", T.StructType([T.StructField("expiry", T.LongType())]))
+        self.expiries = handle.getValueState("expiries", T.StructType([T.StructField("key", T.ArrayType(T.StringType())), T.StructField("expiry", T.ArrayType(T.LongType()))]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts_us", "seq"], kind="stable")
-        expiry = self.expiry.get()[0] if self.expiry.exists() else None
+        state = self.expiries.get()
+        expiries = dict(zip(*state)) if state is not None else {}
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        times = batch["ts_us"].tolist()
-        late = sum(ts < mark for ts in times)  # they stand first
-        kept = []
-        for i in range(late, len(times)):
-            if expiry is None or times[i] >= expiry:
-                expiry = times[i] + self.gap_us
-                kept.append(i)
-        if kept:
-            self.expiry.update((expiry,))
-            self.handle.registerTimer(expiry // 1000 + 1)
-        out = [(key[0], times[i], seq, 0) for i, seq in zip(kept, batch["seq"].iloc[kept].tolist())]
-        if late:
-            out.append((key[0], None, None, late))
+        kept, late = [], {}
+        for k, t, seq in zip(batch["key"].tolist(), batch["ts_us"].tolist(), batch["seq"].tolist()):
+            if t < mark:
+                late[k] = late.get(k, 0) + 1
+            elif (expiry := expiries.get(k)) is None or t >= expiry:
+                expiries[k] = t + self.gap_us
+                kept.append((k, t, seq, 0))
+        expiries = {k: e for k, e in expiries.items() if e > mark}
+        if expiries:
+            self.expiries.update((list(expiries), list(expiries.values())))
+            self.handle.registerTimer(max(expiries.values()) // 1000 + 1)
+        elif state is not None:
+            self.expiries.clear()
+        out = kept + [(k, None, None, n) for k, n in late.items()]
         yield pd.DataFrame(out, columns=["key", "ts_us", "seq", "late"]).astype({"ts_us": "Int64", "seq": "Int64", "late": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.expiry.exists() and self.expiry.get()[0] <= timerValues.getCurrentWatermarkInMs() * 1000:
-            self.expiry.clear()
+        state = self.expiries.get()
+        if state is not None and max(state[1]) <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.expiries.clear()
         yield pd.DataFrame({"key": pd.Series(dtype="str"), "ts_us": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"), "late": pd.Series(dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-def suppress(hits: DataFrame, key: str, gap_us: int, with_late=False) -> DataFrame:
+def suppress(hits: DataFrame, key: str, gap_us: int, with_late=False, buckets=1024) -> DataFrame:
     """Streaming form of the repeat suppression: (key, ts_us, seq) of the hits that pass. Needs `ts` with a watermark and the RocksDB state store.
 
-    `with_late`: also one row per key and micro-batch with the number of `late` hits that reached the operator and were dropped there."""
-    out = hits.select(F.col(key).alias("key"), "ts", "ts_us", "seq").groupBy("key").transformWithStateInPandas(
+    `with_late`: also one row per key and micro-batch with the number of `late` hits that reached the operator and were dropped there.
+    A call into Python costs more than the few hits of a key, so keys are dealt over `buckets` groups."""
+    out = hits.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).alias("key"), "ts", "ts_us", "seq").groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Suppressor(gap_us), outputStructType="key string, ts_us long, seq long, late long", outputMode="Append", timeMode="EventTime")
     return out if with_late else out.filter("seq is not null").drop("late")
 
@@ -120,10 +124,12 @@ def write_alerts(path: str):
         spark = batch.sparkSession
         before = _note(spark, path, batch_id - 1)
         start = before["last"] if before else 0
+        batch = batch.persist()  # the sums read it twice, and a batch made anew runs its stateful operator again
         rows = running_sums(batch, [], {"sequence": F.lit(1)}, block_us=10_000_000).withColumn("sequence", F.col("sequence") + F.lit(start))
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         last = spark.read.parquet(f"{path}/batch_id={batch_id}").agg(F.coalesce(F.max("sequence"), F.lit(start)).cast("long").alias("last"))
         last.write.mode("overwrite").parquet(f"{path}/_notes/{batch_id}")
+        batch.unpersist()
 
     return sink
 

@@ -92,3 +92,12 @@ def test_alerts_are_visible_while_input_remains(spark, tmp_path):
     kept = [r.seq for r in throttle(d, ["key"], 30_000_000).filter("kept").collect()]
     assert 0 < seen[0] < seen[1] < seen[2] and [seen[b] for b in range(3)] == [sum(s < 40 * (b + 1) for s in kept) for b in range(3)]
     assert sorted(r.sequence for r in jobs.read_alerts(spark, path).collect()) == list(range(1, len(kept) + 1))
+
+
+def test_keys_that_share_a_bucket_keep_their_own_expiry(spark, tmp_path):
+    d, src = _files(spark, tmp_path)
+    d = d.withColumn("key", F.concat("key", F.lit("-"), (F.col("seq") % 7).cast("string")))
+    stream = jobs.with_time(jobs.in_batches(d.withColumn("k", F.floor(F.col("seq") / 40)), "k", 3, files=1))
+    out = jobs.run_available(jobs.suppress(stream, "key", 30_000_000, buckets=2))
+    got = sorted((r.key, r.ts_us, r.seq) for r in spark.read.parquet(out).collect())
+    assert got == sorted((r.key, r.ts_us, r.seq) for r in throttle(d, ["key"], 30_000_000).filter("kept").collect()) and len({k for k, _, _ in got}) > 2
