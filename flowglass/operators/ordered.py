@@ -7,7 +7,14 @@ A key holding a large share of the rows is therefore spread over as many tasks a
 it has blocks.  `base` names the input the per-block tables are computed from; it
 defaults to the rows, but callers that have stacked many columns pass the raw
 events so that the summaries never re-run the stacked plan.
+
+Most keys hold few rows, and for them blocks cost more than they spare.  A caller
+that has counted its keys (`heat`) has only those of crowded buckets cut into blocks.
 """
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,15 +28,62 @@ def block(us=BLOCK_US, ts="ts_us") -> Column:
     return F.floor(F.col(ts) / F.lit(us)).cast("long")
 
 
+HOT_ROWS, BUCKETS, MANY = 200_000, 65_536, 1024
+
+
+@dataclass(frozen=True)
+class Heat:
+    """Buckets of `by`, some of the keys, that hold more than HOT_ROWS rows: a hot key is in one of them."""
+    by: tuple
+    hot: tuple = ()
+
+    def __bool__(self):
+        return bool(self.hot)
+
+    def column(self) -> Column:
+        return _bucket(self.by).isin(list(self.hot))
+
+
+def _bucket(by) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(BUCKETS))
+
+
+def heat(rows: DataFrame, by, hot_rows: int = HOT_ROWS) -> Heat:
+    """Counts the rows per bucket; what comes to the driver is no longer than the number of buckets."""
+    crowded = rows.groupBy(_bucket(by).alias("b")).count().filter(F.col("count") > hot_rows)
+    return Heat(tuple(by), tuple(r["b"] for r in crowded.select("b").collect()))
+
+
+def _by_heat(rows: DataFrame, keys, seen: Heat | None, plain: Callable, blocked: Callable) -> DataFrame:
+    """`blocked` for keys in hot buckets, `plain`, one window a key, for the others; rows without key or time are dropped, as the joins of blocks drop them."""
+    if seen is None or len(seen.hot) > MANY:
+        return blocked(rows)
+    whole = rows.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    cold = plain(whole.filter(~seen.column()) if seen else whole).filter("ts_us is not null")
+    return cold.unionByName(blocked(whole.filter(seen.column()))) if seen else cold
+
+
 def causal(*keys):
     """Every row of the group up to and including the current one."""
     return W.partitionBy(*keys).orderBy(*ORDER).rowsBetween(FIRST, 0)
 
 
-def running_sums(rows: DataFrame, keys, sums: dict, base=None, block_us=BLOCK_US, lasts=()) -> DataFrame:
+def running_sums(rows: DataFrame, keys, sums: dict, base=None, block_us=BLOCK_US, lasts=(), seen: Heat | None = None) -> DataFrame:
     """Adds, per key in arrival order, inclusive running sums and `last_<c>`, the latest non-null value of each of `lasts`."""
-    base = rows if base is None else base
     keys = list(keys)
+
+    def plain(cold):
+        # Blocks follow time, so one order serves both windows; a sum is null until its block has a value.
+        w = W.partitionBy(*keys).orderBy("_blk", *ORDER).rowsBetween(FIRST, 0)
+        nullable = [n for n, e in sums.items() if cold.select(e.alias(n)).schema[n].nullable]
+        r = cold.withColumn("_blk", block(block_us)).select("*", *[F.sum(e).over(w).alias("_s_" + n) for n, e in sums.items()], *[F.last(c, ignorenulls=True).over(w).alias("last_" + c) for c in lasts],
+                                                            *[F.count(sums[n]).over(causal(*keys, "_blk")).alias("_n_" + n) for n in nullable])
+        return r.select(*rows.columns, *[(F.when(F.col("_n_" + n) > 0, F.col("_s_" + n)) if n in nullable else F.col("_s_" + n)).alias(n) for n in sums], *["last_" + c for c in lasts])
+
+    return _by_heat(rows, keys, seen, plain, lambda r: _blocked_sums(r, keys, sums, r if base is None else base, block_us, lasts))
+
+
+def _blocked_sums(rows: DataFrame, keys, sums: dict, base, block_us, lasts) -> DataFrame:
     inner = causal(*keys, "_blk")
     local = rows.withColumn("_blk", block(block_us)).select(
         "*", *[F.sum(e).over(inner).alias(n) for n, e in sums.items()], *[F.last(c, ignorenulls=True).over(inner).alias("_l_" + c) for c in lasts])
@@ -95,18 +149,27 @@ def recent(keys, depth: int):
     return W.partitionBy(*keys, "_chunk").orderBy(*ORDER).rowsBetween(-depth, 0)
 
 
-def sessionize(rows: DataFrame, keys, gap_us: int, keep_equal: bool, base=None, block_us=BLOCK_US) -> DataFrame:
+def sessionize(rows: DataFrame, keys, gap_us: int, keep_equal: bool, base=None, block_us=BLOCK_US, seen: Heat | None = None) -> DataFrame:
     """Adds `session_start` and `session_seq`: time and seq of the first row of the session.
 
     A silence of more than `gap_us` (or of `gap_us` exactly unless `keep_equal`)
     opens a new session.  Sessions may span blocks; each block reports its first
     time, last time and last local start, and these are chained in a small table."""
-    base = rows if base is None else base
     keys = list(keys)
 
     def opens(gap):
         return gap > gap_us if keep_equal else gap >= gap_us
 
+    def plain(cold):
+        w = W.partitionBy(*keys).orderBy(*ORDER)
+        gap = F.col("ts_us") - F.lag("ts_us").over(w)
+        s = cold.withColumn("_s", F.when(gap.isNull() | opens(gap), F.struct(*ORDER))).withColumn("_s", F.last("_s", ignorenulls=True).over(causal(*keys)))
+        return s.select(*rows.columns, F.col("_s.ts_us").alias("session_start"), F.col("_s.seq").alias("session_seq"))
+
+    return _by_heat(rows, keys, seen, plain, lambda r: _blocked_sessions(r, keys, opens, r if base is None else base, block_us))
+
+
+def _blocked_sessions(rows: DataFrame, keys, opens, base, block_us) -> DataFrame:
     wk = W.partitionBy(*keys, "_blk").orderBy(*ORDER)
 
     def local(df):
@@ -140,9 +203,15 @@ def most_before(rows: DataFrame, keys, value, name: str, block_us=BLOCK_US) -> D
     return out.select(*rows.columns, F.greatest("_m", "_c").alias(name))
 
 
-def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US, carry=()) -> DataFrame:
+def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US, carry=(), seen: Heat | None = None) -> DataFrame:
     """Adds the row before and the row after of the same key, across blocks, as structs of ts_us, seq and `carry`."""
     keys = list(keys)
+    me, w = F.struct(*ORDER, *carry), W.partitionBy(*keys).orderBy(*ORDER)
+    plain = lambda cold: cold.select(*rows.columns, F.lag(me).over(w).alias(prev), F.lead(me).over(w).alias(next_))
+    return _by_heat(rows, keys, seen, plain, lambda r: _blocked_neighbours(r, keys, prev, next_, block_us, carry))
+
+
+def _blocked_neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us, carry) -> DataFrame:
     blocked = rows.withColumns({"_blk": block(block_us), "_me": F.struct(*ORDER, *carry)})
     w = W.partitionBy(*keys, "_blk").orderBy(*ORDER)
     local = blocked.withColumns({prev: F.lag("_me").over(w), next_: F.lead("_me").over(w)})
@@ -154,25 +223,30 @@ def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US,
     return out.select(*rows.columns, F.coalesce(prev, "_before").alias(prev), F.coalesce(next_, "_after").alias(next_))
 
 
-def change_points(rows: DataFrame, keys, parts, block_us=BLOCK_US) -> DataFrame:
+def change_points(rows: DataFrame, keys, parts, block_us=BLOCK_US, seen: Heat | None = None) -> DataFrame:
     """seq and the running total of every amount at each row, all changes up to it included.
 
     `parts`: (time of the change, or None for the row's own arrival; name -> amount; condition or None).  Changes of a time come
-    before the arrivals of that time.  Amounts are summed as whole numbers, so what enters and leaves again leaves nothing behind."""
+    before the arrivals of that time.  Amounts are summed as whole numbers, so what enters and leaves again leaves nothing behind:
+    amounts of 32 bits, counts above all, in 64 bits, others as decimals."""
     names = list(dict.fromkeys(n for _, amounts, _ in parts for n in amounts))
-    whole = lambda c: c.cast("decimal(38,0)")
+    of = [(n, e) for _, amounts, _ in parts for n, e in amounts.items()]
+    made = rows.select(*[e.alias(f"_{i}") for i, (_, e) in enumerate(of)]).schema
+    wide = {n for (n, _), f in zip(of, made) if f.dataType.simpleString() not in ("int", "smallint", "tinyint")}
+    gaps = {n for (n, _), f in zip(of, made) if f.nullable}
+    whole = lambda n, c: c.cast("decimal(38,0)" if n in wide else "long")
     arrival = {n: F.lit(0) for n in names}
     points = []
     for at, amounts, where in parts:
         if at is None:
             arrival.update({n: F.when(where, e).otherwise(0) if where is not None else e for n, e in amounts.items()})
             continue
-        point = F.struct(at.alias("ts_us"), F.lit(-1).cast("long").alias("seq"), *[whole(amounts.get(n, F.lit(0))).alias(n) for n in names])
+        point = F.struct(at.alias("ts_us"), F.lit(-1).cast("long").alias("seq"), *[whole(n, amounts.get(n, F.lit(0))).alias(n) for n in names])
         points.append(F.when(where, point) if where is not None else point)
-    own = F.struct(F.col("ts_us"), F.col("seq").cast("long").alias("seq"), *[whole(arrival[n]).alias(n) for n in names])
-    stacked = rows.select(*keys, F.explode(F.filter(F.array(own, *points), lambda x: x.isNotNull())).alias("_p")).select(*keys, "_p.*")
-    sums = running_sums(stacked, keys, {"_" + n: F.col(n) for n in names}, block_us=block_us)
-    return sums.filter("seq >= 0").select("seq", *[F.col("_" + n).alias(n) for n in names])
+    own = F.struct(F.col("ts_us"), F.col("seq").cast("long").alias("seq"), *[whole(n, arrival[n]).alias(n) for n in names])
+    stacked = rows.select(*keys, F.explode(F.array(own, *points)).alias("_p")).filter("_p is not null").select(*keys, "_p.*")
+    sums = running_sums(stacked, keys, {"_" + n: F.col(n) if n in gaps else F.coalesce(n, F.lit(0)) for n in names}, block_us=block_us, seen=seen)
+    return sums.filter("seq >= 0").select("seq", *[F.col("_" + n).cast("decimal(38,0)").alias(n) for n in names])
 
 
 def running_max(rows: DataFrame, value: str, out: str, order="seq", block_rows=65_536) -> DataFrame:

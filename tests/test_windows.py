@@ -230,3 +230,20 @@ def test_order_statistics_with_heavy_ties(spark):
     assert (row.p50, row.p99, row.max) == (s[len(s) // 2], s[int((len(s) - 1) * .99)], 1e9)
     m = quantiles(spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "v double"), [], "v", {"m": 0.5}).first()
     assert m.m == 3.0
+
+
+def test_cold_keys_in_one_window_equal_blocks(spark):
+    from flowglass.operators.ordered import Heat, change_points, heat, neighbours, sessionize
+
+    d = spark.createDataFrame([(i, None if i == 30 else (i * 37 % 211) * 1_000_000, None if i == 40 else "abcd"[i % 4], None if i % 6 == 0 else i, f"p{i % 3}") for i in range(120)], "seq long, ts_us long, k string, v long, p string")
+    every = heat(d, ["k"], 1)
+    assert not heat(d, ["k"], 200) and len(every.hot) == 4
+    some = Heat(every.by, every.hot[:2])
+    parts = [(None, {"n": F.lit(1), "t": F.col("v")}, None), (F.col("ts_us") + 20_000_001, {"n": F.lit(-1), "t": -F.col("v")}, None)]
+    for keys in (["k"], ["k", "p"]):
+        for run in (lambda s: neighbours(d, keys, "a", "b", 10_000_000, carry=["v"], seen=s), lambda s: sessionize(d, keys, 15_000_000, True, block_us=10_000_000, seen=s),
+                    lambda s: running_sums(d, keys, {"s": F.col("v"), "c": F.lit(1)}, block_us=10_000_000, lasts=["v"], seen=s), lambda s: change_points(d, keys, parts, 10_000_000, s)):
+            want = sorted(map(str, run(None).collect()))
+            assert len(want) == 118
+            for seen in (Heat(("k",)), some, every):
+                assert sorted(map(str, run(seen).collect())) == want
