@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import heat
+
 HOT_ROWS = 1_000_000
 NEVER = -(2 ** 62)
 
@@ -88,12 +90,21 @@ def throttle(rows: DataFrame, keys, gap_us, hot_rows: int = HOT_ROWS, chunk_gaps
     hot = census.filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
     chunk = F.floor(F.col("ts_us") / (F.col("_gap") * chunk_gaps)).cast("long")
     gapped = rows.withColumn("_gap", gap.cast("long"))
+    if not heat(rows if base is None else base, keys, hot_rows):
+        ready = gapped.withColumns({"_chunk": F.lit(0).cast("long"), "_expiry": F.lit(NEVER)}).repartition(*keys).sortWithinPartitions(*keys, "ts_us", "seq")
+        return _replayed(ready, rows.schema, keys)
     tagged = gapped.join(hot, keys, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk).otherwise(F.lit(0)).cast("long"))
     slim = gapped.select(*keys, "_gap", "ts_us").join(hot, keys).withColumn("_chunk", chunk)
     entries = _chunk_entries(slim, keys, chunk_gaps)
     ready = (tagged.join(entries, [*keys, "_chunk"], "left")
              .select(*names, "_gap", "_chunk", F.coalesce("_expiry", F.lit(NEVER)).alias("_expiry"))
              .repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "ts_us", "seq"))
+    return _replayed(ready, rows.schema, keys)
+
+
+def _replayed(ready: DataFrame, schema: T.StructType, keys) -> DataFrame:
+    """Adds `kept` and `anchor_us` to the rows of `schema`, which come sorted by key, chunk and time."""
+    names = schema.names
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         previous, expiry = None, NEVER
@@ -115,5 +126,5 @@ def throttle(rows: DataFrame, keys, gap_us, hot_rows: int = HOT_ROWS, chunk_gaps
             out["kept"], out["anchor_us"] = kept, anchor
             yield out
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("kept", T.BooleanType()), T.StructField("anchor_us", T.LongType())])
+    schema = T.StructType([*schema.fields, T.StructField("kept", T.BooleanType()), T.StructField("anchor_us", T.LongType())])
     return ready.mapInPandas(replay, schema)
