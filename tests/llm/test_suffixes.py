@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from flowglass.llm import induced, suffixes as S
+from flowglass.llm import induced, suffixes as S, text
 
 
 def brute(docs, length=400):
@@ -88,3 +90,46 @@ def test_suffix_arrays(monkeypatch, small):
                 while max(a, b) + m < n and s[a + m] == s[b + m]:
                     m += 1
                 assert before[b] == m
+
+
+class Task:
+    """Stands for a table and hands out what one of its tasks runs."""
+
+    def __init__(self, spark, schema):
+        self.sparkSession, self.schema = spark, spark.createDataFrame([], schema).schema
+
+    def select(self, *_):
+        return self
+
+    repartition = sortWithinPartitions = select
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def peak(run, batch):
+    """(MB that numpy and Python held at most, rows out) of a task over one batch."""
+    tracemalloc.start()
+    rows = sum(len(b) for b in run([batch]))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most, rows
+
+
+def test_a_task_holds_little_at_once(spark, monkeypatch):
+    monkeypatch.setattr(text, "_POWERS", {})
+    r = random.Random(3)
+    words = [make(r, r.randrange(2, 9), "abcdefgh") for _ in range(5000)]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(1400)]
+    n = len(texts)
+    assert sum(map(len, texts)) > 3e6
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], ["doc_id", "_text", "text"])
+    most, rows = peak(S._anchored(Task(spark, "doc_id long, text string"), 400), batch)
+    assert rows > n and most < 80
+    data = [x for t in texts[:400] for x in (t[:450].encode(), t[:420].encode() + b"-" * 30)]
+    keys = pa.array([i // 2 for i in range(len(data))])
+    place = [pa.array(range(len(data))), keys, pa.array([0] * len(data), pa.int32()), keys, keys, pa.array(data, pa.binary())]
+    shard = pa.RecordBatch.from_arrays([pa.concat_arrays([x, x]) for x in place], ["doc_id", "_text", "start", "k1", "k2", "data"])
+    shard = shard.set_column(3, "k1", pa.array([i // 2 for i in range(len(shard))])).set_column(4, "k2", pa.array([i // 2 for i in range(len(shard))]))
+    most, rows = peak(S._shards(Task(spark, "doc_id long"), 400, S.SHARD), shard)
+    assert rows == len(shard) and most < 80
