@@ -133,3 +133,24 @@ def test_a_task_holds_little_at_once(spark, monkeypatch):
     shard = shard.set_column(3, "k1", pa.array([i // 2 for i in range(len(shard))])).set_column(4, "k2", pa.array([i // 2 for i in range(len(shard))]))
     most, rows = peak(S._shards(Task(spark, "doc_id long"), 400, S.SHARD), shard)
     assert rows == len(shard) and most < 80
+
+
+def test_a_line_that_fills_texts_is_one_row_a_text(spark, tmp_path):
+    r = random.Random(11)
+    line = make(r, 90, "abcdefgh ") + "\n"
+    kept = []
+    for n in (15, 30):
+        docs = [(i, make(r, 60, "klmnop") + line * 25) for i in range(n)] + [(n, make(r, 700))]
+        df = saved(spark, docs, f"{tmp_path}/{n}")
+        rows = S._anchored(df.select("doc_id", "text"), 400).collect()
+        assert len({(x.doc_id, *(x[c] for c in S.KEY)) for x in rows}) == len(rows)
+        want = []
+        for d, t in docs:
+            b = np.frombuffer(t.encode(), np.uint8)
+            _, start, windows, *_ = S.contexts(b, np.array([0, len(b)]))
+            want += [(d, s, w) for s, w in zip(start.tolist(), windows.tolist())]
+        assert sorted((x.doc_id, s, x.windows) for x in rows for s in x.starts) == sorted(want)
+        assert all(x.n == len(x.starts) for x in rows) and len(want) > len(rows) + 15 * n
+        kept.append(len(rows))
+        assert rows_of(S.op8_suffix_dedup(spark, f"{tmp_path}/{n}")) == brute(docs)
+    assert kept[1] <= 2 * kept[0]
