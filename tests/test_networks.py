@@ -91,3 +91,55 @@ def test_matching_broadcasts_nothing(spark):
     assert "Broadcast" not in final and final.count("SortMergeJoin") >= 2
     size = lambda n: len(joins.match_networks(df, lab(n))._jdf.queryExecution().analyzed().toString())
     assert size(16) - size(2) < 14 * 2 * 6 * 60  # a constant per shape, no expression
+
+
+def by_pairs(events, episodes):
+    """What each seq matches, pair by pair; rows of one seq are one event."""
+    found = {}
+    for seq, t, a, b in events:
+        for i, p, l, s, e, hosts in episodes:
+            if seq is not None and t is not None and s <= t <= e and (not hosts or any(ipaddress.ip_address(x) in ipaddress.ip_network(h) for x in (a, b) if x for h in hosts)):
+                found.setdefault(seq, set()).add((p, i, l, s, e))
+    return {seq: (min(hit)[1], min(hit)[2], len(hit)) for seq, hit in found.items()}
+
+
+def test_matching_of_pairs_nests_sets_and_repeated_rows(spark):
+    """An episode counts once by both endpoints, by nested networks, by a long list of hosts, by equal rows; rows that share `seq` are one event."""
+    rng = random.Random(9)
+    hosts = [f"10.0.{a}.{b}" for a in range(3) for b in range(40)] + [f"2001:db8::{x:x}" for x in range(40)]
+    nets = ["10.0.0.0/30", "10.0.0.0/24", "10.0.1.0/26", "2001:db8::/124", "2001:db8::/64", "::/0", "10.0.2.7", *hosts[:6]]
+    eps = [(f"e{i:02d}", rng.randrange(3), rng.choice("AB"), s, s + rng.choice([0, 5, 40]), rng.sample(nets, rng.choice([0, 1, 2, 3, 5]))) for i in range(40) for s in [rng.randrange(90)]]
+    eps += [(f"long{i}", 0, "A", 10 * i, 10 * i + 30, rng.sample(hosts, 50)) for i in range(6)]
+    eps += [("over", 0, "A", 50, 40, []), ("e00", eps[0][1], eps[0][2], eps[0][3], eps[0][4], ["10.0.2.9"])]
+    events = [(i, rng.randrange(120), rng.choice(hosts), rng.choice(hosts)) for i in range(300)] + [(400, None, "10.0.0.1", "10.0.0.2"), (401, 50, None, "10.0.0.1"), (None, 50, "10.0.0.1", "10.0.0.2")]
+    events += events[:20] + [(i, rng.randrange(120), rng.choice(hosts), rng.choice(hosts)) for i in range(10, 40)]
+    first = eps[0]
+    eps_seen = [e if e[0] != "e00" else (*first[:5], sorted({*first[5], "10.0.2.9"}) if first[5] else []) for e in eps]
+    df = spark.createDataFrame(events, "seq long, ts_us long, src_ip string, dst_ip string")
+    lab = spark.createDataFrame(eps, "id string, priority int, label string, start_us long, end_us long, hosts array<string>")
+    got = joins.match_networks(df, lab).collect()
+    want = by_pairs(events, eps_seen)
+    assert len(got) == len(events)
+    assert all((r.episode, r.label, r.matches) == want.get(r.seq, (None, None, 0)) for r in got)
+
+
+def _rows_out(node):
+    """Rows that each node of an executed plan gave out."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _rows_out(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _rows_out(node.plan())
+    m = node.metrics().get("numOutputRows")
+    children = node.children()
+    return ([m.get().value()] if m.isDefined() else []) + [x for i in range(children.size()) for x in _rows_out(children.apply(i))]
+
+
+def test_matching_makes_no_pairs(spark):
+    """Episodes of one network are open at the same time by the hundred: rows made must follow events and episodes, not their product."""
+    n = 300
+    df = spark.range(n).selectExpr("id as seq", "1000 + id as ts_us", "concat('10.0.0.', id % 250) as src_ip", "'198.51.100.1' as dst_ip")
+    lab = spark.range(n).selectExpr("concat('e', id) as id", "cast(id as int) as priority", "'A' as label", "id as start_us", "5000 + id as end_us", "array('10.0.0.0/24') as hosts")
+    m = joins.match_networks(df, lab)
+    assert {(r.episode, r.matches) for r in m.collect()} == {("e0", n)}
+    assert max(_rows_out(m._jdf.queryExecution().executedPlan())) <= 6 * n
