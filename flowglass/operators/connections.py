@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ordered import change_points, neighbours, running_sums, sessionize
+from .ordered import Heat, change_points, heat, neighbours, running_sums, sessionize
 
 IDLE_US = 120_000_000
 BLOCK_US = 10_000_000
@@ -25,12 +25,13 @@ def orient(rows: DataFrame) -> DataFrame:
                            "cport": pick("src_port", "dst_port"), "from_client": fwd, "fin_rst": F.coalesce("tcp_fin_rst", F.lit(False))})
 
 
-def touched(acts: DataFrame) -> DataFrame:
+def touched(acts: DataFrame, seen: Heat | None = None) -> DataFrame:
     """Acts (1 touch, -1 close) with `first` and `total` of the connection a touch belongs to, null on closes."""
     life = [*CONNECTION, "life"]
-    acts = cut(running_sums(acts, CONNECTION, {"life": (F.col("act") == -1).cast("long")}, block_us=BLOCK_US))
-    touches = cut(sessionize(acts.filter("act = 1"), life, IDLE_US, keep_equal=True, block_us=BLOCK_US))
-    touches = running_sums(touches, [*life, "session_start", "session_seq"], {"total": F.col("amount")}, block_us=BLOCK_US)
+    again = cut if seen is None or seen else lambda df: df  # blocks read their rows twice
+    acts = again(running_sums(acts, CONNECTION, {"life": (F.col("act") == -1).cast("long")}, block_us=BLOCK_US, seen=seen))
+    touches = again(sessionize(acts.filter("act = 1"), life, IDLE_US, keep_equal=True, block_us=BLOCK_US, seen=seen))
+    touches = running_sums(touches, [*life, "session_start", "session_seq"], {"total": F.col("amount")}, block_us=BLOCK_US, seen=seen)
     nothing = F.lit(None).cast("long")
     return touches.withColumnRenamed("session_start", "first").drop("session_seq", "life").unionByName(
         acts.filter("act = -1").drop("life").withColumns({"first": nothing, "total": nothing}))
@@ -41,8 +42,9 @@ def open_connections(rows: DataFrame, touch, close, amount, max_rate=None, min_a
     r = rows.select("seq", "ts_us", *CONNECTION, F.when(close, -1).when(touch, 1).otherwise(0).alias("act"), amount.cast("long").alias("amount"))
     late = F.lit(int(min_age_s * 1e6))
     turns = F.col("first") + (late if max_rate is None else F.greatest(late, F.ceil(F.col("total") * F.lit(1e6) / max_rate).cast("long")))
-    acts = cut(touched(r.filter("act <> 0")).withColumn("turns", F.when(F.col("act") == 1, turns)))
-    acts = cut(neighbours(acts, CONNECTION, "_prev", "_next", BLOCK_US, carry=["act", "amount", "first", "turns"]))
+    seen = heat(r, PAIR)
+    acts = touched(r.filter("act <> 0").repartition(*PAIR), seen).withColumn("turns", F.when(F.col("act") == 1, turns))
+    acts = cut(neighbours(cut(acts) if seen else acts, CONNECTION, "_prev", "_next", BLOCK_US, carry=["act", "amount", "first", "turns"], seen=seen, newest_first=True))
     # What the act finds open, and until when its own touch counts.
     was = F.coalesce((F.col("_prev.act") == 1) & (F.col("ts_us") - F.col("_prev.ts_us") <= IDLE_US), F.lit(False))
     is_ = F.col("act") == 1
@@ -59,7 +61,7 @@ def open_connections(rows: DataFrame, touch, close, amount, max_rate=None, min_a
         (None, arrive, None),
         (F.col("turns"), {"slow": F.lit(1)}, F.col("is") & (F.col("turns") > F.col("ts_us")) & (F.col("turns") <= F.col("ends"))),
         (F.col("ends"), {n: -c for n, c in here.items()}, F.col("silent")),
-        (F.col("ends"), {"slow": F.lit(-1)}, F.col("silent") & (F.col("turns") <= F.col("ends")))], BLOCK_US)
+        (F.col("ends"), {"slow": F.lit(-1)}, F.col("silent") & (F.col("turns") <= F.col("ends")))], BLOCK_US, seen)
     n = F.greatest(F.col("open").cast("double"), F.lit(1.0))
     sums = sums.join(r.select("seq", "ts_us", *PAIR), "seq")
     out = sums.select("seq", "ts_us", *PAIR, F.col("slow").cast("long").alias("slow"), F.col("open").cast("long").alias("open"),

@@ -40,16 +40,16 @@ def source_window(rows: DataFrame, wide: int, near: int, seen: Heat | None = Non
                     (F.col("probes").cast("double") / F.col("events").cast("double")).alias("syn_fraction"), F.col("total").cast("long").alias("egress_bytes"), (F.col("edge") == 0).alias("window_partial"))
 
 
-def peer_window(rows: DataFrame, wide: int) -> DataFrame:
+def peer_window(rows: DataFrame, wide: int, seen: Heat | None = None) -> DataFrame:
     """Per event: timing and sizes of its source's events to the same destination and port.  A gap counts while its earlier end is in the window."""
     peer = ["src_ip", "dst_ip", "dst_port"]
-    seen = rows.select("seq", "ts_us", *peer, F.coalesce(F.col("tls_fingerprint") == LAB_FINGERPRINT, F.lit(False)).cast("int").alias("lab"), F.round(F.col("bytes") / F.col("packets") * 1e6).cast("long").alias("size"))
+    one = rows.select("seq", "ts_us", *peer, F.coalesce(F.col("tls_fingerprint") == LAB_FINGERPRINT, F.lit(False)).cast("int").alias("lab"), F.round(F.col("bytes") / F.col("packets") * 1e6).cast("long").alias("size"))
     square = lambda c: c.cast("decimal(19,0)") * c.cast("decimal(19,0)")
     own = {"n": F.lit(1), "sizes": F.col("size"), "squares": square(F.col("size")), "labs": F.col("lab")}
     gap = F.col("ts_us") - F.col("_prev.ts_us")
     apart, counts = {"gaps": gap, "gap_squares": square(gap)}, F.coalesce(gap <= wide, F.lit(False))
-    c = change_points(cut(neighbours(seen, peer, "_prev", "_next", BLOCK_US)), peer, [
-        (None, own, None), (_at(wide + 1), _minus(own), None), (None, apart, counts), (F.col("_prev.ts_us") + wide + 1, _minus(apart), counts)], BLOCK_US)
+    c = change_points(_twice(neighbours(one.repartition("src_ip"), peer, "_prev", "_next", BLOCK_US, seen=seen, newest_first=True), seen), peer, [
+        (None, own, None), (_at(wide + 1), _minus(own), None), (None, apart, counts), (F.col("_prev.ts_us") + wide + 1, _minus(apart), counts)], BLOCK_US, seen)
     spread = lambda n, s, ss: F.sqrt(F.greatest(F.lit(0.0), (n * ss - s * s).cast("double"))) / n / 1e6
     n, gaps = F.col("n"), F.col("n") - 1
     gap_mean = F.when(n > 1, F.col("gaps").cast("double") / gaps.cast("double") / 1e6).otherwise(F.lit(0.0))
@@ -60,14 +60,15 @@ def peer_window(rows: DataFrame, wide: int) -> DataFrame:
                     n.cast("int").alias("history_count"), (F.col("labs") > 0).cast("int").alias("fingerprint_risk"))
 
 
-def question_window(rows: DataFrame, near: int) -> DataFrame:
+def question_window(rows: DataFrame, near: int, seen: Heat | None = None) -> DataFrame:
     """Per DNS question: its source's questions for the same base name."""
     shape = tunnel_name("dns_name")
     asked = rows.filter(is_dns_question()).select("seq", "ts_us", "src_ip", clean_name("dns_name").alias("name"), F.coalesce(shape["dns_base"], F.lit("")).alias("base"), *[shape[k].alias(k) for k in NAME_SHAPE])
     encoded = (F.col("dns_encoded_max_label_length") >= 24) & (F.col("dns_encoded_total_length") >= 32) & (F.col("dns_encoded_entropy") >= 3.5)
-    quiet = neighbours(asked.select("seq", "ts_us", "src_ip", "base", "name", encoded.cast("int").alias("enc")), ["src_ip", "base", "name"], "_pn", "_nn", BLOCK_US)
+    quiet = asked.select("seq", "ts_us", "src_ip", "base", "name", encoded.cast("int").alias("enc")).repartition("src_ip")
+    quiet = neighbours(quiet, ["src_ip", "base", "name"], "_pn", "_nn", BLOCK_US, seen=seen, newest_first=True)
     both = {"q": F.lit(1), "q_enc": F.col("enc")}
-    c = change_points(quiet, ["src_ip", "base"], [(None, both, None), (_at(near + 1), _minus(both), None), *_distinct("_pn", "_nn", near, "q_names")], BLOCK_US)
+    c = change_points(quiet, ["src_ip", "base"], [(None, both, None), (_at(near + 1), _minus(both), None), *_distinct("_pn", "_nn", near, "q_names")], BLOCK_US, seen)
     c = c.select("seq", F.col("q").cast("int").alias("dns_base_queries_10s"), (F.col("q_names").cast("double") / F.col("q").cast("double")).alias("dns_base_unique_ratio_10s"), F.col("q_enc").cast("int").alias("dns_base_encoded_queries_10s"))
     return c.join(asked.select("seq", F.lit(1).alias("dns_query_visible"), *NAME_SHAPE), "seq")
 
@@ -94,13 +95,13 @@ def _distinct(prev: str, next_: str, near: int, name: str) -> list:
 def source_history(rows: DataFrame, window_ms=60_000, recent_ms=10_000, families=("source", "peer", "question")) -> DataFrame:
     """Adds fan-out, SYN share and byte total (`source`), same-peer timing and sizes (`peer`), same-base DNS activity (`question`)."""
     wide, near = window_ms * 1000, recent_ms * 1000
-    h = rows
+    h, seen = rows, heat(rows, ["src_ip"])
     if "source" in families:
-        h = h.join(source_window(rows, wide, near, heat(rows, ["src_ip"])), "seq")
+        h = h.join(source_window(rows, wide, near, seen), "seq")
     if "peer" in families:
-        h = h.join(peer_window(rows, wide), "seq")
+        h = h.join(peer_window(rows, wide, seen), "seq")
     if "question" in families:
-        h = h.join(question_window(rows, near), "seq", "left").fillna({"dns_query_visible": 0, "dns_base_queries_10s": 0, "dns_base_unique_ratio_10s": 0.0, "dns_base_encoded_queries_10s": 0, **{c: 0 for c in NAME_SHAPE}})
+        h = h.join(question_window(rows, near, seen), "seq", "left").fillna({"dns_query_visible": 0, "dns_base_queries_10s": 0, "dns_base_unique_ratio_10s": 0.0, "dns_base_encoded_queries_10s": 0, **{c: 0 for c in NAME_SHAPE}})
     return h
 
 

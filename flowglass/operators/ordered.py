@@ -203,11 +203,14 @@ def most_before(rows: DataFrame, keys, value, name: str, block_us=BLOCK_US) -> D
     return out.select(*rows.columns, F.greatest("_m", "_c").alias(name))
 
 
-def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US, carry=(), seen: Heat | None = None) -> DataFrame:
-    """Adds the row before and the row after of the same key, across blocks, as structs of ts_us, seq and `carry`."""
+def neighbours(rows: DataFrame, keys, prev: str, next_: str, block_us=BLOCK_US, carry=(), seen: Heat | None = None, newest_first=False) -> DataFrame:
+    """Adds the row before and the row after of the same key, across blocks, as structs of ts_us, seq and `carry`.
+
+    Rows of equal time and seq leave in the order they are linked in, or with `newest_first` in the opposite one."""
     keys = list(keys)
-    me, w = F.struct(*ORDER, *carry), W.partitionBy(*keys).orderBy(*ORDER)
-    plain = lambda cold: cold.select(*rows.columns, F.lag(me).over(w).alias(prev), F.lead(me).over(w).alias(next_))
+    me, w = F.struct(*ORDER, *carry), W.partitionBy(*keys).orderBy(*[F.desc(c) if newest_first else F.asc(c) for c in ORDER])
+    before, after = (F.lead, F.lag) if newest_first else (F.lag, F.lead)
+    plain = lambda cold: cold.select(*rows.columns, before(me).over(w).alias(prev), after(me).over(w).alias(next_))
     return _by_heat(rows, keys, seen, plain, lambda r: _blocked_neighbours(r, keys, prev, next_, block_us, carry))
 
 
