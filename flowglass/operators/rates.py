@@ -37,10 +37,12 @@ def source_mix(rows: DataFrame, keys, weight, sums=None, horizon=SECONDS, base=N
     zero = F.lit(0).cast("long")
     per_source = base.groupBy(*keys, "sec", "src_ip").agg(F.sum(w).alias("c"), *[F.sum(e).alias("_t_" + n) for n, e in sums.items()])
     at = W.partitionBy(*keys, "src_ip").orderBy("sec")
-    standing = per_source.select(*keys, "sec", "src_ip", F.coalesce(F.sum("c").over(at.rangeBetween(-horizon, -1)), F.lit(0)).alias("_c0"))
+    # Counts are dealt by source once, for what stands at a second and for its changes.
+    counts = per_source.select(*keys, "sec", "src_ip", "c").repartition(*keys, "src_ip")
+    standing = counts.select(*keys, "sec", "src_ip", F.coalesce(F.sum("c").over(at.rangeBetween(-horizon, -1)), F.lit(0)).alias("_c0"))
 
     # Change points of each source's visible count, one or two per (source, second).
-    edges = per_source.select(*keys, "src_ip", F.explode(F.array(
+    edges = counts.select(*keys, "src_ip", F.explode(F.array(
         F.struct((F.col("sec") + 1).alias("sec"), F.col("c").alias("d")),
         F.struct((F.col("sec") + horizon + 1).alias("sec"), (-F.col("c")).alias("d")))).alias("e"))
     edges = edges.groupBy(*keys, "src_ip", "e.sec").agg(F.sum("e.d").alias("d"))

@@ -10,7 +10,7 @@ from ..functions.numbers import log_vector
 from ..operators import beacons, connections, history, portable, rates, readable, sessions
 from ..operators.bayes import predict_gaussian
 from ..operators.throttle import throttle
-from ..session import cut
+from ..session import cut, dealt
 from ..sources.wire import stage
 
 
@@ -396,10 +396,14 @@ def flood_sources(kept: DataFrame, events: DataFrame) -> DataFrame:
 def alerts(events: DataFrame, th: Thresholds = Thresholds(), model: dict | None = None, features: DataFrame | None = None) -> DataFrame:
     """Suppressed alerts with evidence, narrative and flow identity."""
     h = hits(features if features is not None else all_features(events, th), th, model)
-    h = cut(h.select(*[c for c in h.columns if not c.startswith("_")], F.col("reverse_observed").cast("int").alias("reverse_available")))
+    if features is not None or th.name_model is not None or th.word_table is not None:
+        h = h.repartition("seq")  # otherwise the families met on `seq` last
+    h = dealt(h.select(*[c for c in h.columns if not c.startswith("_")], F.col("reverse_observed").cast("int").alias("reverse_available")), "seq")
     gap = F.when(F.col("slow_only"), th.suppress_slow_ms * 1000).otherwise(th.suppress_ms * 1000).cast("long")
     passed = throttle(h.select("suppress_key", "ts_us", "seq", "threat_class", gap.alias("gap_us")), ["suppress_key"], "gap_us").filter("kept")
-    kept = h.join(passed.select("seq", "threat_class"), ["seq", "threat_class"], "left_semi")
+    # By `seq` alone, so that the wide rows stay in their buckets and only what passed is dealt.
+    passed = passed.groupBy(F.col("seq").alias("_seq")).agg(F.collect_set("threat_class").alias("_classes"))
+    kept = h.join(passed.hint("shuffle_hash"), (h["seq"] == F.col("_seq")) & F.array_contains("_classes", h["threat_class"]), "left_semi")
     kept = cut(flood_sources(kept, events))  # few rows, read three times below
     alerting = events.select("seq", "ts_us", *sessions.FIVE_TUPLE).join(kept.select(*sessions.FIVE_TUPLE).distinct(), sessions.FIVE_TUPLE, "left_semi")
     ids = sessions.flow_identity(alerting).select("seq", F.col("flow_id").alias("own_flow_id"))

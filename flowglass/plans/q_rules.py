@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip, text
 from ..operators import beacons, connections, history, rates, sessions
-from ..session import cut
+from ..session import dealt
 from . import detect as D
 from . import views as V
 from .catalog import query, rounded
@@ -168,7 +168,7 @@ def spoof_diagnostic_hits(spark, sf):
 def typed_events(spark, sf):
     """The typed event table, written once: the detection plan reads it about fifteen times, and
     deriving it from the raw rows each time costs more than reading it back."""
-    return cut(V.traffic(spark, sf).repartition("seq"))
+    return dealt(V.traffic(spark, sf).repartition("seq"), "seq")
 
 
 def _alerts(spark, sf):
